@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cleansheet.functions import dates, numbers
 from cleansheet.functions.text import trimmed
 from cleansheet.operators.columns import quoted, text_columns
-from cleansheet.operators.dedup import duplicate_count
+from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.frequency import top_values
 from cleansheet.operators.statistics import missing_counts
 
@@ -79,11 +79,13 @@ def first_text_values(df: DataFrame, order: Column | None = None, k: int = SAMPL
     One bounded top-k per column: each task keeps k rows in a heap, nothing is
     sorted or shuffled beyond them, and each branch reads its column only.
     """
-    order = F.monotonically_increasing_id() if order is None else order
+    if order is None:
+        order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.monotonically_increasing_id()
+    visible = [c for c in df.columns if c != ROW_ORDER]
     parts = [
         df.where(quoted(c).isNotNull())
         .select(
-            F.lit(df.columns.index(c)).cast("bigint").alias("position"), F.lit(c).alias("column_name"),
+            F.lit(visible.index(c)).cast("bigint").alias("position"), F.lit(c).alias("column_name"),
             order.alias("row_order"), quoted(c).alias("value"),
         )
         .orderBy("row_order")
@@ -101,14 +103,18 @@ def _ordered_message(stage: int, position: Column, check: int, text: Column) ->
 
 
 def recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """(message_order, message): what to clean, in a fixed order."""
+    """(message_order, message): what to clean, in a fixed order.
+
+    The hidden row order of a frame read from CSV serves as order by itself.
+    """
+    data = df.drop(ROW_ORDER)
     parts = [
-        duplicate_count(df)
+        duplicate_count(data)
         .where("duplicate_rows > 0")
         .select(*_ordered_message(0, F.lit(0), 0, F.concat(
             F.lit("Remove "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate row(s)."),
         ))),
-        missing_counts(df)
+        missing_counts(data)
         .where("missing > 0")
         .select(*_ordered_message(1, F.col("position"), 0, F.concat(
             F.lit("Fill or impute "), F.col("missing").cast("string"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleansheet.operators.columns import nan_to_null, numeric_columns, quoted, text_columns
-from cleansheet.operators.dedup import duplicate_count
+from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.frequency import rank_values, value_frequencies
 from cleansheet.operators.quality import mixed_type_columns, recommendations, score
 from cleansheet.operators.statistics import byte_sum, describe_numeric
@@ -90,7 +90,8 @@ def profile_dataset(
     statistics, one shuffle of row digests, one shuffle of text values, and a
     bounded top-k per text column.
     """
-    data = nan_to_null(df)
+    df = nan_to_null(df)
+    data = df.drop(ROW_ORDER)
     basics = data.agg(
         F.count(F.lit(1)).alias("rows"), byte_sum(data).alias("bytes"),
         *[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(data.columns)],
@@ -116,7 +117,7 @@ def profile_dataset(
             texts[r["column_name"]]["top"].append((r["value"], r["n"]))
         inconsistent = sorted(r["column_name"] for r in mixed_type_columns(ranked).collect())
 
-    lines = recommendations(data, order).orderBy("message_order").collect()
+    lines = recommendations(df, order).orderBy("message_order").collect()
     points = score(*[F.lit(v) for v in (rows, len(data.columns), sum(missing.values()), duplicates, len(inconsistent))])
     return Profile(
         name=name, rows=rows, column_types=kinds or dict(data.dtypes), missing=missing, duplicate_rows=duplicates,
