@@ -16,7 +16,7 @@ TIME_SUFFIXES = ("", " HH:mm:ss", "'T'HH:mm:ss")
 DATE_FORMATS = tuple(day + time for day in DAY_FORMATS for time in TIME_SUFFIXES)
 
 _SHAPES = {
-    "yyyy": r"\d{4}", "MMM": "[A-Z][a-z]{2}", "MM": r"\d{2}", "dd": r"\d{2}",
+    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}",
     "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T",
 }
 
@@ -29,8 +29,9 @@ def _shape(fmt: str) -> str:
 # One pattern that every text in an accepted format fits.
 DATE_LIKE = (
     r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}"
-    r"|[A-Z][a-z]{2} \d{1,2} \d{4}|\d{1,2} [A-Z][a-z]{2} \d{4})([ T]\d{2}:\d{2}:\d{2})?$"
+    r"|[A-Za-z]{3} \d{1,2} \d{4}|\d{1,2} [A-Za-z]{3} \d{4})([ T]\d{2}:\d{2}:\d{2})?$"
 )
+_ANY_TIME = r"([ T]\d{2}:\d{2}:\d{2})?$"
 
 
 def parse_with(c: Column, fmt: str) -> Column:
@@ -38,13 +39,22 @@ def parse_with(c: Column, fmt: str) -> Column:
 
 
 def parse_any(c: Column) -> Column:
-    """Each value in the first format that takes it."""
-    return F.when(c.rlike(DATE_LIKE), F.coalesce(*[parse_with(c, f) for f in DATE_FORMATS]))
+    """Each value in the first day format that takes it, with or without a time."""
+    tries = [
+        F.when(
+            c.rlike(_shape(day)[:-1] + _ANY_TIME),
+            F.try_to_timestamp(c, F.lit(day + "".join(f"[{t}]" for t in TIME_SUFFIXES if t))),
+        )
+        for day in DAY_FORMATS
+    ]
+    return F.when(c.rlike(DATE_LIKE), F.coalesce(*tries))
 
 
 def first_format(c: Column) -> Column:
-    """The first accepted format that takes the value, else NULL."""
-    return F.coalesce(*[F.when(parse_with(c, f).isNotNull(), F.lit(f)) for f in DATE_FORMATS])
+    """The first accepted format that takes the value, else NULL. For single values, not whole columns."""
+    formats = F.array(*[F.lit(f) for f in DATE_FORMATS])
+    fitting = F.filter(formats, lambda f: F.try_to_timestamp(c, f).isNotNull())
+    return F.when(c.rlike(DATE_LIKE), F.get(fitting, F.lit(0)))
 
 
 def parse_column(c: Column, fmt: str | None) -> Column:

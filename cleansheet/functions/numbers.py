@@ -31,16 +31,14 @@ _INT64_MIN = "-9223372036854775808"
 _UINT64_MAX = "18446744073709551615"
 
 
-def _as_wide_int(c: Column) -> Column:
-    return c.try_cast("decimal(38,0)")
-
-
 def cell_class(c: Column) -> Column:
     """The kind bit of a raw CSV cell."""
-    wide = _as_wide_int(F.trim(c))
+    digits = F.trim(c)
+    wide = digits.try_cast("decimal(38,0)")
     low, high, top = (F.lit(v).cast("decimal(38,0)") for v in (_INT64_MIN, _INT64_MAX, _UINT64_MAX))
     integer = (
-        F.when(wide.isNull() | (wide < low) | (wide > top), HUGE_INT)
+        F.when(F.length(digits) <= 18, F.when(digits.startswith("-"), INT64 + NEGATIVE).otherwise(INT64))
+        .when(wide.isNull() | (wide < low) | (wide > top), HUGE_INT)
         .when(wide > high, UINT64)
         .when(wide < 0, INT64 + NEGATIVE)
         .otherwise(INT64)
@@ -86,9 +84,7 @@ KIND_TO_TYPE = {
 
 def to_double(c: Column) -> Column:
     """Guarded parse: NULL for anything but a plain number."""
-    plain = F.regexp_replace(c, r"\s+", "")
-    spelled = F.when(plain.rlike(r"(?i)^\+?inf"), "Infinity").when(plain.rlike(r"(?i)^-inf"), "-Infinity")
-    return F.when(c.rlike(NUMBER), F.coalesce(spelled, plain).try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def without_commas(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
@@ -42,3 +43,17 @@ def rows_from(one_row: DataFrame, records: list[list[Column]], names: list[str])
 
 def no_rows(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
+
+
+def text_cells(df: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
+    """(position, value): every cell of some columns as a row.
+
+    Aggregates per column then run as one small set of expressions grouped by
+    position, whatever the number of columns, and stay small enough to compile.
+    """
+    return df.select(F.posexplode(F.array(*[quoted(c).cast("string") for c in columns])).alias("position", value))
+
+
+def named_positions(columns: list[str]) -> Column:
+    """The column name for a position."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("position"))

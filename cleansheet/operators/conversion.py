@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers
 from cleansheet.functions.text import CATEGORY_SETS, canonical_category, collapsed, in_category_set, trimmed
-from cleansheet.operators.columns import no_rows, quoted, rows_from, text_columns
+from cleansheet.operators.columns import named_positions, no_rows, quoted, text_cells, text_columns
 from cleansheet.operators.missing import apply_to_text
 
 SUCCESS_SHARE = 0.9
@@ -22,16 +22,20 @@ def parse_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return no_rows(df, "column_name string, n_values bigint, numeric_ratio double, date_ratio double")
-    aggregates, records = [], []
-    for i, c in enumerate(columns):
-        aggregates += [
-            F.count(quoted(c)).alias(f"n{i}"),
-            F.count_if(numbers.without_commas(quoted(c)).rlike(numbers.NUMBER)).alias(f"num{i}"),
-            F.count_if(dates.parse_any(quoted(c)).isNotNull()).alias(f"date{i}"),
-        ]
-        n = F.col(f"n{i}")
-        records.append([F.lit(c), n, _share(F.col(f"num{i}"), n), _share(F.col(f"date{i}"), n)])
-    return rows_from(df.agg(*aggregates), records, ["column_name", "n_values", "numeric_ratio", "date_ratio"])
+    value, n = F.col("value"), F.col("n_values")
+    counted = (
+        text_cells(df, columns)
+        .groupBy("position")
+        .agg(
+            F.count(value).alias("n_values"),
+            F.count_if(numbers.without_commas(value).rlike(numbers.NUMBER)).alias("n_numbers"),
+            F.count(dates.parse_any(value)).alias("n_dates"),
+        )
+    )
+    return counted.select(
+        named_positions(columns).alias("column_name"), "n_values",
+        _share(F.col("n_numbers"), n).alias("numeric_ratio"), _share(F.col("n_dates"), n).alias("date_ratio"),
+    )
 
 
 def number_type(bits: int, failed: int) -> str:
@@ -53,20 +57,21 @@ def to_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return df
-    found = df.agg(*[
-        agg
-        for i, c in enumerate(columns)
-        for plain in [numbers.without_commas(quoted(c))]
-        for agg in (
-            F.count(quoted(c)).alias(f"n{i}"),
-            F.count_if(plain.rlike(numbers.NUMBER)).alias(f"ok{i}"),
-            F.bit_or(F.when(plain.isNotNull(), numbers.cell_class(plain))).alias(f"bits{i}"),
+    plain = F.col("plain")
+    found = (
+        text_cells(df, columns)
+        .where(F.col("value").isNotNull())
+        .withColumn("plain", numbers.without_commas(F.col("value")))
+        .groupBy("position")
+        .agg(
+            F.count(plain).alias("n"), F.count_if(plain.rlike(numbers.NUMBER)).alias("ok"),
+            F.bit_or(numbers.cell_class(plain)).alias("bits"),
         )
-    ]).first()
+    )
     targets = {
-        c: number_type(found[f"bits{i}"], found[f"n{i}"] - found[f"ok{i}"])
-        for i, c in enumerate(columns)
-        if found[f"n{i}"] and found[f"ok{i}"] / found[f"n{i}"] >= SUCCESS_SHARE
+        columns[r["position"]]: number_type(r["bits"], r["n"] - r["ok"])
+        for r in found.collect()
+        if r["ok"] / r["n"] >= SUCCESS_SHARE
     }
     return df.select(*[
         parse_number(quoted(c), targets[c]).alias(c) if c in targets else quoted(c) for c in df.columns

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleansheet.operators.columns import no_rows, quoted, rows_from, text_columns
+from cleansheet.operators.columns import (
+    named_positions, no_rows, quoted, rows_from, text_cells, text_columns,
+)
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -17,13 +19,12 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
     columns = text_columns(df) if columns is None else columns
     if not columns:
         return no_rows(df, "position int, column_name string, value string, n bigint")
-    names = F.array(*[F.lit(c) for c in columns])
     return (
-        df.select(F.posexplode(F.array(*[quoted(c).cast("string") for c in columns])).alias("position", "value"))
+        text_cells(df, columns)
         .where(F.col("value").isNotNull())
         .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("position", F.get(names, F.col("position")).alias("column_name"), "value", "n")
+        .select("position", named_positions(columns).alias("column_name"), "value", "n")
     )
 
 

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from cleansheet.functions.numbers import BOOLEANS, KIND_TO_TYPE, cell_class, kind_of, to_double
 from cleansheet.functions.text import csv_nulls
-from cleansheet.operators.columns import quoted, rows_from
+from cleansheet.operators.columns import named_positions, quoted, text_cells
 
 
 def column_kinds(df: DataFrame) -> DataFrame:
     """(column_name, kind) from one scan: a bit_or of cell kinds per text column."""
-    one_row = df.agg(*[F.bit_or(cell_class(quoted(c))).alias(f"b{i}") for i, c in enumerate(df.columns)])
-    records = [[F.lit(i).cast("bigint"), F.lit(c), kind_of(F.col(f"b{i}"))] for i, c in enumerate(df.columns)]
-    return rows_from(one_row, records, ["position", "column_name", "kind"])
+    return (
+        text_cells(df, df.columns)
+        .groupBy("position")
+        .agg(F.bit_or(cell_class(F.col("value"))).alias("bits"))
+        .select(
+            F.col("position").cast("bigint").alias("position"), named_positions(df.columns).alias("column_name"),
+            kind_of(F.col("bits")).alias("kind"),
+        )
+    )
 
 
 def as_kind(c: Column, kind: str) -> Column:

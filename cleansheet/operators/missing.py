@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleansheet.functions.text import UNKNOWN, csv_nulls, is_missing_token, trimmed, without_missing_tokens
-from cleansheet.operators.columns import numeric_columns, quoted, rows_from, text_columns
+from cleansheet.operators.columns import named_positions, numeric_columns, quoted, text_cells, text_columns
 from cleansheet.operators.frequency import column_modes
 from cleansheet.operators.quantiles import exact_quantiles
 
@@ -32,8 +32,12 @@ def null_missing_tokens(df: DataFrame) -> DataFrame:
 def missing_token_counts(df: DataFrame) -> DataFrame:
     """(column_name, tokens) per text column."""
     columns = text_columns(df)
-    one_row = df.agg(*[F.count_if(is_missing_token(quoted(c))).alias(f"t{i}") for i, c in enumerate(columns)])
-    return rows_from(one_row, [[F.lit(c), F.col(f"t{i}")] for i, c in enumerate(columns)], ["column_name", "tokens"])
+    return (
+        text_cells(df, columns)
+        .groupBy("position")
+        .agg(F.count_if(is_missing_token(F.col("value"))).alias("tokens"))
+        .select(named_positions(columns).alias("column_name"), "tokens")
+    )
 
 
 def fill_with_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -96,16 +96,19 @@ def read_cells(
 def infer_table(rows: DataFrame, too_long: Column, encoding: str, label: str) -> CsvTable:
     """Find the column kinds in one pass over the text cells, and type them."""
     names = [c for c in rows.columns if c not in (ROW_ORDER, _BAD_LINE)]
-    found = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(too_long).alias("too_long"),
-        *[F.bit_or(cell_class(quoted(c))).alias(f"b{i}") for i, c in enumerate(names)],
-    ).select("n", "too_long", *[kind_of(F.col(f"b{i}")).alias(f"k{i}") for i in range(len(names))]).first()
-    if found["n"] == 0:
+    long_mark = F.when(too_long, F.lit("x"))
+    cells = rows.select(F.posexplode(F.array(*[quoted(c) for c in names], long_mark)).alias("position", "value"))
+    found = {
+        r["position"]: r
+        for r in cells.groupBy("position")
+        .agg(F.count("value").alias("n"), kind_of(F.bit_or(cell_class(F.col("value")))).alias("kind"))
+        .collect()
+    }
+    if not found:
         raise CsvError(f"CSV dataset has no data rows: {label}")
-    if found["too_long"]:
-        raise CsvError(f"{found['too_long']} row(s) have more cells than the header: {label}")
-    kinds = {c: found[f"k{i}"] for i, c in enumerate(names)}
+    if found[len(names)]["n"]:
+        raise CsvError(f"{found[len(names)]['n']} row(s) have more cells than the header: {label}")
+    kinds = {c: found[i]["kind"] for i, c in enumerate(names)}
     typed = rows.select(ROW_ORDER, *[as_kind(quoted(c), kinds[c]).alias(c) for c in names])
     return CsvTable(typed, kinds, encoding)
 
