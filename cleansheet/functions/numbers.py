@@ -111,7 +111,9 @@ def plain_double_text(c: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(java, "^(.*)E", 1), r"\.0$", "")
     power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")
     sign = F.when(power < 0, "e-").otherwise("e+")
-    scientific = F.concat(mantissa, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    digits_of_power = F.abs(power).cast("string")
+    padded = F.when(F.length(digits_of_power) < 2, F.lpad(digits_of_power, 2, "0")).otherwise(digits_of_power)
+    scientific = F.concat(mantissa, sign, padded)
     size = F.abs(c)
     return (
         F.when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))

@@ -69,7 +69,12 @@ def append_history(batch: DataFrame, path: str) -> None:
         message = F.lit(f"history column {name} must not be missing")
         checked = F.when(F.col(name).isNull(), F.raise_error(message)).otherwise(F.col(name))
         rows = rows.withColumn(name, checked)
-    rows.withColumn(DAY, F.to_date("created_at")).write.mode("append").partitionBy(DAY).parquet(path)
+    _by_day(rows.withColumn(DAY, F.to_date("created_at"))).write.mode("append").partitionBy(DAY).parquet(path)
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Few files per day, yet no task with all rows of a busy day: large days are split."""
+    return rows.hint("rebalance", DAY)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -128,10 +133,12 @@ def delete_history(history: DataFrame, target: str, user_id: str | None = None)
 
     Counting happens while the rows are written, so the table is read once.
     """
-    goes = F.lit(True) if user_id is None else F.col("user_id").eqNullSafe(F.lit(user_id))
+    dated = history if DAY in history.columns else history.withColumn(DAY, F.to_date("created_at"))
+    if user_id is None:
+        dated.limit(0).write.partitionBy(DAY).parquet(target)
+        return history.count()
+    goes = F.col("user_id").eqNullSafe(F.lit(user_id))
     seen = Observation("history_deletion")
-    counted = history.observe(seen, F.count_if(goes).alias("deleted"))
-    if DAY not in history.columns:
-        counted = counted.withColumn(DAY, F.to_date("created_at"))
-    counted.where(~goes).write.partitionBy(DAY).parquet(target)
+    counted = dated.observe(seen, F.count_if(goes).alias("deleted"))
+    _by_day(counted.where(~goes)).write.partitionBy(DAY).parquet(target)
     return seen.get["deleted"]

@@ -122,12 +122,19 @@ def recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
         ))),
     ]
     if text_columns(df):
-        parts.append(_text_recommendations(first_text_values(df, order)))
+        parts.append(text_recommendations(df, order))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _text_recommendations(sample: DataFrame) -> DataFrame:
+def count_recommendations(duplicates: int, missing: dict[str, int]) -> list[str]:
+    """The first messages, from counts that are known already."""
+    lines = [f"Remove {duplicates} duplicate row(s)."] if duplicates else []
+    return lines + [f"Fill or impute {n} missing value(s) in column '{c}'." for c, n in missing.items()]
+
+
+def text_recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
     """Checks on the first values of each text column (at most 50 per column)."""
+    sample = first_text_values(df, order)
     value = F.col("value")
     values = F.transform(
         F.array_sort(F.collect_list(F.struct("row_order", "value"))), lambda entry: entry["value"]

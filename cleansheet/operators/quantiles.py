@@ -24,6 +24,7 @@ CANDIDATE_ROWS = 2_000_000
 _SKETCH_SIZE = 2048
 _SKETCH_SLACK = 0.004
 _SKETCH_GROUPS = 256
+_COLUMNS_PER_PASS = 8
 
 
 @dataclass
@@ -66,6 +67,16 @@ def exact_quantiles(
         ]).first()
         return {c: list(found[i]) if found[i] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
 
+    result: dict[str, list[float | None]] = {}
+    for start in range(0, len(columns), _COLUMNS_PER_PASS):
+        part = columns[start : start + _COLUMNS_PER_PASS]
+        result |= _by_narrowing(df.select(*[quoted(c) for c in part]), part, probabilities, candidate_rows)
+    return result
+
+
+def _by_narrowing(
+    df: DataFrame, columns: list[str], probabilities: tuple[float, ...], candidate_rows: int
+) -> dict[str, list[float | None]]:
     limits = df.agg(*[
         f(quoted(c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.count, F.min, F.max)
     ]).first()

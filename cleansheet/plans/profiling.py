@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleansheet.functions.numbers import looks_numeric
 from cleansheet.operators.columns import nan_to_null, numeric_columns, quoted, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.frequency import rank_values, value_frequencies
-from cleansheet.operators.quality import mixed_type_columns, recommendations, score
+from cleansheet.operators.quality import count_recommendations, score, text_recommendations
 from cleansheet.operators.statistics import byte_sum, describe_numeric
 from cleansheet.session import materialize
 
@@ -107,23 +108,26 @@ def profile_dataset(
             numeric[entry.pop("column_name")] = entry
 
     texts = {c: {"unique": 0, "top": []} for c in text_columns(data)}
-    inconsistent = []
+    inconsistent, lines = [], count_recommendations(duplicates, missing)
     if texts:
         frequencies = materialize(value_frequencies(data), "values")
         for r in frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect():
             texts[r["column_name"]]["unique"] = r["n"]
-        ranked = rank_values(frequencies)
-        for r in ranked.orderBy("column_name", "value_rank").collect():
+        numeric_like: dict[str, list[bool]] = {c: [] for c in texts}
+        ranked = rank_values(frequencies).withColumn("numeric", looks_numeric(F.col("value")))
+        for r in sorted(ranked.collect(), key=lambda r: r["value_rank"]):
             texts[r["column_name"]]["top"].append((r["value"], r["n"]))
-        inconsistent = sorted(r["column_name"] for r in mixed_type_columns(ranked).collect())
+            numeric_like[r["column_name"]].append(r["numeric"])
+        inconsistent = [c for c, marks in numeric_like.items() if any(marks) and not all(marks)]
+        checked = text_recommendations(df, order).collect()
+        lines += [r["message"] for r in sorted(checked, key=lambda r: r["message_order"])]
 
-    lines = recommendations(df, order).orderBy("message_order").collect()
     points = score(*[F.lit(v) for v in (rows, len(data.columns), sum(missing.values()), duplicates, len(inconsistent))])
     return Profile(
         name=name, rows=rows, column_types=kinds or dict(data.dtypes), missing=missing, duplicate_rows=duplicates,
         memory_bytes=basics["bytes"], numeric=numeric, texts=texts, inconsistent=inconsistent,
         quality_score=df.sparkSession.range(1).select(points).first()[0],
-        recommendations=[r["message"] for r in lines],
+        recommendations=lines,
     )
 
 

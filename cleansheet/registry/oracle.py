@@ -587,6 +587,9 @@ SELECT doc_id, file_name, uploaded_second, concat(base, CASE WHEN doc_id <> min(
             for c in TEXTS if c != 'empty_col')} FROM mo""",
         "clean_export": f"""WITH {CLEAN} SELECT CAST(CAST(order_id AS DOUBLE) AS VARCHAR) AS order_id, priority, confirmed,
  CAST(amount AS VARCHAR) AS amount, CAST(qty AS VARCHAR) AS qty, strftime(order_day, '%Y-%m-%d') AS order_day FROM c""",
+        "upload_stream": mo + """SELECT 'dataset' AS command, CAST(0 AS BIGINT) AS n_failed, count(*) AS rows_before,
+ (SELECT count(*) FROM (SELECT DISTINCT * FROM mo WHERE order_id IS NOT NULL)) AS rows_after
+ FROM mo WHERE order_id IS NOT NULL""",
         "history_recent": hist + f"SELECT {history_columns} FROM hist ORDER BY created_at DESC, id DESC LIMIT 10",
         "history_by_user": hist
         + f"SELECT {history_columns} FROM hist WHERE user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 20",

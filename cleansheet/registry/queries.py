@@ -297,7 +297,7 @@ def before_after(spark, folder):
 
 @_query
 def landing_audit(spark, folder):
-    return landing.split_audit(views.landed_files(spark, folder), max_bytes=16384)
+    return landing.file_verdicts(views.landed_files(spark, folder), max_bytes=16384)
 
 
 @_query
@@ -332,7 +332,15 @@ def upload_stream(spark, folder):
         "header", True).option("maxRecordsPerFile", 200_000).csv(inbox)
     log = scratch_path(spark, "history")
     uploads.run_available(spark, inbox, log, scratch_path(spark, "offsets"), scratch_path(spark, "cleaned"))
-    return history.read_history(spark, log).groupBy("command", "success").agg(F.count(F.lit(1)).alias("n"))
+
+
+    def total(part: int) -> Column:
+        rows = F.regexp_extract("output_text", r"^rows (\d+) -> (\d+),", part)
+        return F.coalesce(F.sum(rows.try_cast("bigint")), F.lit(0)).cast("bigint")
+
+    return history.read_history(spark, log).groupBy("command").agg(
+        F.count_if(F.col("success") == 0).alias("n_failed"), total(1).alias("rows_before"), total(2).alias("rows_after"),
+    )
 
 
 # --- history -----------------------------------------------------------------

@@ -46,10 +46,28 @@ def audit_landing(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
     """Verdicts for every file below a folder.
 
     Oversized files are judged from their listing alone; the size filter
-    reaches the source, so their content is never read.
+    reaches the source, so their content is never read. Spark's file sources
+    leave out empty files, so those are taken from the folder listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return split_audit(files, max_bytes)
+    empty = spark.createDataFrame([(p,) for p in empty_files(spark, path)], "path string").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit("").cast("binary").alias("content")
+    )
+    return split_audit(files, max_bytes).unionByName(file_verdicts(empty, max_bytes))
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of files without content. A listing only; nothing is opened."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append(status.getPath().toString())
+    return found
 
 
 def split_audit(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
