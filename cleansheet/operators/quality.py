@@ -170,9 +170,5 @@ def text_recommendations(df: DataFrame, order: Column | None = None) -> DataFram
 
 def _parses_in(v: Column, fmt: Column) -> Column:
     """Strictly in the given format, or in any when there is none."""
-    strict = reduce(
-        lambda found, f: F.when(fmt == f, dates.parse_with(v, f).isNotNull()).otherwise(found),
-        dates.DATE_FORMATS,
-        F.lit(False),
-    )
+    strict = v.rlike(dates.DATE_LIKE) & F.try_to_timestamp(v, fmt).isNotNull()
     return F.when(fmt.isNull(), dates.parse_any(v).isNotNull()).otherwise(strict)
