@@ -1,4 +1,9 @@
-"""Dates kept as text: the accepted formats and how they are tried."""
+"""Dates kept as text: the accepted formats and how they are tried.
+
+Texts of an accepted shape are rearranged to ISO order and cast. The cast
+checks the calendar without raising and catching an error per value, and one
+cast serves every format, which keeps the generated code small.
+"""
 
 from __future__ import annotations
 
@@ -19,42 +24,95 @@ _SHAPES = {
     "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}",
     "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T",
 }
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_ANY_TIME = r"([ T]\d{2}:\d{2}:\d{2})?$"
+_YEAR_FIRST = r"^\d{4}([-/])\d{2}\1\d{2}" + _ANY_TIME
+_YEAR_LAST = r"^\d{2}([-/])\d{2}\1\d{4}" + _ANY_TIME
+_NAMED_MONTH = r"^([A-Za-z]{3} \d{1,2}|\d{1,2} [A-Za-z]{3}) \d{4}" + _ANY_TIME
+
+# One pattern that every text in an accepted format fits.
+DATE_LIKE = (
+    r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}"
+    r"|[A-Za-z]{3} \d{1,2} \d{4}|\d{1,2} [A-Za-z]{3} \d{4})" + _ANY_TIME
+)
 
 
 def _shape(fmt: str) -> str:
-    """A pattern with the shape of a format, to keep hopeless texts from the parser."""
     return "^" + re.sub(r"yyyy|MMM|MM|dd|d|HH|mm|ss|'T'", lambda m: _SHAPES[m.group()], fmt) + "$"
 
 
-# One pattern that every text in an accepted format fits.
-DATE_LIKE = (
-    r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}"
-    r"|[A-Za-z]{3} \d{1,2} \d{4}|\d{1,2} [A-Za-z]{3} \d{4})([ T]\d{2}:\d{2}:\d{2})?$"
-)
-_ANY_TIME = r"([ T]\d{2}:\d{2}:\d{2})?$"
+def is_date_like(c: Column) -> Column:
+    """Fits the shape of some format. The length, known at once, rules most texts out."""
+    return F.octet_length(c).between(10, 20) & c.rlike(DATE_LIKE)
+
+
+def _from(c: Column, start: int) -> Column:
+    return F.substring(c, start, 1_000)
+
+
+def _year_first(c: Column) -> Column:
+    return F.replace(c, F.lit("/"), F.lit("-"))
+
+
+def _year_last(c: Column, month: Column, day: Column) -> Column:
+    return F.concat(F.substring(c, 7, 4), F.lit("-"), month, F.lit("-"), day, _from(c, 11))
+
+
+def _named_month(c: Column) -> Column:
+    place = F.position(F.lower(F.regexp_extract(c, "([A-Za-z]{3})", 1)), F.lit(_MONTHS))
+    month = F.when(place % 3 == 1, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
+    day = F.lpad(F.regexp_extract(c, r"(?:^| )(\d{1,2}) ", 1), 2, "0")
+    return F.concat(
+        F.regexp_extract(c, r" (\d{4})", 1), F.lit("-"), month, F.lit("-"), day,
+        F.regexp_extract(c, r"([ T]\d{2}:\d{2}:\d{2})$", 1),
+    )
 
 
 def parse_with(c: Column, fmt: str) -> Column:
-    return F.when(c.rlike(_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)))
+    """Strictly in one format."""
+    first, second = F.substring(c, 1, 2), F.substring(c, 4, 2)
+    if fmt.startswith("yyyy"):
+        iso = _year_first(c)
+    elif "MMM" in fmt:
+        iso = _named_month(c)
+    elif fmt.startswith("MM"):
+        iso = _year_last(c, first, second)
+    else:
+        iso = _year_last(c, second, first)
+    return F.when(c.rlike(_shape(fmt)), iso).try_cast("timestamp")
 
 
 def parse_any(c: Column) -> Column:
-    """Each value in the first day format that takes it, with or without a time."""
-    tries = [
-        F.when(
-            c.rlike(_shape(day)[:-1] + _ANY_TIME),
-            F.try_to_timestamp(c, F.lit(day + "".join(f"[{t}]" for t in TIME_SUFFIXES if t))),
+    """Each value in the first format that takes it.
+
+    With the year last the month comes first, unless it cannot be one.
+    """
+    first, second = F.substring(c, 1, 2), F.substring(c, 4, 2)
+    month_first = first <= "12"
+    iso = (
+        F.when(c.rlike(_YEAR_FIRST), _year_first(c))
+        .when(
+            c.rlike(_YEAR_LAST),
+            _year_last(c, F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)),
         )
-        for day in DAY_FORMATS
-    ]
-    return F.when(c.rlike(DATE_LIKE), F.coalesce(*tries))
+        .when(c.rlike(_NAMED_MONTH), _named_month(c))
+    )
+    return iso.try_cast("timestamp")
 
 
 def first_format(c: Column) -> Column:
-    """The first accepted format that takes the value, else NULL. For single values, not whole columns."""
-    formats = F.array(*[F.lit(f) for f in DATE_FORMATS])
-    fitting = F.filter(formats, lambda f: F.try_to_timestamp(c, f).isNotNull())
-    return F.when(c.rlike(DATE_LIKE), F.get(fitting, F.lit(0)))
+    """The first accepted format that takes the value, else NULL."""
+    month_first = F.substring(c, 1, 2) <= "12"
+    day = (
+        F.when(c.rlike(r"^\d{4}-"), "yyyy-MM-dd")
+        .when(c.rlike(r"^\d{4}/"), "yyyy/MM/dd")
+        .when(c.rlike(r"^\d{2}-"), F.when(month_first, "MM-dd-yyyy").otherwise("dd-MM-yyyy"))
+        .when(c.rlike(r"^\d{2}/"), F.when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy"))
+        .when(c.rlike("^[A-Za-z]"), "MMM d yyyy")
+        .otherwise("d MMM yyyy")
+    )
+    time = F.when(c.rlike(r"T\d{2}:"), "'T'HH:mm:ss").when(c.rlike(r" \d{2}:"), " HH:mm:ss").otherwise("")
+    return F.when(parse_any(c).isNotNull(), F.concat(day, time))
 
 
 def parse_column(c: Column, fmt: str | None) -> Column:

@@ -31,8 +31,8 @@ _INT64_MIN = "-9223372036854775808"
 _UINT64_MAX = "18446744073709551615"
 
 
-def cell_class(c: Column) -> Column:
-    """The kind bit of a raw CSV cell."""
+def number_class(c: Column) -> Column:
+    """The kind bit of a cell known to be a number."""
     digits = F.trim(c)
     wide = digits.try_cast("decimal(38,0)")
     low, high, top = (F.lit(v).cast("decimal(38,0)") for v in (_INT64_MIN, _INT64_MAX, _UINT64_MAX))
@@ -43,10 +43,14 @@ def cell_class(c: Column) -> Column:
         .when(wide < 0, INT64 + NEGATIVE)
         .otherwise(INT64)
     )
+    return F.when(c.rlike(INTEGER), integer).otherwise(FLOAT)
+
+
+def cell_class(c: Column) -> Column:
+    """The kind bit of a raw CSV cell."""
     return (
         F.when(c.isNull() | c.isin(*CSV_NULL_TOKENS), MISSING)
-        .when(c.rlike(INTEGER), integer)
-        .when(c.rlike(NUMBER), FLOAT)
+        .when(c.rlike(NUMBER), number_class(c))
         .when(c.isin(*BOOLEANS), BOOL)
         .otherwise(TEXT)
     )
@@ -91,6 +95,14 @@ def without_commas(c: Column) -> Column:
     return trimmed(F.replace(c, F.lit(","), F.lit("")))
 
 
+def number_text(c: Column) -> Column:
+    """The text without separators if it can be a number, else NULL.
+
+    Most words fail at their first letter, before anything is rewritten.
+    """
+    return F.when(c.rlike(r"(?i)^[\s\d,.+\-einfty]+$"), without_commas(c))
+
+
 def looks_numeric(c: Column) -> Column:
     return trimmed(c).rlike(LOOSE_NUMBER)
 

@@ -48,6 +48,12 @@ def without_missing_tokens(c: Column) -> Column:
     return F.when(~trimmed(c).isin(*MISSING_TOKENS), c)
 
 
+def trimmed_value(c: Column) -> Column:
+    """Trimmed, and NULL for a missing token."""
+    t = trimmed(c)
+    return F.when(~t.isin(*MISSING_TOKENS), t)
+
+
 def collapsed(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U){_WS_CLASS}+", " ")
 

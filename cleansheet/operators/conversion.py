@@ -28,7 +28,7 @@ def parse_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .groupBy("position")
         .agg(
             F.count(value).alias("n_values"),
-            F.count_if(numbers.without_commas(value).rlike(numbers.NUMBER)).alias("n_numbers"),
+            F.count_if(numbers.number_text(value).rlike(numbers.NUMBER)).alias("n_numbers"),
             F.count(dates.parse_any(value)).alias("n_dates"),
         )
     )
@@ -61,11 +61,12 @@ def to_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     found = (
         text_cells(df, columns)
         .where(F.col("value").isNotNull())
-        .withColumn("plain", numbers.without_commas(F.col("value")))
+        .withColumn("plain", numbers.number_text(F.col("value")))
+        .withColumn("number", numbers.to_double(plain))
         .groupBy("position")
         .agg(
-            F.count(plain).alias("n"), F.count_if(plain.rlike(numbers.NUMBER)).alias("ok"),
-            F.bit_or(numbers.cell_class(plain)).alias("bits"),
+            F.count("value").alias("n"), F.count("number").alias("ok"),
+            F.coalesce(F.bit_or(F.when(F.col("number").isNotNull(), numbers.number_class(plain))), F.lit(0)).alias("bits"),
         )
     )
     targets = {

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cleansheet.session import path_exists
+
 RECENT_LIMIT = 10
 USER_LIMIT = 20
 COMMAND_LIMIT = 20
@@ -59,6 +61,13 @@ def history_rows(batch: DataFrame) -> DataFrame:
     return shaped.withColumn("id", derived)
 
 
+def create_history(spark: SparkSession, path: str) -> None:
+    """An empty table, if there is none yet. Day partitions stand in for indexes."""
+    if not path_exists(spark, path):
+        empty = spark.createDataFrame([], HISTORY_SCHEMA).withColumn(DAY, F.to_date("created_at"))
+        empty.write.partitionBy(DAY).parquet(path)
+
+
 def append_history(batch: DataFrame, path: str) -> None:
     """Append a batch; a NULL in a required column fails the write.
 

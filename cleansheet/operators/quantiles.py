@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cleansheet.operators.columns import quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
-SINGLE_PASS_CELLS = 10_000_000
+SINGLE_PASS_CELLS = 5_000_000
 CANDIDATE_ROWS = 2_000_000
 _SKETCH_SIZE = 2048
 _SKETCH_SLACK = 0.004

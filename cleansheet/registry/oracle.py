@@ -237,7 +237,7 @@ def _is_category(source: str, c: str) -> str:
 # The cleaning stages as CTEs: distinct rows, without empty rows, trimmed with
 # tokens removed, filled, and per text column the shares that decide its type.
 _FILLABLE = ["priority", "confirmed", "amount", "order_day", "const_col"]
-CLEAN = MESSY + f""",
+_STAGES = f""",
 d AS (SELECT DISTINCT * FROM mo),
 k AS (SELECT * FROM d WHERE NOT ({' AND '.join(f'{c} IS NULL' for c in MESSY_COLUMNS)})),
 t AS (SELECT order_id, qty, {', '.join(f'{_token_null(c)} AS {c}' for c in _FILLABLE)} FROM k),
@@ -276,12 +276,84 @@ filled AS (SELECT column_name, pos, count(*) AS n FROM (
              {_union([f"SELECT {MESSY_COLUMNS.index(c)} AS pos, '{c}' AS column_name FROM t WHERE {c} IS NULL"
                       for c in ['qty', *_FILLABLE]])}) GROUP BY column_name, pos),
 outliers AS ({_outliers('c', 'c', ['order_id', 'amount', 'qty'], 12)})"""
+CLEAN = MESSY + _STAGES
+
+# The same after a CSV round trip: cells that read as missing are NULL.
+CLEAN_CSV = MESSY.replace("mo AS (", "written AS (") + f""",
+mo AS (SELECT order_id, qty, {', '.join(f"CASE WHEN {c} NOT IN {_in(CSV_NULL_TOKENS)} THEN {c} END AS {c}" for c in TEXTS)}
+       FROM written)""" + _STAGES
 
 HEADING_NAMES = {
     old: new for old, new in zip(MESSY_HEADINGS, MESSY_COLUMNS) if old != new
 }
 
 
+_ACTIONS = f"""SELECT CAST(stage AS BIGINT) AS stage, message FROM (
+SELECT 1 AS stage, 'Standardized {len(HEADING_NAMES)} column name(s) to snake_case.' AS message
+UNION ALL SELECT 2, concat('Removed ', duplicates_removed::VARCHAR, ' duplicate row(s).') FROM counts
+UNION ALL SELECT 3, concat('Removed ', empty_rows_removed::VARCHAR, ' completely empty row(s).') FROM counts
+UNION ALL SELECT 4, concat('Removed ', (SELECT count(*) FROM gone WHERE pos = 1)::VARCHAR, ' empty column(s): ',
+  empty_columns, '.') FROM counts WHERE empty_columns IS NOT NULL
+UNION ALL SELECT 5, 'Trimmed leading/trailing whitespace from string columns.'
+UNION ALL SELECT 6, concat('Normalized missing-value tokens in ', tokens_normalized::VARCHAR, ' cell(s).')
+  FROM counts WHERE tokens_normalized > 0
+UNION ALL SELECT 7, concat('Filled missing values in column(s): ',
+  string_agg(concat(column_name, ' (', n::VARCHAR, ')'), ', ' ORDER BY pos), '.') FROM filled HAVING count(*) > 0
+UNION ALL SELECT 8, concat('Converted numeric-looking column(s) to numeric type: ', numbers_made, '.')
+  FROM counts WHERE numbers_made IS NOT NULL
+UNION ALL SELECT 9, concat('Converted datetime-looking column(s) to datetime type: ', dates_made, '.')
+  FROM counts WHERE dates_made IS NOT NULL
+UNION ALL SELECT 10, 'Standardized categorical text in column(s): confirmed.' WHERE {_is_category('f', 'confirmed')}
+UNION ALL SELECT 11, concat('Detected outliers in ', count(*)::VARCHAR, ' numeric column(s) (not removed).')
+  FROM outliers HAVING count(*) > 0
+UNION ALL SELECT 12, concat('Removed ', (SELECT count(*) FROM gone WHERE pos > 1)::VARCHAR, ' constant column(s): ',
+  constant_columns, '.') FROM counts WHERE constant_columns IS NOT NULL
+UNION ALL SELECT 13, 'Collapsed repeated internal whitespace in string columns.')"""
+
+
+def _report() -> str:
+    fixed = ["order_id", "qty", "empty_col"]
+    texts = [c for c in TEXTS if c != "empty_col"]
+    printed = ["order_id", "priority", "confirmed", "amount", "qty", "order_day"]
+
+    def quality(source: str, columns: list[str], texts: list[str]) -> dict[str, str]:
+        q = _quality("t", source, columns, texts)
+        return {
+            "Quality Score": f"(SELECT concat(quality_score::VARCHAR, '/10') FROM ({q}))",
+            "Duplicate Rows": f"(SELECT duplicate_rows::VARCHAR FROM ({q}))",
+            "Missing Values": f"(SELECT missing_values::VARCHAR FROM ({q}))",
+        }
+
+    def count(name: str) -> str:
+        return f"(SELECT {name}::VARCHAR FROM counts)"
+
+    megabytes = f"{_bytes('mo', texts, 8 * len(fixed))} / 1048576.0"
+    sections = {
+        "Dataset Information": {
+            "Filename": "'messy_orders.csv'", "Rows": "(SELECT count(*) FROM mo)::VARCHAR", "Columns": "'8'",
+            "Memory Usage": f"printf('%.2f MB', {megabytes})",
+        },
+        "Before Cleaning": quality("mo", MESSY_COLUMNS, texts),
+        "Cleaning Summary": {
+            "Rows Removed": "(SELECT (rows_before - rows_after)::VARCHAR FROM counts)",
+            "Duplicate Rows Removed": count("duplicates_removed"), "Empty Rows Removed": count("empty_rows_removed"),
+            "Columns Removed": count("columns_removed"),
+            "Columns Converted": "(SELECT concat_ws(', ', numbers_made, dates_made) FROM counts)",
+            "Renamed Columns": _literal(", ".join(f"{o} → {n}" for o, n in HEADING_NAMES.items())),
+            "Cleaning Actions": f"(SELECT string_agg(concat('• ', message), chr(10) ORDER BY stage) FROM ({_ACTIONS}))",
+        },
+        "After Cleaning": quality("printed", printed, ["priority", "confirmed", "order_day"]),
+        "Cleaned Dataset": {"Filename": "'messy_orders_cleaned.csv'"},
+    }
+    rows = [(n, f, v) for n, fields in sections.items() for f, v in fields.items()]
+    return f"""WITH {CLEAN_CSV},
+printed AS (SELECT order_id, priority, confirmed, amount, qty, strftime(order_day, '%Y-%m-%d') AS order_day FROM c)
+""" + _union([
+        f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS section, '{f}' AS field, {v} AS value"
+        for i, (n, f, v) in enumerate(rows)
+    ])
+
+
 def _after_profile() -> str:
     """The cleaned table as it is read back: dates are text again, empty text is missing."""
     columns = ["order_id", "priority", "confirmed", "amount", "qty", "order_day"]
@@ -543,29 +615,9 @@ SELECT rows_before, rows_after, rows_before - rows_after AS rows_removed, CAST(8
        duplicates_removed > 0 AS has_removed_duplicates, empty_rows_removed > 0 AS has_removed_empty_rows,
        n_gone > 0 AS has_removed_columns, numbers_made IS NOT NULL OR dates_made IS NOT NULL AS has_converted_columns
 FROM counts""",
-        "cleaning_actions": f"""WITH {CLEAN}
-SELECT CAST(stage AS BIGINT) AS stage, message FROM (
-SELECT 1 AS stage, 'Standardized {len(HEADING_NAMES)} column name(s) to snake_case.' AS message
-UNION ALL SELECT 2, concat('Removed ', duplicates_removed::VARCHAR, ' duplicate row(s).') FROM counts
-UNION ALL SELECT 3, concat('Removed ', empty_rows_removed::VARCHAR, ' completely empty row(s).') FROM counts
-UNION ALL SELECT 4, concat('Removed ', (SELECT count(*) FROM gone WHERE pos = 1)::VARCHAR, ' empty column(s): ',
-  empty_columns, '.') FROM counts WHERE empty_columns IS NOT NULL
-UNION ALL SELECT 5, 'Trimmed leading/trailing whitespace from string columns.'
-UNION ALL SELECT 6, concat('Normalized missing-value tokens in ', tokens_normalized::VARCHAR, ' cell(s).')
-  FROM counts WHERE tokens_normalized > 0
-UNION ALL SELECT 7, concat('Filled missing values in column(s): ',
-  string_agg(concat(column_name, ' (', n::VARCHAR, ')'), ', ' ORDER BY pos), '.') FROM filled HAVING count(*) > 0
-UNION ALL SELECT 8, concat('Converted numeric-looking column(s) to numeric type: ', numbers_made, '.')
-  FROM counts WHERE numbers_made IS NOT NULL
-UNION ALL SELECT 9, concat('Converted datetime-looking column(s) to datetime type: ', dates_made, '.')
-  FROM counts WHERE dates_made IS NOT NULL
-UNION ALL SELECT 10, 'Standardized categorical text in column(s): confirmed.' WHERE {_is_category('f', 'confirmed')}
-UNION ALL SELECT 11, concat('Detected outliers in ', count(*)::VARCHAR, ' numeric column(s) (not removed).')
-  FROM outliers HAVING count(*) > 0
-UNION ALL SELECT 12, concat('Removed ', (SELECT count(*) FROM gone WHERE pos > 1)::VARCHAR, ' constant column(s): ',
-  constant_columns, '.') FROM counts WHERE constant_columns IS NOT NULL
-UNION ALL SELECT 13, 'Collapsed repeated internal whitespace in string columns.')""",
+        "cleaning_actions": f"WITH {CLEAN} {_ACTIONS}",
         "before_after": _after_profile(),
+        "dataset_report": _report(),
         "landing_audit": """
 SELECT path, length, CASE WHEN NOT lower(path) LIKE '%.csv' THEN 'extension' WHEN length = 0 THEN 'empty'
        WHEN length > 16384 THEN 'too_large' WHEN broken THEN 'not_text' ELSE 'ok' END AS verdict

@@ -12,9 +12,9 @@ from cleansheet.functions import dates, numbers, text
 from cleansheet.operators import conversion, dedup, frequency, history, inference, messages, missing, naming, quality
 from cleansheet.operators import query_audit, statistics
 from cleansheet.operators.columns import quoted
-from cleansheet.plans import cleaning, profiling
+from cleansheet.plans import cleaning, dataset, profiling
 from cleansheet.registry import views
-from cleansheet.session import scratch_path
+from cleansheet.session import materialize, scratch_path
 from cleansheet.sources import csv_files, landing
 from cleansheet.streaming import uploads
 
@@ -131,7 +131,8 @@ def recommendations(spark, folder):
 
 @_query
 def profile_summary(spark, folder):
-    profile = profiling.profile_dataset(views.messy_orders(spark, folder), "messy_orders", F.col("order_id"))
+    mo = materialize(views.messy_orders(spark, folder), "view")
+    profile = profiling.profile_dataset(mo, "messy_orders", F.col("order_id"))
     return profiling.summary_rows(spark, profile)
 
 
@@ -285,13 +286,21 @@ def cleaning_actions(spark, folder):
 
 @_query
 def before_after(spark, folder):
-    before = profiling.profile_dataset(views.messy_with_headings(spark, folder), "before", quoted("Order ID"))
-    cleaned = _cleaned(spark, folder)
-    printed = missing.null_csv_tokens(conversion.as_export_text(cleaned.data))
+    mo = materialize(views.messy_with_headings(spark, folder), "view")
+    before = profiling.profile_dataset(mo, "before", quoted("Order ID"))
+    cleaned = cleaning.clean_dataset(mo, "Order ID")
+    printed = materialize(missing.null_csv_tokens(conversion.as_export_text(cleaned.data)), "cleaned")
     after = profiling.profile_dataset(printed, "after", F.col("order_id"))
     return profiling.compare(profiling.metric_rows(spark, before), profiling.metric_rows(spark, after))
 
 
+@_query
+def dataset_report(spark, folder):
+    source = scratch_path(spark, "csv") + "/messy_orders.csv"
+    csv_files.write_csv(views.messy_with_headings(spark, folder), source)
+    return dataset.report_rows(spark, dataset.run_dataset(spark, source, scratch_path(spark, "cleaned")))
+
+
 # --- files -------------------------------------------------------------------
 
 

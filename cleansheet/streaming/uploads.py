@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from cleansheet.operators.history import append_history
-from cleansheet.plans.cleaning import clean_dataset
-from cleansheet.plans.profiling import profile_dataset
-from cleansheet.sources.csv_files import CsvError, read_for_cleaning, stored, write_csv
+from cleansheet.plans.dataset import run_dataset
+from cleansheet.sources.csv_files import CsvError
 from cleansheet.sources.landing import MAX_BYTES, split_audit
 
 _BATCH_COLUMNS = (
@@ -21,16 +20,12 @@ _BATCH_COLUMNS = (
 _PARALLEL_UPLOADS = 4
 
 
-def process_upload(spark: SparkSession, path: str, output: str) -> str:
+def process_upload(spark: SparkSession, path: str, output_dir: str) -> str:
     """One dataset: profile, clean, write, profile again. Returns a summary."""
-    table = stored(read_for_cleaning(spark, path))
-    before = profile_dataset(table.rows, path, kinds=table.kinds)
-    cleaned = clean_dataset(table.rows, kinds=table.kinds)
-    write_csv(cleaned.rows, output, table.encoding)
-    after = profile_dataset(cleaned.rows, output)
+    run = run_dataset(spark, path, output_dir)
     return (
-        f"rows {before.rows} -> {after.rows}, quality {before.quality_score} -> {after.quality_score}, "
-        f"changes {cleaned.report.total_changes}"
+        f"rows {run.before.rows} -> {run.after.rows}, "
+        f"quality {run.before.quality_score} -> {run.after.quality_score}, changes {run.cleaning.total_changes}"
     )
 
 

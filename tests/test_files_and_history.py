@@ -130,3 +130,10 @@ def test_upload_stream_runs_each_file_once(spark, tmp_path):
     (inbox / "b.csv").write_text("n,t\n1,x\n2,y\n")
     uploads.run_available(spark, str(inbox), *places)
     assert history.read_history(spark, places[0]).count() == 4
+
+
+def test_history_is_created_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    history.create_history(spark, path)
+    history.create_history(spark, path)
+    assert history.read_history(spark, path).count() == 0
