@@ -54,6 +54,11 @@ def text_cells(df: DataFrame, columns: list[str], value: str = "value") -> DataF
     return df.select(F.posexplode(F.array(*[quoted(c).cast("string") for c in columns])).alias("position", value))
 
 
+def number_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(position, value): the same for numeric columns, as doubles."""
+    return df.select(F.posexplode(F.array(*[quoted(c).cast("double") for c in columns])).alias("position", "value"))
+
+
 def named_positions(columns: list[str]) -> Column:
     """The column name for a position."""
     return F.get(F.array(*[F.lit(c) for c in columns]), F.col("position"))

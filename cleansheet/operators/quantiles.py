@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleansheet.operators.columns import quoted
+from cleansheet.operators.columns import number_cells, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 SINGLE_PASS_CELLS = 5_000_000
@@ -46,6 +46,11 @@ class _Wanted:
         return (c >= self.low) & (c <= self.high)
 
 
+def percentiles(probabilities: tuple[float, ...] = QUARTILES) -> Column:
+    """Quantiles of `value` as an array; grouped by position, columns are finished in parallel."""
+    return F.percentile("value", F.array(*[F.lit(p) for p in probabilities]))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
@@ -57,16 +62,14 @@ def exact_quantiles(
     """Quantiles by linear interpolation, per column; None for a column without values."""
     if not columns:
         return {}
-    df = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
     if rows is None:
         rows = df.count()
     if rows * len(columns) <= single_pass_cells:
-        found = df.agg(*[
-            F.percentile(quoted(c), F.array(*[F.lit(p) for p in probabilities])).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]).first()
-        return {c: list(found[i]) if found[i] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
+        found = number_cells(df, columns).groupBy("position").agg(percentiles(probabilities).alias("q")).collect()
+        by_column = {columns[r["position"]]: r["q"] for r in found}
+        return {c: list(by_column.get(c) or [None] * len(probabilities)) for c in columns}
 
+    df = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
     result: dict[str, list[float | None]] = {}
     for start in range(0, len(columns), _COLUMNS_PER_PASS):
         part = columns[start : start + _COLUMNS_PER_PASS]

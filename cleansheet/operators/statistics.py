@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleansheet.functions.numbers import megabytes
-from cleansheet.operators.columns import no_rows, numeric_columns, quoted, rows_from
-from cleansheet.operators.quantiles import QUARTILES, SINGLE_PASS_CELLS, exact_quantiles
+from cleansheet.operators.columns import named_positions, no_rows, number_cells, numeric_columns, quoted, rows_from
+from cleansheet.operators.quantiles import QUARTILES, SINGLE_PASS_CELLS, exact_quantiles, percentiles
 
 IQR_FACTOR = 1.5
 
@@ -54,8 +54,10 @@ def byte_footprint(df: DataFrame) -> DataFrame:
     return one_row.select("memory_bytes", megabytes(F.col("memory_bytes")).alias("memory_mb"))
 
 
-STATISTICS = ["column_name", "n_values", "mean", "std", "min", "p25", "p50", "p75", "max"]
-_STATISTICS_SCHEMA = "column_name string, n_values bigint, " + ", ".join(f"`{s}` double" for s in STATISTICS[2:])
+_STATISTICS_SCHEMA = (
+    "column_name string, n_values bigint, mean double, std double, min double, p25 double, p50 double, p75 double, "
+    "max double"
+)
 
 
 def describe_numeric(df: DataFrame, rows: int | None = None, single_pass_cells: int = SINGLE_PASS_CELLS) -> DataFrame:
@@ -66,24 +68,19 @@ def describe_numeric(df: DataFrame, rows: int | None = None, single_pass_cells:
     if rows is None:
         rows = df.count()
     small = rows * len(columns) <= single_pass_cells
-    found = {} if small else exact_quantiles(df, columns, QUARTILES, rows, single_pass_cells)
-    aggregates, records = [], []
-    for i, c in enumerate(columns):
-        v = quoted(c).cast("double")
-        aggregates += [
-            F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
-            F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-        ]
-        if small:
-            aggregates.append(F.percentile(v, F.array(*[F.lit(p) for p in QUARTILES])).alias(f"q{i}"))
-            quartiles = [F.get(F.col(f"q{i}"), F.lit(k)) for k in range(3)]
-        else:
-            quartiles = [F.lit(q).cast("double") for q in found[c]]
-        records.append([
-            F.lit(c), F.col(f"n{i}"), F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"min{i}"),
-            *quartiles, F.col(f"max{i}"),
-        ])
-    return rows_from(df.agg(*aggregates), records, STATISTICS)
+    v, place = F.col("value"), F.col("position")
+    described = number_cells(df, columns).groupBy("position").agg(
+        F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"), *([percentiles().alias("quartiles")] if small else []),
+    )
+    if not small:
+        found = exact_quantiles(df, columns, QUARTILES, rows, single_pass_cells)
+        values = F.array(*[F.array(*[F.lit(q).cast("double") for q in found[c]]) for c in columns])
+        described = described.withColumn("quartiles", F.get(values, place))
+    quartiles = [F.get("quartiles", F.lit(k)).alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
+    return described.select(
+        named_positions(columns).alias("column_name"), "n_values", "mean", "std", "min", *quartiles, "max"
+    )
 
 
 _OUTLIER_SCHEMA = "column_name string, n_outliers bigint, lower_bound double, upper_bound double"

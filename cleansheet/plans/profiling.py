@@ -13,7 +13,7 @@ from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.frequency import rank_values, value_frequencies
 from cleansheet.operators.quality import count_recommendations, score, text_recommendations
 from cleansheet.operators.statistics import byte_sum, describe_numeric
-from cleansheet.session import materialize
+from cleansheet.session import materialize, together
 
 
 @dataclass
@@ -99,29 +99,20 @@ def profile_dataset(
     ).first()
     rows = basics["rows"]
     missing = {c: basics[f"m{i}"] for i, c in enumerate(data.columns) if basics[f"m{i}"]}
-    duplicates = duplicate_count(data).first()["duplicate_rows"]
 
-    numeric = {}
-    if numeric_columns(data):
-        for r in describe_numeric(data, rows=rows).collect():
-            entry = r.asDict()
-            numeric[entry.pop("column_name")] = entry
+    def numbers() -> dict[str, dict]:
+        described = describe_numeric(data, rows=rows).collect() if numeric_columns(data) else []
+        by_column = {r["column_name"]: r.asDict() for r in described}
+        return {c: _without_name(by_column[c]) for c in numeric_columns(data) if c in by_column}
 
-    texts = {c: {"unique": 0, "top": []} for c in text_columns(data)}
-    inconsistent, lines = [], count_recommendations(duplicates, missing)
-    if texts:
-        frequencies = materialize(value_frequencies(data), "values")
-        for r in frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect():
-            texts[r["column_name"]]["unique"] = r["n"]
-        numeric_like: dict[str, list[bool]] = {c: [] for c in texts}
-        ranked = rank_values(frequencies).withColumn("numeric", looks_numeric(F.col("value")))
-        for r in sorted(ranked.collect(), key=lambda r: r["value_rank"]):
-            texts[r["column_name"]]["top"].append((r["value"], r["n"]))
-            numeric_like[r["column_name"]].append(r["numeric"])
-        inconsistent = [c for c, marks in numeric_like.items() if any(marks) and not all(marks)]
-        checked = text_recommendations(df, order).collect()
-        lines += [r["message"] for r in sorted(checked, key=lambda r: r["message_order"])]
+    def advice() -> list[str]:
+        checked = text_recommendations(df, order).collect() if text_columns(data) else []
+        return [r["message"] for r in sorted(checked, key=lambda r: r["message_order"])]
 
+    duplicates, numeric, (texts, inconsistent), text_advice = together(
+        lambda: duplicate_count(data).first()["duplicate_rows"], numbers, lambda: _texts(data), advice
+    )
+    lines = count_recommendations(duplicates, missing) + text_advice
     points = score(*[F.lit(v) for v in (rows, len(data.columns), sum(missing.values()), duplicates, len(inconsistent))])
     return Profile(
         name=name, rows=rows, column_types=kinds or dict(data.dtypes), missing=missing, duplicate_rows=duplicates,
@@ -131,6 +122,26 @@ def profile_dataset(
     )
 
 
+def _without_name(entry: dict) -> dict:
+    return {k: v for k, v in entry.items() if k != "column_name"}
+
+
+def _texts(data: DataFrame) -> tuple[dict[str, dict], list[str]]:
+    """Distinct counts and top values per text column, and the columns that mix numbers with words."""
+    texts = {c: {"unique": 0, "top": []} for c in text_columns(data)}
+    if not texts:
+        return texts, []
+    frequencies = materialize(value_frequencies(data), "values")
+    for r in frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect():
+        texts[r["column_name"]]["unique"] = r["n"]
+    numeric_like: dict[str, list[bool]] = {c: [] for c in texts}
+    ranked = rank_values(frequencies).withColumn("numeric", looks_numeric(F.col("value")))
+    for r in sorted(ranked.collect(), key=lambda r: r["value_rank"]):
+        texts[r["column_name"]]["top"].append((r["value"], r["n"]))
+        numeric_like[r["column_name"]].append(r["numeric"])
+    return texts, [c for c, marks in numeric_like.items() if any(marks) and not all(marks)]
+
+
 def summary_rows(spark: SparkSession, profile: Profile) -> DataFrame:
     return spark.createDataFrame(profile.summary(), "field string, value string")
 

@@ -62,7 +62,7 @@ def _profiled_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def _text_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         "messy_orders": views.messy_orders(spark, folder),
-        "documents": views.table(spark, folder, "documents"),
+        "documents": views.shared_table(spark, folder, "documents"),
         "customer": views.table(spark, folder, "customer"),
     }
 
@@ -72,7 +72,7 @@ def _text_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 @_query
 def describe_numeric(spark, folder):
-    return _rounded(statistics.describe_numeric(views.table(spark, folder, "lineitem")))
+    return _rounded(statistics.describe_numeric(views.shared_table(spark, folder, "lineitem")))
 
 
 @_query
@@ -88,7 +88,7 @@ def missing_by_column(spark, folder):
 @_query
 def duplicate_count(spark, folder):
     tables = _profiled_tables(spark, folder)
-    tables["documents"] = views.table(spark, folder, "documents").select("text", "lang", "source")
+    tables["documents"] = views.shared_table(spark, folder, "documents", "text", "lang", "source")
     return _over(tables, dedup.duplicate_count)
 
 
@@ -138,7 +138,7 @@ def profile_summary(spark, folder):
 
 @_query
 def iqr_outliers(spark, folder):
-    tables = {n: views.table(spark, folder, n) for n in ("events", "documents", "lineitem")}
+    tables = {n: views.shared_table(spark, folder, n) for n in ("events", "documents", "lineitem")}
     return _rounded(_over(tables, statistics.iqr_outliers))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleansheet.session import spread_small
+
 MESSY_HEADINGS = [
     "Order ID", " Priority (!)", "Confirmed?", "Amount $", "QTY", "Order  Day", "Empty_Col", "const__col",
 ]
@@ -47,13 +49,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table, on all cores even when it is one small file."""
+    df = table(spark, folder, name)
+    return spread_small(df.select(*columns) if columns else df)
+
+
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with dirt of every kind, in one scan.
 
     Whitespace, missing tokens, mixed case, thousands separators, unparsable
     cells, exact copies, empty rows, an empty and a constant column.
     """
-    o = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    o = shared_table(spark, folder, "orders", "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     key = F.col("o_orderkey")
 
     def every(n: int, at: int = 0) -> Column:
@@ -166,7 +174,7 @@ def landed_files(spark: SparkSession, folder: str) -> DataFrame:
 def query_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events as a log of SQL texts."""
     text = F.get(F.array(*[F.lit(q) for q in QUERY_TEXTS]), (F.col("event_id") % len(QUERY_TEXTS)).cast("int"))
-    return table(spark, folder, "events").select(
+    return shared_table(spark, folder, "events", "event_id", "user_id").select(
         F.col("event_id").alias("id"), "user_id",
         F.replace(text, F.lit("{u}"), F.col("user_id").cast("string")).alias("input_text"),
     )

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,6 +61,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Run independent Spark jobs at the same time; their results in order.
+
+    The tail of one job then leaves no cores idle, and planning overlaps.
+    """
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(inherit(job)) for job in jobs]]
+
+
+SMALL_TABLE_BYTES = 256 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Share out a small table over all cores before work that is heavy per row.
+
+    A small file is read by one task whatever the cluster. Larger tables come
+    in many splits and are left alone.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_TABLE_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
