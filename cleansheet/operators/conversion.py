@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers
-from cleansheet.functions.text import CATEGORY_SETS, canonical_category, collapsed, in_category_set, trimmed
+from cleansheet.functions.text import CATEGORY_SETS, canonical_category, collapsed, in_category_set
 from cleansheet.operators.columns import named_positions, no_rows, quoted, text_cells, text_columns
 from cleansheet.operators.missing import apply_to_text
 
@@ -149,9 +149,3 @@ def as_export_text(df: DataFrame) -> DataFrame:
     return df.select(*[
         dates.as_day_text(quoted(c)).alias(c) if c in stamps else quoted(c) for c in df.columns
     ])
-
-
-__all__ = [
-    "SUCCESS_SHARE", "as_export_text", "canonical_categories", "category_columns", "collapse_whitespace",
-    "first_values", "number_type", "parse_number", "parse_ratios", "to_datetime", "to_numeric", "trimmed",
-]

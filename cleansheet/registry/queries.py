@@ -337,8 +337,8 @@ def clean_export(spark, folder):
 def upload_stream(spark, folder):
     inbox = scratch_path(spark, "inbox")
     mo = views.messy_orders(spark, folder).where("order_id is not null")
-    mo.withColumn("batch", F.year(F.col("order_day").try_cast("date"))).write.partitionBy("batch").option(
-        "header", True).option("maxRecordsPerFile", 200_000).csv(inbox)
+    by_year = mo.withColumn("batch", F.year(F.col("order_day").try_cast("date"))).hint("rebalance", "batch")
+    by_year.write.partitionBy("batch").option("header", True).option("maxRecordsPerFile", 200_000).csv(inbox)
     log = scratch_path(spark, "history")
     uploads.run_available(spark, inbox, log, scratch_path(spark, "offsets"), scratch_path(spark, "cleaned"))
 
