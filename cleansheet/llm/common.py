@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -40,6 +42,28 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, through Spark's own file distribution, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(package):  # already inside a shipped archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="cleansheet-code-"), "cleansheet.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of an undirected graph given as two long columns.
 
@@ -185,6 +209,68 @@ def _fold(part: np.ndarray) -> np.uint64:
     return mix(np.array([np.sum(salted * _FACTORS[: len(salted)], dtype=np.uint64)], np.uint64))[0]
 
 
-def crc32_of(value: int | None) -> int:
-    """crc32 of a number as text, the way the splits of the corpus are drawn."""
-    return zlib.crc32(b"" if value is None else str(value).encode())
+
+# --- sorted partitions as whole groups ------------------------------------------------------------------------------
+
+def whole_groups(batches: Iterable, keys: Sequence[str], rows: int = 4096) -> Iterator[tuple]:
+    """Arrow tables that hold complete groups only, with the first row of each group (and the count as last entry).
+
+    The partition has to be sorted by the keys. No more than `rows`, the last
+    group and one batch are held.
+    """
+    import pyarrow as pa
+
+    held: list = []
+
+    def starts(table) -> np.ndarray:
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            values = table[k].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.append(np.flatnonzero(change), table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        begin = starts(table)
+        last = int(begin[-2])
+        if last:
+            yield table.slice(0, last), begin[:-1]
+        held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts(table)
+
+
+def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of the pairs (i, j); labels hold the least index of each set."""
+    while True:
+        a, b = labels[i], labels[j]
+        open_ = a != b
+        if not open_.any():
+            return
+        np.minimum.at(labels, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while True:
+            flat = labels[labels]
+            if np.array_equal(flat, labels):
+                break
+            labels[:] = flat
+
+
+def block_pairs(rows: DataFrame, node: str, blocks: str) -> DataFrame:
+    """Deal each group to random blocks and each row to all pairs of blocks that its own is in.
+
+    Adds `own`, `low` and `high`. A row is repeated once per block, so the
+    rows of a large group grow with its size times its blocks while each
+    (group, low, high) stays bounded; only the pairs of one such part meet in
+    a task.
+    """
+    own = F.pmod(F.xxhash64(node), F.col(blocks))
+    return rows.withColumn("own", own).withColumn("peer", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col(blocks) - 1))).withColumns({
+            "low": F.least("own", "peer"), "high": F.greatest("own", "peer")}).drop("peer", blocks)

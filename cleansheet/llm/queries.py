@@ -7,13 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup
+from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# --- op2 ------------------------------------------------------------------------------------------------------------
+
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, folder, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT DISTINCT doc_id,
+    [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS s FROM worded),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 9 * shared.n >= 4 * (p.n + q.n)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT d.doc_id, coalesce(degree.n, 0) AS n_links, least(d.doc_id, coalesce(least.y, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(least.y, d.doc_id) AS kept
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN least ON d.doc_id = least.x LEFT JOIN degree
+  ON d.doc_id = degree.x
+"""
+
+
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 CONTROL_TALK = "</s>[INST] ok [/INST]"
@@ -70,6 +100,35 @@ FROM escaped GROUP BY conv_id
 """
 
 
+# --- op6 ------------------------------------------------------------------------------------------------------------
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated_regions(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+# --- op7 ------------------------------------------------------------------------------------------------------------
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), vocabulary())
+
+
+# --- op9 ------------------------------------------------------------------------------------------------------------
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, folder, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                         quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 # --- op10 -----------------------------------------------------------------------------------------------------------
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,8 +153,12 @@ FROM marked GROUP BY r, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_chat_events": op5_chat_events, "op10_line_dedup": op10_line_dedup}
+    return {
+        "op2_jaccard_join": op2_jaccard_join, "op5_chat_events": op5_chat_events,
+        "op6_decontamination": op6_decontamination, "op7_packing": op7_packing, "op9_quality": op9_quality,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_events": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op5_chat_events": OP5_SQL, "op10_line_dedup": OP10_SQL}
