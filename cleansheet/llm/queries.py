@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, packing, quality
+from . import chat, decontaminate, jaccard_join, licences, line_dedup, near_vectors, packing, ppm, quality, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# --- op1 ------------------------------------------------------------------------------------------------------------
+
+def op1_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_count(embedding) = len(embedding)
+    AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(degree.n, 0) AS n_links, least(e.vec_id, coalesce(least.y, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(least.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least ON e.vec_id = least.x LEFT JOIN degree ON e.vec_id = degree.x
+"""
+
+
 # --- op2 ------------------------------------------------------------------------------------------------------------
 
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +70,36 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN least ON d.doc_id = lea
 """
 
 
+# --- op3 ------------------------------------------------------------------------------------------------------------
+
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"), min_payload=0).drop("url")
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) || '0' AS hex FROM p),
+named AS (
+  SELECT page_id, payload_bytes, hex, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((((strpos('0123456789abcdef', substr(hex, (5 * k) // 4 + 1, 1)) - 1) * 16
+        + strpos('0123456789abcdef', substr(hex, (5 * k) // 4 + 2, 1)) - 1) >> (3 - (5 * k) % 4)) & 31) + 1, 1)
+    FOR k IN range(32)], '') AS payload_digest FROM d),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+# --- op4 ------------------------------------------------------------------------------------------------------------
+
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return licences.find_notices(docs, licences.train(docs))
+
+
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 CONTROL_TALK = "</s>[INST] ok [/INST]"
@@ -109,14 +165,14 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- op7 ------------------------------------------------------------------------------------------------------------
 
-def vocabulary() -> str:
-    import public_tokenizers
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), corpus_pipeline.vocabulary())
 
-    return public_tokenizers.path("byte_bpe_50k.json")
 
+# --- op8 ------------------------------------------------------------------------------------------------------------
 
-def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), vocabulary())
+def op8_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_documents(_table(spark, folder, "documents"))
 
 
 # --- op9 ------------------------------------------------------------------------------------------------------------
@@ -154,11 +210,15 @@ FROM marked GROUP BY r, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_jaccard_join": op2_jaccard_join, "op5_chat_events": op5_chat_events,
-        "op6_decontamination": op6_decontamination, "op7_packing": op7_packing, "op9_quality": op9_quality,
-        "op10_line_dedup": op10_line_dedup,
+        "op1_near_vectors": op1_near_vectors, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc,
+        "op4_licences": op4_licences, "op5_chat_events": op5_chat_events, "op6_decontamination": op6_decontamination,
+        "op7_packing": op7_packing, "op8_ppm": op8_ppm, "op9_quality": op9_quality, "op10_line_dedup": op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op5_chat_events": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {
+        "op1_near_vectors": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_events": OP5_SQL,
+        "op10_line_dedup": OP10_SQL,
+    }
