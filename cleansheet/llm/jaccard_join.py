@@ -18,7 +18,8 @@ return spanning trees and numbers of links.
 
 Words are runs of characters other than ASCII white space. A text with fewer
 words than an n-gram has one n-gram made of all of them; a null text or one
-without words links with nothing. Rows with equal ids are one document. Rows
+without words links with nothing. Rows with equal ids are one document; if their texts
+differ, it has the sum of their links. Rows
 with a null id link with nothing and come back with a null component, kept.
 """
 
@@ -94,7 +95,7 @@ def _sign(size: int):
                 full = np.flatnonzero(count > 0)
                 begin = np.searchsorted(owner, full)
                 sig = min_hashes(values, begin) if len(full) else np.zeros((0, HASHES), np.uint32)
-                wide = sig.astype(np.uint64).reshape(len(full), -1, BAND_ROWS)
+                wide = sig.astype(np.uint64).reshape(len(full), HASHES // BAND_ROWS, BAND_ROWS)
                 bands = mix((wide * _BAND_FACTORS).sum(2, dtype=np.uint64)
                             + mix(np.arange(wide.shape[1], dtype=np.uint64) + np.uint64(1)))
                 rank = np.full(len(raw), -1)
@@ -258,7 +259,7 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         F.col("k1"), F.col("k2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
     result = members.join(per_class, ["k1", "k2"], "left").groupBy(F.col("doc").alias("doc_id")).agg(
-        F.coalesce(F.max("n_links"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("n_links"),
         F.min("component_id").alias("component_id")).withColumn(
         "component_id", F.coalesce("component_id", "doc_id"))
     nameless = rows.where(F.col("doc").isNull()).select(

@@ -15,7 +15,7 @@ the trees are the near-duplicate groups.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; vectors of different lengths do not link. Rows that repeat are
-one vector; an id with several vectors has the links of all. Rows with a null
+one vector; an id with several vectors has the sum of their links. Rows with a null
 id link with nothing and come back with a null component, kept. Other columns
 are ignored.
 """
@@ -119,7 +119,8 @@ class Graph:
         added[np.repeat(np.arange(len(hit)), many), place] = source
         for part in range(0, len(hit), 1024):
             rows = slice(part, part + 1024)
-            all_ids = np.concatenate((edges[at(hit[rows])].astype(np.int64), added[rows]), 1)
+            all_ids = np.sort(np.concatenate((edges[at(hit[rows])].astype(np.int64), added[rows]), 1), axis=1)
+            all_ids[:, 1:][all_ids[:, 1:] == all_ids[:, :-1]] = -1
             sims = np.einsum("rwd,rd->rw", self.vectors[all_ids], self.vectors[hit[rows]])
             sims[all_ids < 0] = -np.inf
             order = np.argsort(-sims, axis=1, kind="stable")
@@ -360,7 +361,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"))
     result = members.join(per_class, ["k1", "k2"], "left").groupBy(F.col("vec").alias("vec_id")).agg(
-        F.coalesce(F.max("n_links"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("n_links"),
         F.min("component_id").alias("component_id")).withColumn(
         "component_id", F.coalesce("component_id", "vec_id"))
     nameless = rows.where("vec is null").select(
