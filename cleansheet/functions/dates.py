@@ -3,6 +3,10 @@
 Texts of an accepted shape are rearranged to ISO order and cast. The cast
 checks the calendar without raising and catching an error per value, and one
 cast serves every format, which keeps the generated code small.
+
+A format is a day format with or without a time: minutes, seconds or fractions
+of them, a half of the day, a zone. Days, months and hours may have one digit;
+months are short or full English names.
 """
 
 from __future__ import annotations
@@ -14,104 +18,146 @@ from pyspark.sql import functions as F
 
 # Accepted day formats, month before day where both fit.
 DAY_FORMATS = (
-    "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy", "MM/dd/yyyy",
-    "dd-MM-yyyy", "dd/MM/yyyy", "MMM d yyyy", "d MMM yyyy",
+    "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd/MM/yyyy",
+    "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
 )
-TIME_SUFFIXES = ("", " HH:mm:ss", "'T'HH:mm:ss")
+TIME_SUFFIXES = ("", *(
+    sep + clock + half + zone
+    for sep in (" ", "'T'") for clock in ("HH:mm", "HH:mm:ss", "HH:mm:ss.S") for half in ("", " a") for zone in ("", "X")
+))
 DATE_FORMATS = tuple(day + time for day in DAY_FORMATS for time in TIME_SUFFIXES)
 
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+           "december")
+_SHORT = "|".join(m[:3] for m in _MONTHS)
+_FULL = "|".join(_MONTHS)
 _SHAPES = {
-    "yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}",
-    "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T",
+    "yyyy": r"\d{4}", "MMMM": f"(?i:{_FULL})", "MMM": f"(?i:{_SHORT})", "MM": r"\d{1,2}", "dd": r"\d{1,2}",
+    "d": r"\d{1,2}", "HH": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", ".S": r"\.\d{1,9}", "'T'": "T",
+    " a": " ?(?i:am|pm)", "X": r" ?(?:Z|[+-]\d{2}:?\d{2})",
 }
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-_ANY_TIME = r"([ T]\d{2}:\d{2}:\d{2})?$"
-_YEAR_FIRST = r"^\d{4}([-/])\d{2}\1\d{2}" + _ANY_TIME
-_YEAR_LAST = r"^\d{2}([-/])\d{2}\1\d{4}" + _ANY_TIME
-_NAMED_MONTH = r"^([A-Za-z]{3} \d{1,2}|\d{1,2} [A-Za-z]{3}) \d{4}" + _ANY_TIME
+_TIME = r"[ T](\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: ?((?i:am|pm)))?(?: ?(Z|[+-]\d{2}:?\d{2}))?$"
+_ANY_TIME = "(?:" + _TIME[:-1] + ")?$"
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + "(?![0-9])"
+_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})" + "(?![0-9])"
+_NAME_FIRST = rf"^((?i:{_FULL}|{_SHORT})) (\d{{1,2}}),? (\d{{4}})(?![0-9])"
+_DAY_FIRST = rf"^(\d{{1,2}}) ((?i:{_FULL}|{_SHORT})) (\d{{4}})(?![0-9])"
 
 # One pattern that every text in an accepted format fits.
 DATE_LIKE = (
-    r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4}"
-    r"|[A-Za-z]{3} \d{1,2} \d{4}|\d{1,2} [A-Za-z]{3} \d{4})" + _ANY_TIME
+    r"^(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}"
+    r"|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})" + _ANY_TIME
 )
 
 
 def _shape(fmt: str) -> str:
-    return "^" + re.sub(r"yyyy|MMM|MM|dd|d|HH|mm|ss|'T'", lambda m: _SHAPES[m.group()], fmt) + "$"
+    return "^" + re.sub(r"yyyy|MMMM|MMM|MM|dd|d|HH|mm|ss|\.S|'T'| a|X", lambda m: _SHAPES[m.group()], fmt) + "$"
 
 
 def is_date_like(c: Column) -> Column:
     """Fits the shape of some format. The length, known at once, rules most texts out."""
-    return F.octet_length(c).between(10, 20) & c.rlike(DATE_LIKE)
+    return F.octet_length(c).between(8, 52) & c.rlike(DATE_LIKE)
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c, 2, "0")
+
+
+def _time(c: Column) -> Column:
+    """The time of day and zone in ISO form, or nothing; NULL for an hour that its half of the day does not have."""
+    def group(i: int) -> Column:
+        return F.regexp_extract(c, _TIME, i)
+
+    hour, half = group(1).try_cast("int"), F.lower(group(5))
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    seconds = F.when(group(3) == "", "00").otherwise(group(3))
+    clock = F.concat(F.lit(" "), _two(hour.cast("string")), F.lit(":"), group(2), F.lit(":"), seconds, group(4), group(6))
+    return F.when(c.rlike(_TIME), clock).otherwise("")
+
+
+def _iso(c: Column, year: Column, month: Column, day: Column) -> Column:
+    return F.concat(year, F.lit("-"), _two(month), F.lit("-"), _two(day), _time(c))
 
 
-def _from(c: Column, start: int) -> Column:
-    return F.substring(c, start, 1_000)
+def _month(name: Column) -> Column:
+    place = F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), F.lower(F.left(name, F.lit(3))))
+    return place.cast("string")
+
+
+def _parts(c: Column, pattern: str, *groups: int) -> list[Column]:
+    return [F.regexp_extract(c, pattern, g) for g in groups]
 
 
 def _year_first(c: Column) -> Column:
-    return F.replace(c, F.lit("/"), F.lit("-"))
+    return _iso(c, *_parts(c, _YEAR_FIRST, 1, 3, 4))
 
 
-def _year_last(c: Column, month: Column, day: Column) -> Column:
-    return F.concat(F.substring(c, 7, 4), F.lit("-"), month, F.lit("-"), day, _from(c, 11))
+def _name_first(c: Column) -> Column:
+    name, day, year = _parts(c, _NAME_FIRST, 1, 2, 3)
+    return _iso(c, year, _month(name), day)
 
 
-def _named_month(c: Column) -> Column:
-    place = F.position(F.lower(F.regexp_extract(c, "([A-Za-z]{3})", 1)), F.lit(_MONTHS))
-    month = F.when(place % 3 == 1, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
-    day = F.lpad(F.regexp_extract(c, r"(?:^| )(\d{1,2}) ", 1), 2, "0")
-    return F.concat(
-        F.regexp_extract(c, r" (\d{4})", 1), F.lit("-"), month, F.lit("-"), day,
-        F.regexp_extract(c, r"([ T]\d{2}:\d{2}:\d{2})$", 1),
-    )
+def _day_first(c: Column) -> Column:
+    day, name, year = _parts(c, _DAY_FIRST, 1, 2, 3)
+    return _iso(c, year, _month(name), day)
 
 
 def parse_with(c: Column, fmt: str) -> Column:
     """Strictly in one format."""
-    first, second = F.substring(c, 1, 2), F.substring(c, 4, 2)
+    first, second, year = _parts(c, _YEAR_LAST, 1, 3, 4)
     if fmt.startswith("yyyy"):
         iso = _year_first(c)
-    elif "MMM" in fmt:
-        iso = _named_month(c)
+    elif fmt.startswith("MMM"):
+        iso = _name_first(c)
+    elif fmt.startswith("d M"):
+        iso = _day_first(c)
     elif fmt.startswith("MM"):
-        iso = _year_last(c, first, second)
+        iso = _iso(c, year, first, second)
     else:
-        iso = _year_last(c, second, first)
+        iso = _iso(c, year, second, first)
     return F.when(c.rlike(_shape(fmt)), iso).try_cast("timestamp")
 
 
+def _month_leads(c: Column) -> Column:
+    return F.regexp_extract(c, r"^(\d{1,2})", 1).try_cast("int") <= 12
+
+
 def parse_any(c: Column) -> Column:
     """Each value in the first format that takes it.
 
     With the year last the month comes first, unless it cannot be one.
     """
-    first, second = F.substring(c, 1, 2), F.substring(c, 4, 2)
-    month_first = first <= "12"
+    first, second, year = _parts(c, _YEAR_LAST, 1, 3, 4)
+    leads = _month_leads(c)
+    year_last = _iso(c, year, F.when(leads, first).otherwise(second), F.when(leads, second).otherwise(first))
     iso = (
-        F.when(c.rlike(_YEAR_FIRST), _year_first(c))
-        .when(
-            c.rlike(_YEAR_LAST),
-            _year_last(c, F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)),
-        )
-        .when(c.rlike(_NAMED_MONTH), _named_month(c))
+        F.when(c.rlike(_YEAR_FIRST), _year_first(c)).when(c.rlike(_YEAR_LAST), year_last)
+        .when(c.rlike(_NAME_FIRST), _name_first(c)).when(c.rlike(_DAY_FIRST), _day_first(c))
     )
-    return iso.try_cast("timestamp")
+    return F.when(is_date_like(c), iso).try_cast("timestamp")
 
 
 def first_format(c: Column) -> Column:
     """The first accepted format that takes the value, else NULL."""
-    month_first = F.substring(c, 1, 2) <= "12"
+    leads = _month_leads(c)
+    short = c.rlike(rf"(?i)^(?:\d{{1,2}} )?(?:{_SHORT}) ")
+    comma = F.when(c.contains(","), ",").otherwise("")
+    name = F.when(short, "MMM").otherwise("MMMM")
     day = (
         F.when(c.rlike(r"^\d{4}-"), "yyyy-MM-dd")
         .when(c.rlike(r"^\d{4}/"), "yyyy/MM/dd")
-        .when(c.rlike(r"^\d{2}-"), F.when(month_first, "MM-dd-yyyy").otherwise("dd-MM-yyyy"))
-        .when(c.rlike(r"^\d{2}/"), F.when(month_first, "MM/dd/yyyy").otherwise("dd/MM/yyyy"))
-        .when(c.rlike("^[A-Za-z]"), "MMM d yyyy")
-        .otherwise("d MMM yyyy")
+        .when(c.rlike(r"^\d{1,2}-"), F.when(leads, "MM-dd-yyyy").otherwise("dd-MM-yyyy"))
+        .when(c.rlike(r"^\d{1,2}/"), F.when(leads, "MM/dd/yyyy").otherwise("dd/MM/yyyy"))
+        .when(c.rlike("^[A-Za-z]"), F.concat(name, F.lit(" d"), comma, F.lit(" yyyy")))
+        .otherwise(F.concat(F.lit("d "), name, F.lit(" yyyy")))
     )
-    time = F.when(c.rlike(r"T\d{2}:"), "'T'HH:mm:ss").when(c.rlike(r" \d{2}:"), " HH:mm:ss").otherwise("")
+
+    def part(i: int, text: str) -> Column:
+        return F.when(F.regexp_extract(c, _TIME, i) != "", text).otherwise("")
+
+    time = F.when(c.rlike(_TIME), F.concat(
+        F.when(c.rlike(r"T\d{1,2}:"), "'T'").otherwise(" "), F.lit("HH:mm"), part(3, ":ss"), part(4, ".S"), part(5, " a"),
+        part(6, "X"))).otherwise("")
     return F.when(parse_any(c).isNotNull(), F.concat(day, time))
 
 

@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers
 from cleansheet.functions.text import trimmed
-from cleansheet.operators.columns import quoted, text_columns
+from cleansheet.operators.columns import named_positions, no_rows, quoted, text_cells, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
-from cleansheet.operators.frequency import top_values
 from cleansheet.operators.statistics import missing_counts
 
-SAMPLE_VALUES = 50
 _DATE_OR_NUMBER_SHARE = 0.9
 
 
-def mixed_type_columns(ranked: DataFrame) -> DataFrame:
-    """Columns whose top values are partly numbers and partly not."""
-    return (
-        ranked.groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("n_top"), F.count_if(numbers.looks_numeric(F.col("value"))).alias("n_numeric"))
-        .where((F.col("n_top") >= 2) & (F.col("n_numeric") > 0) & (F.col("n_numeric") < F.col("n_top")))
-    )
-
-
 def inconsistent_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return mixed_type_columns(top_values(df, columns))
+    """Text columns of which some, but not all, values look like numbers, judged on every value."""
+    columns = text_columns(df) if columns is None else columns
+    if not columns:
+        return no_rows(df, "column_name string, n_values bigint, n_numeric bigint")
+    value = F.col("value")
+    counted = text_cells(df, columns).groupBy("position").agg(
+        F.count(value).alias("n_values"), F.count_if(numbers.looks_numeric(value)).alias("n_numeric"))
+    return counted.where("n_numeric > 0 and n_numeric < n_values").select(
+        named_positions(columns).alias("column_name"), "n_values", "n_numeric")
 
 
 def score(rows: Column, columns: Column, missing: Column, duplicates: Column, inconsistent: Column) -> Column:
@@ -52,9 +49,11 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     def metric(frame: DataFrame, name: str, value: Column) -> DataFrame:
         return frame.select(F.lit(name).alias("metric"), value.cast("bigint").alias("amount"))
 
+    gaps = [F.count_if(quoted(c).isNull()) for c in df.columns]
+    basics = df.agg(F.count(F.lit(1)).alias("rows"), reduce(Column.__add__, gaps).alias("missing"))
     parts = [
-        metric(df.agg(F.count(F.lit(1)).alias("v")), "rows", F.col("v")),
-        metric(missing_counts(df).agg(F.sum("missing").alias("v")), "missing", F.col("v")),
+        basics.select(F.inline(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("amount")) for n in ("rows", "missing")]))),
         metric(duplicate_count(df), "duplicates", F.col("duplicate_rows")),
         metric(inconsistent_columns(df).agg(F.count(F.lit(1)).alias("v")), "inconsistent", F.col("v")),
     ]
@@ -73,35 +72,6 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     return totals.withColumn("quality_score", score(*[F.col(c) for c in totals.columns]))
 
 
-def first_text_values(df: DataFrame, order: Column | None = None, k: int = SAMPLE_VALUES) -> DataFrame:
-    """(position, column_name, row_order, value): the first k non-null values per text column.
-
-    One bounded top-k per column: each task keeps k rows in a heap, nothing is
-    sorted or shuffled beyond them, and each branch reads its column only.
-    """
-    if order is None:
-        order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.monotonically_increasing_id()
-    visible = [c for c in df.columns if c != ROW_ORDER]
-    parts = [
-        df.where(quoted(c).isNotNull())
-        .select(
-            F.lit(visible.index(c)).cast("bigint").alias("position"), F.lit(c).alias("column_name"),
-            order.alias("row_order"), quoted(c).alias("value"),
-        )
-        .orderBy("row_order")
-        .limit(k)
-        for c in text_columns(df)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _ordered_message(stage: int, position: Column, check: int, text: Column) -> list[Column]:
-    return [
-        (F.lit(stage * 1_000_000) + position * 10 + check).cast("bigint").alias("message_order"),
-        text.alias("message"),
-    ]
-
-
 def recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
     """(message_order, message): what to clean, in a fixed order.
 
@@ -109,66 +79,69 @@ def recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
     """
     data = df.drop(ROW_ORDER)
     parts = [
-        duplicate_count(data)
-        .where("duplicate_rows > 0")
-        .select(*_ordered_message(0, F.lit(0), 0, F.concat(
-            F.lit("Remove "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate row(s)."),
-        ))),
-        missing_counts(data)
-        .where("missing > 0")
-        .select(*_ordered_message(1, F.col("position"), 0, F.concat(
-            F.lit("Fill or impute "), F.col("missing").cast("string"),
-            F.lit(" missing value(s) in column '"), F.col("column_name"), F.lit("'."),
-        ))),
+        duplicate_count(data).where("duplicate_rows > 0").select(
+            F.lit(0).cast("bigint").alias("message_order"),
+            F.format_string(_REPEATED, "duplicate_rows").alias("message")),
+        missing_counts(data).where("missing > 0").select(
+            (F.lit(1_000_000) + F.col("position") * 10).cast("bigint").alias("message_order"),
+            F.format_string(_MISSING, "missing", "column_name").alias("message")),
+        df.sparkSession.createDataFrame(text_recommendations(df, order), "message_order bigint, message string"),
     ]
-    if text_columns(df):
-        parts.append(text_recommendations(df, order))
     return reduce(DataFrame.unionByName, parts)
 
 
+_REPEATED = "%d repeated row(s) can be dropped"
+_MISSING = "%d cell(s) of `%s` have no value"
+_DATES, _SPACES, _NUMBERS = "`{}` holds dates as text", "`{}` has values with outer white space", "`{}` holds numbers as text"
+
+
 def count_recommendations(duplicates: int, missing: dict[str, int]) -> list[str]:
     """The first messages, from counts that are known already."""
-    lines = [f"Remove {duplicates} duplicate row(s)."] if duplicates else []
-    return lines + [f"Fill or impute {n} missing value(s) in column '{c}'." for c, n in missing.items()]
+    lines = [_REPEATED % duplicates] if duplicates else []
+    return lines + [_MISSING % (n, c) for c, n in missing.items()]
 
 
-def text_recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """Checks on the first values of each text column (at most 50 per column)."""
-    sample = first_text_values(df, order)
-    value = F.col("value")
-    values = F.transform(
-        F.array_sort(F.collect_list(F.struct("row_order", "value"))), lambda entry: entry["value"]
-    )
-    grouped = sample.groupBy("position", "column_name").agg(
-        values.alias("values"),
-        F.avg(value.rlike(numbers.NUMBER).cast("int")).alias("numeric_share"),
-        F.bool_or(value != trimmed(value)).alias("untrimmed"),
-    )
+def text_recommendations(df: DataFrame, order: Column | None = None) -> list[tuple[int, str]]:
+    """(order, message) from checks on every value of the text columns.
 
-    def check(number: int, hit: Column, head: str, tail: str) -> Column:
-        return F.struct(
-            F.lit(number).alias("check"), hit.alias("hit"), F.lit(head).alias("head"), F.lit(tail).alias("tail")
+    One aggregate over all cells; columns of date-like texts are looked at
+    again, in the format of their first value.
+    """
+    texts = text_columns(df)
+    if not texts:
+        return []
+    if order is None:
+        order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.monotonically_increasing_id()
+    visible = [c for c in df.columns if c != ROW_ORDER]
+    value = F.col("value")
+    ordered = df.select(order.alias("at"), F.posexplode(F.array(*[quoted(c) for c in texts])).alias("position", "value"))
+    seen = {
+        texts[r["position"]]: r
+        for r in ordered.where(value.isNotNull()).groupBy("position").agg(
+            F.count(value).alias("n"), F.count_if(value.rlike(numbers.NUMBER)).alias("numbers"),
+            F.count_if(dates.is_date_like(value)).alias("dates"), F.max(value != trimmed(value)).alias("untrimmed"),
+            F.min("at").alias("first"),
+        ).collect()
+    }
+    dated = [c for c, r in seen.items() if r["dates"] / r["n"] >= _DATE_OR_NUMBER_SHARE]
+    parsed = _parsed_dates(df, order, {c: seen[c]["first"] for c in dated})
+    found = []
+    for c, r in seen.items():
+        checks = (
+            (parsed.get(c, 0) / r["n"] >= _DATE_OR_NUMBER_SHARE, _DATES), (r["untrimmed"], _SPACES),
+            (r["numbers"] / r["n"] >= _DATE_OR_NUMBER_SHARE, _NUMBERS),
         )
-
-    fmt = dates.first_format(F.get(F.col("values"), F.lit(0)))
-    parsed = F.filter("values", lambda v: _parses_in(v, F.col("fmt")))
-    checked = (
-        grouped.withColumn("fmt", fmt)
-        .withColumn("date_share", F.size(parsed) / F.size("values"))
-        .select("position", "column_name", F.inline(F.array(
-            check(0, F.col("date_share") >= _DATE_OR_NUMBER_SHARE, "Convert column '", "' to a proper datetime type."),
-            check(1, F.col("untrimmed"), "Trim leading/trailing whitespace in column '", "'."),
-            check(2, F.col("numeric_share") >= _DATE_OR_NUMBER_SHARE, "Convert column '", "' from text to a numeric type."),
-        )))
-        .where("hit")
-    )
-    return checked.select(
-        (F.lit(2_000_000) + F.col("position") * 10 + F.col("check")).cast("bigint").alias("message_order"),
-        F.concat("head", "column_name", "tail").alias("message"),
-    )
-
-
-def _parses_in(v: Column, fmt: Column) -> Column:
-    """Strictly in the given format, or in any when there is none."""
-    strict = v.rlike(dates.DATE_LIKE) & F.try_to_timestamp(v, fmt).isNotNull()
-    return F.when(fmt.isNull(), dates.parse_any(v).isNotNull()).otherwise(strict)
+        found += [(2_000_000 + visible.index(c) * 10 + i, text.format(c)) for i, (hit, text) in enumerate(checks) if hit]
+    return sorted(found)
+
+
+def _parsed_dates(df: DataFrame, order: Column, first: dict[str, object]) -> dict[str, int]:
+    """How many values of each column are dates in the format of its first value, or in any if that has none."""
+    if not first:
+        return {}
+    heads = df.select(order.alias("at"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(first)]).agg(*[
+        F.max(F.when(F.col("at") == F.lit(at), F.col(f"c{i}"))).alias(f"h{i}") for i, at in enumerate(first.values())])
+    formats = heads.select(*[dates.first_format(F.col(f"h{i}")).alias(f"f{i}") for i in range(len(first))]).first()
+    counts = df.agg(*[
+        F.count(dates.parse_column(quoted(c), formats[i])).alias(f"n{i}") for i, c in enumerate(first)]).first()
+    return {c: counts[i] for i, c in enumerate(first)}

@@ -1,8 +1,8 @@
 """Exact quantiles with bounded memory.
 
 Small inputs use `percentile` in one pass. It keeps every distinct value of a
-column in one task, so past a set size the exact order statistics are found by
-narrowing instead: a sketch proposes an interval around each wanted rank, one
+column in one task, so past a set size the same order statistics, combined by
+the same formula, are found by narrowing instead: a sketch proposes an interval around each wanted rank, one
 counting pass proves where the rank lies, and only when the interval holds few
 enough rows are its values counted and ranked. The sketch only steers; every
 answer rests on exact counts.
@@ -98,7 +98,8 @@ def _by_narrowing(
             return None
         place = places[c, p]
         low, high = wanted[c, math.floor(place)].value, wanted[c, math.ceil(place)].value
-        return low if low == high else low + (high - low) * (place - math.floor(place))
+        # The same formula as the single pass, so that both give the same bits.
+        return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
 
     return {c: [at(c, p) for p in probabilities] for c in columns}
 
@@ -110,10 +111,13 @@ def _resolve(df: DataFrame, wanted: list[_Wanted], candidate_rows: int) -> None:
             w.value = w.low
     while True:
         large = [w for w in wanted if w.value is None and w.inside > candidate_rows]
-        if not large or slack > 0.25:
+        if not large:
             break
         before = [(w.inside, w.value) for w in large]
-        _narrow(df, large, slack)
+        if slack > 0.25:
+            _halve(df, large)
+        else:
+            _narrow(df, large, slack)
         if before == [(w.inside, w.value) for w in large]:
             slack *= 4
     rest = [w for w in wanted if w.value is None]
@@ -163,6 +167,34 @@ def _narrow(df: DataFrame, wanted: list[_Wanted], slack: float) -> None:
             w.below, w.inside = below + at_low, inside - at_low - at_high
 
 
+def _halve(df: DataFrame, wanted: list[_Wanted]) -> None:
+    """Where sketches bring no progress, cut intervals in their middle; exact counts say which half to keep."""
+    middle = [m if m == m else 0.0 for m in (w.low / 2 + w.high / 2 for w in wanted)]
+    counts = df.agg(*[
+        agg
+        for i, w in enumerate(wanted)
+        for c in (quoted(w.column),)
+        for agg in (
+            F.count_if(w.holds(c) & (c < middle[i])).alias(f"low{i}"), F.count_if(w.holds(c) & (c == middle[i])).alias(f"at{i}"),
+            F.min(F.when(w.holds(c), c)).alias(f"min{i}"), F.max(F.when(w.holds(c), c)).alias(f"max{i}"),
+        )
+    ]).first()
+    for i, w in enumerate(wanted):
+        lower, at = counts[f"low{i}"], counts[f"at{i}"]
+        rank = w.rank - w.below
+        if counts[f"min{i}"] == counts[f"max{i}"]:
+            w.value = counts[f"min{i}"]
+        elif rank < lower:
+            w.low, w.high, w.inside = (counts[f"min{i}"], middle[i], lower) if not w.open_ends else (w.low, middle[i], lower)
+            if not w.open_ends and at:  # the closed upper end must not take in the middle itself
+                w.high = math.nextafter(middle[i], -math.inf)
+        elif rank < lower + at:
+            w.value = middle[i]
+        else:
+            w.below, w.inside = w.below + lower + at, w.inside - lower - at
+            w.low = middle[i] if w.open_ends else math.nextafter(middle[i], math.inf)
+
+
 def _rank_candidates(df: DataFrame, wanted: list[_Wanted]) -> None:
     """Count the few values left in each interval and walk to the rank."""
     inside = F.filter(

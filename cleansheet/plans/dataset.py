@@ -26,7 +26,7 @@ class DatasetRun:
     after: Profile
 
 
-def profile_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Profile:
+def profile_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> Profile:
     """Profile a CSV file or folder. It must be UTF-8."""
     table = stored(read_for_profile(spark, _given(path), multi_line))
     return profile_dataset(table.rows, posixpath.basename(path.rstrip("/")), kinds=table.kinds)
@@ -42,7 +42,7 @@ def output_path(spark: SparkSession, path: str, output_dir: str) -> str:
 
 
 def clean_csv(
-    spark: SparkSession, path: str, output_dir: str, multi_line: bool = False, keep_order: bool = False
+    spark: SparkSession, path: str, output_dir: str, multi_line: bool | None = None, keep_order: bool = False
 ) -> Cleaned:
     """Clean a CSV file or folder and save the result in the encoding it came in.
 
@@ -52,8 +52,8 @@ def clean_csv(
     return _save(table, output_path(spark, path, output_dir), keep_order)
 
 
-def run_dataset(spark: SparkSession, path: str, output_dir: str, multi_line: bool = False) -> DatasetRun:
-    """Profile, clean, save, and profile what was saved. The CSV text is parsed once."""
+def run_dataset(spark: SparkSession, path: str, output_dir: str, multi_line: bool | None = None) -> DatasetRun:
+    """Profile, clean, save, and profile what was saved. The typed rows are stored, so later passes skip the text."""
     name = posixpath.basename(path.rstrip("/"))
     table = stored(read_for_cleaning(spark, _given(path), multi_line))
     before = profile_dataset(table.rows, name, kinds=table.kinds)
@@ -85,31 +85,31 @@ def report_rows(spark: SparkSession, run: DatasetRun) -> DataFrame:
     before, cleaning, after = run.before, run.cleaning, run.after
 
     def listed(names) -> str:
-        return ", ".join(names) or "None"
+        return ", ".join(names) or "-"
 
     def quality(p: Profile) -> dict[str, str]:
         return {
-            "Quality Score": f"{p.quality_score}/10", "Duplicate Rows": str(p.duplicate_rows),
-            "Missing Values": str(p.total_missing),
+            "quality score": f"{p.quality_score}/10", "repeated rows": str(p.duplicate_rows),
+            "missing cells": str(p.total_missing),
         }
 
     sections = {
-        "Dataset Information": {
-            "Filename": before.name, "Rows": str(before.rows), "Columns": str(before.columns),
-            "Memory Usage": f"{before.memory_bytes / (1024 * 1024):.2f} MB",
+        "input": {
+            "file": before.name, "rows": str(before.rows), "columns": str(before.columns),
+            "megabytes": f"{before.memory_bytes / (1024 * 1024):.2f}",
         },
-        "Before Cleaning": quality(before),
-        "Cleaning Summary": {
-            "Rows Removed": str(cleaning.rows_removed),
-            "Duplicate Rows Removed": str(cleaning.duplicates_removed),
-            "Empty Rows Removed": str(cleaning.empty_rows_removed),
-            "Columns Removed": listed(cleaning.columns_removed),
-            "Columns Converted": listed(cleaning.columns_converted),
-            "Renamed Columns": listed(f"{old} → {new}" for old, new in cleaning.renamed.items()),
-            "Cleaning Actions": "\n".join(f"• {text}" for _, text in cleaning.actions()) or "None",
+        "before": quality(before),
+        "cleaning": {
+            "rows dropped": str(cleaning.rows_removed),
+            "repeated rows dropped": str(cleaning.duplicates_removed),
+            "empty rows dropped": str(cleaning.empty_rows_removed),
+            "columns dropped": listed(cleaning.columns_removed),
+            "columns retyped": listed(cleaning.columns_converted),
+            "columns renamed": listed(f"{old} to {new}" for old, new in cleaning.renamed.items()),
+            "steps": "; ".join(text for _, text in cleaning.actions()),
         },
-        "After Cleaning": quality(after),
-        "Cleaned Dataset": {"Filename": posixpath.basename(cleaning.output)},
+        "after": quality(after),
+        "output": {"file": posixpath.basename(cleaning.output)},
     }
     rows = [(s, f, v) for s, fields in sections.items() for f, v in fields.items()]
     return spark.createDataFrame(

@@ -43,24 +43,24 @@ class Profile:
     def summary(self) -> list[tuple[str, str]]:
         """The profile as named lines."""
         return [
-            ("Filename", self.name),
-            ("Rows", str(self.rows)),
-            ("Columns", str(self.columns)),
-            ("Column names", ", ".join(self.column_types)),
-            ("Data types", _listed(self.column_types)),
-            ("Total missing values", str(self.total_missing)),
-            ("Missing values by column", _listed(self.missing)),
-            ("Duplicate rows", str(self.duplicate_rows)),
-            ("Memory usage (bytes)", str(self.memory_bytes)),
-            ("Numeric statistics", _listed({
+            ("dataset", self.name),
+            ("rows", str(self.rows)),
+            ("columns", str(self.columns)),
+            ("column names", ", ".join(self.column_types)),
+            ("column types", _listed(self.column_types)),
+            ("missing cells", str(self.total_missing)),
+            ("missing cells by column", _listed(self.missing)),
+            ("repeated rows", str(self.duplicate_rows)),
+            ("bytes", str(self.memory_bytes)),
+            ("numeric columns", _listed({
                 c: " ".join(f"{k}={_number(v)}" for k, v in s.items()) for c, s in self.numeric.items()
             })),
-            ("Categorical statistics", _listed({
+            ("text columns", _listed({
                 c: f"unique={s['unique']} top=" + "|".join(f"{v}={n}" for v, n in s["top"])
                 for c, s in self.texts.items()
             })),
-            ("Computed Data Quality Score (0-10)", str(self.quality_score)),
-            ("Locally generated cleaning recommendations", " ".join(self.recommendations)),
+            ("quality score of 10", str(self.quality_score)),
+            ("advice", "; ".join(self.recommendations)),
         ]
 
     def metrics(self) -> dict[str, float]:
@@ -88,8 +88,8 @@ def profile_dataset(
     """Profile a frame.
 
     Passes over the data: one aggregate for counts and sizes, one for numeric
-    statistics, one shuffle of row digests, one shuffle of text values, and a
-    bounded top-k per text column.
+    statistics, one shuffle of row digests, one shuffle of text values, and one
+    aggregate of checks on all text cells.
     """
     df = nan_to_null(df)
     data = df.drop(ROW_ORDER)
@@ -106,8 +106,7 @@ def profile_dataset(
         return {c: _without_name(by_column[c]) for c in numeric_columns(data) if c in by_column}
 
     def advice() -> list[str]:
-        checked = text_recommendations(df, order).collect() if text_columns(data) else []
-        return [r["message"] for r in sorted(checked, key=lambda r: r["message_order"])]
+        return [message for _, message in text_recommendations(df, order)]
 
     duplicates, numeric, (texts, inconsistent), text_advice = together(
         lambda: duplicate_count(data).first()["duplicate_rows"], numbers, lambda: _texts(data), advice
@@ -132,14 +131,16 @@ def _texts(data: DataFrame) -> tuple[dict[str, dict], list[str]]:
     if not texts:
         return texts, []
     frequencies = materialize(value_frequencies(data), "values")
-    for r in frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect():
+    mixed = set()
+    for r in frequencies.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(looks_numeric(F.col("value"))).alias("numeric")
+    ).collect():
         texts[r["column_name"]]["unique"] = r["n"]
-    numeric_like: dict[str, list[bool]] = {c: [] for c in texts}
-    ranked = rank_values(frequencies).withColumn("numeric", looks_numeric(F.col("value")))
-    for r in sorted(ranked.collect(), key=lambda r: r["value_rank"]):
+        if 0 < r["numeric"] < r["n"]:
+            mixed.add(r["column_name"])
+    for r in sorted(rank_values(frequencies).collect(), key=lambda r: r["value_rank"]):
         texts[r["column_name"]]["top"].append((r["value"], r["n"]))
-        numeric_like[r["column_name"]].append(r["numeric"])
-    return texts, [c for c, marks in numeric_like.items() if any(marks) and not all(marks)]
+    return texts, [c for c in texts if c in mixed]
 
 
 def summary_rows(spark: SparkSession, profile: Profile) -> DataFrame:

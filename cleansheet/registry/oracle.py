@@ -6,7 +6,7 @@ Every decision the library takes from the data is taken again here in SQL.
 from __future__ import annotations
 
 from cleansheet.functions.text import CSV_NULL_TOKENS, MISSING_TOKENS, WHITESPACE
-from cleansheet.registry.views import MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
+from cleansheet.registry.views import DATE_FORMS, MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
 
 
 def _literal(text: str) -> str:
@@ -134,12 +134,10 @@ def _top(source: str, columns: list[str], k: int) -> str:
 
 
 def _mixed(source: str, columns: list[str]) -> str:
+    numeric = f"count(*) FILTER (regexp_full_match({_trim('value')}, '{LOOSE}'))"
     return (
-        "SELECT column_name, count(*) AS n_top, "
-        f"CAST(count(*) FILTER (regexp_full_match({_trim('value')}, '{LOOSE}')) AS BIGINT) AS n_numeric "
-        f"FROM ({_top(source, columns, 5)}) GROUP BY column_name "
-        f"HAVING count(*) >= 2 AND count(*) FILTER (regexp_full_match({_trim('value')}, '{LOOSE}')) "
-        "BETWEEN 1 AND count(*) - 1"
+        f"SELECT column_name, count(value) AS n_values, CAST({numeric} AS BIGINT) AS n_numeric "
+        f"FROM ({_long(source, columns)}) GROUP BY column_name HAVING {numeric} BETWEEN 1 AND count(value) - 1"
     )
 
 
@@ -289,26 +287,23 @@ HEADING_NAMES = {
 
 
 _ACTIONS = f"""SELECT CAST(stage AS BIGINT) AS stage, message FROM (
-SELECT 1 AS stage, 'Standardized {len(HEADING_NAMES)} column name(s) to snake_case.' AS message
-UNION ALL SELECT 2, concat('Removed ', duplicates_removed::VARCHAR, ' duplicate row(s).') FROM counts
-UNION ALL SELECT 3, concat('Removed ', empty_rows_removed::VARCHAR, ' completely empty row(s).') FROM counts
-UNION ALL SELECT 4, concat('Removed ', (SELECT count(*) FROM gone WHERE pos = 1)::VARCHAR, ' empty column(s): ',
-  empty_columns, '.') FROM counts WHERE empty_columns IS NOT NULL
-UNION ALL SELECT 5, 'Trimmed leading/trailing whitespace from string columns.'
-UNION ALL SELECT 6, concat('Normalized missing-value tokens in ', tokens_normalized::VARCHAR, ' cell(s).')
+SELECT 1 AS stage, 'renamed {len(HEADING_NAMES)} column(s)' AS message
+UNION ALL SELECT 2, concat('dropped ', duplicates_removed::VARCHAR, ' repeated row(s)') FROM counts
+UNION ALL SELECT 3, concat('dropped ', empty_rows_removed::VARCHAR, ' row(s) without any value') FROM counts
+UNION ALL SELECT 4, concat('dropped columns without any value: ', empty_columns) FROM counts WHERE empty_columns IS NOT NULL
+UNION ALL SELECT 5, 'cut off outer white space'
+UNION ALL SELECT 6, concat('emptied ', tokens_normalized::VARCHAR, ' cell(s) that stood for no value')
   FROM counts WHERE tokens_normalized > 0
-UNION ALL SELECT 7, concat('Filled missing values in column(s): ',
-  string_agg(concat(column_name, ' (', n::VARCHAR, ')'), ', ' ORDER BY pos), '.') FROM filled HAVING count(*) > 0
-UNION ALL SELECT 8, concat('Converted numeric-looking column(s) to numeric type: ', numbers_made, '.')
-  FROM counts WHERE numbers_made IS NOT NULL
-UNION ALL SELECT 9, concat('Converted datetime-looking column(s) to datetime type: ', dates_made, '.')
-  FROM counts WHERE dates_made IS NOT NULL
-UNION ALL SELECT 10, 'Standardized categorical text in column(s): confirmed.' WHERE {_is_category('f', 'confirmed')}
-UNION ALL SELECT 11, concat('Detected outliers in ', count(*)::VARCHAR, ' numeric column(s) (not removed).')
+UNION ALL SELECT 7, concat('filled gaps: ',
+  string_agg(concat(column_name, ' (', n::VARCHAR, ')'), ', ' ORDER BY pos)) FROM filled HAVING count(*) > 0
+UNION ALL SELECT 8, concat('made numbers of: ', numbers_made) FROM counts WHERE numbers_made IS NOT NULL
+UNION ALL SELECT 9, concat('made timestamps of: ', dates_made) FROM counts WHERE dates_made IS NOT NULL
+UNION ALL SELECT 10, 'gave one spelling to: confirmed' WHERE {_is_category('f', 'confirmed')}
+UNION ALL SELECT 11, concat('saw outliers in ', count(*)::VARCHAR, ' column(s), left as they are')
   FROM outliers HAVING count(*) > 0
-UNION ALL SELECT 12, concat('Removed ', (SELECT count(*) FROM gone WHERE pos > 1)::VARCHAR, ' constant column(s): ',
-  constant_columns, '.') FROM counts WHERE constant_columns IS NOT NULL
-UNION ALL SELECT 13, 'Collapsed repeated internal whitespace in string columns.')"""
+UNION ALL SELECT 12, concat('dropped columns of one value: ', constant_columns) FROM counts
+  WHERE constant_columns IS NOT NULL
+UNION ALL SELECT 13, 'reduced inner white space to single spaces')"""
 
 
 def _report() -> str:
@@ -319,9 +314,9 @@ def _report() -> str:
     def quality(source: str, columns: list[str], texts: list[str]) -> dict[str, str]:
         q = _quality("t", source, columns, texts)
         return {
-            "Quality Score": f"(SELECT concat(quality_score::VARCHAR, '/10') FROM ({q}))",
-            "Duplicate Rows": f"(SELECT duplicate_rows::VARCHAR FROM ({q}))",
-            "Missing Values": f"(SELECT missing_values::VARCHAR FROM ({q}))",
+            "quality score": f"(SELECT concat(quality_score::VARCHAR, '/10') FROM ({q}))",
+            "repeated rows": f"(SELECT duplicate_rows::VARCHAR FROM ({q}))",
+            "missing cells": f"(SELECT missing_values::VARCHAR FROM ({q}))",
         }
 
     def count(name: str) -> str:
@@ -329,21 +324,21 @@ def _report() -> str:
 
     megabytes = f"{_bytes('mo', texts, 8 * len(fixed))} / 1048576.0"
     sections = {
-        "Dataset Information": {
-            "Filename": "'messy_orders.csv'", "Rows": "(SELECT count(*) FROM mo)::VARCHAR", "Columns": "'8'",
-            "Memory Usage": f"printf('%.2f MB', {megabytes})",
+        "input": {
+            "file": "'messy_orders.csv'", "rows": "(SELECT count(*) FROM mo)::VARCHAR", "columns": "'8'",
+            "megabytes": f"printf('%.2f', {megabytes})",
         },
-        "Before Cleaning": quality("mo", MESSY_COLUMNS, texts),
-        "Cleaning Summary": {
-            "Rows Removed": "(SELECT (rows_before - rows_after)::VARCHAR FROM counts)",
-            "Duplicate Rows Removed": count("duplicates_removed"), "Empty Rows Removed": count("empty_rows_removed"),
-            "Columns Removed": count("columns_removed"),
-            "Columns Converted": "(SELECT concat_ws(', ', numbers_made, dates_made) FROM counts)",
-            "Renamed Columns": _literal(", ".join(f"{o} → {n}" for o, n in HEADING_NAMES.items())),
-            "Cleaning Actions": f"(SELECT string_agg(concat('• ', message), chr(10) ORDER BY stage) FROM ({_ACTIONS}))",
+        "before": quality("mo", MESSY_COLUMNS, texts),
+        "cleaning": {
+            "rows dropped": "(SELECT (rows_before - rows_after)::VARCHAR FROM counts)",
+            "repeated rows dropped": count("duplicates_removed"), "empty rows dropped": count("empty_rows_removed"),
+            "columns dropped": count("columns_removed"),
+            "columns retyped": "(SELECT concat_ws(', ', numbers_made, dates_made) FROM counts)",
+            "columns renamed": _literal(", ".join(f"{o} to {n}" for o, n in HEADING_NAMES.items())),
+            "steps": f"(SELECT string_agg(message, '; ' ORDER BY stage) FROM ({_ACTIONS}))",
         },
-        "After Cleaning": quality("printed", printed, ["priority", "confirmed", "order_day"]),
-        "Cleaned Dataset": {"Filename": "'messy_orders_cleaned.csv'"},
+        "after": quality("printed", printed, ["priority", "confirmed", "order_day"]),
+        "output": {"file": "'messy_orders_cleaned.csv'"},
     }
     rows = [(n, f, v) for n, fields in sections.items() for f, v in fields.items()]
     return f"""WITH {CLEAN_CSV},
@@ -380,11 +375,11 @@ FROM ({metrics('before', 'mo', MESSY_COLUMNS, TEXTS, 16)}) FULL JOIN
 
 _RECOMMENDED = f"""
 SELECT CAST(0 AS BIGINT) AS message_order,
-       concat('Remove ', CAST({_duplicates('mo', MESSY_COLUMNS)} AS VARCHAR), ' duplicate row(s).') AS message
+       concat(CAST({_duplicates('mo', MESSY_COLUMNS)} AS VARCHAR), ' repeated row(s) can be dropped') AS message
 WHERE {_duplicates('mo', MESSY_COLUMNS)} > 0
 UNION ALL
 SELECT CAST(1000000 + position * 10 AS BIGINT),
-       concat('Fill or impute ', CAST(missing AS VARCHAR), ' missing value(s) in column ''', column_name, '''.')
+       concat(CAST(missing AS VARCHAR), ' cell(s) of `', column_name, '` have no value')
 FROM ({_missing('mo', MESSY_COLUMNS)}) WHERE missing > 0
 UNION ALL
 SELECT CAST(2000000 + pos * 10 + chk AS BIGINT), concat(head, column_name, tail) FROM (
@@ -393,13 +388,41 @@ SELECT CAST(2000000 + pos * 10 + chk AS BIGINT), concat(head, column_name, tail)
          avg(CAST(regexp_full_match(value, '{NUMBER}') AS INT)) >= 0.9 AS numbers
   FROM ({_union([
       f"SELECT * FROM (SELECT {MESSY_COLUMNS.index(c)} AS pos, '{c}' AS column_name, {c} AS value FROM mo "
-      f"WHERE {c} IS NOT NULL ORDER BY order_id LIMIT 50)" for c in TEXTS])}) GROUP BY pos, column_name),
-  (VALUES (0, 'Convert column ''', ''' to a proper datetime type.'),
-          (1, 'Trim leading/trailing whitespace in column ''', '''.'),
-          (2, 'Convert column ''', ''' from text to a numeric type.')) AS v(chk, head, tail)
+      f"WHERE {c} IS NOT NULL)" for c in TEXTS])}) GROUP BY pos, column_name),
+  (VALUES (0, '`', '` holds dates as text'),
+          (1, '`', '` has values with outer white space'),
+          (2, '`', '` holds numbers as text')) AS v(chk, head, tail)
 WHERE (chk = 0 AND dates) OR (chk = 1 AND untrimmed) OR (chk = 2 AND numbers)"""
 
 
+def _date_forms() -> str:
+    """What each form keeps of the moment it was printed from."""
+    day = "date_trunc('day', moment)"
+    kept = {"H:%M:%S": "moment", "M": "date_trunc('minute', moment)"}
+    arms = []
+    for i, (_, form) in enumerate(DATE_FORMS):
+        if form.startswith("on"):
+            value = "NULL"
+        elif ".25" in form:
+            value = "moment + INTERVAL 250 MILLISECOND"
+        elif "+02:00" in form:
+            value = "moment - INTERVAL 2 HOUR"
+        elif "%S" in form:
+            value = kept["H:%M:%S"]
+        elif "%M" in form:
+            value = kept["M"]
+        else:
+            value = day
+        arms.append((i, form, value))
+    written = " ".join(f"WHEN {i} THEN strftime(moment, {_literal(form)})" for i, form, _ in arms)
+    read = " ".join(f"WHEN {i} THEN {value}" for i, _, value in arms)
+    return f"""
+WITH m AS (SELECT o_orderkey AS order_id, date_trunc('day', o_orderdate) + to_seconds(o_orderkey % 86400) AS moment FROM orders)
+SELECT order_id, CASE order_id % {len(DATE_FORMS)} {written} END AS written,
+  strftime(CASE order_id % {len(DATE_FORMS)} {read} END, '%Y-%m-%d %H:%M:%S.%g') AS read,
+  order_id % {len(DATE_FORMS)} <> {len(DATE_FORMS) - 1} AS known FROM m"""
+
+
 def _summary() -> str:
     def listed(entry: str, order: str, source: str) -> str:
         return f"coalesce((SELECT string_agg({entry}, '; ' ORDER BY {order}) FROM {source}), '')"
@@ -417,22 +440,22 @@ def _summary() -> str:
     quality = _quality("mo", "mo", MESSY_COLUMNS, TEXTS)
     missing = f"({_missing('mo', MESSY_COLUMNS)})"
     lines = {
-        "Filename": "'messy_orders'",
-        "Rows": "(SELECT count(*) FROM mo)::VARCHAR",
-        "Columns": "'8'",
-        "Column names": _literal(", ".join(MESSY_COLUMNS)),
-        "Data types": _literal(types),
-        "Total missing values": f"(SELECT CAST(sum(missing) AS BIGINT) FROM {missing})::VARCHAR",
-        "Missing values by column": listed(
+        "dataset": "'messy_orders'",
+        "rows": "(SELECT count(*) FROM mo)::VARCHAR",
+        "columns": "'8'",
+        "column names": _literal(", ".join(MESSY_COLUMNS)),
+        "column types": _literal(types),
+        "missing cells": f"(SELECT CAST(sum(missing) AS BIGINT) FROM {missing})::VARCHAR",
+        "missing cells by column": listed(
             "concat(column_name, ': ', missing::VARCHAR)", "position", f"{missing} WHERE missing > 0"),
-        "Duplicate rows": f"{_duplicates('mo', MESSY_COLUMNS)}::VARCHAR",
-        "Memory usage (bytes)": f"{_bytes('mo', TEXTS, 16)}::VARCHAR",
-        "Numeric statistics": listed(statistics, "pos", f"({_describe('mo', NUMERICS, None)})"),
-        "Categorical statistics": listed(
+        "repeated rows": f"{_duplicates('mo', MESSY_COLUMNS)}::VARCHAR",
+        "bytes": f"{_bytes('mo', TEXTS, 16)}::VARCHAR",
+        "numeric columns": listed(statistics, "pos", f"({_describe('mo', NUMERICS, None)})"),
+        "text columns": listed(
             "concat(column_name, ': unique=', n_unique::VARCHAR, ' top=', tops)", "pos", tops),
-        "Computed Data Quality Score (0-10)": f"(SELECT quality_score FROM ({quality}))::VARCHAR",
-        "Locally generated cleaning recommendations":
-            f"(SELECT string_agg(message, ' ' ORDER BY message_order) FROM ({_RECOMMENDED}))",
+        "quality score of 10": f"(SELECT quality_score FROM ({quality}))::VARCHAR",
+        "advice":
+            f"(SELECT string_agg(message, '; ' ORDER BY message_order) FROM ({_RECOMMENDED}))",
     }
     return f"WITH {MESSY}\n" + _union([f"SELECT '{k}' AS field, {v} AS value" for k, v in lines.items()])
 
@@ -577,6 +600,7 @@ FROM (SELECT p_partkey, concat(' ', upper(substr(p_name, 1, instr(p_name, ' '))[
         "to_datetime": mo + f"""SELECT order_id, CASE WHEN
  (SELECT avg(CAST({_day('order_day')} IS NOT NULL AS INT)) FROM mo WHERE order_day IS NOT NULL) >= 0.9
  THEN strftime({_day('order_day')}, '%Y-%m-%d %H:%M:%S') END AS order_day, priority FROM mo""",
+        "date_forms": _date_forms(),
         "date_export": mo + f"""SELECT order_id, CASE WHEN
  (SELECT avg(CAST({_day('order_day')} IS NOT NULL AS INT)) FROM mo WHERE order_day IS NOT NULL) >= 0.9
  THEN coalesce(strftime({_day('order_day')}, '%Y-%m-%d'), '') ELSE order_day END AS order_day FROM mo""",
@@ -633,7 +657,7 @@ based AS (SELECT *, concat(strftime(make_timestamp(uploaded_second * 1000000), '
   trim(regexp_replace(regexp_replace(parse_filename(file_name), '\\.[^.]+$', ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'))
   AS base FROM named)
 SELECT doc_id, file_name, uploaded_second, concat(base, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY base)
-  THEN concat('_', CAST(doc_id AS VARCHAR)) ELSE '' END, '.csv') AS safe_name FROM based""",
+  THEN concat('~', CAST(doc_id AS VARCHAR)) ELSE '' END, '.csv') AS safe_name FROM based""",
         "csv_scan": mo + f"""SELECT CAST(order_id AS DOUBLE) AS order_id, CAST(NULL AS DOUBLE) AS empty_col, qty,
  {', '.join(f"CASE WHEN {c} NOT IN {_in(CSV_NULL_TOKENS)} THEN {c} END AS {c}"
             for c in TEXTS if c != 'empty_col')} FROM mo""",
@@ -681,7 +705,7 @@ SELECT doc_id, file_name, concat('https://files/', file_name) AS file_url FROM n
         "GROUP BY rule, severity, user_id",
         "scalar_functions": """
 SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(left(text, 100), '...') ELSE text END AS preview,
-       CAST(floor(n_chars / 7.0::DOUBLE * 1000) AS BIGINT) AS duration_ms,
+       CAST(trunc(n_chars / 7.0::DOUBLE * 1000) AS BIGINT) AS duration_ms,
        round(octet_length(encode(text)) * 1000 / 1048576.0::DOUBLE, 2) AS megabytes,
        CAST(n_chars / 8.0::DOUBLE AS VARCHAR) AS eighth, false AS numeric_lang,
        strftime(make_timestamp(n_chars * 86400000000), '%Y-%m-%d') AS day FROM documents""",

@@ -203,6 +203,15 @@ def to_datetime(spark, folder):
     return stamped.withColumn("order_day", F.date_format("order_day", "yyyy-MM-dd HH:mm:ss"))
 
 
+@_query
+def date_forms(spark, folder):
+    """Every accepted form of a date, read value by value."""
+    written = F.col("written")
+    return views.dated_orders(spark, folder).select(
+        "order_id", "written", F.date_format(dates.parse_any(written), "yyyy-MM-dd HH:mm:ss.SSS").alias("read"),
+        dates.first_format(written).isNotNull().alias("known"))
+
+
 @_query
 def date_export(spark, folder):
     mo = views.messy_orders(spark, folder).select("order_id", "order_day")
@@ -337,8 +346,8 @@ def clean_export(spark, folder):
 def upload_stream(spark, folder):
     inbox = scratch_path(spark, "inbox")
     mo = views.messy_orders(spark, folder).where("order_id is not null")
-    by_year = mo.withColumn("batch", F.year(F.col("order_day").try_cast("date"))).hint("rebalance", "batch")
-    by_year.write.partitionBy("batch").option("header", True).option("maxRecordsPerFile", 200_000).csv(inbox)
+    by_year = mo.withColumn("batch", F.year(F.col("order_day").try_cast("date"))).repartition("batch")
+    by_year.write.partitionBy("batch").option("header", True).csv(inbox)
     log = scratch_path(spark, "history")
     uploads.run_available(spark, inbox, log, scratch_path(spark, "offsets"), scratch_path(spark, "cleaned"))
 
@@ -459,7 +468,7 @@ def scalar_functions(spark, folder):
         "doc_id",
         text.shortened(F.col("text")).alias("preview"),
         numbers.whole_milliseconds(F.col("n_chars") / 7.0).alias("duration_ms"),
-        numbers.megabytes(F.octet_length("text") * 1000).alias("megabytes"),
+        numbers.megabytes(F.octet_length("text").cast("bigint") * 1000).alias("megabytes"),
         numbers.plain_double_text(F.col("n_chars") / 8.0).alias("eighth"),
         numbers.looks_numeric(F.col("lang")).alias("numeric_lang"),
         dates.as_day_text(F.timestamp_seconds(F.col("n_chars") * 86400)).alias("day"),

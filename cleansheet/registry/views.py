@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleansheet.session import spread_small
-
 MESSY_HEADINGS = [
     "Order ID", " Priority (!)", "Confirmed?", "Amount $", "QTY", "Order  Day", "Empty_Col", "const__col",
 ]
@@ -50,9 +48,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Some columns of a table, on all cores even when it is one small file."""
+    """Some columns of a table."""
     df = table(spark, folder, name)
-    return spread_small(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,3 +207,23 @@ def text_cells(spark: SparkSession, folder: str) -> DataFrame:
     }
     return mo.select(*[v.alias(f"c_{n}") for n, v in cells.items()])
 
+
+
+# Every accepted form of a date, as Spark and the second engine print it.
+DATE_FORMS = (
+    ("yyyy-MM-dd", "%Y-%m-%d"), ("M/d/yyyy", "%-m/%-d/%Y"), ("yyyy-M-d", "%Y-%-m-%-d"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("MMM d, yyyy", "%b %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"),
+    ("yyyy-MM-dd HH:mm:ss'.25'", "%Y-%m-%d %H:%M:%S.25"), ("MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p"),
+    ("MMMM d yyyy HH:mm:ss", "%B %-d %Y %H:%M:%S"), ("yyyy/MM/dd HH:mm:ss'+02:00'", "%Y/%m/%d %H:%M:%S+02:00"),
+    ("d MMM yyyy", "%-d %b %Y"), ("MM-dd-yyyy", "%m-%d-%Y"), ("'on' yyyy", "on %Y"),
+)
+
+
+def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with a moment derived from day and key, printed in one form after the other."""
+    key = F.col("o_orderkey")
+    moment = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("date").cast("timestamp")) + key % 86400)
+    text = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(DATE_FORMS):
+        text = F.when(key % len(DATE_FORMS) == i, F.date_format(moment, form)).otherwise(text)
+    return table(spark, folder, "orders").select(key.alias("order_id"), text.alias("written"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "cleansheet") -> SparkSession:
-    """A session for tests and benches; a cluster brings its own."""
+    """A session for tests and benches, with a scratch folder of its own; a cluster brings both."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "cleansheet") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CLEANSHEET_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cleansheet-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,18 +33,16 @@ def local_session(cores: int | str = 8, app: str = "cleansheet") -> SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    It is the checkpoint folder the cluster names. Only a local session that
-    names none gets a folder of its own, because executors on other machines
-    could not read it.
+    It is the checkpoint folder the cluster names, else a folder below the
+    warehouse, which executors share too. The session is left as it is.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="cleansheet-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return warehouse.rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -71,21 +70,12 @@ def together(*jobs: Callable[[], object]) -> list:
         return [done.result() for done in [pool.submit(inherit(job)) for job in jobs]]
 
 
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Share out a small table over all cores before work that is heavy per row.
-
-    A small file is read by one task whatever the cluster. Larger tables come
-    in many splits and are left alone.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_TABLE_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

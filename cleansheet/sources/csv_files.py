@@ -15,7 +15,7 @@ from cleansheet.operators.columns import quoted
 from cleansheet.operators.dedup import ROW_ORDER
 from cleansheet.operators.inference import as_kind
 from cleansheet.session import materialize
-from cleansheet.sources.encodings import UTF8, after_read, before_write, file_encodings, spark_charset
+from cleansheet.sources.encodings import UTF8, after_read, before_write, file_facts, spark_charset
 
 _BAD_LINE = "_bad_line"
 _BYTE_ORDER_MARK = "\ufeff"
@@ -39,15 +39,20 @@ class CsvTable:
 
 
 def header_names(cells: list[str | None]) -> list[str]:
-    """Header cells as unique names: repeats get `.1`, empty ones `Unnamed: i`."""
+    """Header cells as unique names: repeats get `.1`, empty ones `Unnamed: i`.
+
+    Names that differ in case only count as repeats, as Spark cannot tell them apart.
+    """
     names: list[str] = []
+    taken: set[str] = set()
     for i, cell in enumerate(cells):
         base = cell if cell else f"Unnamed: {i}"
         name, n = base, 0
-        while name in names:
+        while name.lower() in taken:
             n += 1
             name = f"{base}.{n}"
         names.append(name)
+        taken.add(name.lower())
     return names
 
 
@@ -113,25 +118,36 @@ def infer_table(rows: DataFrame, too_long: Column, encoding: str, label: str) ->
     return CsvTable(typed, kinds, encoding)
 
 
-def read_for_profile(spark: SparkSession, path: str, multi_line: bool = False) -> CsvTable:
-    """UTF-8 only."""
-    bad = file_encodings(spark, path).where(F.col("encoding") != UTF8).select("path").head(1)
-    if bad:
-        raise CsvError(f"not UTF-8: {bad[0]['path']}")
-    return infer_table(*read_cells(spark, path, UTF8, multi_line), UTF8, path)
-
-
-def read_for_cleaning(spark: SparkSession, path: str, multi_line: bool = False) -> CsvTable:
-    """In the encoding found per dataset; a folder that mixes encodings is refused."""
+def _facts(spark: SparkSession, path: str) -> tuple[set[str], bool]:
+    """The encodings of a dataset's files, and whether records span lines; all files have to share one header."""
     try:
-        found = [r["encoding"] for r in file_encodings(spark, path).select("encoding").distinct().collect()]
+        found = file_facts(spark, path).groupBy("encoding", "header").agg(
+            F.bool_or("open_quotes").alias("open"), F.min("path").alias("path")).collect()
     except AnalysisException as missing:
         raise CsvError(f"CSV file not found: {path!r}") from missing
     if not found:
         raise CsvError(f"CSV file is empty: {path!r}")
-    if len(found) > 1:
-        raise CsvError(f"files of one dataset differ in encoding: {sorted(found)}")
-    return infer_table(*read_cells(spark, path, found[0], multi_line), found[0], path)
+    encodings = {r["encoding"] for r in found}
+    if len(encodings) == 1 and len(found) > 1:
+        raise CsvError(f"files of one dataset differ in header: {sorted(r['path'] for r in found)[:5]}")
+    return encodings, any(r["open"] for r in found)
+
+
+def read_for_profile(spark: SparkSession, path: str, multi_line: bool | None = None) -> CsvTable:
+    """UTF-8 only. Records that span lines are noticed, unless `multi_line` says what to expect."""
+    encodings, spans = _facts(spark, path)
+    if encodings != {UTF8}:
+        raise CsvError(f"not UTF-8: {path}")
+    return infer_table(*read_cells(spark, path, UTF8, spans if multi_line is None else multi_line), UTF8, path)
+
+
+def read_for_cleaning(spark: SparkSession, path: str, multi_line: bool | None = None) -> CsvTable:
+    """In the encoding found per dataset; a folder that mixes encodings is refused."""
+    encodings, spans = _facts(spark, path)
+    if len(encodings) > 1:
+        raise CsvError(f"files of one dataset differ in encoding: {sorted(encodings)}")
+    (encoding,) = encodings
+    return infer_table(*read_cells(spark, path, encoding, spans if multi_line is None else multi_line), encoding, path)
 
 
 def stored(table: CsvTable) -> CsvTable:

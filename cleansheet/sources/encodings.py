@@ -17,24 +17,35 @@ _AS_LATIN = "".join(chr(b) for b in _WINDOWS_BYTES)
 _AS_WINDOWS = bytes(_WINDOWS_BYTES).decode("cp1252")
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding) per file, judged on every line of it.
+def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding, header, open_quotes) per file, judged on every line of it.
 
     Lines arrive as raw bytes, so files stay splittable and none has to fit
-    into one task.
+    into one task. `header` is a digest of the first line; `open_quotes` tells that some
+    line ends inside a quoted cell, so the file has records of several lines.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.when(F.col("_metadata.file_block_start") == 0, at).alias("at"))
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    return (
-        lines.select(
-            "path",
-            F.is_valid_utf8("value").alias("utf8"),
-            F.when(~F.is_valid_utf8("value"), raw.rlike(f"[{_WINDOWS_UNDEFINED}]")).alias("undefined"),
-        )
-        .groupBy("path")
-        .agg(F.bool_and("utf8").alias("utf8"), F.coalesce(F.bool_or("undefined"), F.lit(False)).alias("undefined"))
-        .select("path", F.when(F.col("utf8"), UTF8).when(~F.col("undefined"), WINDOWS).otherwise(LATIN).alias("encoding"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    marked = lines.select(
+        "path", "at", F.is_valid_utf8("value").alias("utf8"), (quotes % 2 == 1).alias("open"),
+        F.when(~F.is_valid_utf8("value"), raw.rlike(f"[{_WINDOWS_UNDEFINED}]")).alias("undefined"),
+        F.when(F.col("at").isNotNull(), F.sha2(F.regexp_replace("value", "^\ufeff", "").cast("binary"), 256)).alias("first"),
+    )
+    firsts = marked.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"), F.coalesce(F.bool_or("undefined"), F.lit(False)).alias("undefined"),
+        F.bool_or("open").alias("open_quotes"), F.min_by("first", "at").alias("header"),
     )
+    encoding = F.when(F.col("utf8"), UTF8).when(~F.col("undefined"), WINDOWS).otherwise(LATIN)
+    return firsts.select("path", encoding.alias("encoding"), "header", "open_quotes")
+
+
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding) per file."""
+    return file_facts(spark, path).select("path", "encoding")
 
 
 def spark_charset(encoding: str) -> str:

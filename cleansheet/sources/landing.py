@@ -7,79 +7,55 @@ from pyspark.sql import functions as F
 
 from cleansheet.functions.text import safe_file_name
 
-# Limits of an acceptable file.
+# Fixed value: what an acceptable file is called.
 EXTENSION = ".csv"
-MAX_BYTES = 20 * 1024 * 1024
-SNIFF_BYTES = 4096
 
 
-def _sniffs_as_text(content: Column, length: Column) -> Column:
-    """The first bytes are UTF-8, not counting a character cut at the end of the sample."""
-    sample = F.substring(content, 1, SNIFF_BYTES)
-    valid = F.is_valid_utf8(sample.cast("string"))
-    for cut in (1, 2, 3):
-        shorter = F.substring(content, 1, SNIFF_BYTES - cut)
-        last = F.hex(F.substring(content, SNIFF_BYTES - cut + 1, 1))
-        # The bytes left out must begin a character that needs more of them.
-        starts = last.rlike({1: "^(C[2-9A-F]|D|E|F[0-4])", 2: "^(E|F[0-4])", 3: "^F[0-4]"}[cut])
-        rest = F.hex(F.substring(content, SNIFF_BYTES - cut + 2, cut - 1)).rlike("^([89AB][0-9A-F])*$")
-        cut_off = (length > SNIFF_BYTES) & starts & rest & F.is_valid_utf8(shorter.cast("string"))
-        valid = valid | cut_off
-    return valid
+def file_verdicts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(path, length, verdict) for files given with their content, see `verdict`."""
+    text = F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))
+    return files.select("path", F.col("length").cast("bigint").alias("length"), verdict(text, max_bytes).alias("verdict"))
 
 
-def file_verdicts(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, length, verdict): the first reason to reject each file, or `ok`."""
+def verdict(is_text: Column, max_bytes: int | None = None) -> Column:
+    """The first reason to reject a file by its path and length, or `ok`. Sizes count only if a limit is given."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     extension = F.lower(F.regexp_extract(name, r"(?<=[^.])(\.[^.]+)$", 1))
-    verdict = (
-        F.when(extension != EXTENSION, "extension")
-        .when(F.col("length") == 0, "empty")
-        .when(F.col("length") > max_bytes, "too_large")
-        .when(F.col("content").isNull() | ~_sniffs_as_text(F.col("content"), F.col("length")), "not_text")
-        .otherwise("ok")
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    return (
+        F.when(extension != EXTENSION, "extension").when(F.col("length") == 0, "empty").when(too_large, "too_large")
+        .when(~is_text, "not_text").otherwise("ok")
     )
-    return files.select("path", F.col("length").cast("bigint").alias("length"), verdict.alias("verdict"))
 
 
-def audit_landing(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def audit_landing(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Verdicts for every file below a folder.
 
-    Oversized files are judged from their listing alone; the size filter
-    reaches the source, so their content is never read. Spark's file sources
-    leave out empty files, so those are taken from the folder listing.
+    Lengths come from the listing. Every byte of an eligible file is checked,
+    line by line, so a file of any size is shared out over many tasks; files
+    that another reason rejects are not opened. Spark's file sources leave out
+    empty files, so those are taken from its own file index.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    empty = spark.createDataFrame([(p,) for p in empty_files(spark, path)], "path string").select(
-        "path", F.lit(0).cast("bigint").alias("length"), F.lit("").cast("binary").alias("content")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    known = listed.select("path", "length")
+    indexed = spark.createDataFrame([(p,) for p in listed.inputFiles()], "path string")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    empty = indexed.withColumn("key", plain).join(known.select(plain.alias("key")), "key", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), "value")
+    broken = (
+        lines.where(verdict(F.lit(False), max_bytes) == "not_text").groupBy(plain.alias("key"))
+        .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).where("not valid")
     )
-    return split_audit(files, max_bytes).unionByName(file_verdicts(empty, max_bytes))
-
-
-def empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of files without content. A listing only; nothing is opened."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while listing.hasNext():
-        status = listing.next()
-        name = status.getPath().getName()
-        if status.getLen() == 0 and not name.startswith(("_", ".")):
-            found.append(status.getPath().toString())
-    return found
-
-
-def split_audit(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    fitting = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
-    oversized = files.where(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("binary").alias("content")
-    )
-    return file_verdicts(fitting, max_bytes).unionByName(file_verdicts(oversized, max_bytes))
+    judged = known.unionByName(empty).withColumn("key", plain).join(broken, "key", "left")
+    return judged.select("path", "length", verdict(F.col("valid").isNull(), max_bytes).alias("verdict"))
 
 
 def safe_names(names: DataFrame, name: str, stamp: Column, row_id: str) -> DataFrame:
-    """Storage names: stamp, safe stem, extension; repeats also carry their row id.
+    """Storage names: stamp, safe stem, extension; repeats also carry `~` and their row id.
+
+    No plain name holds a `~`, so no two rows get one name.
 
     Only the least id per name is aggregated (one record per name and task),
     then joined back. A name shared by very many rows is split by the adaptive
@@ -94,7 +70,7 @@ def safe_names(names: DataFrame, name: str, stamp: Column, row_id: str) -> DataF
         .drop("_n")
     )
     is_repeat = F.col("_first").isNotNull() & (F.col("_first") != F.col(row_id))
-    suffix = F.when(is_repeat, F.concat(F.lit("_"), F.col(row_id).cast("string"))).otherwise("")
+    suffix = F.when(is_repeat, F.concat(F.lit("~"), F.col(row_id).cast("string"))).otherwise("")
     return (
         named.join(repeated, "_base", "left")
         .withColumn("safe_name", F.concat("_base", suffix, F.lit(EXTENSION)))

@@ -6,12 +6,14 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cleansheet.operators.history import append_history
+from cleansheet.operators.history import append_history, read_history
 from cleansheet.plans.dataset import run_dataset
+from cleansheet.session import drop_path, path_exists
 from cleansheet.sources.csv_files import CsvError
-from cleansheet.sources.landing import MAX_BYTES, split_audit
+from cleansheet.sources.landing import file_verdicts
 
 _BATCH_COLUMNS = (
     "user_id string, command string, input_text string, output_text string, provider string, model string, "
@@ -30,44 +32,59 @@ def process_upload(spark: SparkSession, path: str, output_dir: str) -> str:
 
 
 def _outcome(spark: SparkSession, path: str, verdict: str, output: str) -> tuple:
+    """What the history keeps of an upload. A fault of the file is an outcome; any other fault is raised."""
     started = time.perf_counter()
     summary, error = "", None
     if verdict != "ok":
-        error = f"rejected: {verdict}"
+        error = f"not used: {verdict}"
     else:
         try:
             summary = process_upload(spark, path, output)
         except CsvError as problem:
             error = str(problem)
-        except Exception:  # a broken upload must not stop the others; its failure is recorded
-            error = "Unexpected error during dataset processing."
     seconds = time.perf_counter() - started
     return ("stream", "dataset", path, summary, "", "", seconds, int(error is None), error, int(seconds * 1000))
 
 
+def _not_yet_logged(spark: SparkSession, batch: DataFrame, log: str) -> DataFrame:
+    """The rows of a batch that an earlier attempt has not appended already."""
+    if not path_exists(spark, log):
+        return batch
+    known = read_history(spark, log).where(F.col("command") == "dataset").select("id")
+    return batch.join(known, "id", "left_anti")
+
+
 def start(
-    spark: SparkSession, inbox: str, log: str, offsets: str, outputs: str, max_bytes: int = MAX_BYTES,
+    spark: SparkSession, inbox: str, log: str, offsets: str, outputs: str, max_bytes: int | None = None,
     files_per_batch: int = 64, available_now: bool = False,
 ) -> StreamingQuery:
-    """Watch a folder; the checkpoint makes every file run once per commit."""
+    """Watch a folder; the checkpoint makes every file run once per commit.
+
+    A transient fault stops the query, and its next start repeats the batch:
+    outputs are named after batch and file and written over, and history rows
+    carry ids made of the two, so nothing is kept twice.
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.*")
-        .option("maxFilesPerTrigger", files_per_batch).load(inbox)
+        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(inbox)
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        verdicts = split_audit(batch, max_bytes).orderBy("path").collect()
+        verdicts = file_verdicts(batch, max_bytes).orderBy("path").collect()
 
         def run(item: tuple) -> tuple:
             number, row = item
-            return _outcome(spark, row["path"], row["verdict"], f"{outputs}/batch={batch_id}/{number}")
+            folder = f"{outputs}/batch={batch_id}/{number}"
+            drop_path(spark, folder)
+            return _outcome(spark, row["path"], row["verdict"], folder)
 
         with ThreadPoolExecutor(_PARALLEL_UPLOADS) as pool:
             outcomes = list(pool.map(run, enumerate(verdicts)))
         if outcomes:
-            append_history(spark.createDataFrame(outcomes, _BATCH_COLUMNS), log)
+            rows = spark.createDataFrame(outcomes, _BATCH_COLUMNS).withColumn(
+                "id", F.xxhash64(F.lit(offsets), F.lit(batch_id), "input_text"))
+            append_history(_not_yet_logged(spark, rows, log), log)
 
     writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", offsets)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

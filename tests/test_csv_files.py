@@ -53,9 +53,21 @@ def test_headers():
     assert header_names(["a", "a", None, "a", "a.1"]) == ["a", "a.1", "Unnamed: 2", "a.2", "a.1.1"]
 
 
-def test_quoted_newlines_with_multi_line(spark, csv):
-    table = read_for_profile(spark, csv('a,b\n"x\ny",1\nz,2\n'), multi_line=True)
-    assert values(table) == [("x\ny", 1), ("z", 2)]
+def test_headers_that_differ_in_case(spark, csv):
+    assert header_names(["a", "A", "a"]) == ["a", "A.1", "a.2"]
+    assert values(read_for_profile(spark, csv("a,A\n1,x\n"))) == [(1, "x")]
+
+
+def test_quoted_newlines_are_noticed(spark, csv):
+    table = read_for_profile(spark, csv('id,note\n1,"hello\nworld"\n2,ok\n'))
+    assert values(table) == [(1, "hello\nworld"), (2, "ok")] and table.kinds["id"] == "int64"
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("name,id\ny,2\n")
+    with pytest.raises(CsvError, match="differ in header"):
+        read_for_cleaning(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize("text", ["", "a,b\n"])
@@ -94,7 +106,8 @@ def test_byte_order_mark_is_skipped_on_read(spark, csv):
 
 
 def test_printed_cells(spark):
-    numbers = [0.0, 5.0, -2.5, 9999999.0, 12345678.9, 1e15, 1e16, 1.5e300, 0.0005, 0.00001, 123456.789, float("inf"), 1 / 3]
+    numbers = [0.0, 5.0, -2.5, 9999999.0, 12345678.9, 1e15, 1e16, 1.5e300, 0.0005, 0.00001, 123456.789, float("inf"), 1 / 3,
+               0.0012345678901234567, 0.00012345678901234567, 1234567890123456.7]
     df = spark.createDataFrame([(v, v > 1) for v in numbers], "v double, b boolean")
     expected = pd.DataFrame({"v": numbers, "b": [v > 1 for v in numbers]}).to_csv(index=False).splitlines()[1:]
     assert [",".join(r) for r in csv_text(df).collect()] == expected

@@ -17,9 +17,9 @@ def test_run_and_report(spark, csv, tmp_path):
     assert run.after.quality_score == 10.0 and run.after.name == "sales_cleaned.csv"
     rows = dataset.report_rows(spark, run).orderBy("position").collect()
     got = {(r["section"], r["field"]): r["value"] for r in rows}
-    assert got["Before Cleaning", "Duplicate Rows"] == "1" and got["After Cleaning", "Missing Values"] == "0"
-    assert got["Cleaning Summary", "Renamed Columns"] == "Name  → name,  Amount → amount"
-    assert got["Cleaned Dataset", "Filename"] == "sales_cleaned.csv"
+    assert got["before", "repeated rows"] == "1" and got["after", "missing cells"] == "0"
+    assert got["cleaning", "columns renamed"] == "Name  to name,  Amount to amount"
+    assert got["output", "file"] == "sales_cleaned.csv"
 
 
 def test_output_names_do_not_collide(spark, csv, tmp_path):

@@ -14,24 +14,25 @@ from cleansheet.streaming import uploads
 def test_landing(spark, tmp_path):
     files = {
         "ok.csv": b"a\n1\n", "EMPTY.csv": b"", "x.txt": b"a", "latin.csv": b"caf\xe9,1\n", "big.csv": b"a" * 9000,
-        "split.csv": b"a" * 4095 + "é".encode() + b"b", "cut3.csv": b"a" * 4093 + "😀".encode() + b"b",
-        "late.csv": b"a" * 5000 + b"\xe9", "UP.CSV": b"x", ".csv": b"x", "broken.csv": b"a" * 4095 + b"\xff\xff",
-        "end.csv": b"a" * 4095 + b"\xc3",
+        "late.csv": b"a\n" * 3000 + b"\xe9", "UP.CSV": b"x", "plain": b"x", "end.csv": "aé".encode()[:-1],
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
-    got = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in audit_landing(spark, str(tmp_path), 8000).collect()}
-    assert got == {
-        "ok.csv": "ok", "EMPTY.csv": "empty", "x.txt": "extension", "latin.csv": "not_text", "big.csv": "too_large",
-        "split.csv": "ok", "cut3.csv": "ok", "late.csv": "ok", "UP.CSV": "ok", "broken.csv": "not_text",
-        "end.csv": "not_text", **({".csv": "extension"} if ".csv" in got else {}),
+    want = {
+        "ok.csv": "ok", "EMPTY.csv": "empty", "x.txt": "extension", "latin.csv": "not_text", "big.csv": "ok",
+        "late.csv": "not_text", "UP.CSV": "ok", "plain": "extension", "end.csv": "not_text",
     }
+    got = audit_landing(spark, str(tmp_path)).collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in got} == want
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in got} == {n: len(c) for n, c in files.items()}
+    limited = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in audit_landing(spark, str(tmp_path), 8000).collect()}
+    assert limited == {**want, "big.csv": "too_large"}
 
 
-def test_oversized_content_is_not_read(spark, tmp_path):
+def test_whole_files_are_not_loaded(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x")
-    plan = audit_landing(spark, str(tmp_path), 10)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,10)" in plan and "GreaterThan(length,10)" in plan
+    plan = audit_landing(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
 
 
 def test_safe_names(spark):
@@ -39,8 +40,8 @@ def test_safe_names(spark):
     df = spark.createDataFrame(names, "id long, name string")
     got = safe_names(df, "name", F.lit(dt.datetime(2026, 7, 8, 10, 45, 32)), "id")
     assert {r["id"]: r["safe_name"] for r in got.collect()} == {
-        1: "20260708_104532_sales_report.csv", 2: "20260708_104532_sales_report_2.csv", 3: "20260708_104532_upload.csv",
-        4: "20260708_104532_a.b.csv", 5: "20260708_104532_sales_report_5.csv",
+        1: "20260708_104532_sales_report.csv", 2: "20260708_104532_sales_report~2.csv", 3: "20260708_104532_upload.csv",
+        4: "20260708_104532_a.b.csv", 5: "20260708_104532_sales_report~5.csv",
     }
 
 
@@ -116,20 +117,43 @@ def test_upload_stream_runs_each_file_once(spark, tmp_path):
     inbox.mkdir()
     (inbox / "a.csv").write_text("n,t\n1,x\n1,x\n2,y\n")
     (inbox / "bad.txt").write_text("n")
+    (inbox / "README").write_text("n")
     (inbox / "long.csv").write_text("a,b\n1,2,3\n")
     places = [str(tmp_path / p) for p in ("log", "offsets", "cleaned")]
     uploads.run_available(spark, str(inbox), *places)
     got = {r["input_text"].rsplit("/", 1)[1]: r for r in history.read_history(spark, places[0]).collect()}
     assert {n: (r["success"], r["error_message"]) for n, r in got.items() if n != "long.csv"} == {
-        "a.csv": (1, None), "bad.txt": (0, "rejected: extension"),
+        "a.csv": (1, None), "bad.txt": (0, "not used: extension"), "README": (0, "not used: extension"),
     }
     assert "more cells" in got["long.csv"]["error_message"]
     assert got["a.csv"]["output_text"].startswith("rows 3 -> 2, quality 9.0 -> 10.0")
     uploads.run_available(spark, str(inbox), *places)
-    assert history.read_history(spark, places[0]).count() == 3
+    assert history.read_history(spark, places[0]).count() == 4
     (inbox / "b.csv").write_text("n,t\n1,x\n2,y\n")
     uploads.run_available(spark, str(inbox), *places)
-    assert history.read_history(spark, places[0]).count() == 4
+    assert history.read_history(spark, places[0]).count() == 5
+
+
+def test_a_repeated_batch_leaves_nothing_twice(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("n,t\n1,x\n2,y\n")
+    places = [str(tmp_path / p) for p in ("log", "offsets", "cleaned")]
+    uploads.run_available(spark, str(inbox), *places)
+    for commit in (tmp_path / "offsets" / "commits").glob("*0*"):
+        commit.unlink()  # as if the query had died before it could commit
+    uploads.run_available(spark, str(inbox), *places)
+    assert history.read_history(spark, places[0]).count() == 1
+    assert len(list((tmp_path / "cleaned").rglob("*.csv"))) == len({p.parent for p in (tmp_path / "cleaned").rglob("*.csv")})
+
+
+def test_other_faults_are_raised(spark, tmp_path, monkeypatch):
+    def broken(*_):
+        raise OSError("executor lost")
+
+    monkeypatch.setattr(uploads, "process_upload", broken)
+    with pytest.raises(OSError):
+        uploads._outcome(spark, "a.csv", "ok", "out")
 
 
 def test_history_is_created_once(spark, tmp_path):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers, text
-from cleansheet.operators import dedup, frequency, messages, quality, query_audit, statistics
+from cleansheet.operators import dedup, frequency, messages, quality, quantiles, query_audit, statistics
 from cleansheet.operators.columns import nan_to_null
 from cleansheet.operators.quantiles import exact_quantiles
 
@@ -51,8 +51,12 @@ def test_guarded_double(spark):
 @pytest.mark.parametrize(("value", "day"), [
     ("2024-01-02", "2024-01-02"), ("2024/01/02", "2024-01-02"), ("01-02-2024", "2024-01-02"), ("13/01/2024", "2024-01-13"),
     ("Jan 5 2024", "2024-01-05"), ("15 Feb 2024", "2024-02-15"), ("2024-01-02T10:11:12", "2024-01-02"),
-    ("2024-01-02 10:11:12", "2024-01-02"), ("2024", None), ("2024-13-01", None), ("2024-02-30", None), ("2024-1-2", None),
+    ("2024-01-02 10:11:12", "2024-01-02"), ("2024", None), ("2024-13-01", None), ("2024-02-30", None), ("2024-1-2", "2024-01-02"),
     ("2024-01/02x", None), ("soon", None), ("31-12-2024 23:59:59", "2024-12-31"),
+    ("1/5/2024", "2024-01-05"), ("2024-01-05 10:30", "2024-01-05"), ("2024-01-05T10:30:00Z", "2024-01-05"),
+    ("Jan 5, 2024", "2024-01-05"), ("5 January 2024", "2024-01-05"), ("2024-01-05 10:30:00.5", "2024-01-05"),
+    ("may 5, 2024 1:05 pm", "2024-05-05"), ("2024/1/5 23:30 -02:00", "2024-01-06"), ("2024-01-05 13:00 PM", None),
+    ("Jab 5 2024", None), ("2024-01-051", None), ("5 Junes 2024", None), ("2024-01-05 25:00", None),
 ])
 def test_dates(spark, value, day):
     found = one(spark, dates.parse_any, value)
@@ -167,3 +171,26 @@ def test_audit_rule(spark, rule):
 def test_audit_of_clean_text(spark):
     df = spark.createDataFrame([(1, "select a from t where b = '; drop or 1=1 --(' limit 5")], "user_id int, input_text string")
     assert query_audit.audit_rules(df).count() == 0
+
+
+def test_quantiles_have_the_same_bits_by_both_ways(spark):
+    rows = [(float((i * 7919) % 1003) / 7 + (i % 13) * 0.1,) for i in range(1003)]
+    df = spark.createDataFrame(rows, "v double")
+    probabilities = tuple(p / 32 for p in range(1, 32))
+    once = exact_quantiles(df, ["v"], probabilities)
+    for parts in (1, 8):
+        again = exact_quantiles(df.repartition(parts), ["v"], probabilities, single_pass_cells=0, candidate_rows=40)
+        assert again == once
+
+
+def test_halving_when_sketches_bring_no_progress(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_SKETCH_SLACK", 1.0)
+    df = spark.createDataFrame([(float(i % 50) ** 2 - 7,) for i in range(500)], "v double")
+    assert exact_quantiles(df, ["v"], single_pass_cells=0, candidate_rows=5) == exact_quantiles(df, ["v"])
+
+
+def test_checks_look_at_every_value(spark):
+    df = spark.createDataFrame([(i, "x", "7") for i in range(80)] + [(80, " y", "7"), (81, "z", "seven")], "id long, a string, b string")
+    assert [r["message"] for r in quality.recommendations(df, F.col("id")).collect()] == [
+        "`a` has values with outer white space", "`b` holds numbers as text"]
+    assert [tuple(r) for r in quality.inconsistent_columns(df).collect()] == [("b", 82, 81)]
