@@ -42,9 +42,9 @@ from .common import LOWER, chunks, discard, mix, powers, ship, span_hashes, word
 ORDER = 5
 LOCAL, LOCAL_ESCAPE = 12, 6  # bytes of a text's own context; its follower is right 5 times in 6 at first
 END, START, SYMBOLS = 0xFF, 0xFE, 256  # neither byte occurs in UTF-8
-PART_ENTRIES = 6_000_000
-CHUNK = 4 << 20
-HELD_KEYS = 3_000_000
+PART_ENTRIES = 4_000_000
+CHUNK = 1 << 20
+HELD_KEYS = 2_000_000
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -142,7 +142,7 @@ class Lookup:
         code = mix(keys)
         self.order = np.argsort(code)
         self.code = np.append(code[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
-        bits = max(1, int(np.ceil(np.log2(len(keys) + 1))) + 1)
+        bits = max(1, int(np.ceil(np.log2(len(keys) + 1))))
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(
             self.code[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -188,7 +188,7 @@ class Trie:
     """
 
     def __init__(self, longest: np.ndarray, n: np.ndarray, two: np.ndarray, n_two: np.ndarray):
-        """From counts of the part's longest runs and of all two-byte runs of the corpus."""
+        """From counts of the part's longest runs, and of the three-byte runs of the corpus that end in each two-byte run."""
         grams = {ORDER: _sum_by(longest, n)}
         for k in range(ORDER - 1, 1, -1):
             longer = grams[k + 1][0] & _mask(k + 1)
@@ -272,13 +272,17 @@ def repeats(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     code = (total[LOCAL:-1] - total[: size]) * powers(_BASE_BACK, len(buf))[:size]
     text = np.searchsorted(begin, np.arange(LOCAL, len(buf)), "right") - 1
     code = mix(code + text.astype(np.uint64) * _BASE)
-    code[np.arange(size) < begin[text]] = np.arange(np.count_nonzero(np.arange(size) < begin[text]), dtype=np.uint64)
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    same = np.flatnonzero(code[1:] == code[:-1]) + 1
-    new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    often = same - new[np.searchsorted(new, same, "right") - 1]
-    return order[same] + LOCAL, buf[order[same - 1] + LOCAL], often
+    # Sorted together with their places, which is faster than a stable sort; the low bits that this costs are compared after.
+    bits = np.uint64(int(size).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    own = np.flatnonzero(np.arange(size) >= begin[text])
+    key = np.sort((code[own] & ~low) | own.astype(np.uint64))
+    place = (key & low).astype(np.int64)
+    new = np.ones(len(place), bool)
+    new[1:] = code[place[1:]] != code[place[:-1]]
+    same = np.flatnonzero(~new)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
+    return place[same] + LOCAL, buf[place[same - 1] + LOCAL], same - first[same]
 
 
 def local_terms(trie: Trie, buf: np.ndarray, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -294,7 +298,7 @@ def local_terms(trie: Trie, buf: np.ndarray, begin: np.ndarray, run: np.ndarray)
     at, often = at - ORDER, LOCAL_ESCAPE * often
     hit, miss = at[right], at[~right]
     term[hit] = np.log10(1 - 1 / often[right]) - trie.log10(run[hit])
-    wrong = (run[miss] & ~_mask(1)) | foreseen[~right]
+    wrong = (run[miss] & ~_mask(1)) | foreseen[~right].astype(np.uint64)
     term[miss] = -np.log10(often[~right]) - np.log10(np.maximum(1 - 10 ** trie.log10(wrong), 1e-9))
     return term
 
@@ -311,7 +315,7 @@ def _score(part: int, parts: int, shared, ends: int, total: int, distinct: int):
     rest = np.log10(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, look, log_count = shared.value
+        trie, look, count = shared.value
         for batch in batches:
             for at, raw in chunks(batch.column(2).to_pylist(), CHUNK):
                 buf, begin = symbols(raw)
@@ -334,12 +338,13 @@ def _score(part: int, parts: int, shared, ends: int, total: int, distinct: int):
                 row = look.find(code)
                 hit = row >= 0
                 tokens, known = np.bincount(owner, minlength=n), np.bincount(owner, hit, n).astype(np.int64)
-                base = np.bincount(owner, np.where(hit, log_count[row], 0) - rest, n)
+                base = np.bincount(owner, np.log10(np.where(hit, count[row], 0) + 1) - rest, n)
                 if part == 0:
                     tokens, known, base = tokens + 1, known + (ends > 0), base + np.log10(ends + 1) - rest
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.full(n, part, np.int32)),
-                     pa.array(tokens.astype(np.int64)), pa.array(known), pa.array(base), pa.array(coded)],
+                     pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)),
+                     pa.array(coded.astype(np.float64))],
                     ["doc", "version", "pass", "tokens", "known", "words", "bytes"])
     return run
 
@@ -367,18 +372,13 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     ends = n_of(2, "n")
     total, distinct = n_of(1, "n") + ends, n_of(1, "keys") + (ends > 0)
     parts = max(1, -(-max(n_of(0, "keys"), n_of(1, "keys")) // part_entries))
-    last_two = F.col("key").bitwiseAND(F.lit(0xFFFF))
-    two, n_two = _column(model.where("kind = 0").groupBy(last_two.alias("key")).agg(F.sum("n").alias("n")), "key", "n")
+    tail = lambda name, bits: F.col(name).bitwiseAND(F.lit((1 << bits) - 1))
+    three = model.where("kind = 0").select(tail("key", 24).alias("three")).distinct()
+    two, n_two = _column(three.groupBy(tail("three", 16).alias("key")).agg(F.count("*").alias("n")), "key", "n")
     scored = None
     shares = []
     for part in range(parts):
-        mine = _mine(part, parts)
-        six, n_six = _column(model.where("kind = 0").where(mine), "key", "n")
-        word, n_word = _column(model.where("kind = 1").where(F.pmod("key", F.lit(parts)) == _signed(part, parts)),
-                               "key", "n")
-        trie = Trie(six.view(np.uint64), n_six, two.view(np.uint64), n_two)
-        look = Lookup(word.view(np.uint64))
-        shared = spark.sparkContext.broadcast((trie, look, np.append(np.log10(n_word[look.order] + 1), 0)))
+        shared = spark.sparkContext.broadcast(_part(model, part, parts, two, n_two))
         own = rows.select(F.col("doc").cast("string").alias("doc"),
                           F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
         done, place = write_table(own.mapInArrow(_score(part, parts, shared, ends, total, distinct), _SCORED), "ppm-pass")
@@ -399,6 +399,19 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         (F.col("bytes") / F.col("copies")).alias("score"))
 
 
+def _part(model: DataFrame, part: int, parts: int, two: np.ndarray, n_two: np.ndarray) -> tuple[Trie, Lookup, np.ndarray]:
+    """The trie, the words and their counts of one part."""
+    six, n_six = _column(model.where("kind = 0").where(_mine(part, parts)), "key", "n")
+    trie = Trie(six.view(np.uint64), n_six, two.view(np.uint64), n_two)
+    del six, n_six
+    word, n_word = _column(
+        model.where("kind = 1").where(F.pmod("key", F.lit(parts)) == _signed(part, parts)), "key", "n")
+    look = Lookup(word.view(np.uint64))
+    count = np.append(n_word[look.order], 0)
+    look.order = None
+    return trie, look, count
+
+
 def _signed(part: int, parts: int) -> Column:
     """The remainder that Spark sees for keys whose unsigned value has remainder `part`."""
     return F.when(F.col("key") >= 0, F.lit(part)).otherwise(F.lit((part - (1 << 64)) % parts))
