@@ -15,8 +15,10 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ SHARD_DOCS = 2048
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 CHUNK_BYTES = 2 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 500_000
+LEARN_PIECES = 2048
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -50,27 +53,47 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one letter of a token stands for a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, self.kind)
-        self.starts, self.lengths, self.used = [], [], 0
-
-    def _learn(self, codes: list[int], pieces: list[str]) -> None:
-        for code, encoded in zip(codes, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids = encoded.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), self.kind)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.known[code] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(len(ids))
-            self.used += len(ids)
+        self.first = np.zeros(1 << 14, np.int64)  # of each piece in `flat`; one more entry than pieces
+
+    def _learn(self, codes: list[int], pieces: list[bytes]) -> None:
+        """Encode new pieces, many at once where that cannot change them, and remember their ids."""
+        for part in range(0, len(codes), LEARN_PIECES):
+            own = pieces[part : part + LEARN_PIECES]
+            # A space with a visible character behind it begins a piece wherever it stands.
+            joins = [len(p) > 1 and p[0] == 32 and bool(_SOLID[p[1]]) for p in own]
+            order = [i for i, j in enumerate(joins) if j] + [i for i, j in enumerate(joins) if not j]
+            n = sum(joins)
+            texts = [b"".join(own[i] for i in order[:n])] + [own[i] for i in order[n:]]
+            encoded = self.tokenizer.encode_batch_fast(
+                [t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+            flat = np.array(encoded[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[flat]), np.cumsum([len(own[i]) for i in order[:n]]), "left") + 1
+            if n and (self.bytes_of[flat].sum() != len(texts[0]) or ends[-1] != len(flat)):
+                raise ValueError("the vocabulary is not one of bytes")
+            rest = [e.ids for e in encoded[1:]]
+            flat = np.concatenate((flat, np.fromiter(chain.from_iterable(rest), np.int64)))
+            ends = np.concatenate((ends[:n], (ends[n - 1] if n else 0) + np.cumsum([len(r) for r in rest], dtype=np.int64)))
+            row, used = len(self.known), int(self.first[len(self.known)])
+            if row + len(ends) >= len(self.first):
+                self.first = np.concatenate((self.first, np.zeros(len(self.first) + len(ends), np.int64)))
+            if used + len(flat) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(flat)), self.kind)))
+            self.first[row + 1 : row + 1 + len(ends)] = used + ends
+            self.flat[used : used + len(flat)] = flat
+            self.known.update(zip([codes[part + i] for i in order], range(row, row + len(ends))))
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
@@ -94,18 +117,20 @@ class Encoder:
         if not len(buf):
             yield from (np.zeros(0, self.kind) for _ in raw)
             return
-        last = np.flatnonzero(_BLANK[buf[:-1]] & _SOLID[buf[1:]])
-        cut = np.unique(np.concatenate((begin[:-1], last, last[buf[last] != 32] + 1)))
-        cut = cut[cut < len(buf)]
+        mark = np.zeros(len(buf) + 1, bool)
+        mark[begin] = True
+        last = np.flatnonzero(_BLANK[buf[:-1]] & _SOLID[buf[1:]] & ~mark[1:-1])  # not across texts
+        mark[last] = mark[last[buf[last] != 32] + 1] = True
+        cut = np.flatnonzero(mark[:-1])
         end = np.append(cut[1:], len(buf))
         codes, where, piece = np.unique(span_hashes(buf, cut, end), return_index=True, return_inverse=True)
         keys = codes.tolist()
         new = [i for i, c in enumerate(keys) if c not in self.known]
         if new:
             self._learn([keys[i] for i in new], [
-                whole[cut[where[i]] : end[where[i]]].decode("utf-8", "surrogatepass") for i in new])
+                whole[cut[where[i]] : end[where[i]]] for i in new])
         row = np.array([self.known[c] for c in keys])
-        start, length = np.array(self.starts)[row][piece], np.array(self.lengths)[row][piece]
+        start, length = self.first[row][piece], (self.first[row + 1] - self.first[row])[piece]
         total = np.concatenate(([0], np.cumsum(length)))
         ids = self.flat[np.arange(total[-1]) + np.repeat(start - total[:-1], length)]
         of = total[np.searchsorted(cut, begin)]
