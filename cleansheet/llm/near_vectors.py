@@ -6,7 +6,7 @@ built once). Every node then searches every shard: blocks of queries meet the
 shard's graph in one task. The beam of a shard starts at a width that its
 recall audit has passed (a sample of its vectors against brute force, doubled
 until enough neighbours are found), and it is doubled further for every query
-whose beam is full of vectors above the threshold, so the number of partners
+that finds more than half of its beam above the threshold, so the number of partners
 has no limit. A beam wider than an eighth of the shard is the whole shard.
 Cosines of candidates are computed again in double precision before they count.
 
@@ -35,8 +35,9 @@ from .common import components, discard, ship, stored, unite, whole_groups, writ
 
 THRESHOLD = 0.9
 DEGREE, BASE_DEGREE, BUILD_BEAM, FIRST_BEAM = 16, 32, 64, 48
+DESCENT_BEAM, ENTRIES = 32, 12
 MIN_SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 250_000, 16_384
-AUDITED, AUDIT_RECALL = 200, 0.995
+AUDITED, AUDIT_RECALL = 500, 0.995
 SLACK = 1e-4  # of single-precision cosines, so that none that counts is missed
 
 
@@ -135,13 +136,13 @@ class Graph:
         return int(max(16, min(512, (48 << 20) // max(len(self.vectors), 1))))
 
     def _enter(self, q: np.ndarray, layer: int, entry: np.ndarray) -> np.ndarray:
-        """Where to enter a layer: the nearest node found by descending through the layers above it."""
+        """Where to enter a layer: the nearest nodes found by descending through the layers above it."""
         top = len(self.layers) - 1
         if layer == top:
             return np.repeat(entry[None, :1], len(q), 0)
         at = np.repeat(self.layers[top][None, :1], len(q), 0)
         for k in range(top, layer, -1):
-            at = self._search_layer(q, at, k, 4)[0][:, :1]
+            at = self._search_layer(q, at, k, DESCENT_BEAM)[0][:, :ENTRIES]
         return at
 
     def _search_layer(self, q: np.ndarray, entry: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,12 +150,14 @@ class Graph:
         edges, count = self.edges[layer], len(q)
         ids = np.full((count, beam), -1, np.int64)
         sims = np.full((count, beam), -np.inf, np.float32)
-        open_ = np.zeros((count, beam), bool)
-        ids[:, :1] = entry
-        sims[:, 0] = np.einsum("rd,rd->r", self.vectors[entry[:, 0]], q)
-        open_[:, 0] = True
+        width = min(beam, entry.shape[1])
+        ids[:, :width] = entry[:, :width]
+        sims[:, :width] = np.einsum("red,rd->re", self.vectors[ids[:, :width]], q)
+        sims[ids < 0] = -np.inf
+        open_ = ids >= 0
         seen = np.zeros((count, len(self.vectors)), bool)
-        seen[np.arange(count), entry[:, 0]] = True
+        row, place = np.nonzero(open_)
+        seen[row, ids[row, place]] = True
         rows = np.arange(count)
         while len(rows):
             best = np.argmax(np.where(open_[rows], sims[rows], -np.inf), 1)
@@ -183,7 +186,7 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def within(self, q: np.ndarray, threshold: float, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs with a cosine of at least `threshold`, with beams widened until they hold one below it."""
+        """(query, node) pairs with a cosine of at least `threshold`, with beams widened until less than half of them is above it."""
         out = [np.zeros((2, 0), np.int64)]
         start = beam or self.beam
         for part in range(0, len(q), self._rows()):
@@ -194,35 +197,23 @@ class Graph:
                     out.append(np.stack((left[row], node)))
                     break
                 ids, sims = self._search_layer(q[left], self._enter(q[left], 0, self.layers[0][:1]), 0, beam)
-                full = sims[:, -1] >= threshold
+                full = (sims >= threshold).sum(1) * 2 > beam
                 row, place = np.nonzero((sims >= threshold) & ~full[:, None])
                 out.append(np.stack((left[row], ids[row, place])))
                 left, beam = left[full], beam * 2
         return tuple(np.concatenate(out, 1))
 
     def audit(self, threshold: float) -> float:
-        """Widen the first beam until the audited vectors find their nearest neighbour and all above the threshold."""
+        """Widen the first beam until the audited vectors find what brute force finds; the recall reached."""
         n = len(self.vectors)
         picked = np.unique(np.linspace(0, n - 1, min(AUDITED, n)).astype(np.int64))
-        truth = self.vectors[picked] @ self.vectors.T
-        truth[np.arange(len(picked)), picked] = -np.inf
-        wanted = truth >= np.minimum(threshold, truth.max(1))[:, None]
-        wanted &= truth > -np.inf
+        q = self.vectors[picked]
+        wanted = np.count_nonzero(q @ self.vectors.T >= threshold)
         self.beam = FIRST_BEAM
         while True:
-            if self.beam * 8 >= n:
-                return 1.0
-            hit = np.zeros(wanted.shape, bool)
-            for part in range(0, len(picked), self._rows()):
-                q = self.vectors[picked[part : part + self._rows()]]
-                ids, _ = self._search_layer(q, self._enter(q, 0, self.layers[0][:1]), 0, self.beam)
-                row, place = np.nonzero(ids >= 0)
-                hit[part + row, ids[row, place]] = True
-            several = wanted.sum(1) >= self.beam  # those are widened when they are asked for
-            wanted_here = wanted & ~several[:, None]
-            recall = (hit & wanted_here).sum() / max(wanted_here.sum(), 1)
-            if recall >= AUDIT_RECALL or not wanted_here.any():
-                return float(recall)
+            recall = len(self.within(q, threshold)[0]) / max(wanted, 1)
+            if recall >= AUDIT_RECALL or self.beam * 8 >= n:
+                return recall
             self.beam *= 2
 
 
@@ -301,16 +292,18 @@ def _query(threshold: float):
                 true &= ids[query] != shard.node[peer]
                 query, peer = query[true], peer[true]
                 links = np.bincount(query, shard.weight[peer], len(ids)).astype(np.int64)
-                offset = len(labels)
-                labels = np.concatenate((labels, offset + np.arange(len(ids))))
-                _, first = np.unique(np.stack((query, labels[peer])), axis=1, return_index=True)
-                unite(labels, offset + query[first], peer[first])
-                labels = labels[:offset]
+                # A tree of what this batch joins: every query, and peers that no earlier batch has put together.
+                own = np.arange(len(labels) + len(ids))
+                unite(own, len(labels) + query, peer)
+                asking, found = np.unique(query), np.unique(peer)
+                found = found[labels[found] != labels[own[found]]]
+                unite(labels, found, own[found])
+                root = np.concatenate((own[len(labels) + asking], own[found]))
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((ids[some], ids[query[first]]))),
-                    pa.array(np.concatenate((links[some], np.zeros(len(first), np.int64)))),
-                    pa.array(np.concatenate((ids[some], shard.node[peer[first]])))], ["node", "links", "peer"])
+                    pa.array(np.concatenate((ids[some], ids[asking], shard.node[found]))),
+                    pa.array(np.concatenate((links[some], np.zeros(len(root), np.int64)))),
+                    pa.array(np.concatenate((ids[some], shard.node[root])))], ["node", "links", "peer"])
     return run
 
 
