@@ -6,6 +6,9 @@ diagonals (place in the text minus place in the item). Bands of 2 (k + 1)
 diagonals that overlap by half hold every such run whole. Bands with enough
 shared q-grams are aligned inside the band, which decides.
 
+Items of over 1,000 characters are looked for in equal parts of at most that
+size, each a passage by itself, so alignment stays small whatever an item's size.
+
 Case, and the amount of white space, make no difference. The index of the
 benchmark goes to the tasks in blocks of a bounded number of characters, one
 pass over the documents for each block, so its size does not matter.
@@ -31,6 +34,7 @@ from .common import WHITESPACE, fresh, mix, ship
 Q = 10
 EDIT_RATE = 0.08
 BLOCK_CHARS = 1_000_000
+SEGMENT_CHARS = 1000
 CHUNK_CHARS = 1 << 20
 REGION = "doc long, item long, start long, end long, edits long"
 
@@ -71,6 +75,13 @@ def strip(text: str | None) -> str:
     return low.tobytes().decode("utf-32-le", "surrogatepass").strip(" ")
 
 
+def segments(text: str) -> list[str]:
+    """A text in equal parts of at most SEGMENT_CHARS."""
+    count = -(-len(text) // SEGMENT_CHARS)
+    cuts = [len(text) * i // count for i in range(count + 1)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 class Index:
     """The q-grams of a block of items, with their items and places."""
 
@@ -78,7 +89,7 @@ class Index:
         self.q = q
         known = [(i, strip(t)) for i, t in items]
         self.short = [(i, t) for i, t in known if 0 < len(t) < q]
-        known = [(i, t) for i, t in known if len(t) >= q]
+        known = [(i, part) for i, t in known if len(t) >= q for part in segments(t)]
         self.ids = [i for i, _ in known]
         self.texts = [t for _, t in known]
         self.points = [_points(t) for t in self.texts]
