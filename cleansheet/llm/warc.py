@@ -81,6 +81,16 @@ def _from_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).drop("path", "modificationTime", "length")
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed for their way through the shuffle, and their sizes."""
+    for batch in batches:
+        page, url, payload, sha1 = batch.columns
+        raw = payload.to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [page, url, pa.array([zlib.compress(p, 1) for p in raw], pa.binary()), sha1,
+             pa.array([len(p) for p in raw], pa.int64())], ["page", "url", "payload", "sha1", "size"])
+
+
 def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One gzip stream over many records, again and again."""
     task, number = TaskContext.get().partitionId(), 0
@@ -95,7 +105,7 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if stream is None:
                 stream, pieces, size = zlib.compressobj(LEVEL, wbits=31), [], 0
             digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-            raw = record(page, url, payload, digest, first)
+            raw = record(page, url, zlib.decompress(payload), digest, first)
             pieces.append(stream.compress(raw))
             size += len(raw)
             if size >= ARCHIVE_BYTES:
@@ -114,9 +124,11 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
     leaders = rows.where(F.octet_length("payload") >= min_payload).groupBy("sha1").agg(
         F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    refers = F.when(F.octet_length("payload") >= min_payload, F.when(
+    refers = F.when(F.col("size") >= min_payload, F.when(
         ~F.col("page").eqNullSafe(F.col("first")), F.col("first")))
-    marked = rows.join(leaders, "sha1", "left").select("page", "url", "payload", "sha1", refers.alias("refers_to"))
+    # The same plan at every size: no side is known to stay small.
+    small = rows.mapInArrow(_shrink, "page long, url string, payload binary, sha1 string, size long")
+    marked = small.join(leaders.hint("merge"), "sha1", "left").select("page", "url", "payload", "sha1", refers.alias("refers_to"))
     _to_files(marked.mapInArrow(_archive, "archive string, content binary"), path, "archive")
 
 
@@ -178,7 +190,7 @@ _ENTRY = "struct<offset:long,length:long,record_id:string,warc_type:string,targe
 _PARTS = f"archive string, part int, content binary, entries array<{_ENTRY}>, error string"
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rewrite(part_bytes: int):
     entry = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()),
                                 ("warc_type", pa.string()), ("target_uri", pa.string())]))
 
@@ -188,28 +200,32 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([entries], entry), pa.array([error], pa.string())],
             ["archive", "part", "content", "entries", "error"])
 
-    for batch in batches:
-        for content, name in zip(batch.column(0), batch.column(1).to_pylist()):
-            part, members, entries, offset, error = 0, [], [], 0, None
-            try:
-                for raw in split_records(content.as_py()):
-                    member = gzip.compress(raw, LEVEL, mtime=0)
-                    fields, _ = headers(raw)
-                    entries.append({
-                        "offset": offset, "length": len(member), "record_id": fields.get("warc-record-id"),
-                        "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri")})
-                    members.append(member)
-                    offset += len(member)
-                    if offset >= PART_BYTES:
-                        yield out(name, part, members, entries, None)
-                        part, members, entries, offset = part + 1, [], [], 0
-            except (ValueError, KeyError, zlib.error) as fault:
-                error = str(fault) or type(fault).__name__
-            if members or error or not part:
-                yield out(name, part, members, entries, error)
-
-
-def normalise(spark: SparkSession, source: str, target: str, index: str) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, name in zip(batch.column(0), batch.column(1).to_pylist()):
+                part, members, entries, offset, error = 0, [], [], 0, None
+                try:
+                    for raw in split_records(content.as_py()):
+                        member = gzip.compress(raw, LEVEL, mtime=0)
+                        fields, _ = headers(raw)
+                        entries.append({
+                            "offset": offset, "length": len(member), "record_id": fields.get("warc-record-id"),
+                            "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri")})
+                        members.append(member)
+                        offset += len(member)
+                        if offset >= part_bytes:
+                            yield out(name, part, members, entries, None)
+                            part, members, entries, offset = part + 1, [], [], 0
+                except (ValueError, KeyError, zlib.error) as fault:
+                    error = str(fault) or type(fault).__name__
+                if members or error or not part:
+                    yield out(name, part, members, entries, error)
+
+    return run
+
+
+def normalise(spark: SparkSession, source: str, target: str, index: str, part_bytes: int = PART_BYTES,
+              keep_source: bool = True) -> None:
     """Rewrite the archives below `source` with one gzip member per record, and write their index.
 
     Files are read whole, one per row, and inflated in pieces. The index is a
@@ -218,7 +234,9 @@ def normalise(spark: SparkSession, source: str, target: str, index: str) -> None
     """
     ship(spark)
     files = _from_files(spark, source).select("content", F.col("archive").cast("string").alias("archive"))
-    parts, path = write_table(files.mapInArrow(_rewrite, _PARTS), "archive-parts")
+    parts, path = write_table(files.mapInArrow(_rewrite(part_bytes), _PARTS), "archive-parts")
+    if not keep_source:
+        discard(spark, source)
     _to_files(parts, target, "archive", "part")
     parts.select("archive", "part", "error", F.inline_outer("entries")).write.parquet(index)
     discard(spark, path)
@@ -270,7 +288,7 @@ def read_records(spark: SparkSession, target: str, index: str, with_payload: boo
         F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("entries"))
     files = _from_files(spark, target).select(
         "content", F.col("archive").cast("string").alias("archive"), F.col("part").cast("int").alias("part"))
-    return files.join(entries, ["archive", "part"]).select("content", "entries").mapInArrow(
+    return files.join(entries.hint("merge"), ["archive", "part"]).select("content", "entries").mapInArrow(
         _read(with_payload), _RECORDS)
 
 
@@ -284,6 +302,5 @@ def round_trip(pages: DataFrame, **rules) -> DataFrame:
     if pages.isEmpty():
         return spark.createDataFrame([], _RECORDS).drop("payload")
     write_archives(pages, source, **rules)
-    normalise(spark, source, target, index)
-    discard(spark, source)
+    normalise(spark, source, target, index, keep_source=False)
     return read_records(spark, target, index, with_payload=False).drop("payload")
