@@ -303,5 +303,5 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     shards = max(1, -(-n // shard_docs))
     # The row number in the stored table deals copies of one document to different shards.
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.repartition("shard").sortWithinPartitions("shard").select(
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "tokens").select(
         "shard", "doc_id", "tokens", "full", "tail", "width").mapInArrow(_pack(idf, total / max(n, 1), window), _PIECES)
