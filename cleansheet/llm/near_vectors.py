@@ -35,7 +35,7 @@ from .common import components, discard, ship, stored, unite, whole_groups, writ
 
 THRESHOLD = 0.9
 DEGREE, BASE_DEGREE, BUILD_BEAM, FIRST_BEAM = 16, 32, 64, 48
-DESCENT_BEAM, ENTRIES = 32, 12
+DESCENT_BEAM, ENTRIES = 12, 8
 MIN_SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 250_000, 16_384
 AUDITED, AUDIT_RECALL = 500, 0.995
 SLACK = 1e-4  # of single-precision cosines, so that none that counts is missed
