@@ -4,12 +4,17 @@ Vectors that are equal become one node with a weight. Nodes are dealt to
 shards by hash, and each shard gets a graph (written as a table, so it is
 built once). Every node then searches every shard: blocks of queries meet the
 shard's graph in one task. The beam of a shard starts at a width that its
-recall audit has passed (a sample of its vectors against brute force, doubled
-until enough neighbours are found), and it is doubled further for every query
+recall audit has passed, and it is doubled further for every query
 that finds more than half of its beam above the threshold, so the number of partners
 has no limit. A beam wider than an eighth of the shard is the whole shard.
 Cosines of candidates are computed again in double precision before they count.
 
+An audit asks for vectors of the shard, without their match with themselves,
+for vectors of other shards, and for altered copies of vectors of the shard at
+cosines from the threshold up, which have a partner even where links are rare.
+It compares with brute force and doubles the beam until the mean recall of a
+query is high enough for each kind, those that widen their beam counted apart.
+
 A task returns numbers of links and spanning trees, not pairs. Components of
 the trees are the near-duplicate groups.
 
@@ -76,11 +81,33 @@ class Graph:
                 q = self.vectors[batch[part : part + self._rows()]]
                 found.append(self._search_layer(q, self._enter(q, layer, entry), layer, BUILD_BEAM))
             ids, sims = (np.concatenate(x) for x in zip(*found))
+            mates = self._mates(batch, sims[:, wide // 2 - 1], wide // 2)
+            ids, sims = np.concatenate((ids, mates[0]), 1), np.concatenate((sims, mates[1]), 1)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
+            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
             chosen = self._diverse(ids, sims, wide // 2)
             edges[at(batch), : chosen.shape[1]] = chosen
             self._link_back(layer, batch, chosen)
             done += len(batch)
 
+    def _mates(self, batch: np.ndarray, floor: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """The `wide` nearest nodes of the same batch, as far as they are nearer than a row's `floor`."""
+        ids = np.full((len(batch), wide), -1, np.int64)
+        sims = np.full((len(batch), wide), -np.inf, np.float32)
+        own = self.vectors[batch]
+        for part in range(0, len(batch), 128):
+            near = own[part : part + 128] @ own.T
+            near[np.arange(len(near)), part + np.arange(len(near))] = -np.inf
+            hit = near > floor[part : part + 128, None]
+            many = np.flatnonzero(hit.sum(1) > wide)
+            best = np.argpartition(near[many], -wide, axis=1)[:, -wide:] if len(many) else np.zeros((0, wide), np.int64)
+            hit[many] = False
+            hit[many[:, None], best] = True
+            row, mate = np.nonzero(hit)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            ids[part + row, place], sims[part + row, place] = batch[mate], near[row, mate]
+        return ids, sims
+
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, wide: int) -> np.ndarray:
         """Up to `wide` candidates of each row that are closer to the row than to one already chosen; then the nearest."""
         count = len(ids)
@@ -187,7 +214,11 @@ class Graph:
 
     def within(self, q: np.ndarray, threshold: float, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs with a cosine of at least `threshold`, with beams widened until less than half of them is above it."""
-        out = [np.zeros((2, 0), np.int64)]
+        return self._within(q, threshold, beam)[:2]
+
+    def _within(self, q: np.ndarray, threshold: float, beam: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs, and which queries have widened their beam."""
+        out, widened = [np.zeros((2, 0), np.int64)], np.zeros(len(q), bool)
         start = beam or self.beam
         for part in range(0, len(q), self._rows()):
             left, beam = np.arange(part, min(part + self._rows(), len(q))), start
@@ -201,21 +232,57 @@ class Graph:
                 row, place = np.nonzero((sims >= threshold) & ~full[:, None])
                 out.append(np.stack((left[row], ids[row, place])))
                 left, beam = left[full], beam * 2
-        return tuple(np.concatenate(out, 1))
+                widened[left] = True
+        return *np.concatenate(out, 1), widened
 
-    def audit(self, threshold: float) -> float:
-        """Widen the first beam until the audited vectors find what brute force finds; the recall reached."""
+    def audit(self, threshold: float, others: np.ndarray | None = None) -> float:
+        """Widen the first beam until the audited queries find what brute force finds; the least mean recall then.
+
+        `others` are vectors that are not in the graph.
+        """
         n = len(self.vectors)
-        picked = np.unique(np.linspace(0, n - 1, min(AUDITED, n)).astype(np.int64))
-        q = self.vectors[picked]
-        wanted = np.count_nonzero(q @ self.vectors.T >= threshold)
         self.beam = FIRST_BEAM
+        if self.beam * 8 >= n:
+            return 1.0
+        picked = np.unique(np.linspace(0, n - 1, min(AUDITED, n)).astype(np.int64))
+        kinds = [(self.vectors[picked], picked), (_altered(self.vectors[picked], threshold), None)]
+        if others is not None and len(others):
+            kinds.append((np.ascontiguousarray(others, np.float32), None))
+        wanted = [self._count(q, own, threshold) for q, own in kinds]
         while True:
-            recall = len(self.within(q, threshold)[0]) / max(wanted, 1)
+            recall = 1.0
+            for (q, own), many in zip(kinds, wanted):
+                query, node, widened = self._within(q, threshold, self.beam)
+                if own is not None:
+                    query = query[node != own[query]]
+                share = np.minimum(np.bincount(query, minlength=len(q)) / np.maximum(many, 1), 1)
+                for group in (widened, ~widened):
+                    if (group & (many > 0)).any():
+                        recall = min(recall, float(share[group & (many > 0)].mean()))
             if recall >= AUDIT_RECALL or self.beam * 8 >= n:
                 return recall
             self.beam *= 2
 
+    def _count(self, q: np.ndarray, own: np.ndarray | None, threshold: float) -> np.ndarray:
+        """How many nodes other than its `own` brute force finds for each query."""
+        out = np.zeros(len(q), np.int64)
+        for part in range(0, len(q), 64):
+            above = q[part : part + 64] @ self.vectors.T >= threshold
+            if own is not None:
+                above[np.arange(len(above)), own[part : part + 64]] = False
+            out[part : part + 64] = above.sum(1)
+        return out
+
+
+def _altered(vectors: np.ndarray, threshold: float, seed: int = 7) -> np.ndarray:
+    """A unit vector for each given one, at a cosine drawn between the threshold and one."""
+    rng = np.random.RandomState(seed)
+    off = rng.randn(*vectors.shape)
+    off -= (off * vectors).sum(1, keepdims=True) * vectors
+    off /= np.maximum(np.sqrt((off * off).sum(1, keepdims=True)), 1e-12)
+    cosine = threshold + (1 - threshold) * rng.uniform(0.001, 1, (len(vectors), 1))
+    return (cosine * vectors + np.sqrt(1 - cosine * cosine) * off).astype(np.float32)
+
 
 def _rows_of(nodes: np.ndarray, n: int) -> np.ndarray:
     rows = np.full(n, -1, np.int64)
@@ -256,11 +323,15 @@ def _build(threshold: float):
         for table, begin in whole_groups(batches, ["length", "shard"], 1):
             length, shard = table["length"].to_numpy(), table["shard"].to_numpy()
             node, weight = table["node"].to_numpy(), table["weight"].to_numpy()
-            raw = table["raw"].to_pylist()
-            for a, b in zip(begin[:-1], begin[1:]):
-                exact = _unit(np.frombuffer(b"".join(raw[a:b])).reshape(b - a, length[a]))
+            raw, probe = table["raw"].to_pylist(), table["probe"].to_numpy()
+            for a, end in zip(begin[:-1], begin[1:]):
+                b = end - int(np.count_nonzero(probe[a:end]))  # sorted behind the nodes
+                if a == b:
+                    continue
+                exact, others = (np.frombuffer(b"".join(part)).reshape(len(part), length[a]) for part in (raw[a:b], raw[b:end]))
+                exact = _unit(exact)
                 graph = Graph(exact)
-                graph.audit(threshold - SLACK)
+                graph.audit(threshold - SLACK, _unit(others) if len(others) else None)
                 whole = pickle.dumps(Shard(graph, node[a:b].copy(), weight[a:b].copy(), exact), 5)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(length[a : a + 1]), pa.array(shard[a : a + 1]), pa.array([whole], pa.binary())],
@@ -331,9 +402,16 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     dealt = classes.select("node", "weight", "length", "raw").withColumns({
         "shard": F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"),
         "block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int")})
+    # Some vectors of every length, as queries of the audits of all other shards.
+    step = F.greatest(F.col("n") / AUDITED, F.lit(1)).cast("long")
+    probes = dealt.join(classes.groupBy("length").agg(F.count("*").alias("n")), "length").where(
+        F.pmod(F.xxhash64("node", F.lit(2)), step) == 0).select(
+        "node", "weight", "length", "raw", F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))).alias("shard"), F.lit(1).alias("probe"))
     graphs, graphs_path = write_table(
-        dealt.repartition(shards, "length", "shard").sortWithinPartitions("length", "shard").select(
-            "length", "shard", "node", "weight", "raw").mapInArrow(
+        dealt.select("node", "weight", "length", "raw", "shard", F.lit(0).alias("probe")).unionByName(probes).repartition(
+            shards, "length", "shard").sortWithinPartitions("length", "shard", "probe").select(
+            "length", "shard", "node", "weight", "raw", "probe").mapInArrow(
                 _build(threshold), "length int, shard int, graph binary"), "graphs")
     asked = dealt.select(
         "length", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "node", "raw",

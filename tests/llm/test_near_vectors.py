@@ -60,6 +60,42 @@ def test_graph_recall_and_widening():
     assert len(got) >= 0.97 * len(truth)
 
 
+def test_audit_counts_no_self_matches_and_every_query_alike():
+    vectors = near_vectors._unit(np.random.RandomState(8).randn(3000, 32))
+    vectors[1:3000:2] = near_vectors._altered(vectors[::2], 0.9)  # everyone has one partner
+    vectors[:900] = near_vectors._unit(vectors[:1] + np.random.RandomState(9).randn(900, 32) * 0.01)  # a hot group
+    graph = near_vectors.Graph(vectors)
+    whole = graph._within
+
+    def forgetful(q, threshold, beam):
+        query, node, widened = whole(q, threshold, beam)
+        ids = np.argmax(q @ graph.vectors.T, 1)
+        keep = widened[query] | (node == ids[query])  # outside the hot group only the query itself, or its nearest
+        return query[keep], node[keep], widened
+
+    graph._within = forgetful
+    graph.audit(0.9)
+    assert graph.beam * 8 >= len(vectors)
+
+
+def test_audit_asks_for_other_vectors():
+    vectors = near_vectors._unit(np.random.RandomState(8).randn(3000, 32))
+    graph = near_vectors.Graph(vectors)
+    whole, seen = graph._within, []
+    graph._within = lambda q, threshold, beam: seen.append(q) or whole(q, threshold, beam)
+    others = near_vectors._altered(vectors[:50], 0.9, seed=1)
+    graph.audit(0.9, others)
+    assert any(len(q) == 50 and np.allclose(q, others) for q in seen)
+
+
+def test_nodes_of_one_batch_are_linked():
+    vectors = near_vectors._unit(np.random.RandomState(4).randn(2000, 32))
+    vectors[1800:] = near_vectors._altered(vectors[1600:1800], 0.95)  # partners come in the last batch
+    graph = near_vectors.Graph(vectors)
+    linked = [i + 200 in graph.edges[0][i] or i in graph.edges[0][i + 200] for i in range(1600, 1800)]
+    assert np.mean(linked) > 0.99
+
+
 def test_several_shards_keep_recall(spark):
     rows = list(enumerate(clustered(6000, groups=900, seed=3).tolist()))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
