@@ -2,7 +2,11 @@
 
 Texts become token ids; whole windows of a long document stand for themselves,
 and what is left of each document (its tail) is packed. Tails are dealt to
-shards of a bounded number. Each shard holds a BM25 inverted index of its tails
+shards of a bounded number by content: they are sorted by their heaviest BM25
+terms, from a common one to a rare one, and cut into ranges, so tails that
+share them lie together and a hot term is split by the rarer ones. Neighbours
+in another shard are not seen; up to `shard_docs` tails there is one shard and
+the search is complete. Each shard holds a BM25 inverted index of its tails
 over token ids, with document frequencies and the average length counted over
 the whole corpus. A seed opens a window and its neighbours that are still
 unused fill it, best first; the last one is cut where the window ends and its
@@ -25,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, span_hashes, stored, whole_groups
+from .common import discard, ship, span_hashes, stored, whole_groups, write_table
 
 WINDOW = 1024
 END_ID = 0
 SHARD_DOCS = 2048
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 CHUNK_BYTES = 2 << 20
 CACHED_PIECES = 500_000
@@ -207,12 +210,18 @@ class Shard:
         length = np.array([len(t) for t in tails], np.float64)
         norm = K1 * (1 - B + B * length / max(average, 1e-9))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
-        self.first = np.searchsorted(self.term, np.arange(int(flat.max()) + 2 if len(flat) else 1))
+        self.bounds = np.arange(int(flat.max()) + 2 if len(flat) else 1)
+        self.first = np.searchsorted(self.term, self.bounds)
+        self.held = len(tails)
 
     def ranking(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused tails that share one of the seed's rarest terms, best first."""
+        """Unused tails that share a term with the seed, best first."""
+        unused = len(used) - np.count_nonzero(used)
+        if unused * 2 < self.held:  # used tails leave the index from time to time
+            keep = ~used[self.doc]
+            self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
+            self.first, self.held = np.searchsorted(self.term, self.bounds), unused
         terms = np.unique(self.tails[seed])
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]),
                             np.concatenate([self.weight[s] for s in spans]), len(self.tails))
@@ -254,6 +263,28 @@ def fill(shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
         number, seed, at = number + 1, next_seed, next_at
 
 
+def content_keys(ids: np.ndarray, idf: np.ndarray, average: float, rarest: list[float]) -> list[int]:
+    """The heaviest BM25 term of a tail among those of at most each given idf; -1 if it has none."""
+    terms, count = np.unique(ids, return_counts=True)
+    weight = idf[terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / max(average, 1e-9)))
+    out = []
+    for most in rarest:
+        fit = idf[terms] <= most
+        out.append(int(terms[fit][weight[fit].argmax()]) if fit.any() else -1)
+    return out
+
+
+def _key(idf: np.ndarray, average: float, rarest: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [content_keys(_ids(t, w), idf, average, rarest) for t, w in zip(
+                batch.column("tail").to_pylist(), batch.column("width").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * len(rarest)))],
+                [*batch.schema.names, "k1", "k2", "k3"])
+    return run
+
+
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -290,7 +321,7 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tokens = stored(rows.mapInArrow(
+    tokens, tokens_path = write_table(rows.mapInArrow(
         _tokenize(vocabulary, window, end_id),
         "doc_id long, tokens long, full array<long>, tail binary, width int"), "tokens")
     counts = tokens.select("tail", "width").mapInArrow(_count_terms, "token long, n long").groupBy("token").agg(
@@ -301,7 +332,18 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     frequency[list(by)] = list(by.values())
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     shards = max(1, -(-n // shard_docs))
-    # The row number in the stored table deals copies of one document to different shards.
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "tokens").select(
+    if shards > 1:
+        bounds = [max(2.0, shard_docs / 2), max(2.0, shard_docs / 16), 2.0]  # the least document frequencies of the keys
+        rarest = [float(np.log1p((n - least + 0.5) / (least + 0.5))) + 1e-9 for least in bounds]
+        keyed = stored(tokens.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())).mapInArrow(
+            _key(idf, total / max(n, 1), rarest),
+            "doc_id long, tokens long, full array<long>, tail binary, width int, tie long, k1 long, k2 long, k3 long"),
+            "tokens-keyed")
+        discard(docs.sparkSession, tokens_path)
+        # Copies of one document differ in their tie.
+        tokens = keyed.repartitionByRange(shards, "k1", "k2", "k3", "tie")
+    else:
+        tokens = tokens.repartition(1)
+    dealt = tokens.withColumn("shard", F.spark_partition_id().cast("long"))
+    return dealt.sortWithinPartitions("shard", "doc_id", "tokens").select(
         "shard", "doc_id", "tokens", "full", "tail", "width").mapInArrow(_pack(idf, total / max(n, 1), window), _PIECES)

@@ -78,6 +78,30 @@ def test_neighbours_share_a_window():
     assert sum(len(set(w)) == 1 for w in windows.values()) >= len(windows) - 2
 
 
+def test_neighbours_of_many_shards_share_a_window(spark):
+    own = [" ".join(odd.prose(7000 + t, 12).split()) for t in range(40)]
+    rng = random.Random(6)
+    rows = []
+    for d in range(200):
+        words = own[d % 40].split()
+        rng.shuffle(words)
+        rows.append((d, " ".join(words)))
+    windows = {}
+    for p in packing.pack(odd.frame(spark, rows), PATH, window=128, shard_docs=20).collect():
+        windows.setdefault(p["sequence_id"], []).append((p["doc_id"], p["length"]))
+    together = sum(n for w in windows.values() for d, n in w if any(e % 40 == d % 40 and e != d for e, _ in w))
+    assert together >= 0.8 * sum(n for w in windows.values() for _, n in w)
+
+
+def test_all_terms_of_the_seed_count():
+    common, rare = np.arange(1, 41), np.arange(100, 140)  # the seed has more rare terms than were once asked for
+    tails = [np.concatenate((common, rare)), np.arange(200, 240), np.arange(300, 340), common.copy()]
+    idf = np.ones(400)
+    idf[:41] = 0.5
+    shard = packing.Shard(tails, idf, 50.0)
+    assert shard.ranking(0, np.array([True, False, False, False])).tolist() == [3]
+
+
 def test_encoder_agrees_with_the_tokenizer():
     rng = random.Random(2)
     alphabet = "ab é'\n\t    s1.!9日\x1f 　 \x85"
