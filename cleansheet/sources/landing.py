@@ -28,6 +28,11 @@ def verdict(is_text: Column, max_bytes: int | None = None) -> Column:
     )
 
 
+def holds_text(spark: SparkSession, path: str) -> bool:
+    """Whether every line of a file is valid text; the file stays split."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+
+
 def audit_landing(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Verdicts for every file below a folder.
 

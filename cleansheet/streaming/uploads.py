@@ -13,7 +13,7 @@ from cleansheet.operators.history import append_history, read_history
 from cleansheet.plans.dataset import run_dataset
 from cleansheet.session import drop_path, path_exists
 from cleansheet.sources.csv_files import CsvError
-from cleansheet.sources.landing import file_verdicts
+from cleansheet.sources.landing import holds_text, verdict
 
 _BATCH_COLUMNS = (
     "user_id string, command string, input_text string, output_text string, provider string, model string, "
@@ -63,24 +63,29 @@ def start(
     A transient fault stops the query, and its next start repeats the batch:
     outputs are named after batch and file and written over, and history rows
     carry ids made of the two, so nothing is kept twice.
+
+    Only paths and lengths are taken from the stream; contents are read line by
+    line, so a file of any size is shared out over many tasks.
     """
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(inbox)
+        .select("path", "length")
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        verdicts = file_verdicts(batch, max_bytes).orderBy("path").collect()
+        listed = batch.select("path", verdict(F.lit(True), max_bytes).alias("verdict")).orderBy("path").collect()
 
         def run(item: tuple) -> tuple:
             number, row = item
             folder = f"{outputs}/batch={batch_id}/{number}"
             drop_path(spark, folder)
-            return _outcome(spark, row["path"], row["verdict"], folder)
+            text = row["verdict"] != "ok" or holds_text(spark, row["path"])
+            return _outcome(spark, row["path"], row["verdict"] if text else "not_text", folder)
 
         with ThreadPoolExecutor(_PARALLEL_UPLOADS) as pool:
-            outcomes = list(pool.map(run, enumerate(verdicts)))
+            outcomes = list(pool.map(run, enumerate(listed)))
         if outcomes:
             rows = spark.createDataFrame(outcomes, _BATCH_COLUMNS).withColumn(
                 "id", F.xxhash64(F.lit(offsets), F.lit(batch_id), "input_text"))

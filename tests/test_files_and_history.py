@@ -134,6 +134,23 @@ def test_upload_stream_runs_each_file_once(spark, tmp_path):
     assert history.read_history(spark, places[0]).count() == 5
 
 
+def test_upload_stream_reads_no_file_as_one_cell(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "big.csv").write_text("n,t\n" + "".join(f"{i},x\n" for i in range(500)))
+    (inbox / "bytes.csv").write_bytes(b"n,t\n" + b"1,x\n" * 500 + b"\xff\xfe,y\n")
+    places = [str(tmp_path / p) for p in ("log", "offsets", "cleaned")]
+    limit = "spark.sql.sources.binaryFile.maxLength"  # stands for the 2 GiB of a cell
+    spark.conf.set(limit, 1000)
+    try:
+        uploads.run_available(spark, str(inbox), *places)
+    finally:
+        spark.conf.unset(limit)
+    got = {r["input_text"].rsplit("/", 1)[1]: r for r in history.read_history(spark, places[0]).collect()}
+    assert got["big.csv"]["success"] == 1 and got["big.csv"]["output_text"].startswith("rows 500 ->")
+    assert got["bytes.csv"]["error_message"] == "not used: not_text"
+
+
 def test_a_repeated_batch_leaves_nothing_twice(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
