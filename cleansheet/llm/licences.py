@@ -1,13 +1,17 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by comparison with templates.
 
-Lines are paragraphs; longer ones are looked at in overlapping windows. A
+Lines are looked at, and runs of lines without a blank one between them, longer
+ones in overlapping windows. What crosses a line feed counts where no line alone
+has that notice. A
 logistic regression over hashed word n-grams (one to three words) gives each
 the probability of every licence family and of the class `unknown`. It is
 trained here, on altered copies of the templates below and on paragraphs of a
 bounded sample of the corpus that resemble none of them; a temperature fitted
 on examples kept aside calibrates the probabilities. A prediction counts if its
 calibrated probability is high enough and enough of the word pairs of one of
-the family's templates stand in the paragraph.
+the family's templates stand in the paragraph. The words of a notice that has
+been found are then left aside, and other families are looked for in what is
+left of the window, against `unknown` only, so one window can have several.
 
 A null or empty text has no notices, nor has a line without letters. Texts are
 scanned whole. Rows that repeat are one row of the result; null ids stay null.
@@ -107,21 +111,41 @@ class Pieces:
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    word_start: np.ndarray
+    word_end: np.ndarray
+    begin: np.ndarray
 
+    def part(self, i: int, a: int, b: int) -> Pieces:
+        """The words from a to before b as a piece of the text of piece i."""
+        text = self.text[i : i + 1]
+        return Pieces(self.code, np.array([a]), np.array([b]), text, self.word_start[[a]] - self.begin[text],
+                      self.word_end[[b - 1]] - self.begin[text], self.word_start, self.word_end, self.begin)
 
-def pieces(raw: list[bytes]) -> Pieces:
+
+def pieces(raw: list[bytes], across: bool = False) -> Pieces:
+    """Windows of single lines, or those of runs of non-blank lines that cross a line feed."""
     buf, begin = joined(raw)
     low = LOWER[buf]
     start, end = words(np.where(_ALNUM[low], low, np.uint8(32)))
     line = np.concatenate(([0], np.cumsum(buf == 10)))[start]
-    head = np.flatnonzero(np.diff(line, prepend=-1))
+    run = line
+    if across:
+        number = np.concatenate(([0], np.cumsum(buf == 10)))[:-1]
+        blank = np.ones(number[-1] + 1 if len(number) else 1, bool)
+        blank[number[(buf != 32) & ((buf < 9) | (buf > 13))]] = False
+        run = np.cumsum(blank)[line] + np.searchsorted(begin, start, "right") * (len(blank) + 1)
+    head = np.flatnonzero(np.diff(run, prepend=-1))
     size = np.diff(np.append(head, len(start)))
     count = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
     first = np.repeat(head, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     last = np.minimum(first + WINDOW, np.repeat(head + size, count))
+    if across and len(first):
+        crosses = line[first] < line[last - 1]
+        first, last = first[crosses], last[crosses]
     text = np.searchsorted(begin, start[first], "right") - 1 if len(first) else np.zeros(0, np.int64)
     return Pieces(span_hashes(low, start, end), first, last, text,
-                  start[first] - begin[text] if len(first) else first, end[last - 1] - begin[text] if len(first) else last)
+                  start[first] - begin[text] if len(first) else first, end[last - 1] - begin[text] if len(first) else last,
+                  start, end, begin)
 
 
 def features(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -268,37 +292,103 @@ def train(docs: DataFrame, *, text: str = "text", max_sample: int = MAX_SAMPLE)
     return fit(negatives)
 
 
+class Finder:
+    """All notices of a piece."""
+
+    def __init__(self, model: Model, probability: float, similar: float):
+        self.model, self.probability, self.similar = model, probability, similar
+        self.templates = list(_templates().values())
+        self.all = [np.array(sorted(set().union(*t)), np.uint64) for t in self.templates]
+        codes, families = np.unique(np.concatenate(self.all), return_counts=True)
+        self.only = [a[np.isin(a, codes[families == 1])] for a in self.all]
+
+    def likely(self, chance: np.ndarray) -> np.ndarray:
+        """Which families are more probable than `unknown`, by as much as a probability has to be."""
+        known = chance[:, :-1]
+        return known / (known + chance[:, -1:] + 1e-30) >= self.probability
+
+    def notices(self, p: Pieces, i: int, chance: np.ndarray) -> list[tuple[int, int, int, float, float, bool]]:
+        """(family, first word, end word, probability, similarity, main) of each; the main one is told by the whole piece."""
+        own = pairs(p, i)
+        like = [similarity(own, t) for t in self.templates]
+        best = int(chance.argmax())
+        if not (best < len(self.templates) and chance[best] >= self.probability and like[best] >= self.similar):
+            fit = [f for f in np.flatnonzero(self.likely(chance[None])[0]).tolist()
+                   if like[f] >= self.similar and not own.isdisjoint(self.only[f].tolist())]
+            if not fit:
+                return []
+            best = max(fit, key=lambda f: (max(len(own & t) for t in self.templates[f] if len(own & t) >= self.similar * len(t)),
+                                           chance[f]))
+        a, b = int(p.first[i]), int(p.last[i])
+        code = p.code[a:b]
+        pair = mix(code[:-1]) + code[1:]
+        free = np.ones(len(code), bool)
+
+        def leave(family: int) -> np.ndarray:
+            at = np.flatnonzero(np.isin(pair, self.all[family]))
+            free[at] = free[at + 1] = False
+            return at
+
+        at = leave(best)
+        out = [(best, a + int(at[0]), a + int(at[-1]) + 2, _against_unknown(chance, best), like[best], True)] if len(at) else [
+            (best, a, b, _against_unknown(chance, best), like[best], True)]
+        for family in np.argsort(-np.array(like), kind="stable").tolist():
+            if family == best or like[family] < self.similar:
+                continue
+            at = np.flatnonzero(np.isin(pair, self.all[family]) & free[:-1] & free[1:])
+            if not np.isin(pair[at], self.only[family]).any():
+                continue
+            runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+            run = max(runs, key=lambda r: (np.isin(pair[r], self.only[family]).sum(), len(r)))
+            x, y = a + int(run[0]), a + int(run[-1]) + 2
+            alone = self.model.probabilities(p.part(i, x, y))
+            if int(alone[0, :-1].argmax()) == family and self.likely(alone)[0, family]:
+                out.append((family, x, y, _against_unknown(alone[0], family), like[family], False))
+                leave(family)
+        return out
+
+
+def _against_unknown(chance: np.ndarray, family: int) -> float:
+    """The probability of a family, or against `unknown` alone where other families share it."""
+    return float(max(chance[family], chance[family] / (chance[family] + chance[-1] + 1e-30))) if (
+        chance[family] < PROBABILITY) else float(chance[family])
+
+
 _FOUND = "doc_id long, family string, start long, end long, probability double, similarity double"
 
 
 def _scan(model: Model, probability: float, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = _templates()
+        finder = Finder(model, probability, similar)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for at, raw in chunks(texts, 1 << 20):
-                p = pieces(raw)
-                if not len(p.first):
-                    continue
-                chance = model.probabilities(p)
-                best = chance.argmax(1)
-                sure = (best < len(FAMILIES) - 1) & (chance[np.arange(len(best)), best] >= probability)
-                held: dict[tuple[int, int], list] = {}
-                for i in np.flatnonzero(sure):
-                    family, text = int(best[i]), int(p.text[i])
-                    like = similarity(pairs(p, i), templates[FAMILIES[family]])
-                    if like < similar:
-                        continue
-                    a, b, chance_i = int(p.start[i]), int(p.end[i]), float(chance[i, family])
-                    old = held.get((text, family))
-                    if old and a < old[1]:  # the next window of the same line
-                        old[1:] = [b, max(old[2], chance_i), max(old[3], like)]
+                held: dict[tuple[int, int], list[list]] = {}
+                for across in (False, True):
+                    p = pieces(raw, across)
+                    if not len(p.first):
                         continue
-                    if old:
-                        rows.append(_row(ids[at + text], raw[text], family, old))
-                    held[text, family] = [a, b, chance_i, like]
-                rows += [_row(ids[at + text], raw[text], family, hit) for (text, family), hit in held.items()]
+                    chance = model.probabilities(p)
+                    fresh: dict[tuple[int, int], list[list]] = {}
+                    for i in np.flatnonzero(finder.likely(chance).any(1)):
+                        text = int(p.text[i])
+                        for family, x, y, chance_i, like, main in finder.notices(p, i, chance[i]):
+                            if main and not across:
+                                a, b = int(p.start[i]), int(p.end[i])
+                            else:
+                                a, b = int(p.word_start[x] - p.begin[text]), int(p.word_end[y - 1] - p.begin[text])
+                            if across and any(a < h[1] and h[0] < b for h in held.get((text, family), ())):
+                                continue
+                            hits = fresh.setdefault((text, family), [])
+                            old = hits[-1] if hits else None
+                            if old and a < old[1]:  # the next window of the same line
+                                old[:] = [min(a, old[0]), max(b, old[1]), max(old[2], chance_i), max(old[3], like)]
+                            else:
+                                hits.append([a, b, chance_i, like])
+                    for key, hits in fresh.items():
+                        held.setdefault(key, []).extend(hits)
+                rows += [_row(ids[at + text], raw[text], family, hit) for (text, family), hits in held.items() for hit in hits]
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(

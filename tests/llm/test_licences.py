@@ -36,6 +36,27 @@ def test_notice_deep_inside_a_long_line(spark):
     assert hit[:2] == (1, "Apache-2.0") and hit[2] <= text.index(notice) and hit[3] >= text.index(notice) + len(notice)
 
 
+def test_several_notices_in_one_window(spark):
+    mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
+    rows = [(1, "Licensed under the Apache License, Version 2.0 or the MIT license"), (2, f"{mit}. {apache}."),
+            (3, f"{odd.prose(1, 8)} {apache} {odd.prose(2, 6)} {mit} {odd.prose(3, 8)}"),
+            (4, "Licensed under the GNU Affero General Public License, version 3 or later")]
+    got = {}
+    for d, family, _, _ in found(spark, rows):
+        got.setdefault(d, set()).add(family)
+    both = {"MIT", "Apache-2.0"}
+    assert got == {1: both, 2: both, 3: both, 4: {"AGPL"}}
+
+
+def test_notice_wrapped_over_lines(spark):
+    notice = "This work is licensed under a Creative Commons\nAttribution 4.0 International License"
+    lead = odd.prose(1, 20)
+    rows = [(1, f"{lead}\n{notice}\n{odd.prose(2, 20)}"), (2, notice), (3, notice.replace("\n", "\n \n"))]
+    got = {(d, f, rows[d - 1][1][a:b]) for d, f, a, b in found(spark, rows)}
+    assert {(d, f) for d, f, _ in got} == {(1, "CC-BY"), (2, "CC-BY")}
+    assert all("Creative Commons\nAttribution 4.0" in t and len(t) <= len(notice) for _, _, t in got)
+
+
 def test_unknown_is_calibrated():
     texts, labels = licences._examples([odd.prose(9000 + i, 25) for i in range(200)], np.random.RandomState(77), copies=12)
     chance = np.concatenate([MODEL.probabilities(licences.pieces([t.encode()]))[:1] for t in texts])
