@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, licences, line_dedup, near_vectors, packing, ppm, quality, warc
+from . import chat, decontaminate, filter_audit, jaccard_join, licences, line_dedup, near_vectors, packing, ppm, quality
+from . import warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -208,11 +209,61 @@ FROM marked GROUP BY r, doc_id
 """
 
 
+# --- op11 -----------------------------------------------------------------------------------------------------------
+
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(
+        filter_audit.mask_counts(_table(spark, folder, "documents"), _table(spark, folder, "labels")))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+    [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
+judged AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, doc_id,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM docs),
+masks AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM fails LEFT JOIN judged USING (doc_id) GROUP BY part, mask),
+f(letter, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM f v, f w, f x, f y, f z WHERE v.b + w.b + x.b + y.b + z.b = 31
+    AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, bits[s] AS own, coalesce(list_sum(bits[1:s - 1]), 0)::INTEGER AS earlier
+  FROM orders, range(1, 6) AS r(s)),
+rows AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE mask & (earlier | own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM rows
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc,
         "op4_licences": op4_licences, "op5_chat_events": op5_chat_events, "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing, "op8_ppm": op8_ppm, "op9_quality": op9_quality, "op10_line_dedup": op10_line_dedup,
+        "op11_filter_audit": op11_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -220,5 +271,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_vectors": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_events": OP5_SQL,
-        "op10_line_dedup": OP10_SQL,
+        "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL,
     }
