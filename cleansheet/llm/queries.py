@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, filter_audit, jaccard_join, licences, line_dedup, near_vectors, packing, ppm, quality
-from . import warc
+from . import turn_repair, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -258,12 +258,114 @@ FROM rows
 """
 
 
+# --- op12 -----------------------------------------------------------------------------------------------------------
+
+def damaged_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of `conversations` dropped, emptied, cut off, repeated or given to the user, by a checksum of their key."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", *[
+        F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+
+    def printed(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = rows.withColumn("damage", F.crc32(F.concat(printed("conv_id"), F.lit(":"), printed("turn"))) % 20)
+    text = F.when(F.col("damage") == 1, "").when(
+        F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))
+    return rows.where("damage <> 0").select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"), F.explode(times)).drop("col")
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    fixed = turn_repair.repair(damaged_conversations(spark, folder))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    fixed = fixed.withColumn("lines", F.array_join(lines, "\n")).drop("turns").withColumnRenamed("conv_id", "of")
+    every = _table(spark, folder, "conversations").select("conv_id").distinct()
+    both = every.join(fixed, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return both.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("lines", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def _sql_edit(state: str, cost: str, letter: str, *lines: str) -> str:
+    return (f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', "
+            f"'o': list_concat({state}.o, CAST([{', '.join(lines)}] AS VARCHAR[]))}}")
+
+
+def _sql_keep(state: str, initial: str, role: str) -> str:
+    """Keep or rerole a row that becomes `role`; a row to be deleted gets a cost that is never least."""
+    return (f"CASE WHEN fault IN (1, 2) THEN {{'c': 1000000000, 'a': '', 'o': CAST([] AS VARCHAR[])}} "
+            f"WHEN initial = '{initial}' THEN {_sql_edit(state, 'cut', 'K', 'line')} "
+            f"ELSE {_sql_edit(state, '3 + cut', 'R', f"'{role}:' || text")} END")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+    range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    [CAST(ord(x) AS BIGINT) FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]
+      AS name FROM conversations),
+summed AS (
+  SELECT raw.*, xor(list_reduce(name, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS k
+  FROM raw, bytes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM summed WHERE k <> 0),
+placed AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier, role || ':' || text AS line FROM placed),
+faults AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated,
+    count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    max(pos) AS n FROM judged GROUP BY conv_id),
+step(conv_id, pos, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}},
+    {{'c': 1000000000, 'a': '', 'o': CAST([] AS VARCHAR[])}}, {{'c': 3, 'a': 'I', 'o': ['user:']}},
+    {{'c': 6, 'a': 'II', 'o': ['user:', 'assistant:']}} FROM faults
+  UNION ALL
+  SELECT conv_id, pos, a0, a1,
+    list_min([a2, {_sql_edit('a0', '3', 'I', "'user:'")}, {_sql_edit('a1', '3', 'I', "'user:'")},
+      {_sql_edit('a3', '3', 'I', "'user:'")}]),
+    list_min([a3, {_sql_edit('a2', '3', 'I', "'assistant:'")}, {_sql_edit('a0', '6', 'II', "'user:'", "'assistant:'")},
+      {_sql_edit('a1', '6', 'II', "'user:'", "'assistant:'")}])
+  FROM (
+    SELECT conv_id, pos, {_sql_edit('s0', '4', 'D')} AS a0,
+      list_min([{_sql_edit('s1', '4', 'D')}, CASE WHEN initial = 's' AND fault NOT IN (1, 2)
+        THEN {_sql_edit('s0', 'cut', 'K', 'line')} ELSE {_sql_edit('s1', '4', 'D')} END]) AS a1,
+      list_min([{_sql_edit('s2', '4', 'D')}, {_sql_keep('s0', 'u', 'user')}, {_sql_keep('s1', 'u', 'user')},
+        {_sql_keep('s3', 'u', 'user')}]) AS a2,
+      list_min([{_sql_edit('s3', '4', 'D')}, {_sql_keep('s2', 'a', 'assistant')}]) AS a3
+    FROM (
+      SELECT j.*, s0, s1, s2, s3, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM step
+      JOIN judged j ON j.conv_id IS NOT DISTINCT FROM step.conv_id AND j.pos = step.pos + 1))),
+best AS (
+  SELECT faults.*, list_min([s0, s3]) AS best FROM faults
+  JOIN step ON step.conv_id IS NOT DISTINCT FROM faults.conv_id AND step.pos = faults.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc,
         "op4_licences": op4_licences, "op5_chat_events": op5_chat_events, "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing, "op8_ppm": op8_ppm, "op9_quality": op9_quality, "op10_line_dedup": op10_line_dedup,
-        "op11_filter_audit": op11_filter_audit,
+        "op11_filter_audit": op11_filter_audit, "op12_turn_repair": op12_turn_repair,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -271,5 +373,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_vectors": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_chat_events": OP5_SQL,
-        "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL,
+        "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_turn_repair": OP12_SQL,
     }
