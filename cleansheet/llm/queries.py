@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, filter_audit, jaccard_join, licences, line_dedup, near_vectors, packing, ppm, quality
-from . import turn_repair, warc
+from . import chat, decontaminate, filter_audit, jaccard_join, licences, line_dedup, near_vectors, packing, pair_bpe, ppm
+from . import quality, turn_repair, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -360,12 +360,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_
 """
 
 
+# --- op13 -----------------------------------------------------------------------------------------------------------
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_pair_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = word_vocabulary()
+    docs = _table(spark, folder, "documents").select(
+        "doc_id", pair_bpe.encode(spark, F.col("text"), path).alias("ids"))
+    docs = docs.withColumn("decoded", pair_bpe.decode(spark, F.col("ids"), path))
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc,
         "op4_licences": op4_licences, "op5_chat_events": op5_chat_events, "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing, "op8_ppm": op8_ppm, "op9_quality": op9_quality, "op10_line_dedup": op10_line_dedup,
         "op11_filter_audit": op11_filter_audit, "op12_turn_repair": op12_turn_repair,
+        "op13_pair_bpe": op13_pair_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
