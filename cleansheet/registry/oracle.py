@@ -661,6 +661,9 @@ SELECT doc_id, file_name, uploaded_second, concat(base, CASE WHEN doc_id <> min(
         "csv_scan": mo + f"""SELECT CAST(order_id AS DOUBLE) AS order_id, CAST(NULL AS DOUBLE) AS empty_col, qty,
  {', '.join(f"CASE WHEN {c} NOT IN {_in(CSV_NULL_TOKENS)} THEN {c} END AS {c}"
             for c in TEXTS if c != 'empty_col')} FROM mo""",
+        "csv_scan_multiline": "SELECT doc_id, n_chars, " + ", ".join(
+            f"CASE WHEN {c} NOT IN {_in(CSV_NULL_TOKENS)} THEN {c} END AS {c}" for c in ("text", "lang", "source")
+        ) + " FROM documents",
         "clean_export": f"""WITH {CLEAN} SELECT CAST(CAST(order_id AS DOUBLE) AS VARCHAR) AS order_id, priority, confirmed,
  CAST(amount AS VARCHAR) AS amount, CAST(qty AS VARCHAR) AS qty, strftime(order_day, '%Y-%m-%d') AS order_day FROM c""",
         "upload_stream": mo + """SELECT 'dataset' AS command, CAST(0 AS BIGINT) AS n_failed, count(*) AS rows_before,

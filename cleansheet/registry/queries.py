@@ -331,6 +331,14 @@ def csv_scan(spark, folder):
     return csv_files.read_for_profile(spark, target).data
 
 
+@_query
+def csv_scan_multiline(spark, folder):
+    """Documents through CSV: their texts hold line feeds, quotes and commas."""
+    target = scratch_path(spark, "csv")
+    csv_files.write_csv(views.table(spark, folder, "documents"), target)
+    return csv_files.read_for_profile(spark, target).data
+
+
 @_query
 def clean_export(spark, folder):
     source, target = scratch_path(spark, "csv"), scratch_path(spark, "csv")

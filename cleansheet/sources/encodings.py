@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleansheet.sources.records import leaves_open
+
 UTF8 = "utf-8-sig"
 WINDOWS = "cp1252"
 LATIN = "latin-1"
@@ -22,16 +24,15 @@ def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Lines arrive as raw bytes, so files stay splittable and none has to fit
     into one task. `header` is a digest of the first line; `open_quotes` tells that some
-    line ends inside a quoted cell, so the file has records of several lines.
+    line, taken as a record, ends inside a quoted cell, so the file has records of several lines.
     """
     at = F.monotonically_increasing_id()
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), "value",
         F.when(F.col("_metadata.file_block_start") == 0, at).alias("at"))
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     marked = lines.select(
-        "path", "at", F.is_valid_utf8("value").alias("utf8"), (quotes % 2 == 1).alias("open"),
+        "path", "at", F.is_valid_utf8("value").alias("utf8"), leaves_open(F.col("value")).alias("open"),
         F.when(~F.is_valid_utf8("value"), raw.rlike(f"[{_WINDOWS_UNDEFINED}]")).alias("undefined"),
         F.when(F.col("at").isNotNull(), F.sha2(F.regexp_replace("value", "^\ufeff", "").cast("binary"), 256)).alias("first"),
     )
@@ -59,3 +60,9 @@ def after_read(c: Column, encoding: str) -> Column:
 
 def before_write(c: Column, encoding: str) -> Column:
     return F.translate(c, _AS_WINDOWS, _AS_LATIN) if encoding == WINDOWS else c
+
+
+def decoded(value: Column, encoding: Column) -> Column:
+    """A raw line, read as UTF-8, in the encoding that its file was found to have."""
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    return F.when(encoding == UTF8, value).when(encoding == WINDOWS, F.translate(latin, _AS_LATIN, _AS_WINDOWS)).otherwise(latin)

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from cleansheet.operators.dedup import ROW_ORDER
 from cleansheet.operators.naming import standard_names
 from cleansheet.plans.cleaning import clean_dataset
 from cleansheet.sources.csv_files import read_for_cleaning
@@ -15,7 +16,7 @@ def clean(spark, csv, text):
 
 
 def rows(cleaned):
-    return [tuple(r) for r in cleaned.rows.orderBy("_row_order").drop("_row_order").collect()]
+    return [tuple(r) for r in cleaned.rows.orderBy(ROW_ORDER).drop(ROW_ORDER).collect()]
 
 
 def test_rows_equal_only_after_trimming_stay(spark, csv):

@@ -5,6 +5,7 @@ import io
 import pandas as pd
 import pytest
 
+from cleansheet.operators.dedup import ROW_ORDER
 from cleansheet.sources.csv_files import (
     CsvError, csv_text, header_names, read_cells, read_for_cleaning, read_for_profile, write_csv,
 )
@@ -14,7 +15,7 @@ PANDAS_KINDS = {"int64": "int64", "uint64": "uint64", "float64": "float64", "boo
 
 
 def values(table):
-    return [tuple(r) for r in table.rows.orderBy("_row_order").drop("_row_order").collect()]
+    return [tuple(r) for r in table.rows.orderBy(ROW_ORDER).drop(ROW_ORDER).collect()]
 
 
 @pytest.mark.parametrize("cells", [
@@ -93,7 +94,7 @@ def test_encodings(spark, csv, tmp_path, raw, encoding, text):
     if text is not None:
         assert values(table)[0][0] == text
         out = str(tmp_path / "out")
-        write_csv(table.rows.coalesce(1), out, encoding, order="_row_order", byte_order_mark=False)
+        write_csv(table.rows.coalesce(1), out, encoding, order=ROW_ORDER, byte_order_mark=False)
         written = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
         assert written == b"name,v\n" + raw + b",1\nx,2\n"
     if encoding != "utf-8-sig":
@@ -119,7 +120,7 @@ def test_row_order_survives_a_large_file(spark, csv):
     try:
         rows, _ = read_cells(spark, path)
         assert rows.rdd.getNumPartitions() > 4
-        got = [int(r["n"]) for r in rows.orderBy("_row_order").select("n").collect()]
+        got = [int(r["n"]) for r in rows.orderBy(ROW_ORDER).select("n").collect()]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == list(range(200_000))
