@@ -1,164 +1,180 @@
 """Dates kept as text: the accepted formats and how they are tried.
 
-Texts of an accepted shape are rearranged to ISO order and cast. The cast
-checks the calendar without raising and catching an error per value, and one
-cast serves every format, which keeps the generated code small.
-
-A format is a day format with or without a time: minutes, seconds or fractions
-of them, a half of the day, a zone. Days, months and hours may have one digit;
-months are short or full English names.
+One pattern takes a text apart, all its groups at once; what stands where tells
+its format and is put in ISO order and cast. The cast checks the calendar
+without raising and catching an error per value.
+
+A format is a day format with or without a weekday before it and a time behind
+it: minutes, seconds or fractions of them, a half of the day, a zone. Days,
+months and hours may have one digit; months are short or full English names,
+short ones also with a dot. Years of two digits are the latest ones that do not
+lie beyond a last year, 2068 unless told otherwise.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted day formats, month before day where both fit.
 DAY_FORMATS = (
-    "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd/MM/yyyy",
-    "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "MM-dd-yyyy", "MM/dd/yyyy", "MM.dd.yyyy", "dd-MM-yyyy", "dd/MM/yyyy",
+    "dd.MM.yyyy", "MM-dd-yy", "MM/dd/yy", "MM.dd.yy", "dd-MM-yy", "dd/MM/yy", "dd.MM.yy", "yyyyMMdd", "MMM d yyyy",
+    "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "d MMM yy",
+    "d MMMM yy", "d-MMM-yy", "d-MMMM-yy", "MMM yyyy", "MMMM yyyy",
 )
-TIME_SUFFIXES = ("", *(
-    sep + clock + half + zone
-    for sep in (" ", "'T'") for clock in ("HH:mm", "HH:mm:ss", "HH:mm:ss.S") for half in ("", " a") for zone in ("", "X")
-))
-DATE_FORMATS = tuple(day + time for day in DAY_FORMATS for time in TIME_SUFFIXES)
+LAST_YEAR = 2068
 
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
            "december")
-_SHORT = "|".join(m[:3] for m in _MONTHS)
-_FULL = "|".join(_MONTHS)
-_SHAPES = {
-    "yyyy": r"\d{4}", "MMMM": f"(?i:{_FULL})", "MMM": f"(?i:{_SHORT})", "MM": r"\d{1,2}", "dd": r"\d{1,2}",
-    "d": r"\d{1,2}", "HH": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", ".S": r"\.\d{1,9}", "'T'": "T",
-    " a": " ?(?i:am|pm)", "X": r" ?(?:Z|[+-]\d{2}:?\d{2})",
-}
-_TIME = r"[ T](\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: ?((?i:am|pm)))?(?: ?(Z|[+-]\d{2}:?\d{2}))?$"
-_ANY_TIME = "(?:" + _TIME[:-1] + ")?$"
-_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + "(?![0-9])"
-_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})" + "(?![0-9])"
-_NAME_FIRST = rf"^((?i:{_FULL}|{_SHORT})) (\d{{1,2}}),? (\d{{4}})(?![0-9])"
-_DAY_FIRST = rf"^(\d{{1,2}}) ((?i:{_FULL}|{_SHORT})) (\d{{4}})(?![0-9])"
+_NAME = "(?i:" + "|".join(rf"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS) + r"|sept)\.?"
+_WEEKDAY = r"(?i:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?i:day)?"
+_GROUPS = (
+    "weekday", "comma", "packed", "y1", "s1", "m1", "d1", "n2", "s2", "k2", "y2", "name3", "d3", "c3", "y3", "d4", "s4",
+    "name4", "y4", "name5", "y5", "gap", "hour", "minute", "second", "fraction", "half", "zone",
+)
 
 # One pattern that every text in an accepted format fits.
 DATE_LIKE = (
-    r"^(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}"
-    r"|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})" + _ANY_TIME
+    rf"^(?:({_WEEKDAY})(,? ))?(?:(\d{{8}})|(\d{{4}})([-/.])(\d{{1,2}})\5(\d{{1,2}})"
+    rf"|(\d{{1,2}})([-/.])(\d{{1,2}})\9(\d{{4}}|\d{{2}})|({_NAME}) (\d{{1,2}})(,?) (\d{{4}})"
+    rf"|(\d{{1,2}})([ -])({_NAME})\17(\d{{4}}|\d{{2}})|({_NAME}) (\d{{4}}))"
+    r"(?:([ T])(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: ?((?i:am|pm)))?(?: ?(Z|(?i:UTC|GMT)|[+-]\d{2}:?\d{2}))?)?\z"
 )
-
-
-def _shape(fmt: str) -> str:
-    return "^" + re.sub(r"yyyy|MMMM|MMM|MM|dd|d|HH|mm|ss|\.S|'T'| a|X", lambda m: _SHAPES[m.group()], fmt) + "$"
+_CUT = "\x01"
+_DAY_LEADS = r"^(?:EEE,? )?dd[-/.]"
 
 
 def is_date_like(c: Column) -> Column:
-    """Fits the shape of some format. The length, known at once, rules most texts out."""
-    return F.octet_length(c).between(8, 52) & c.rlike(DATE_LIKE)
+    """Fits the shape of some format. The length, known at once, rules many texts out."""
+    return F.octet_length(c).between(6, 64) & c.rlike(DATE_LIKE)
 
 
-def _two(c: Column) -> Column:
-    return F.lpad(c, 2, "0")
+class _Parts:
+    """The groups of a text that fits the pattern; those that took no part are empty."""
 
+    def __init__(self, groups: Column):
+        self.groups = groups
 
-def _time(c: Column) -> Column:
-    """The time of day and zone in ISO form, or nothing; NULL for an hour that its half of the day does not have."""
-    def group(i: int) -> Column:
-        return F.regexp_extract(c, _TIME, i)
+    def __getitem__(self, name: str) -> Column:
+        return F.get(self.groups, F.lit(_GROUPS.index(name)))
 
-    hour, half = group(1).try_cast("int"), F.lower(group(5))
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    seconds = F.when(group(3) == "", "00").otherwise(group(3))
-    clock = F.concat(F.lit(" "), _two(hour.cast("string")), F.lit(":"), group(2), F.lit(":"), seconds, group(4), group(6))
-    return F.when(c.rlike(_TIME), clock).otherwise("")
+    def joined(self, *names: str) -> Column:
+        return F.concat(*[self[n] for n in names])
+
+    def day_leads(self) -> Column:
+        """Two numbers before the year of which the first cannot be a month."""
+        return F.coalesce(self["n2"].try_cast("int") > 12, F.lit(False))
 
 
-def _iso(c: Column, year: Column, month: Column, day: Column) -> Column:
-    return F.concat(year, F.lit("-"), _two(month), F.lit("-"), _two(day), _time(c))
+def _read(c: Column, read: Callable[[_Parts], Column]) -> Column:
+    """An expression over the parts of a date-like text, which are found once; NULL for any other text."""
+    groups = F.split(F.regexp_replace(c, DATE_LIKE, _CUT.join(f"${i + 1}" for i in range(len(_GROUPS)))), _CUT, -1)
+    return F.when(is_date_like(c), F.get(F.transform(F.array(groups), lambda g: read(_Parts(g))), F.lit(0)))
 
 
-def _month(name: Column) -> Column:
-    place = F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), F.lower(F.left(name, F.lit(3))))
-    return place.cast("string")
+def _if(text: Column, then: str | Column) -> Column:
+    return F.when(text != "", then).otherwise("")
 
 
-def _parts(c: Column, pattern: str, *groups: int) -> list[Column]:
-    return [F.regexp_extract(c, pattern, g) for g in groups]
+def _format(p: _Parts, day_leads: Column) -> Column:
+    name = p.joined("name3", "name4", "name5")
+    bare = F.rtrim(name, F.lit("."))
+    is_short = (F.length(bare) == 3) | (F.lower(bare) == "sept")
+    month = F.concat(F.when(is_short, "MMM").otherwise("MMMM"), F.when(name.endswith("."), ".").otherwise(""))
 
+    def year(text: Column) -> Column:
+        return F.when(F.length(text) == 2, "yy").otherwise("yyyy")
 
-def _year_first(c: Column) -> Column:
-    return _iso(c, *_parts(c, _YEAR_FIRST, 1, 3, 4))
+    day = (
+        F.when(p["packed"] != "", "yyyyMMdd")
+        .when(p["y1"] != "", F.concat(F.lit("yyyy"), p["s1"], F.lit("MM"), p["s1"], F.lit("dd")))
+        .when(p["n2"] != "", F.concat(
+            F.when(day_leads, "dd").otherwise("MM"), p["s2"], F.when(day_leads, "MM").otherwise("dd"), p["s2"], year(p["y2"])))
+        .when(p["d3"] != "", F.concat(month, F.lit(" d"), p["c3"], F.lit(" yyyy")))
+        .when(p["d4"] != "", F.concat(F.lit("d"), p["s4"], month, p["s4"], year(p["y4"])))
+        .otherwise(F.concat(month, F.lit(" yyyy")))
+    )
+    time = _if(p["gap"], F.concat(
+        F.when(p["gap"] == "T", "'T'").otherwise(" "), F.lit("HH:mm"), _if(p["second"], ":ss"), _if(p["fraction"], ".S"),
+        _if(p["half"], " a"), _if(p["zone"], "X")))
+    return F.concat(_if(p["weekday"], F.concat(F.lit("EEE"), p["comma"])), day, time)
 
 
-def _name_first(c: Column) -> Column:
-    name, day, year = _parts(c, _NAME_FIRST, 1, 2, 3)
-    return _iso(c, year, _month(name), day)
+def _two(c: Column) -> Column:
+    return F.lpad(c, 2, "0")
 
 
-def _day_first(c: Column) -> Column:
-    day, name, year = _parts(c, _DAY_FIRST, 1, 2, 3)
-    return _iso(c, year, _month(name), day)
+def _time(p: _Parts) -> Column:
+    """The time of day and zone in ISO form, or nothing; NULL for an hour that its half of the day does not have."""
+    hour, half, zone = p["hour"].try_cast("int"), F.lower(p["half"]), p["zone"]
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    seconds = F.when(p["second"] == "", "00").otherwise(p["second"])
+    zone = F.when(F.lower(zone).isin("utc", "gmt"), "Z").when(
+        F.length(zone) == 5, F.concat(F.left(zone, F.lit(3)), F.lit(":"), F.right(zone, F.lit(2)))).otherwise(zone)
+    return _if(p["gap"], F.concat(
+        F.lit(" "), _two(hour.cast("string")), F.lit(":"), p["minute"], F.lit(":"), seconds, p["fraction"], zone))
+
+
+def _iso(p: _Parts, day_leads: Column, last_year: int | Column) -> Column:
+    year = F.concat(F.left(p["packed"], F.lit(4)), p.joined("y1", "y2", "y3", "y4", "y5"))
+    short = year.try_cast("int")
+    last = F.lit(last_year) if isinstance(last_year, int) else last_year
+    year = F.when(F.length(year) == 2, (short + 100 * F.floor((last - short) / 100)).cast("string")).otherwise(year)
+    name = F.lower(F.left(p.joined("name3", "name4", "name5"), F.lit(3)))
+    named = _if(name, F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), name).cast("string"))
+    first, second = p["n2"], p["k2"]
+    month = F.concat(F.substring(p["packed"], 5, 2), p["m1"], F.when(day_leads, second).otherwise(first), named)
+    day = F.concat(F.substring(p["packed"], 7, 2), p["d1"], F.when(day_leads, first).otherwise(second), p.joined("d3", "d4"),
+                   _if(p["y5"], "1"))
+    return F.concat(year, F.lit("-"), _two(month), F.lit("-"), _two(day), _time(p))
 
 
 def parse_with(c: Column, fmt: str) -> Column:
     """Strictly in one format."""
-    first, second, year = _parts(c, _YEAR_LAST, 1, 3, 4)
-    if fmt.startswith("yyyy"):
-        iso = _year_first(c)
-    elif fmt.startswith("MMM"):
-        iso = _name_first(c)
-    elif fmt.startswith("d M"):
-        iso = _day_first(c)
-    elif fmt.startswith("MM"):
-        iso = _iso(c, year, first, second)
-    else:
-        iso = _iso(c, year, second, first)
-    return F.when(c.rlike(_shape(fmt)), iso).try_cast("timestamp")
+    day_leads = F.lit(re.match(_DAY_LEADS, fmt) is not None)
+    iso = _read(c, lambda p: F.when(_format(p, day_leads) == fmt, _iso(p, day_leads, LAST_YEAR)))
+    return iso.try_cast("timestamp")
+
+
+def parse_as(c: Column, fmt: Column) -> Column:
+    """Strictly in the format that a column names, or in any where it names none."""
 
+    def iso(p: _Parts) -> Column:
+        day_leads = F.when(fmt.isNull(), p.day_leads()).otherwise(fmt.rlike(_DAY_LEADS))
+        return F.when(fmt.isNull() | (_format(p, day_leads) == fmt), _iso(p, day_leads, LAST_YEAR))
 
-def _month_leads(c: Column) -> Column:
-    return F.regexp_extract(c, r"^(\d{1,2})", 1).try_cast("int") <= 12
+    return _read(c, iso).try_cast("timestamp")
 
 
-def parse_any(c: Column) -> Column:
+def parse_any(c: Column, day_leads: Column | None = None, last_year: int | Column = LAST_YEAR) -> Column:
     """Each value in the first format that takes it.
 
-    With the year last the month comes first, unless it cannot be one.
+    With the year last the month comes first, unless it cannot be one, or as
+    `day_leads` says.
     """
-    first, second, year = _parts(c, _YEAR_LAST, 1, 3, 4)
-    leads = _month_leads(c)
-    year_last = _iso(c, year, F.when(leads, first).otherwise(second), F.when(leads, second).otherwise(first))
-    iso = (
-        F.when(c.rlike(_YEAR_FIRST), _year_first(c)).when(c.rlike(_YEAR_LAST), year_last)
-        .when(c.rlike(_NAME_FIRST), _name_first(c)).when(c.rlike(_DAY_FIRST), _day_first(c))
-    )
-    return F.when(is_date_like(c), iso).try_cast("timestamp")
+    return _read(
+        c, lambda p: _iso(p, p.day_leads() if day_leads is None else day_leads, last_year)).try_cast("timestamp")
 
 
 def first_format(c: Column) -> Column:
     """The first accepted format that takes the value, else NULL."""
-    leads = _month_leads(c)
-    short = c.rlike(rf"(?i)^(?:\d{{1,2}} )?(?:{_SHORT}) ")
-    comma = F.when(c.contains(","), ",").otherwise("")
-    name = F.when(short, "MMM").otherwise("MMMM")
-    day = (
-        F.when(c.rlike(r"^\d{4}-"), "yyyy-MM-dd")
-        .when(c.rlike(r"^\d{4}/"), "yyyy/MM/dd")
-        .when(c.rlike(r"^\d{1,2}-"), F.when(leads, "MM-dd-yyyy").otherwise("dd-MM-yyyy"))
-        .when(c.rlike(r"^\d{1,2}/"), F.when(leads, "MM/dd/yyyy").otherwise("dd/MM/yyyy"))
-        .when(c.rlike("^[A-Za-z]"), F.concat(name, F.lit(" d"), comma, F.lit(" yyyy")))
-        .otherwise(F.concat(F.lit("d "), name, F.lit(" yyyy")))
-    )
+    return F.when(parse_any(c).isNotNull(), _read(c, lambda p: _format(p, p.day_leads())))
+
+
+def shape(c: Column) -> Column:
+    """The format of a date-like text, month before day wherever both are numbers."""
+    return _read(c, lambda p: _format(p, F.lit(False)))
 
-    def part(i: int, text: str) -> Column:
-        return F.when(F.regexp_extract(c, _TIME, i) != "", text).otherwise("")
 
-    time = F.when(c.rlike(_TIME), F.concat(
-        F.when(c.rlike(r"T\d{1,2}:"), "'T'").otherwise(" "), F.lit("HH:mm"), part(3, ":ss"), part(4, ".S"), part(5, " a"),
-        part(6, "X"))).otherwise("")
-    return F.when(parse_any(c).isNotNull(), F.concat(day, time))
+def written_year(c: Column) -> Column:
+    """The year of a date-like text that writes it in four digits."""
+    return _read(c, lambda p: F.greatest(*[
+        F.when(F.length(p[n]) == 4, p[n].try_cast("int")) for n in ("y1", "y2", "y3", "y4", "y5")],
+        F.left(p["packed"], F.lit(4)).try_cast("int")))
 
 
 def parse_column(c: Column, fmt: str | None) -> Column:

@@ -6,7 +6,7 @@ Every decision the library takes from the data is taken again here in SQL.
 from __future__ import annotations
 
 from cleansheet.functions.text import CSV_NULL_TOKENS, MISSING_TOKENS, WHITESPACE
-from cleansheet.registry.views import DATE_FORMS, MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
+from cleansheet.registry.views import DATE_COLUMNS, DATE_FORMS, MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
 
 
 def _literal(text: str) -> str:
@@ -411,6 +411,8 @@ def _date_forms() -> str:
             value = kept["H:%M:%S"]
         elif "%M" in form:
             value = kept["M"]
+        elif form == "%B %Y":
+            value = "date_trunc('month', moment)"
         else:
             value = day
         arms.append((i, form, value))
@@ -423,6 +425,52 @@ SELECT order_id, CASE order_id % {len(DATE_FORMS)} {written} END AS written,
   order_id % {len(DATE_FORMS)} <> {len(DATE_FORMS) - 1} AS known FROM m"""
 
 
+def _dated_columns() -> str:
+    """The view, and next to every text the day that it stands for."""
+
+    def printed(name: str) -> str:
+        _, form, years, other = DATE_COLUMNS[name]
+        moved = f"(day + INTERVAL {years} YEAR)"
+        text = f"strftime({moved}, {_literal(form)})"
+        if other:
+            text = f"CASE WHEN order_id % 10 = 0 THEN strftime({moved}, {_literal(other[1])}) ELSE {text} END"
+        kept = f"date_trunc('month', {moved})" if name == "month" else moved
+        return (f"CASE WHEN order_id % 40 = 3 THEN 'soon' ELSE {text} END AS {name}, "
+                f"CASE WHEN order_id % 40 <> 3 THEN strftime({kept}, '%Y-%m-%d') END AS {name}_day")
+
+    columns = ", ".join(printed(n) for n in DATE_COLUMNS)
+    return f"""dated AS (
+  SELECT order_id, day, {columns} FROM (SELECT o_orderkey AS order_id, date_trunc('day', o_orderdate) AS day FROM orders))"""
+
+
+def _date_evidence() -> str:
+    shapes = {
+        "dotted": "MM.dd.yyyy", "american": "MM/dd/yy", "future": "MM/dd/yy", "packed": "yyyyMMdd", "mail": "EEE, d MMM yyyy",
+        "named": "d-MMM-yy", "words": None,
+    }
+    others = {"future": "MM/dd/yyyy", "named": "MMM d, yyyy"}
+
+    def shape(name: str) -> str:
+        if name == "month":
+            return "CASE WHEN strftime(day, '%B') = 'May' THEN 'MMM yyyy' ELSE 'MMMM yyyy' END"
+        usual = "NULL" if shapes[name] is None else f"'{shapes[name]}'"
+        return f"CASE WHEN order_id % 10 = 0 THEN '{others[name]}' ELSE {usual} END" if name in others else usual
+
+    def part(name: str) -> str:
+        years = DATE_COLUMNS[name][2]
+        year = f"year(day + INTERVAL {years} YEAR)"
+        written = {"american": "NULL", "future": f"CASE WHEN order_id % 10 = 0 THEN {year} END",
+                   "named": f"CASE WHEN order_id % 10 = 0 THEN {year} END", "words": "NULL"}.get(name, year)
+        return f"""SELECT '{name}' AS column_name, count(*) AS n_values,
+  count(*) FILTER (order_id % 40 <> 3 AND {'false' if name == 'words' else 'true'}) AS n_dates,
+  {'true' if name in ('dotted', 'future') else 'false'} AS day_first,
+  CAST(coalesce(max({written}) FILTER (order_id % 40 <> 3), 2068) AS INTEGER) AS last_year,
+  coalesce((SELECT string_agg(concat(shape, '=', n::VARCHAR), '; ' ORDER BY shape) FROM (SELECT {shape(name)} AS shape, count(*) AS n
+   FROM dated WHERE order_id % 40 <> 3 GROUP BY 1) WHERE shape IS NOT NULL), '') AS shapes FROM dated"""
+
+    return f"WITH {_dated_columns()} " + _union([part(n) for n in DATE_COLUMNS])
+
+
 def _summary() -> str:
     def listed(entry: str, order: str, source: str) -> str:
         return f"coalesce((SELECT string_agg({entry}, '; ' ORDER BY {order}) FROM {source}), '')"
@@ -601,6 +649,9 @@ FROM (SELECT p_partkey, concat(' ', upper(substr(p_name, 1, instr(p_name, ' '))[
  (SELECT avg(CAST({_day('order_day')} IS NOT NULL AS INT)) FROM mo WHERE order_day IS NOT NULL) >= 0.9
  THEN strftime({_day('order_day')}, '%Y-%m-%d %H:%M:%S') END AS order_day, priority FROM mo""",
         "date_forms": _date_forms(),
+        "date_evidence": _date_evidence(),
+        "to_datetime_evidence": f"WITH {_dated_columns()} SELECT order_id, " + ", ".join(
+            c if c == "words" else f"{c}_day AS {c}" for c in DATE_COLUMNS) + " FROM dated",
         "date_export": mo + f"""SELECT order_id, CASE WHEN
  (SELECT avg(CAST({_day('order_day')} IS NOT NULL AS INT)) FROM mo WHERE order_day IS NOT NULL) >= 0.9
  THEN coalesce(strftime({_day('order_day')}, '%Y-%m-%d'), '') ELSE order_day END AS order_day FROM mo""",
@@ -609,7 +660,9 @@ FROM (SELECT p_partkey, concat(' ', upper(substr(p_name, 1, instr(p_name, ' '))[
             f"round(count({_number(_plain('value'))}) / nullif(count(value), 0), 6) AS numeric_ratio, "
             f"round(count({_day('value')}) / nullif(count(value), 0), 6) AS date_ratio FROM ({_long(source, cols)}) "
             "GROUP BY column_name" for n, (source, cols) in table_texts
-        ]),
+        ]) + f"""
+UNION ALL SELECT 'dated_orders', 'written', count(*), round(count(*) FILTER (written SIMILAR TO '[0-9]{{8}}') / count(*), 6),
+  round(count(read) / count(*), 6) FROM ({_date_forms()})""",
         "canonical_categories": mo + "SELECT order_id, " + ", ".join(
             f"CASE WHEN {_is_category('mo', c)} THEN {_canonical(c)} ELSE {c} END AS {c}" for c in ("confirmed", "priority")
         ) + " FROM mo",

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers, text
-from cleansheet.operators import conversion, dedup, frequency, history, inference, messages, missing, naming, quality
+from cleansheet.operators import conversion, date_evidence as evidence, dedup, frequency, history, inference, messages
+from cleansheet.operators import missing, naming, quality
 from cleansheet.operators import query_audit, statistics
 from cleansheet.operators.columns import quoted
 from cleansheet.plans import cleaning, dataset, profiling
@@ -212,6 +213,21 @@ def date_forms(spark, folder):
         dates.first_format(written).isNotNull().alias("known"))
 
 
+@_query
+def date_evidence(spark, folder):
+    """What all values of a column say about how it writes dates."""
+    found = evidence.date_evidence(views.dated_columns(spark, folder).drop("order_id"))
+    shapes = F.transform("shapes", lambda s: F.concat(s["shape"], F.lit("="), s["n"].cast("string")))
+    return found.withColumn("shapes", F.array_join(shapes, "; "))
+
+
+@_query
+def to_datetime_evidence(spark, folder):
+    read = evidence.to_datetime_by_evidence(views.dated_columns(spark, folder))
+    stamps = {n for n, kind in read.dtypes if kind == "timestamp"}
+    return read.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if c in stamps else c for c in read.columns])
+
+
 @_query
 def date_export(spark, folder):
     mo = views.messy_orders(spark, folder).select("order_id", "order_day")
@@ -220,7 +236,8 @@ def date_export(spark, folder):
 
 @_query
 def parse_ratio(spark, folder):
-    return _rounded(_over(_text_tables(spark, folder), conversion.parse_ratios), 6)
+    tables = {**_text_tables(spark, folder), "dated_orders": views.dated_orders(spark, folder)}
+    return _rounded(_over(tables, conversion.parse_ratios), 6)
 
 
 @_query

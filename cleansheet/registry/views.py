@@ -209,13 +209,16 @@ def text_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-# Every accepted form of a date, as Spark and the second engine print it.
+# Forms of a date, as Spark and the second engine print it.
 DATE_FORMS = (
     ("yyyy-MM-dd", "%Y-%m-%d"), ("M/d/yyyy", "%-m/%-d/%Y"), ("yyyy-M-d", "%Y-%-m-%-d"), ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
     ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("MMM d, yyyy", "%b %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"),
     ("yyyy-MM-dd HH:mm:ss'.25'", "%Y-%m-%d %H:%M:%S.25"), ("MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p"),
     ("MMMM d yyyy HH:mm:ss", "%B %-d %Y %H:%M:%S"), ("yyyy/MM/dd HH:mm:ss'+02:00'", "%Y/%m/%d %H:%M:%S+02:00"),
-    ("d MMM yyyy", "%-d %b %Y"), ("MM-dd-yyyy", "%m-%d-%Y"), ("'on' yyyy", "on %Y"),
+    ("d MMM yyyy", "%-d %b %Y"), ("MM-dd-yyyy", "%m-%d-%Y"), ("yyyyMMdd", "%Y%m%d"), ("d-MMM-yyyy", "%-d-%b-%Y"),
+    ("dd-MMM-yy", "%d-%b-%y"), ("M/d/yy", "%-m/%-d/%y"), ("M.d.yyyy", "%-m.%-d.%Y"), ("EEE, dd MMM yyyy", "%a, %d %b %Y"),
+    ("MMM'.' d, yyyy", "%b. %-d, %Y"), ("MMMM yyyy", "%B %Y"), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "%a, %d %b %Y %H:%M:%S GMT"),
+    ("'on' yyyy", "on %Y"),
 )
 
 
@@ -227,3 +230,28 @@ def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     for i, (form, _) in enumerate(DATE_FORMS):
         text = F.when(key % len(DATE_FORMS) == i, F.date_format(moment, form)).otherwise(text)
     return table(spark, folder, "orders").select(key.alias("order_id"), text.alias("written"))
+
+
+# Columns that each write dates in one way: Spark and second-engine form, years added, and a second form for every
+# tenth value. Two columns leave the order of day and month open in many values, one writes most years in two digits.
+DATE_COLUMNS = {
+    "dotted": ("d.M.yyyy", "%-d.%-m.%Y", 0, None), "american": ("M/d/yy", "%-m/%-d/%y", 0, None),
+    "future": ("d/M/yy", "%-d/%-m/%y", 80, ("d/M/yyyy", "%-d/%-m/%Y")), "packed": ("yyyyMMdd", "%Y%m%d", 0, None),
+    "mail": ("EEE, dd MMM yyyy", "%a, %d %b %Y", 0, None), "named": ("d-MMM-yy", "%-d-%b-%y", 0, ("MMM d, yyyy", "%b %-d, %Y")),
+    "month": ("MMMM yyyy", "%B %Y", 0, None), "words": ("'the' d MMMM", "the %-d %B", 0, None),
+}
+
+
+def dated_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The day of an order in several columns; every 40th is no date."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+
+    def printed(form: str, years: int, other: tuple | None) -> Column:
+        moved = F.add_months(day, 12 * years)
+        text = F.date_format(moved, form)
+        if other:
+            text = F.when(key % 10 == 0, F.date_format(moved, other[0])).otherwise(text)
+        return F.when(key % 40 == 3, "soon").otherwise(text)
+
+    return table(spark, folder, "orders").select(
+        key.alias("order_id"), *[printed(f, y, o).alias(n) for n, (f, _, y, o) in DATE_COLUMNS.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cleansheet.functions import dates, numbers, text
 from cleansheet.operators import dedup, frequency, messages, quality, quantiles, query_audit, statistics
 from cleansheet.operators.columns import nan_to_null
+from cleansheet.operators.date_evidence import date_evidence, to_datetime_by_evidence
 from cleansheet.operators.quantiles import exact_quantiles
 
 
@@ -56,6 +57,12 @@ def test_guarded_double(spark):
     ("1/5/2024", "2024-01-05"), ("2024-01-05 10:30", "2024-01-05"), ("2024-01-05T10:30:00Z", "2024-01-05"),
     ("Jan 5, 2024", "2024-01-05"), ("5 January 2024", "2024-01-05"), ("2024-01-05 10:30:00.5", "2024-01-05"),
     ("may 5, 2024 1:05 pm", "2024-05-05"), ("2024/1/5 23:30 -02:00", "2024-01-06"), ("2024-01-05 13:00 PM", None),
+    ("20240105", "2024-01-05"), ("5-Jan-2024", "2024-01-05"), ("05-Jan-24", "2024-01-05"), ("1/5/24", "2024-01-05"),
+    ("5.1.2024", "2024-05-01"), ("13.1.2024", "2024-01-13"), ("Fri, 05 Jan 2024", "2024-01-05"), ("Sept 5, 2024", "2024-09-05"),
+    ("January 2024", "2024-01-01"), ("Sept. 5, 2024", "2024-09-05"), ("Fri, 05 Jan 2024 10:00:00 GMT", "2024-01-05"),
+    ("friday 5 january 2024", "2024-01-05"), ("1/5/69", "1969-01-05"), ("1/5/68", "2068-01-05"), ("20241305", None),
+    ("12345678", None), ("1.5", None), ("1/5/2", None), ("Jan 24", None), ("5-Jan 2024", None), ("1.2.3.4", None),
+    ("2024-01-05 23:30:00 +0200", "2024-01-05"), ("2024-01-05\n", None), ("Mon 2024", None),
     ("Jab 5 2024", None), ("2024-01-051", None), ("5 Junes 2024", None), ("2024-01-05 25:00", None),
 ])
 def test_dates(spark, value, day):
@@ -67,6 +74,27 @@ def test_dates(spark, value, day):
         assert str(one(spark, lambda c: dates.parse_with(c, fmt), value))[:10] == day
 
 
+def test_order_and_century_follow_the_column(spark):
+    rows = [("3/4/24", "1/2/70", "3/4/2024"), ("13/4/24", "3/4/2071", "4/13/2024"), ("5/6/24", "5/6/72", None), ("5/6/24", "5/6/72", "x")]
+    df = spark.createDataFrame(rows, "eu string, late string, mixed string")
+    found = {r["column_name"]: r for r in date_evidence(df).collect()}
+    assert (found["eu"]["day_first"], found["eu"]["n_dates"], found["late"]["day_first"], found["late"]["last_year"]) == (
+        True, 4, False, 2071)
+    assert [tuple(s) for s in found["late"]["shapes"]] == [("MM/dd/yy", 3), ("MM/dd/yyyy", 1)]
+    got = to_datetime_by_evidence(df).collect()
+    assert [str(r["eu"])[:10] for r in got] == ["2024-04-03", "2024-04-13", "2024-06-05", "2024-06-05"]
+    assert [str(r["late"])[:10] for r in got] == ["2070-01-02", "2071-03-04", "1972-05-06", "1972-05-06"]
+    assert [r["mixed"] for r in got] == [r[2] for r in rows]
+
+
+def test_formats_from_a_column(spark):
+    rows = [("03/04/2024", "dd/MM/yyyy", "2024-04-03"), ("03/04/2024", "MM/dd/yyyy", "2024-03-04"), ("13/04/2024", None, "2024-04-13"),
+            ("2024-04-03", "dd/MM/yyyy", None), ("x", None, None)]
+    df = spark.createDataFrame(rows, "v string, f string, day string")
+    for r in df.select("day", dates.as_day_text(dates.parse_as(F.col("v"), F.col("f"))).alias("got")).collect():
+        assert r["got"] == (r["day"] or "")
+
+
 def test_shortened(spark):
     assert one(spark, text.shortened, "x" * 101) == "x" * 100 + "..." and one(spark, text.shortened, "x" * 100) == "x" * 100
 
