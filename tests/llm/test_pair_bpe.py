@@ -27,7 +27,7 @@ def library():
 
 
 def same(texts, library):
-    got = list(pair_bpe.encoder(PATH).encode(texts))
+    got = [ids.tolist() for ids in pair_bpe.encoder(PATH).encode(texts)]
     expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     for t, g, e in zip(texts, got, expected, strict=True):
         assert g == e, t
@@ -47,27 +47,33 @@ def test_random_strings(library):
 
 
 def test_words_are_forgotten(library, monkeypatch):
-    monkeypatch.setattr(pair_bpe, "KNOWN_CHARS", 100)
+    monkeypatch.setattr(pair_bpe, "KNOWN_PIECES", 100)
     monkeypatch.setattr(pair_bpe, "BATCH_CHARS", 200)
     same([odd.prose(i, 20) for i in range(100)], library)
 
 
-def test_merges_against_repeated_search():
+def test_merges_against_repeated_search(monkeypatch):
     """Every row alone, always the pair of the least rank, leftmost first."""
-    v = pair_bpe.encoder(PATH).vocabulary
+    code = pair_bpe.encoder(PATH)
+    rank = code.vocabulary.rank
     rng = random.Random(5)
-    rows = [[v.id_of[c] for c in "".join(rng.choices("aehinorst", k=rng.randint(1, 40)))] for _ in range(300)]
+    pieces = ["".join(rng.choices("aaehinorst", k=rng.randint(1, 40))).encode() for _ in range(300)] + [b"a" * 33, b"e"]
 
-    def plain(row):
-        row = list(row)
+    def plain(piece):
+        row = [*code.inner[list(piece[:-1])].tolist(), int(code.final[piece[-1]])]
         while True:
-            ranks = [(v.rank[p], i) for i, p in enumerate(zip(row, row[1:])) if p in v.rank]
+            codes = [pair_bpe.pair_code(*p) for p in zip(row, row[1:])]
+            ranks = [(rank[c], i) for i, c in enumerate(codes) if c in rank]
             if not ranks:
                 return row
             r, i = min(ranks)
-            row[i : i + 2] = [v.result[r]]
+            row[i : i + 2] = [rank.merged[r]]
 
-    assert pair_bpe.merge_all(rows, v.rank, v.result) == [plain(r) for r in rows]
+    expected = [plain(p) for p in pieces]
+    for many in (1, 24, 10**9):
+        monkeypatch.setattr(pair_bpe, "MANY", many)
+        flat, ends = code.merged(pieces)
+        assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == expected
 
 
 def test_columns(spark, library):
