@@ -6,7 +6,8 @@ Every decision the library takes from the data is taken again here in SQL.
 from __future__ import annotations
 
 from cleansheet.functions.text import CSV_NULL_TOKENS, MISSING_TOKENS, WHITESPACE
-from cleansheet.registry.views import DATE_COLUMNS, DATE_FORMS, MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
+from cleansheet.operators.query_audit import FOLDED, NAME, NO_CALLS, TOKEN
+from cleansheet.registry.views import DATE_COLUMNS, DATE_FORMS, LANDED_FILES, MESSY_COLUMNS, MESSY_HEADINGS, QUERY_TEXTS
 
 
 def _literal(text: str) -> str:
@@ -61,19 +62,19 @@ HISTORY = """hist AS (
 # Cell texts of one column per kind, as in the derived view.
 CELLS = MESSY + """,
 cells AS (
-  SELECT CAST(order_id AS VARCHAR) AS c_whole,
-         CASE WHEN order_id % 7 = 0 THEN 'NULL' ELSE CAST(order_id AS VARCHAR) END AS c_whole_gap,
-         CAST(CAST(9223372036854775807 AS HUGEINT) + order_id AS VARCHAR) AS c_big,
-         concat('99999999999999999999', CAST(order_id AS VARCHAR)) AS c_huge,
-         concat(CAST(order_id AS VARCHAR), '.5e-3') AS c_real,
-         CASE WHEN order_id % 2 = 0 THEN 'TRUE' ELSE 'false' END AS c_flag,
-         CASE WHEN order_id % 2 = 0 THEN 'True' WHEN order_id % 3 = 0 THEN 'n/a' ELSE 'False' END AS c_flag_gap,
-         CASE WHEN order_id % 2 = 0 THEN '' ELSE '#N/A' END AS c_nothing,
-         CASE WHEN order_id % 5000 = 17 THEN '1d' ELSE CAST(order_id AS VARCHAR) END AS c_almost,
+  SELECT CAST(k AS VARCHAR) AS c_whole,
+         CASE WHEN k % 7 = 0 THEN 'NULL' ELSE CAST(k AS VARCHAR) END AS c_whole_gap,
+         CAST(CAST(9223372036854775807 AS HUGEINT) + k AS VARCHAR) AS c_big,
+         concat('99999999999999999999', CAST(k AS VARCHAR)) AS c_huge,
+         concat(CAST(k AS VARCHAR), '.5e-3') AS c_real,
+         CASE WHEN k % 2 = 0 THEN 'TRUE' ELSE 'false' END AS c_flag,
+         CASE WHEN k % 2 = 0 THEN 'True' WHEN k % 3 = 0 THEN 'n/a' ELSE 'False' END AS c_flag_gap,
+         CASE WHEN k % 2 = 0 THEN '' ELSE '#N/A' END AS c_nothing,
+         CASE WHEN k % 5000 = 17 THEN '1d' ELSE CAST(k AS VARCHAR) END AS c_almost,
          CAST(order_id AS VARCHAR) AS c_order_id, priority AS c_priority, confirmed AS c_confirmed,
          amount AS c_amount, CAST(qty AS VARCHAR) AS c_qty, order_day AS c_order_day,
          empty_col AS c_empty_col, const_col AS c_const_col
-  FROM mo WHERE order_id IS NOT NULL
+  FROM (SELECT *, coalesce(order_id, 0) AS k FROM mo)
 )"""
 CELL_COLUMNS = [
     "c_whole", "c_whole_gap", "c_big", "c_huge", "c_real", "c_flag", "c_flag_gap", "c_nothing", "c_almost",
@@ -531,39 +532,95 @@ SELECT column_name, CASE
 FROM marked GROUP BY column_name"""
 
 
-# rule, severity, condition on the normalised text.
+# rule, severity, condition on a select (s), a unit (u) or a statement (t) of the text, or on the whole.
+_FROM = r"regexp_extract(s, '\bfrom\b(.*?)(?:\b(?:where|group|having|order|limit|window|qualify|fetch|for)\b|$)', 1)"
+_WHERE = r"regexp_extract(u, '\bwhere\b(.*?)(?:\b(?:group|having|order|limit|window|qualify|fetch)\b|$)', 1)"
 _RULES = {
-    "select_star": ("Medium", r"regexp_matches(s, '\bselect\s+(distinct\s+)?\*')"),
-    "select_without_where": ("Low", r"regexp_matches(s, '^\s*select\b') AND NOT regexp_matches(s, '\bwhere\b')"),
-    "delete_without_where": ("High", r"regexp_matches(s, '^\s*delete\b') AND NOT regexp_matches(s, '\bwhere\b')"),
-    "update_without_where": ("High", r"regexp_matches(s, '^\s*update\b') AND NOT regexp_matches(s, '\bwhere\b')"),
-    "truncate": ("High", r"regexp_matches(s, '^\s*truncate\b')"),
-    "drop": ("High", r"regexp_matches(s, '^\s*drop\b')"),
-    "eq_null": ("Medium", r"regexp_matches(s, '(=|<>|!=)\s*null\b')"),
-    "leading_wildcard_like": ("Medium", r"regexp_matches(s, '\blike\s+''%')"),
-    "order_without_limit": ("Low", r"regexp_matches(s, '\border\s+by\b') AND NOT regexp_matches(s, '\blimit\b')"),
-    "function_on_column": ("Medium", r"regexp_matches(s, '\bwhere\b.*\b\w+\([^)]*\)\s*(=|<|>)')"),
+    "select_star": ("Medium", "selects", r"regexp_matches(s, '^select (?:distinct |all )?\*')"),
+    "select_without_where": ("Low", "selects", r"NOT regexp_matches(s, '\bwhere\b')"),
+    "delete_without_where": ("High", "units", r"regexp_matches(u, '^delete\b') AND NOT regexp_matches(u, '\bwhere\b')"),
+    "update_without_where": ("High", "units", r"regexp_matches(u, '^update\b') AND NOT regexp_matches(u, '\bwhere\b')"),
+    "truncate": ("High", "statements", r"regexp_matches(t, '^truncate\b')"),
+    "drop": ("High", "statements", r"regexp_matches(t, '^drop\b')"),
+    "eq_null": ("Medium", "units", rf"regexp_matches(CASE WHEN regexp_matches(u, '^update\b') THEN {_WHERE} ELSE u END, "
+                r"'(?:=|<>|!=) null\b')"),
+    "leading_wildcard_like": ("Medium", "units", r"regexp_matches(u, '\bi?like ''%')"),
+    "order_without_limit": (
+        "Low", "selects", r"regexp_matches(s, '\border by\b') AND NOT regexp_matches(s, '\b(?:limit|fetch)\b')"),
+    "function_on_column": (
+        "Medium", "units", rf"len(list_filter(regexp_extract_all({_WHERE}, '(\w+) {FOLDED} (?:=|<|>|!)', 1), "
+        f"lambda w: w NOT IN {_in(NO_CALLS)})) > 0"),
     "cartesian_join": (
-        "High",
-        r"regexp_matches(s, '\bcross\s+join\b') OR regexp_matches(s, '\bfrom\s+[\w.]+(\s+(as\s+)?\w+)?\s*,') OR "
-        r"len(regexp_extract_all(s, '\bjoin\b')) > len(regexp_extract_all(s, '\b(on|using)\b'))",
-    ),
+        "High", "selects", rf"contains({_FROM}, ',') OR regexp_matches({_FROM}, '\bcross join\b') OR "
+        rf"len(regexp_extract_all({_FROM}, '\bjoin\b')) - len(regexp_extract_all({_FROM}, '\bnatural\b')) > "
+        rf"len(regexp_extract_all({_FROM}, '\b(?:on|using)\b'))"),
     "having_without_group": (
-        "Medium", r"regexp_matches(s, '\bhaving\b') AND NOT regexp_matches(s, '\bgroup\s+by\b')"),
-    "unbalanced_parens": ("High", r"length(replace(s, '(', '')) <> length(replace(s, ')', ''))"),
-    "injection_pattern": ("High", r"regexp_matches(s, '\bor\s+1\s*=\s*1\b|;\s*\w|--\s*$')"),
-    "select_without_from": ("Medium", r"regexp_matches(s, '^\s*select\b') AND NOT regexp_matches(s, '\bfrom\b')"),
-    "distinct_used": ("Low", r"regexp_matches(s, '\bselect\s+distinct\b')"),
+        "Medium", "selects", r"regexp_matches(s, '\bhaving\b') AND NOT regexp_matches(s, '\bgroup by\b')"),
+    "unbalanced_parens": (
+        "High", "", "length(replace(flat, '(', '')) <> length(replace(flat, ')', '')) OR regexp_matches(folded, '[()]')"),
+    "injection_pattern": (
+        "High", "", r"regexp_matches(flat, '\bor 1 = 1\b') OR len(statements) > 1 OR "
+        r"coalesce(regexp_matches(tokens[-1], '^--\s*$'), false)"),
+    "select_without_from": ("Medium", "selects", r"NOT regexp_matches(s, '\bfrom\b')"),
+    "distinct_used": ("Low", "selects", r"regexp_matches(s, '^select distinct\b')"),
 }
 
-_AUDITED = f"""logged AS (
-  SELECT event_id AS id, user_id, replace([{', '.join(_literal(q) for q in QUERY_TEXTS)}][event_id % {len(QUERY_TEXTS)} + 1],
-         '{{u}}', CAST(user_id AS VARCHAR)) AS input_text FROM events),
-flat AS (SELECT id, user_id, regexp_replace(regexp_replace(lower(input_text), '\\s+', ' ', 'g'),
-         '''(%?)[^'']*''', '''\\1''', 'g') AS s FROM logged),
+
+def _rule_test(looks_at: str, test: str) -> str:
+    if not looks_at:
+        return test
+    name = {"selects": "s", "units": "u", "statements": "t"}[looks_at]
+    return f"len(list_filter({looks_at}, lambda {name}: {test})) > 0"
+
+
+def _asked(key: str, number: str) -> str:
+    texts = ", ".join(_literal(q) for q in QUERY_TEXTS)
+    return f"replace([{texts}][{key} % {len(QUERY_TEXTS)} + 1], '{{u}}', CAST({number} AS VARCHAR))"
+
+
+_TOKEN = _literal(TOKEN.replace("*+", "*"))
+_MAIN = (r"list_filter(list_transform({units}, lambda u: CASE WHEN regexp_matches(trim(u), '^with\b') "
+         r"THEN regexp_extract(trim(u), '\b(?:select|insert|update|delete|merge)\b.*', 0) ELSE trim(u) END), lambda u: u <> '')")
+_AUDITED = rf"""RECURSIVE logged AS (
+  SELECT event_id AS id, user_id, concat(
+    CASE WHEN event_id % 3 = 0 THEN concat('/* ', event_type, '; drop ( */ ') ELSE '' END, {_asked('event_id', 'user_id')},
+    CASE WHEN event_id % 2 = 0 THEN concat(' -- at ', epoch_us(ts)::VARCHAR, '; delete '' or 1=1') ELSE '' END) AS input_text
+  FROM events
+  UNION ALL
+  SELECT doc_id + 1000000000000, doc_id % 97, CASE (doc_id // {len(QUERY_TEXTS)}) % 7
+    WHEN 0 THEN concat('/*', replace(text, '*/', ''), '*/', sql)
+    WHEN 1 THEN concat(sql, ' ', line)
+    WHEN 2 THEN concat('with c as (select a from t where b = ', lit, ') ', sql)
+    WHEN 3 THEN concat('select x from (', sql, ') as "', replace(text, '"', '""'), '" where x = 1 limit 1')
+    WHEN 4 THEN concat(replace(upper(sql), ' ', concat(chr(10), chr(9), ' ')), line)
+    WHEN 5 THEN concat('select a from t where b in (', lit, ', (', sql, ')) limit 3')
+    ELSE concat('select a from t where b = ', lit, ' limit 1 union all ', sql) END
+  FROM (SELECT doc_id, text, {_asked('doc_id', 'n_chars')} AS sql, concat('''', replace(text, '''', ''''''), '''') AS lit,
+          concat('--', replace(text, chr(10), ' '), chr(10)) AS line FROM documents)),
+lexed AS (SELECT id, user_id, regexp_extract_all(input_text, {_TOKEN}) AS tokens FROM logged),
+flattened AS (
+  SELECT *, array_to_string(list_transform(
+    list_filter(tokens, lambda t: NOT (starts_with(t, '--') OR starts_with(t, '/*'))),
+    lambda t: CASE WHEN starts_with(t, '''%') THEN '''%''' WHEN starts_with(t, '''') THEN ''''''
+      WHEN starts_with(t, '"') OR starts_with(t, '`') THEN '{NAME}' WHEN t = '{FOLDED}' THEN '?' ELSE lower(t) END), ' ') AS flat
+  FROM lexed),
+folding(id, n, folded, blocks) AS (
+  SELECT id, 0, flat, CAST([] AS VARCHAR[]) FROM flattened
+  UNION ALL
+  SELECT id, n + 1, regexp_replace(folded, '\(([^()]*)\)', '{FOLDED}', 'g'),
+    list_concat(blocks, regexp_extract_all(folded, '\(([^()]*)\)', 1)) FROM folding WHERE regexp_matches(folded, '\([^()]*\)')),
+apart AS (
+  SELECT f.id, user_id, tokens, flat, folded, {_MAIN.format(units="string_split(folded, ';')")} AS statements,
+    {_MAIN.format(units="list_concat(string_split(folded, ';'), blocks)")} AS units
+  FROM flattened f JOIN (SELECT id, arg_max(folded, n) AS folded, arg_max(blocks, n) AS blocks FROM folding GROUP BY id) USING (id)),
+judged AS (
+  SELECT *, list_filter(flatten(list_transform(units, lambda u: CASE WHEN regexp_matches(u, '^(?:grant|revoke|deny)\b')
+    THEN CAST([] AS VARCHAR[]) ELSE list_transform(
+      string_split_regex(u, '\b(?:union(?: all| distinct)?|intersect(?: all)?|except(?: all)?|minus)\b'),
+      lambda p: regexp_extract(p, '\bselect\b.*', 0)) END)), lambda s: s <> '') AS selects FROM apart),
 hits AS ({_union([
-    f"SELECT id, user_id, '{rule}' AS rule, '{severity}' AS severity FROM flat WHERE {test}"
-    for rule, (severity, test) in _RULES.items()])})"""
+    f"SELECT id, user_id, '{rule}' AS rule, '{severity}' AS severity FROM judged WHERE {_rule_test(looks_at, test)}"
+    for rule, (severity, looks_at, test) in _RULES.items()])})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -695,13 +752,14 @@ FROM counts""",
         "cleaning_actions": f"WITH {CLEAN} {_ACTIONS}",
         "before_after": _after_profile(),
         "dataset_report": _report(),
-        "landing_audit": """
+        "landing_audit": f"""
 SELECT path, length, CASE WHEN NOT lower(path) LIKE '%.csv' THEN 'extension' WHEN length = 0 THEN 'empty'
-       WHEN length > 16384 THEN 'too_large' WHEN broken THEN 'not_text' ELSE 'ok' END AS verdict
-FROM (SELECT concat('landing/f', CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 11 = 0 THEN '.txt'
-             WHEN doc_id % 3 = 0 THEN '.CSV' ELSE '.csv' END) AS path, doc_id % 7 = 0 AS broken,
-             CAST(CASE WHEN doc_id % 13 = 0 THEN 0 ELSE octet_length(encode(text))
-             + CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END END AS BIGINT) AS length FROM documents)""",
+       WHEN length > 30000 THEN 'too_large' WHEN broken THEN 'not_text' ELSE 'ok' END AS verdict
+FROM (SELECT concat('f', n::VARCHAR, CASE WHEN n % 11 = 0 THEN '.txt' WHEN n % 3 = 0 THEN '.CSV' ELSE '.csv' END) AS path,
+             n % 5 = 0 AND bool_or(doc_id % 7 = 0) AS broken,
+             CAST(CASE WHEN n % 13 = 0 THEN 0 ELSE sum(octet_length(encode(text)) + 1
+               + CASE WHEN doc_id % 7 = 0 AND n % 5 = 0 THEN 2 ELSE 0 END) END AS BIGINT) AS length
+      FROM (SELECT *, doc_id % {LANDED_FILES} AS n FROM documents) GROUP BY n)""",
         "safe_names": """
 WITH named AS (SELECT doc_id, concat('../data/', CASE WHEN doc_id % 9 = 0 THEN '???'
     ELSE concat(source, ' répört (', lang, ')') END, '.v1.CSV') AS file_name,
@@ -719,9 +777,9 @@ SELECT doc_id, file_name, uploaded_second, concat(base, CASE WHEN doc_id <> min(
         ) + " FROM documents",
         "clean_export": f"""WITH {CLEAN} SELECT CAST(CAST(order_id AS DOUBLE) AS VARCHAR) AS order_id, priority, confirmed,
  CAST(amount AS VARCHAR) AS amount, CAST(qty AS VARCHAR) AS qty, strftime(order_day, '%Y-%m-%d') AS order_day FROM c""",
-        "upload_stream": mo + """SELECT 'dataset' AS command, CAST(0 AS BIGINT) AS n_failed, count(*) AS rows_before,
- (SELECT count(*) FROM (SELECT DISTINCT * FROM mo WHERE order_id IS NOT NULL)) AS rows_after
- FROM mo WHERE order_id IS NOT NULL""",
+        "upload_stream": mo + f"""SELECT 'dataset' AS command, CAST(0 AS BIGINT) AS n_failed, count(*) AS rows_before,
+ (SELECT count(*) FROM (SELECT DISTINCT * FROM mo) WHERE NOT ({' AND '.join(f'{c} IS NULL' for c in MESSY_COLUMNS)}))
+   AS rows_after FROM mo""",
         "history_recent": hist + f"SELECT {history_columns} FROM hist ORDER BY created_at DESC, id DESC LIMIT 10",
         "history_by_user": hist
         + f"SELECT {history_columns} FROM hist WHERE user_id = 7 ORDER BY created_at DESC, id DESC LIMIT 20",

@@ -332,7 +332,8 @@ def dataset_report(spark, folder):
 
 @_query
 def landing_audit(spark, folder):
-    return landing.file_verdicts(views.landed_files(spark, folder), max_bytes=16384)
+    verdicts = landing.audit_landing(spark, views.land_documents(spark, folder), max_bytes=30_000)
+    return verdicts.withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
 
 
 @_query
@@ -370,13 +371,12 @@ def clean_export(spark, folder):
 @_query
 def upload_stream(spark, folder):
     inbox = scratch_path(spark, "inbox")
-    mo = views.messy_orders(spark, folder).where("order_id is not null")
+    mo = views.messy_orders(spark, folder)
     by_year = mo.withColumn("batch", F.year(F.col("order_day").try_cast("date"))).repartition("batch")
     by_year.write.partitionBy("batch").option("header", True).csv(inbox)
     log = scratch_path(spark, "history")
     uploads.run_available(spark, inbox, log, scratch_path(spark, "offsets"), scratch_path(spark, "cleaned"))
 
-
     def total(part: int) -> Column:
         rows = F.regexp_extract("output_text", r"^rows (\d+) -> (\d+),", part)
         return F.coalesce(F.sum(rows.try_cast("bigint")), F.lit(0)).cast("bigint")

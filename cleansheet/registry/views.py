@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleansheet.session import rename_files, scratch_path
+
 MESSY_HEADINGS = [
     "Order ID", " Priority (!)", "Confirmed?", "Amount $", "QTY", "Order  Day", "Empty_Col", "const__col",
 ]
@@ -151,31 +153,62 @@ def uploaded_names(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def landed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files with their bytes: some empty, broken or with another extension."""
-    key = F.col("doc_id")
-    content = (
-        F.when(key % 13 == 0, F.lit("").cast("binary"))
-        .when(key % 7 == 0, F.concat(F.unhex(F.lit("E920")), F.encode("text", "UTF-8")))
-        .otherwise(F.encode("text", "UTF-8"))
-    )
-    return table(spark, folder, "documents").select(
-        F.concat(
-            F.lit("landing/f"), key.cast("string"),
-            F.when(key % 11 == 0, ".txt").when(key % 3 == 0, ".CSV").otherwise(".csv"),
-        ).alias("path"),
-        F.length(content).cast("bigint").alias("length"),
-        content.alias("content"),
-    )
+LANDED_FILES = 97
+
+
+def land_documents(spark: SparkSession, folder: str) -> str:
+    """Documents written to a landing folder of 97 files: some are empty, broken or have another extension."""
+    parts, landing = scratch_path(spark, "parts"), scratch_path(spark, "landing")
+    key, number = F.col("doc_id"), F.col("doc_id") % LANDED_FILES
+    broken = (key % 7 == 0) & (number % 5 == 0)
+    raw = F.when(broken, F.concat(F.unhex(F.lit("E920")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    lines = table(spark, folder, "documents").select(number.alias("file"), raw.cast("string").alias("value"))
+    lines.repartition("file").write.partitionBy("file").text(parts)
+    rename_files(spark, parts, landing, {f"file={n}": landed_name(n) for n in range(LANDED_FILES)},
+                 empty=[landed_name(n) for n in range(LANDED_FILES) if n % 13 == 0])
+    return landing
+
+
+def landed_name(number: int) -> str:
+    return f"f{number}" + (".txt" if number % 11 == 0 else ".CSV" if number % 3 == 0 else ".csv")
 
 
 def query_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a log of SQL texts."""
-    text = F.get(F.array(*[F.lit(q) for q in QUERY_TEXTS]), (F.col("event_id") % len(QUERY_TEXTS)).cast("int"))
-    return shared_table(spark, folder, "events", "event_id", "user_id").select(
-        F.col("event_id").alias("id"), "user_id",
-        F.replace(text, F.lit("{u}"), F.col("user_id").cast("string")).alias("input_text"),
-    )
+    """Events and documents as a log of SQL texts; no two rows say the same.
+
+    An event asks one of the texts above, with its kind and time in comments.
+    A document's text, whole, becomes a comment, a literal, a quoted name, or
+    stands in a query that is named before or put around the one that is asked.
+    """
+
+    def asked(key: Column, number: Column) -> Column:
+        text = F.get(F.array(*[F.lit(q) for q in QUERY_TEXTS]), (key % len(QUERY_TEXTS)).cast("int"))
+        return F.replace(text, F.lit("{u}"), number.cast("string"))
+
+    key = F.col("event_id")
+    sql = asked(key, F.col("user_id"))
+    before = F.when(key % 3 == 0, F.concat(F.lit("/* "), "event_type", F.lit("; drop ( */ "))).otherwise("")
+    stamp = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    after = F.when(key % 2 == 0, F.concat(F.lit(" -- at "), stamp, F.lit("; delete ' or 1=1"))).otherwise("")
+    events = shared_table(spark, folder, "events", "event_id", "user_id", "event_type", "ts").select(
+        key.alias("id"), "user_id", F.concat(before, sql, after).alias("input_text"))
+
+    key = F.col("doc_id")
+    sql, style = asked(key, F.col("n_chars")), F.floor(key / len(QUERY_TEXTS)) % 7
+    literal = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    name = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    comment = F.concat(F.lit("/*"), F.replace("text", F.lit("*/"), F.lit("")), F.lit("*/"))
+    line = F.concat(F.lit("--"), F.translate("text", "\n", " "), F.lit("\n"))
+    documents = table(spark, folder, "documents").select(
+        (key + 1_000_000_000_000).alias("id"), (key % 97).alias("user_id"),
+        F.when(style == 0, F.concat(comment, sql))
+        .when(style == 1, F.concat(sql, F.lit(" "), line))
+        .when(style == 2, F.concat(F.lit("with c as (select a from t where b = "), literal, F.lit(") "), sql))
+        .when(style == 3, F.concat(F.lit("select x from ("), sql, F.lit(") as "), name, F.lit(" where x = 1 limit 1")))
+        .when(style == 4, F.concat(F.replace(F.upper(sql), F.lit(" "), F.lit("\n\t ")), line))
+        .when(style == 5, F.concat(F.lit("select a from t where b in ("), literal, F.lit(", ("), sql, F.lit(")) limit 3")))
+        .otherwise(F.concat(F.lit("select a from t where b = "), literal, F.lit(" limit 1 union all "), sql)).alias("input_text"))
+    return events.unionByName(documents)
 
 
 def column_headings(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,8 +224,8 @@ def column_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Messy orders as raw cells of several types, one column per kind."""
-    mo = messy_orders(spark, folder).where(F.col("order_id").isNotNull())
-    key = F.col("order_id")
+    mo = messy_orders(spark, folder)
+    key = F.coalesce("order_id", F.lit(0).cast("bigint"))
     cells = {
         "whole": key.cast("string"),
         "whole_gap": F.when(key % 7 == 0, "NULL").otherwise(key.cast("string")),

@@ -79,3 +79,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder, if it is there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def rename_files(spark: SparkSession, source: str, target: str, names: dict[str, str], empty: list[str]) -> None:
+    """Move the one file of each named folder below `source` to its new name in `target`; `empty` ones get no content.
+
+    Writers name their files themselves; this is for the few files whose names matter.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(target))
+    for folder, name in names.items():
+        found = files.globStatus(path(f"{source}/{folder}/part-*")) if name not in empty else None
+        for status in found or ():
+            files.rename(status.getPath(), path(f"{target}/{name}"))
+    for name in empty:
+        files.create(path(f"{target}/{name}")).close()

@@ -67,7 +67,7 @@ def _reader(spark: SparkSession, encoding: str):
     )
 
 
-def _field_count(line: Column) -> Column:
+def field_count(line: Column) -> Column:
     """Cells in a raw line: separators outside quotes, plus one."""
     unquoted = F.regexp_replace(line, '"[^"]*"', "")
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
@@ -104,7 +104,7 @@ def read_cells(spark: SparkSession, path: str | list[str], encoding: str = UTF8)
         *[after_read(quoted(n), encoding).alias(n) for n in names],
         _BAD_LINE,
     )
-    return rows, _field_count(F.col(_BAD_LINE)) > len(names)
+    return rows, field_count(F.col(_BAD_LINE)) > len(names)
 
 
 _RECORD_OPTIONS = {
@@ -138,7 +138,7 @@ def read_record_cells(spark: SparkSession, path: str, facts: DataFrame) -> tuple
     data = records.join(heads.select("at"), "at", "left_anti")
     rows = data.select(F.col("at").alias(ROW_ORDER), parsed_cells(F.col("record"), len(names)).alias("cells")).select(
         ROW_ORDER, "cells.*").toDF(ROW_ORDER, *names, _BAD_LINE)
-    return rows, _field_count(F.col(_BAD_LINE)) > len(names)
+    return rows, field_count(F.col(_BAD_LINE)) > len(names)
 
 
 def header_cells(record: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleansheet.sources.records import leaves_open
+from cleansheet.sources.records import file_of_line, leaves_open
 
 UTF8 = "utf-8-sig"
 WINDOWS = "cp1252"
@@ -28,7 +28,7 @@ def file_facts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     at = F.monotonically_increasing_id()
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), "value",
+        file_of_line().alias("path"), "value",
         F.when(F.col("_metadata.file_block_start") == 0, at).alias("at"))
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     marked = lines.select(

@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleansheet.functions.text import safe_file_name
+from cleansheet.sources.records import file_of_line
 
 # Fixed value: what an acceptable file is called.
 EXTENSION = ".csv"
 
 
-def file_verdicts(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """(path, length, verdict) for files given with their content, see `verdict`."""
-    text = F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.col("length").cast("bigint").alias("length"), verdict(text, max_bytes).alias("verdict"))
-
-
 def verdict(is_text: Column, max_bytes: int | None = None) -> Column:
     """The first reason to reject a file by its path and length, or `ok`. Sizes count only if a limit is given."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -43,12 +38,11 @@ def audit_landing(spark: SparkSession, path: str, max_bytes: int | None = None)
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     known = listed.select("path", "length")
-    indexed = spark.createDataFrame([(p,) for p in listed.inputFiles()], "path string")
     plain = F.regexp_replace("path", "^file:/+", "/")
-    empty = indexed.withColumn("key", plain).join(known.select(plain.alias("key")), "key", "left_anti").select(
+    empty = _indexed(listed).withColumn("key", plain).join(known.select(plain.alias("key")), "key", "left_anti").select(
         "path", F.lit(0).cast("bigint").alias("length"))
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), "value")
+        file_of_line().alias("path"), F.col("_metadata.file_size").alias("length"), "value")
     broken = (
         lines.where(verdict(F.lit(False), max_bytes) == "not_text").groupBy(plain.alias("key"))
         .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).where("not valid")
@@ -57,6 +51,12 @@ def audit_landing(spark: SparkSession, path: str, max_bytes: int | None = None)
     return judged.select("path", "length", verdict(F.col("valid").isNull(), max_bytes).alias("verdict"))
 
 
+def _indexed(files: DataFrame) -> DataFrame:
+    """(path): the names in Spark's file index, which the driver holds for any read; empty files are among them."""
+    listed = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    return listed.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+
+
 def safe_names(names: DataFrame, name: str, stamp: Column, row_id: str) -> DataFrame:
     """Storage names: stamp, safe stem, extension; repeats also carry `~` and their row id.
 

@@ -37,13 +37,18 @@ def _stays_open(line: Column) -> Column:
     return ~(line.contains('"') & line.rlike(_CLOSING))
 
 
+def file_of_line() -> Column:
+    """The path of the file that a row was read from, as listings write it (the metadata column has it as a URI)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, block, at, value): lines as they stand between line feeds, with the part of the file they were read in.
 
     `at` orders the lines of a part, and is unique among all.
     """
     return spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        file_of_line().alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
 
 

@@ -1,9 +1,13 @@
-"""Each new CSV in a landing folder is vetted, profiled, cleaned and recorded."""
+"""Each new CSV in a landing folder is vetted, profiled, cleaned and recorded.
+
+The files of a micro-batch are one plan, keyed by file (see `plans.uploads`),
+so the number of jobs does not grow with the number of files. Only a file that
+is too large to be written by one task is run by itself, split over many.
+"""
 
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cleansheet.operators.history import append_history, read_history
 from cleansheet.plans.dataset import run_dataset
+from cleansheet.plans.uploads import run_uploads
 from cleansheet.session import drop_path, path_exists
 from cleansheet.sources.csv_files import CsvError
 from cleansheet.sources.landing import holds_text, verdict
@@ -19,7 +24,7 @@ _BATCH_COLUMNS = (
     "user_id string, command string, input_text string, output_text string, provider string, model string, "
     "execution_time double, success int, error_message string, duration_ms bigint"
 )
-_PARALLEL_UPLOADS = 4
+LARGE_FILE = 256 << 20
 
 
 def process_upload(spark: SparkSession, path: str, output_dir: str) -> str:
@@ -42,7 +47,10 @@ def _outcome(spark: SparkSession, path: str, verdict: str, output: str) -> tuple
             summary = process_upload(spark, path, output)
         except CsvError as problem:
             error = str(problem)
-    seconds = time.perf_counter() - started
+    return _logged(path, summary, error, time.perf_counter() - started)
+
+
+def _logged(path: str, summary: str, error: str | None, seconds: float) -> tuple:
     return ("stream", "dataset", path, summary, "", "", seconds, int(error is None), error, int(seconds * 1000))
 
 
@@ -56,7 +64,7 @@ def _not_yet_logged(spark: SparkSession, batch: DataFrame, log: str) -> DataFram
 
 def start(
     spark: SparkSession, inbox: str, log: str, offsets: str, outputs: str, max_bytes: int | None = None,
-    files_per_batch: int = 64, available_now: bool = False,
+    files_per_batch: int = 1000, available_now: bool = False, large_file: int = LARGE_FILE,
 ) -> StreamingQuery:
     """Watch a folder; the checkpoint makes every file run once per commit.
 
@@ -75,17 +83,20 @@ def start(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        listed = batch.select("path", verdict(F.lit(True), max_bytes).alias("verdict")).orderBy("path").collect()
-
-        def run(item: tuple) -> tuple:
-            number, row = item
-            folder = f"{outputs}/batch={batch_id}/{number}"
-            drop_path(spark, folder)
-            text = row["verdict"] != "ok" or holds_text(spark, row["path"])
-            return _outcome(spark, row["path"], row["verdict"] if text else "not_text", folder)
-
-        with ThreadPoolExecutor(_PARALLEL_UPLOADS) as pool:
-            outcomes = list(pool.map(run, enumerate(listed)))
+        listed = batch.select("path", "length", verdict(F.lit(True), max_bytes).alias("verdict")).orderBy("path").collect()
+        folder = f"{outputs}/batch={batch_id}"
+        drop_path(spark, folder)
+        started = time.perf_counter()
+        small = [r["path"] for r in listed if r["verdict"] == "ok" and r["length"] <= large_file]
+        done = {o.path: (o.summary, o.error) for o in run_uploads(spark, small, f"{folder}/small")} if small else {}
+        seconds = (time.perf_counter() - started) / max(len(small), 1)
+        outcomes = []
+        for number, row in enumerate(listed):
+            if row["path"] in done:
+                outcomes.append(_logged(row["path"], *done[row["path"]], seconds))
+            else:
+                fit = row["verdict"] != "ok" or holds_text(spark, row["path"])
+                outcomes.append(_outcome(spark, row["path"], row["verdict"] if fit else "not_text", f"{folder}/{number}"))
         if outcomes:
             rows = spark.createDataFrame(outcomes, _BATCH_COLUMNS).withColumn(
                 "id", F.xxhash64(F.lit(offsets), F.lit(batch_id), "input_text"))

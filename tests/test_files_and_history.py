@@ -14,13 +14,13 @@ from cleansheet.streaming import uploads
 def test_landing(spark, tmp_path):
     files = {
         "ok.csv": b"a\n1\n", "EMPTY.csv": b"", "x.txt": b"a", "latin.csv": b"caf\xe9,1\n", "big.csv": b"a" * 9000,
-        "late.csv": b"a\n" * 3000 + b"\xe9", "UP.CSV": b"x", "plain": b"x", "end.csv": "aé".encode()[:-1],
+        "late.csv": b"a\n" * 3000 + b"\xe9", "odd + name é.csv": b"\xe9", "no thing.csv": b"", "UP.CSV": b"x", "plain": b"x", "end.csv": "aé".encode()[:-1],
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
     want = {
         "ok.csv": "ok", "EMPTY.csv": "empty", "x.txt": "extension", "latin.csv": "not_text", "big.csv": "ok",
-        "late.csv": "not_text", "UP.CSV": "ok", "plain": "extension", "end.csv": "not_text",
+        "late.csv": "not_text", "odd + name é.csv": "not_text", "no thing.csv": "empty", "UP.CSV": "ok", "plain": "extension", "end.csv": "not_text",
     }
     got = audit_landing(spark, str(tmp_path)).collect()
     assert {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in got} == want

@@ -39,7 +39,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(user_id,7)" in text and "props" not in text
 
 
-@pytest.mark.parametrize("name", ["audit_rules", "parse_commands", "csv_shares", "collapse_ws", "landing_audit"])
+@pytest.mark.parametrize("name", ["audit_rules", "parse_commands", "csv_shares", "collapse_ws"])
 def test_row_wise_queries_do_not_shuffle(spark, name):
     text = plan(spark, name)
     assert "Exchange hashpartitioning" not in text and "Exchange SinglePartition" not in text
