@@ -38,8 +38,8 @@ class HistoryError(ValueError):
 def history_rows(batch: DataFrame) -> DataFrame:
     """A batch in the history schema: defaults set, ids derived from the row.
 
-    Ids are a hash of the row and its position, because a gapless counter
-    would force all rows through one task.
+    Ids are a hash of the row and its position here; `history_table` gives
+    gapless ones.
     """
     columns = set(batch.columns)
 
@@ -68,16 +68,22 @@ def create_history(spark: SparkSession, path: str) -> None:
         empty.write.partitionBy(DAY).parquet(path)
 
 
-def append_history(batch: DataFrame, path: str) -> None:
-    """Append a batch; a NULL in a required column fails the write.
-
-    The check runs inside the write, so the batch is read once.
-    """
+def checked_rows(batch: DataFrame) -> DataFrame:
+    """The batch in the history schema; a NULL in a required column fails whatever writes it."""
     rows = history_rows(batch)
     for name in REQUIRED:
         message = F.lit(f"history column {name} must not be missing")
         checked = F.when(F.col(name).isNull(), F.raise_error(message)).otherwise(F.col(name))
         rows = rows.withColumn(name, checked)
+    return rows
+
+
+def append_history(batch: DataFrame, path: str) -> None:
+    """Append a batch; a NULL in a required column fails the write.
+
+    The check runs inside the write, so the batch is read once.
+    """
+    rows = checked_rows(batch)
     _by_day(rows.withColumn(DAY, F.to_date("created_at"))).write.mode("append").partitionBy(DAY).parquet(path)
 
 

@@ -59,6 +59,10 @@ HISTORY = """hist AS (
   FROM events
 )"""
 
+# Ids of the log in three batches, each in the order of time (which has no ties).
+_BATCH = "CAST(floor(epoch(created_at)) AS BIGINT) % 3"
+_NUMBERED = f"SELECT * EXCLUDE (id), row_number() OVER (ORDER BY {_BATCH}, created_at) AS id FROM hist"
+
 # Cell texts of one column per kind, as in the derived view.
 CELLS = MESSY + """,
 cells AS (
@@ -800,6 +804,20 @@ SELECT doc_id, file_name, uploaded_second, concat(base, CASE WHEN doc_id <> min(
  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM hist""",
         "history_delete_user": hist + """SELECT command, count(*) AS n_left,
  (SELECT count(*) FROM hist WHERE user_id = 7) AS n_deleted FROM hist WHERE user_id <> 7 GROUP BY command""",
+        "history_stored_reads": f"""WITH {HISTORY}, numbered AS ({_NUMBERED}),
+shown AS (SELECT id, CAST(user_id AS VARCHAR) AS user_id, command, execution_time, success, duration_ms,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, created_at AS moment FROM numbered)
+""" + _union([
+            f"SELECT '{kind}' AS kind, * EXCLUDE (moment) FROM (SELECT * FROM shown {where} ORDER BY moment DESC, id DESC LIMIT {n})"
+            for kind, where, n in (("recent", "", 10), ("user", "WHERE user_id = '7'", 20),
+                                   ("command", "WHERE command = 'click'", 20), ("failures", "WHERE success = 0", 10))]),
+        "history_gapless_ids": f"WITH {HISTORY} SELECT id, CAST(user_id AS VARCHAR) AS user_id, command, duration_ms "
+        f"FROM ({_NUMBERED})",
+        "history_kept_totals": hist + """SELECT count(*) AS total_commands, count(*) FILTER (success = 1) AS successful_commands,
+ count(*) FILTER (success = 0) AS failed_commands, round(coalesce(avg(execution_time), 0.0), 4) AS average_execution_time,
+ round(coalesce(avg(duration_ms), 0.0), 4) AS average_duration_ms,
+ (SELECT count(*) FROM hist WHERE user_id = 7) AS n_deleted, count(*) AS rows_left, CAST(0 AS BIGINT) AS of_user,
+ true AS fewer_files FROM hist WHERE user_id <> 7""",
         "parse_commands": f"""
 WITH m AS (SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN concat('<@U1> explain ', text)
     WHEN 1 THEN concat('<@U1> CLEAN   ', text) WHEN 2 THEN concat('<@U1> cleanup ', text) WHEN 3 THEN '<@U1> optimize'

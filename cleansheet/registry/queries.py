@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers, text
-from cleansheet.operators import conversion, date_evidence as evidence, dedup, frequency, history, inference, messages
-from cleansheet.operators import missing, naming, quality
+from cleansheet.operators import conversion, date_evidence as evidence, dedup, frequency, history, history_table, inference
+from cleansheet.operators import messages, missing, naming, quality
 from cleansheet.operators import query_audit, statistics
 from cleansheet.operators.columns import quoted
 from cleansheet.plans import cleaning, dataset, profiling
@@ -460,6 +460,47 @@ def history_delete_user(spark, folder):
     return left.groupBy("command").agg(F.count(F.lit(1)).alias("n_left")).withColumn("n_deleted", F.lit(gone).cast("bigint"))
 
 
+def _stored_history(spark: SparkSession, folder: str) -> history_table.HistoryTable:
+    """The log in three batches, the second one sent twice."""
+    table = history_table.HistoryTable(spark, scratch_path(spark, "history-table"), rows_per_file=2000)
+    log = _logged(spark, folder).drop("id")
+    number = F.pmod(F.unix_seconds(F.col("created_at").cast("timestamp")), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        table.append(log.where(number == batch), f"third-{batch}")
+    return table
+
+
+_READ_COLUMNS = ["id", "user_id", "command", "execution_time", "success", "duration_ms"]
+
+
+@_query
+def history_stored_reads(spark, folder):
+    """The four reads over the stored table, with the ids that it gave out."""
+    table = _stored_history(spark, folder)
+    reads = {"recent": table.recent(), "user": table.by_user("7"), "command": table.by_command("click"),
+             "failures": table.failures()}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(n).alias("kind"), *_READ_COLUMNS, F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+        for n, df in reads.items()])
+
+
+@_query
+def history_gapless_ids(spark, folder):
+    return _stored_history(spark, folder).read().select("id", "user_id", "command", "duration_ms")
+
+
+@_query
+def history_kept_totals(spark, folder):
+    """Totals after appends, a repeated batch and a deletion, without a read of the log; and what the deletion left."""
+    table = _stored_history(spark, folder)
+    gone = table.delete("7")
+    files = len(table.version().files)
+    table.compact()
+    left = table.read().agg(F.count("*").alias("rows_left"), F.count_if(F.col("user_id") == "7").alias("of_user"))
+    totals = _rounded(table.totals().withColumn("n_deleted", F.lit(gone).cast("bigint")))
+    return totals.join(left).withColumn("fewer_files", F.lit(len(table.version().files) <= files))
+
+
 # --- messages and logged SQL -------------------------------------------------
 
 
