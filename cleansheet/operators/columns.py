@@ -54,9 +54,18 @@ def text_cells(df: DataFrame, columns: list[str], value: str = "value") -> DataF
     return df.select(F.posexplode(F.array(*[quoted(c).cast("string") for c in columns])).alias("position", value))
 
 
-def number_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(position, value): the same for numeric columns, as doubles."""
-    return df.select(F.posexplode(F.array(*[quoted(c).cast("double") for c in columns])).alias("position", "value"))
+def number_cells(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """(n, position, value): the same for numeric columns, as doubles; n is how often the row counts."""
+    n = F.lit(1).cast("long") if weight is None else quoted(weight)
+    return df.select(
+        n.alias("n"), F.posexplode(F.array(*[quoted(c).cast("double") for c in columns])).alias("position", "value"))
+
+
+def tally(condition: Column, weight: str | None = None) -> Column:
+    """How many rows a condition holds for; `weight` names a column that tells how often each row counts."""
+    if weight is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, quoted(weight))), F.lit(0))
 
 
 def named_positions(columns: list[str]) -> Column:

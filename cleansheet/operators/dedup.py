@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cleansheet.operators.columns import quoted, rows_from
 
-COPIES = "_copies"
+COPIES = "\u2063copies"
 ROW_ORDER = "\u2063row_order"  # begins with an invisible character, so that no header cell is likely to be the same
 
 

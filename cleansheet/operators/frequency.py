@@ -1,31 +1,55 @@
-"""Value frequencies of text columns and what follows from them."""
+"""Value frequencies of text columns and what follows from them.
+
+Long texts do not travel: a value is known by its first characters and, if it
+has more, by a digest. Only the texts of the few values that are asked for, and
+of those that begin alike, are looked up afterwards.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cleansheet.functions.numbers import looks_numeric
 from cleansheet.operators.columns import (
     named_positions, no_rows, quoted, rows_from, text_cells, text_columns,
 )
 
+HEAD_CHARS = 32
+_KEYS = ["position", "head", "digest"]
+
+
+def _head(value: Column) -> Column:
+    return F.left(value, F.lit(HEAD_CHARS))
+
+
+def _digest(value: Column) -> Column:
+    """SHA-256 of a text that is longer than its head."""
+    return F.when(F.char_length(value) > HEAD_CHARS, F.unhex(F.sha2(value, 256)))
+
+
+def _cells(df: DataFrame, columns: list[str], weight: str | None) -> DataFrame:
+    cells = F.array(*[quoted(c).cast("string") for c in columns])
+    n = F.lit(1).cast("long") if weight is None else quoted(weight)
+    return df.select(n.alias("n"), F.posexplode(cells).alias("position", "value")).where(F.col("value").isNotNull())
 
-def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(position, column_name, value, n) for every distinct non-null value.
+
+def value_frequencies(df: DataFrame, columns: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(position, head, digest, n, numeric) for every distinct non-null value; digest is NULL if the head is all of it.
 
     One scan and one shuffle for all columns. Map-side partial counts fold a
     hot value into one record per task; the column travels as a small number.
+    `weight` names a column that tells how often each row counts. `numeric`
+    tells that the value looks like a number.
     """
     columns = text_columns(df) if columns is None else columns
     if not columns:
-        return no_rows(df, "position int, column_name string, value string, n bigint")
-    return (
-        text_cells(df, columns)
-        .where(F.col("value").isNotNull())
-        .groupBy("position", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("position", named_positions(columns).alias("column_name"), "value", "n")
-    )
+        return no_rows(df, "position int, head string, digest binary, n bigint, numeric boolean")
+    value = F.col("value")
+    cells = _cells(df, columns, weight).withColumn("head", _head(value)).withColumn("digest", _digest(value))
+    long_number = F.when(F.col("digest").isNotNull(), looks_numeric(value))
+    return cells.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.max(long_number).alias("long_number")).select(
+        *_KEYS, "n", F.coalesce("long_number", looks_numeric(F.col("head"))).alias("numeric"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -35,7 +59,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
         one_row = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)])
         records = [[F.lit(c), F.col(f"d{i}")] for i, c in enumerate(columns)]
         return rows_from(one_row, records, ["column_name", "n_unique"])
-    counted = value_frequencies(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
+    counted = value_frequencies(df, columns).groupBy("position").agg(F.count(F.lit(1)).alias("n_unique"))
+    counted = counted.select(named_positions(columns).alias("column_name"), "n_unique")
     return _with_every_column(counted, columns, "n_unique")
 
 
@@ -51,18 +76,36 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     The rank filter is applied inside each task before the shuffle on the
     column, so at most k rows per column and task are exchanged.
     """
-    return rank_values(value_frequencies(df, columns), k)
+    columns = text_columns(df) if columns is None else columns
+    return rank_values(df, columns, value_frequencies(df, columns), k)
 
 
-def rank_values(frequencies: DataFrame, k: int = 5) -> DataFrame:
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+def rank_values(df: DataFrame, columns: list[str], frequencies: DataFrame, k: int = 5) -> DataFrame:
+    """(column_name, value_rank, value, n): the first k values by count, then text, from the frequencies of the frame.
+
+    Values that begin alike are candidates together. There are no more than k
+    beginnings per column, so the second look at the frame, which finds the
+    texts, keeps the cells that begin so before anything is exchanged.
+    """
+    if not columns:
+        return no_rows(df, "column_name string, value_rank bigint, value string, n bigint")
+    by_head = Window.partitionBy("position").orderBy(F.desc("n"), "head", F.col("digest").isNotNull())
+    candidates = frequencies.withColumn("place", F.rank().over(by_head)).where(F.col("place") <= k)
+    whole = candidates.where(F.col("digest").isNull()).select("position", F.col("head").alias("value"), "n")
+    cut = candidates.where(F.col("digest").isNotNull()).select(*_KEYS, "n")
+    beginnings = F.broadcast(cut.select("position", "head").distinct())  # at most k for each column
+    value = F.col("value")
+    cells = text_cells(df, columns).where(F.char_length(value) > HEAD_CHARS).withColumn("head", _head(value))
+    cells = cells.join(beginnings, ["position", "head"], "left_semi").withColumn("digest", _digest(value))
+    texts = cells.groupBy("position", "digest").agg(F.min("value").alias("value"))
+    found = whole.unionByName(cut.join(texts, ["position", "digest"]).select("position", "value", "n"))
+    by_count = Window.partitionBy("position").orderBy(F.desc("n"), F.asc("value"))
     return (
-        frequencies.withColumn("value_rank", F.row_number().over(by_count))
-        .where(F.col("value_rank") <= k)
-        .select("column_name", F.col("value_rank").cast("bigint").alias("value_rank"), "value", "n")
+        found.withColumn("value_rank", F.row_number().over(by_count)).where(F.col("value_rank") <= k)
+        .select(named_positions(columns).alias("column_name"), F.col("value_rank").cast("bigint").alias("value_rank"), "value", "n")
     )
 
 
 def column_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Most frequent value per column, the smallest on a tie."""
-    return rank_values(value_frequencies(df, columns), 1).select("column_name", F.col("value").alias("mode_value"), "n")
+    return top_values(df, columns, 1).select("column_name", F.col("value").alias("mode_value"), "n")

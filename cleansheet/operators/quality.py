@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers
 from cleansheet.functions.text import trimmed
-from cleansheet.operators.columns import named_positions, no_rows, quoted, text_cells, text_columns
+from cleansheet.operators.columns import named_positions, no_rows, quoted, tally, text_cells, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.statistics import missing_counts
 
@@ -101,30 +101,32 @@ def count_recommendations(duplicates: int, missing: dict[str, int]) -> list[str]
     return lines + [_MISSING % (n, c) for c, n in missing.items()]
 
 
-def text_recommendations(df: DataFrame, order: Column | None = None) -> list[tuple[int, str]]:
+def text_recommendations(df: DataFrame, order: Column | None = None, weight: str | None = None) -> list[tuple[int, str]]:
     """(order, message) from checks on every value of the text columns.
 
     One aggregate over all cells; columns of date-like texts are looked at
-    again, in the format of their first value.
+    again, in the format of their first value. `weight` names a column that
+    tells how often each row counts.
     """
     texts = text_columns(df)
     if not texts:
         return []
     if order is None:
         order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.monotonically_increasing_id()
-    visible = [c for c in df.columns if c != ROW_ORDER]
+    visible = [c for c in df.columns if c not in (ROW_ORDER, weight)]
     value = F.col("value")
-    ordered = df.select(order.alias("at"), F.posexplode(F.array(*[quoted(c) for c in texts])).alias("position", "value"))
+    n = F.lit(1).cast("long") if weight is None else quoted(weight)
+    ordered = df.select(order.alias("at"), n.alias("n"), F.posexplode(F.array(*[quoted(c) for c in texts])).alias("position", "value"))
     seen = {
         texts[r["position"]]: r
         for r in ordered.where(value.isNotNull()).groupBy("position").agg(
-            F.count(value).alias("n"), F.count_if(value.rlike(numbers.NUMBER)).alias("numbers"),
-            F.count_if(dates.is_date_like(value)).alias("dates"), F.max(value != trimmed(value)).alias("untrimmed"),
+            F.sum("n").alias("n"), tally(value.rlike(numbers.NUMBER), "n").alias("numbers"),
+            tally(dates.is_date_like(value), "n").alias("dates"), F.max(value != trimmed(value)).alias("untrimmed"),
             F.min("at").alias("first"),
         ).collect()
     }
     dated = [c for c, r in seen.items() if r["dates"] / r["n"] >= _DATE_OR_NUMBER_SHARE]
-    parsed = _parsed_dates(df, order, {c: seen[c]["first"] for c in dated})
+    parsed = _parsed_dates(df, order, {c: seen[c]["first"] for c in dated}, weight)
     found = []
     for c, r in seen.items():
         checks = (
@@ -135,7 +137,7 @@ def text_recommendations(df: DataFrame, order: Column | None = None) -> list[tup
     return sorted(found)
 
 
-def _parsed_dates(df: DataFrame, order: Column, first: dict[str, object]) -> dict[str, int]:
+def _parsed_dates(df: DataFrame, order: Column, first: dict[str, object], weight: str | None) -> dict[str, int]:
     """How many values of each column are dates in the format of its first value, or in any if that has none."""
     if not first:
         return {}
@@ -143,5 +145,5 @@ def _parsed_dates(df: DataFrame, order: Column, first: dict[str, object]) -> dic
         F.max(F.when(F.col("at") == F.lit(at), F.col(f"c{i}"))).alias(f"h{i}") for i, at in enumerate(first.values())])
     formats = heads.select(*[dates.first_format(F.col(f"h{i}")).alias(f"f{i}") for i in range(len(first))]).first()
     counts = df.agg(*[
-        F.count(dates.parse_column(quoted(c), formats[i])).alias(f"n{i}") for i, c in enumerate(first)]).first()
+        tally(dates.parse_column(quoted(c), formats[i]).isNotNull(), weight).alias(f"n{i}") for i, c in enumerate(first)]).first()
     return {c: counts[i] for i, c in enumerate(first)}

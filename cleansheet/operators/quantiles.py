@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleansheet.operators.columns import number_cells, quoted
+from cleansheet.operators.columns import number_cells, quoted, tally
 
 QUARTILES = (0.25, 0.5, 0.75)
 SINGLE_PASS_CELLS = 5_000_000
@@ -46,9 +46,12 @@ class _Wanted:
         return (c >= self.low) & (c <= self.high)
 
 
+_WEIGHT = "\u2063weight"
+
+
 def percentiles(probabilities: tuple[float, ...] = QUARTILES) -> Column:
-    """Quantiles of `value` as an array; grouped by position, columns are finished in parallel."""
-    return F.percentile("value", F.array(*[F.lit(p) for p in probabilities]))
+    """Quantiles of `value`, each counted n times, as an array; grouped by position, columns are finished in parallel."""
+    return F.percentile("value", F.array(*[F.lit(p) for p in probabilities]), F.col("n"))
 
 
 def exact_quantiles(
@@ -58,22 +61,27 @@ def exact_quantiles(
     rows: int | None = None,
     single_pass_cells: int = SINGLE_PASS_CELLS,
     candidate_rows: int = CANDIDATE_ROWS,
+    weight: str | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles by linear interpolation, per column; None for a column without values."""
+    """Quantiles by linear interpolation, per column; None for a column without values.
+
+    `weight` names a column that tells how often each row counts.
+    """
     if not columns:
         return {}
     if rows is None:
         rows = df.count()
     if rows * len(columns) <= single_pass_cells:
-        found = number_cells(df, columns).groupBy("position").agg(percentiles(probabilities).alias("q")).collect()
+        found = number_cells(df, columns, weight).groupBy("position").agg(percentiles(probabilities).alias("q")).collect()
         by_column = {columns[r["position"]]: r["q"] for r in found}
         return {c: list(by_column.get(c) or [None] * len(probabilities)) for c in columns}
 
-    df = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    n = F.lit(1).cast("long") if weight is None else quoted(weight)
+    df = df.select(n.alias(_WEIGHT), *[quoted(c).cast("double").alias(c) for c in columns])
     result: dict[str, list[float | None]] = {}
     for start in range(0, len(columns), _COLUMNS_PER_PASS):
         part = columns[start : start + _COLUMNS_PER_PASS]
-        result |= _by_narrowing(df.select(*[quoted(c) for c in part]), part, probabilities, candidate_rows)
+        result |= _by_narrowing(df.select(_WEIGHT, *[quoted(c) for c in part]), part, probabilities, candidate_rows)
     return result
 
 
@@ -81,7 +89,10 @@ def _by_narrowing(
     df: DataFrame, columns: list[str], probabilities: tuple[float, ...], candidate_rows: int
 ) -> dict[str, list[float | None]]:
     limits = df.agg(*[
-        f(quoted(c)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.count, F.min, F.max)
+        agg
+        for i, c in enumerate(columns)
+        for agg in (tally(quoted(c).isNotNull(), _WEIGHT).alias(f"count{i}"), F.min(quoted(c)).alias(f"min{i}"),
+                    F.max(quoted(c)).alias(f"max{i}"))
     ]).first()
     places, wanted = {}, {}
     for i, c in enumerate(columns):
@@ -143,7 +154,7 @@ def _narrow(df: DataFrame, wanted: list[_Wanted], slack: float) -> None:
     ]).first()
 
     counts = df.agg(*[
-        F.count_if(condition(quoted(w.column), guesses[f"b{i}_0"], guesses[f"b{i}_1"])).alias(f"{name}{i}")
+        tally(condition(quoted(w.column), guesses[f"b{i}_0"], guesses[f"b{i}_1"]), _WEIGHT).alias(f"{name}{i}")
         for i, w in enumerate(wanted)
         for name, condition in (
             ("below", lambda c, lo, hi: c < lo),
@@ -175,7 +186,8 @@ def _halve(df: DataFrame, wanted: list[_Wanted]) -> None:
         for i, w in enumerate(wanted)
         for c in (quoted(w.column),)
         for agg in (
-            F.count_if(w.holds(c) & (c < middle[i])).alias(f"low{i}"), F.count_if(w.holds(c) & (c == middle[i])).alias(f"at{i}"),
+            tally(w.holds(c) & (c < middle[i]), _WEIGHT).alias(f"low{i}"),
+            tally(w.holds(c) & (c == middle[i]), _WEIGHT).alias(f"at{i}"),
             F.min(F.when(w.holds(c), c)).alias(f"min{i}"), F.max(F.when(w.holds(c), c)).alias(f"max{i}"),
         )
     ]).first()
@@ -204,7 +216,7 @@ def _rank_candidates(df: DataFrame, wanted: list[_Wanted]) -> None:
         ]),
         lambda entry: entry.isNotNull(),
     )
-    counted = df.select(F.inline(inside)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(_WEIGHT, F.inline(inside)).groupBy("i", "v").agg(F.sum(_WEIGHT).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
     rank = F.get(F.array(*[F.lit(w.rank - w.below) for w in wanted]), F.col("i"))
     hits = (

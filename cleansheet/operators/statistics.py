@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleansheet.functions.numbers import megabytes
-from cleansheet.operators.columns import named_positions, no_rows, number_cells, numeric_columns, quoted, rows_from
+from cleansheet.operators.columns import named_positions, no_rows, number_cells, numeric_columns, quoted, rows_from, tally
 from cleansheet.operators.quantiles import QUARTILES, SINGLE_PASS_CELLS, exact_quantiles, percentiles
 
 IQR_FACTOR = 1.5
@@ -44,9 +44,11 @@ def _byte_width(field: T.StructField) -> Column:
     return F.lit(fixed.get(type(field.dataType), 8)).cast("bigint")
 
 
-def byte_sum(df: DataFrame) -> Column:
-    """Total bytes: text by its UTF-8 length, other types by their width."""
-    return F.coalesce(sum([F.sum(_byte_width(f)) for f in df.schema], F.lit(0)), F.lit(0)).cast("bigint")
+def byte_sum(df: DataFrame, weight: str | None = None) -> Column:
+    """Total bytes: text by its UTF-8 length, other types by their width; `weight` is how often a row counts."""
+    n = F.lit(1) if weight is None else quoted(weight)
+    fields = [f for f in df.schema if f.name != weight]
+    return F.coalesce(sum([F.sum(_byte_width(f) * n) for f in fields], F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def byte_footprint(df: DataFrame) -> DataFrame:
@@ -60,21 +62,31 @@ _STATISTICS_SCHEMA = (
 )
 
 
-def describe_numeric(df: DataFrame, rows: int | None = None, single_pass_cells: int = SINGLE_PASS_CELLS) -> DataFrame:
-    """Count, mean, deviation, least, quartiles and greatest value per numeric column."""
-    columns = numeric_columns(df)
+def describe_numeric(
+    df: DataFrame, rows: int | None = None, single_pass_cells: int = SINGLE_PASS_CELLS, weight: str | None = None
+) -> DataFrame:
+    """Count, mean, deviation, least, quartiles and greatest value per numeric column.
+
+    `weight` names a column that tells how often each row counts.
+    """
+    columns = [c for c in numeric_columns(df) if c != weight]
     if not columns:
         return no_rows(df, _STATISTICS_SCHEMA)
     if rows is None:
         rows = df.count()
     small = rows * len(columns) <= single_pass_cells
     v, place = F.col("value"), F.col("position")
-    described = number_cells(df, columns).groupBy("position").agg(
-        F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), *([percentiles().alias("quartiles")] if small else []),
+    cells = number_cells(df, columns, weight)
+    moments = [F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+    if weight is not None:
+        moments = [tally(v.isNotNull(), "n").alias("n_values"), (F.sum(v * F.col("n")) / tally(v.isNotNull(), "n")).alias("mean")]
+    described = cells.groupBy("position").agg(
+        *moments, F.min(v).alias("min"), F.max(v).alias("max"), *([percentiles().alias("quartiles")] if small else []),
     )
+    if weight is not None:
+        described = _with_deviation(described, cells, len(columns))
     if not small:
-        found = exact_quantiles(df, columns, QUARTILES, rows, single_pass_cells)
+        found = exact_quantiles(df, columns, QUARTILES, rows, single_pass_cells, weight=weight)
         values = F.array(*[F.array(*[F.lit(q).cast("double") for q in found[c]]) for c in columns])
         described = described.withColumn("quartiles", F.get(values, place))
     quartiles = [F.get("quartiles", F.lit(k)).alias(n) for k, n in enumerate(("p25", "p50", "p75"))]
@@ -83,6 +95,16 @@ def describe_numeric(df: DataFrame, rows: int | None = None, single_pass_cells:
     )
 
 
+def _with_deviation(described: DataFrame, cells: DataFrame, columns: int) -> DataFrame:
+    """The sample deviation of weighted cells, from their distances to the mean, which is known by now."""
+    means = {r["position"]: r["mean"] for r in described.select("position", "mean").collect()}
+    mean = F.get(F.array(*[F.lit(means.get(i)).cast("double") for i in range(columns)]), F.col("position"))
+    away = F.col("value") - mean
+    spread = cells.groupBy("position").agg(F.sum(away * away * F.col("n")).alias("squares"))
+    n = F.col("n_values")
+    return described.join(spread, "position").withColumn("std", F.when(n > 1, F.sqrt(F.col("squares") / (n - 1))))
+
+
 _OUTLIER_SCHEMA = "column_name string, n_outliers bigint, lower_bound double, upper_bound double"
 
 

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleansheet.operators.dedup import ROW_ORDER
-from cleansheet.plans.cleaning import Cleaned, CleaningReport, clean_dataset
+from cleansheet.operators.dedup import COPIES, ROW_ORDER
+from cleansheet.plans.cleaning import Cleaned, CleaningReport, clean_dataset, distinct_rows
 from cleansheet.plans.profiling import Profile, profile_dataset
 from cleansheet.session import path_exists
 from cleansheet.sources.csv_files import CsvError, CsvTable, read_for_cleaning, read_for_profile, stored, write_csv
@@ -56,8 +56,9 @@ def run_dataset(spark: SparkSession, path: str, output_dir: str, multi_line: boo
     """Profile, clean, save, and profile what was saved. The typed rows are stored, so later passes skip the text."""
     name = posixpath.basename(path.rstrip("/"))
     table = stored(read_for_cleaning(spark, _given(path), multi_line))
-    before = profile_dataset(table.rows, name, kinds=table.kinds)
-    cleaned = _save(table, output_path(spark, path, output_dir))
+    distinct = distinct_rows(table.rows)
+    before = profile_dataset(distinct, name, kinds=table.kinds, copies=COPIES)
+    cleaned = _save(table, output_path(spark, path, output_dir), distinct=distinct)
     saved = cleaned.report.output
     if not cleaned.data.columns:
         raise CsvError(f"no column is left after cleaning: {path}")
@@ -72,8 +73,8 @@ def _given(path: str) -> str:
     return path.strip()
 
 
-def _save(table: CsvTable, target: str, keep_order: bool = False) -> Cleaned:
-    cleaned = clean_dataset(table.rows, kinds=table.kinds)
+def _save(table: CsvTable, target: str, keep_order: bool = False, distinct: DataFrame | None = None) -> Cleaned:
+    cleaned = clean_dataset(table.rows, kinds=table.kinds, distinct=distinct)
     if cleaned.data.columns:
         write_csv(cleaned.rows, target, table.encoding, ROW_ORDER if keep_order else None)
         cleaned.report.output = target

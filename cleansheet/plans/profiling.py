@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleansheet.functions.numbers import looks_numeric
-from cleansheet.operators.columns import nan_to_null, numeric_columns, quoted, text_columns
+from cleansheet.operators.columns import nan_to_null, numeric_columns, quoted, tally, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.frequency import rank_values, value_frequencies
 from cleansheet.operators.quality import count_recommendations, score, text_recommendations
@@ -83,38 +82,48 @@ def _number(v) -> str:
 
 
 def profile_dataset(
-    df: DataFrame, name: str = "dataset", order: Column | None = None, kinds: dict[str, str] | None = None
+    df: DataFrame, name: str = "dataset", order: Column | None = None, kinds: dict[str, str] | None = None,
+    copies: str | None = None,
 ) -> Profile:
     """Profile a frame.
 
     Passes over the data: one aggregate for counts and sizes, one for numeric
     statistics, one shuffle of row digests, one shuffle of text values, and one
     aggregate of checks on all text cells.
+
+    `copies` names a column of a frame of distinct rows that tells how often
+    each one occurs; the rows themselves are then not shuffled.
     """
     df = nan_to_null(df)
     data = df.drop(ROW_ORDER)
+    columns = [c for c in data.columns if c != copies]
     basics = data.agg(
-        F.count(F.lit(1)).alias("rows"), byte_sum(data).alias("bytes"),
-        *[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(data.columns)],
+        tally(F.lit(True), copies).alias("rows"), F.count(F.lit(1)).alias("distinct"), byte_sum(data, copies).alias("bytes"),
+        *[tally(quoted(c).isNull(), copies).alias(f"m{i}") for i, c in enumerate(columns)],
     ).first()
     rows = basics["rows"]
-    missing = {c: basics[f"m{i}"] for i, c in enumerate(data.columns) if basics[f"m{i}"]}
+    missing = {c: basics[f"m{i}"] for i, c in enumerate(columns) if basics[f"m{i}"]}
+    measured = [c for c in numeric_columns(data) if c != copies]
 
     def numbers() -> dict[str, dict]:
-        described = describe_numeric(data, rows=rows).collect() if numeric_columns(data) else []
+        described = describe_numeric(data, rows=rows, weight=copies).collect() if measured else []
         by_column = {r["column_name"]: r.asDict() for r in described}
-        return {c: _without_name(by_column[c]) for c in numeric_columns(data) if c in by_column}
+        return {c: _without_name(by_column[c]) for c in measured if c in by_column}
 
     def advice() -> list[str]:
-        return [message for _, message in text_recommendations(df, order)]
+        return [message for _, message in text_recommendations(df, order, copies)]
+
+    def repeated() -> int:
+        return rows - basics["distinct"] if copies else duplicate_count(data).first()["duplicate_rows"]
 
     duplicates, numeric, (texts, inconsistent), text_advice = together(
-        lambda: duplicate_count(data).first()["duplicate_rows"], numbers, lambda: _texts(data), advice
+        repeated, numbers, lambda: _texts(data, copies), advice
     )
     lines = count_recommendations(duplicates, missing) + text_advice
-    points = score(*[F.lit(v) for v in (rows, len(data.columns), sum(missing.values()), duplicates, len(inconsistent))])
+    points = score(*[F.lit(v) for v in (rows, len(columns), sum(missing.values()), duplicates, len(inconsistent))])
+    types = {c: t for c, t in data.dtypes if c != copies}
     return Profile(
-        name=name, rows=rows, column_types=kinds or dict(data.dtypes), missing=missing, duplicate_rows=duplicates,
+        name=name, rows=rows, column_types=kinds or types, missing=missing, duplicate_rows=duplicates,
         memory_bytes=basics["bytes"], numeric=numeric, texts=texts, inconsistent=inconsistent,
         quality_score=df.sparkSession.range(1).select(points).first()[0],
         recommendations=lines,
@@ -125,20 +134,22 @@ def _without_name(entry: dict) -> dict:
     return {k: v for k, v in entry.items() if k != "column_name"}
 
 
-def _texts(data: DataFrame) -> tuple[dict[str, dict], list[str]]:
+def _texts(data: DataFrame, copies: str | None) -> tuple[dict[str, dict], list[str]]:
     """Distinct counts and top values per text column, and the columns that mix numbers with words."""
-    texts = {c: {"unique": 0, "top": []} for c in text_columns(data)}
+    columns = text_columns(data)
+    texts = {c: {"unique": 0, "top": []} for c in columns}
     if not texts:
         return texts, []
-    frequencies = materialize(value_frequencies(data), "values")
+    frequencies = materialize(value_frequencies(data, columns, copies), "values")
     mixed = set()
-    for r in frequencies.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(looks_numeric(F.col("value"))).alias("numeric")
+    for r in frequencies.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("numeric").alias("numeric")
     ).collect():
-        texts[r["column_name"]]["unique"] = r["n"]
+        name = columns[r["position"]]
+        texts[name]["unique"] = r["n"]
         if 0 < r["numeric"] < r["n"]:
-            mixed.add(r["column_name"])
-    for r in sorted(rank_values(frequencies).collect(), key=lambda r: r["value_rank"]):
+            mixed.add(name)
+    for r in sorted(rank_values(data, columns, frequencies).collect(), key=lambda r: r["value_rank"]):
         texts[r["column_name"]]["top"].append((r["value"], r["n"]))
     return texts, [c for c in texts if c in mixed]
 

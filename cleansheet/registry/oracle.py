@@ -680,6 +680,12 @@ def oracle_sql() -> dict[str, str]:
                 "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                 "l_tax"]),
         ]),
+        "sketch_profile": _union([
+            f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS missing, {low} AS least, {high} AS greatest, "
+            "true AS distinct_holds, true AS quartiles_hold, true AS counts_hold FROM events"
+            for c, low, high in (("event_type", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"), *[
+                (c, f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)") for c in ("user_id", "value")])
+        ]),
         "infer_types": _kinds(),
         "null_tokens": f"WITH {CELLS} SELECT " + ", ".join(
             f"CASE WHEN {c} NOT IN {_in(CSV_NULL_TOKENS)} THEN {c} END AS {c}" for c in CELL_COLUMNS

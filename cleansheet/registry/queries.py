@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from cleansheet.functions import dates, numbers, text
 from cleansheet.operators import conversion, date_evidence as evidence, dedup, frequency, history, history_table, inference
 from cleansheet.operators import messages, missing, naming, quality
-from cleansheet.operators import query_audit, statistics
+from cleansheet.operators import query_audit, sketch_profile as sketches, statistics
 from cleansheet.operators.columns import quoted
+from cleansheet.operators.dedup import COPIES
 from cleansheet.plans import cleaning, dataset, profiling
 from cleansheet.registry import views
 from cleansheet.session import materialize, scratch_path
@@ -143,6 +144,37 @@ def iqr_outliers(spark, folder):
     return _rounded(_over(tables, statistics.iqr_outliers))
 
 
+@_query
+def sketch_profile(spark, folder):
+    """A profile merged from stored sketches per day, and whether its estimates hold the bounds that are stated."""
+    columns, place = ["event_type", "user_id", "value"], scratch_path(spark, "sketches")
+    events = views.shared_table(spark, folder, "events", "ts", *columns)
+    sketches.store_sketches(events, F.to_date("ts"), place, columns)
+    merged = sketches.merged_profile(sketches.read_sketches(spark, place))
+    cells = events.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("text"),
+                 F.lit(None).cast("double").alias("number") if c == "event_type" else quoted(c).cast("double").alias("number"))
+        for c in columns])))
+    named = cells.groupBy("column_name", "text", "number").agg(F.count("*").alias("m")).join(F.broadcast(merged), "column_name")
+    hit = F.filter("frequent", lambda x: x["value"] == F.col("text"))
+    off = F.abs(F.get(hit, F.lit(0))["n"] - F.col("m"))
+    total = F.sum("m")
+
+    def near(q: str, share: float) -> Column:
+        upto = F.sum(F.when(F.col("number") <= F.col(q), F.col("m")).otherwise(0)) / total
+        below = F.sum(F.when(F.col("number") < F.col(q), F.col("m")).otherwise(0)) / total
+        return (below <= share + sketches.RANK_BOUND) & (upto >= share - sketches.RANK_BOUND)
+
+    judged = named.groupBy("column_name", "n_rows", "missing", "least", "greatest", "n_unique").agg(
+        F.count("text").alias("exact"), F.coalesce(F.max(off), F.lit(0)).alias("off"),
+        (F.max("p50").isNull() | (near("p25", 0.25) & near("p50", 0.5) & near("p75", 0.75))).alias("quartiles_hold"))
+    return judged.select(
+        "column_name", "n_rows", "missing", "least", "greatest",
+        (F.abs(F.col("n_unique") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * sketches.DISTINCT_BOUND)).alias(
+            "distinct_holds"), "quartiles_hold",
+        (F.col("off") <= F.greatest(F.lit(1.0), F.col("n_rows") * sketches.COUNT_BOUND)).alias("counts_hold"))
+
+
 # --- clean -------------------------------------------------------------------
 
 
@@ -313,8 +345,9 @@ def cleaning_actions(spark, folder):
 @_query
 def before_after(spark, folder):
     mo = materialize(views.messy_with_headings(spark, folder), "view")
-    before = profiling.profile_dataset(mo, "before", quoted("Order ID"))
-    cleaned = cleaning.clean_dataset(mo, "Order ID")
+    distinct = cleaning.distinct_rows(mo)
+    before = profiling.profile_dataset(distinct, "before", quoted("Order ID"), copies=COPIES)
+    cleaned = cleaning.clean_dataset(mo, "Order ID", distinct=distinct)
     printed = materialize(missing.null_csv_tokens(conversion.as_export_text(cleaned.data)), "cleaned")
     after = profiling.profile_dataset(printed, "after", F.col("order_id"))
     return profiling.compare(profiling.metric_rows(spark, before), profiling.metric_rows(spark, after))

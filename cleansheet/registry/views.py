@@ -50,9 +50,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Some columns of a table."""
+    """Some columns of a table, dealt to all cores.
+
+    The given tables are single files of one row group, which one core would
+    read and work on alone; tables at scale need no such step.
+    """
     df = table(spark, folder, name)
-    return df.select(*columns) if columns else df
+    return (df.select(*columns) if columns else df).repartition(spark.sparkContext.defaultParallelism)
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,7 +266,7 @@ def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for i, (form, _) in enumerate(DATE_FORMS):
         text = F.when(key % len(DATE_FORMS) == i, F.date_format(moment, form)).otherwise(text)
-    return table(spark, folder, "orders").select(key.alias("order_id"), text.alias("written"))
+    return shared_table(spark, folder, "orders", "o_orderkey", "o_orderdate").select(key.alias("order_id"), text.alias("written"))
 
 
 # Columns that each write dates in one way: Spark and second-engine form, years added, and a second form for every
@@ -286,5 +290,5 @@ def dated_columns(spark: SparkSession, folder: str) -> DataFrame:
             text = F.when(key % 10 == 0, F.date_format(moved, other[0])).otherwise(text)
         return F.when(key % 40 == 3, "soon").otherwise(text)
 
-    return table(spark, folder, "orders").select(
+    return shared_table(spark, folder, "orders", "o_orderkey", "o_orderdate").select(
         key.alias("order_id"), *[printed(f, y, o).alias(n) for n, (f, _, y, o) in DATE_COLUMNS.items()])

@@ -11,6 +11,8 @@ from cleansheet.operators import dedup, frequency, messages, quality, quantiles,
 from cleansheet.operators.columns import nan_to_null
 from cleansheet.operators.date_evidence import date_evidence, to_datetime_by_evidence
 from cleansheet.operators.quantiles import exact_quantiles
+from cleansheet.plans.cleaning import distinct_rows
+from cleansheet.plans.profiling import profile_dataset
 
 
 def one(spark, expression, value, kind="string"):
@@ -155,6 +157,36 @@ def test_top_values_limit_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_long_values_are_told_apart(spark):
+    long = "x" * 40
+    rows = [(long + "b",), (long + "a",), (long + "a",), ("x" * 32,), ("x" * 33,), (long + "c",), ("y",), ("1" * 40,), ("1_" * 20 + "1",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [(r["value"], r["n"]) for r in frequency.top_values(df, k=4).orderBy("value_rank").collect()] == [
+        (long + "a", 2), ("1" * 40, 1), ("1_" * 20 + "1", 1), ("x" * 32, 1)]
+    assert frequency.distinct_counts(df).first()["n_unique"] == 8
+    assert frequency.value_frequencies(df).where("numeric").count() == 2
+    assert frequency.column_modes(df).first()["mode_value"] == long + "a"
+    weighted = df.withColumn("w", F.when(df.t == "y", 9).otherwise(1).cast("long"))
+    assert frequency.value_frequencies(weighted, ["t"], "w").agg(F.max("n")).first()[0] == 9
+
+
+@pytest.mark.parametrize("single_pass", [None, 0])
+def test_copies_as_weights(spark, single_pass, monkeypatch):
+    if single_pass is not None:
+        for module in (statistics, quantiles):
+            monkeypatch.setattr(module, "SINGLE_PASS_CELLS", single_pass)
+    rows = [(i % 7, float(i % 5) * 1e6, ["a", "b ", None, "2024-01-05", "7"][i % 5], ["x" * 50, "2"][i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:25] + [(None, None, None, None)] * 4, "i long, d double, t string, u string")
+    df = df.withColumn("k", F.col("i") * 0 + 3)
+    plain = profile_dataset(df, "p")
+    weighted = profile_dataset(distinct_rows(df), "p", copies=dedup.COPIES)
+    for name in ("rows", "missing", "duplicate_rows", "memory_bytes", "texts", "inconsistent", "quality_score", "recommendations"):
+        assert getattr(plain, name) == getattr(weighted, name), name
+    assert plain.column_types == weighted.column_types
+    for c, facts in plain.numeric.items():
+        assert weighted.numeric[c] == pytest.approx(facts)
+
+
 def test_score_bounds(spark):
     def score(*v):
         return spark.range(1).select(quality.score(*[F.lit(x) for x in v])).first()[0]
