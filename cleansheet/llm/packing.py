@@ -19,6 +19,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,10 @@ END_ID = 0
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
 CHUNK_BYTES = 2 << 20
-CACHED_PIECES = 500_000
+CACHED_PIECES = 800_000
 LEARN_PIECES = 2048
+COMMON_SHARE = 8  # terms that more than one in so many tails hold are scored as whole rows
+FIRST_NEIGHBOURS = 24
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -45,6 +48,11 @@ _SOLID = np.zeros(256, bool)  # bytes that cannot begin a white space character
 _SOLID[33:127] = True
 _SOLID[128:] = True
 _SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_CLASS = np.zeros(256, np.uint8)  # ASCII letters, digits, signs; the apostrophe, which can begin a piece or not, is none
+_CLASS[33:127] = 3
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[39] = 2, 1, 1, 0
+_LATIN = bytes(range(0xCC))  # bytes of characters below U+0300, whose classes are the same in every version of Unicode
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
@@ -52,7 +60,13 @@ class Encoder:
 
     A byte-level vocabulary never joins bytes across the last white space
     character before a visible one, so texts are cut there: before a space,
-    which belongs to the word that follows, and on both sides of any other.
+    which belongs to the word that follows, and on both sides of any other; also
+    between ASCII letters, digits and signs, which it never joins either.
+
+    New pieces of common scripts are encoded by `fast`, another implementation of
+    byte-pair encoding over the same vocabulary. It joins whatever two
+    neighbours make a token, not only the two of a merge; that is the same if
+    every token is what the merges make of its own text, which is checked.
     """
 
     def __init__(self, path: str):
@@ -64,6 +78,8 @@ class Encoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one letter of a token stands for a byte
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
+        self.fast = _fast(path, self.tokenizer)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -72,7 +88,19 @@ class Encoder:
         self.first = np.zeros(1 << 14, np.int64)  # of each piece in `flat`; one more entry than pieces
 
     def _learn(self, codes: list[int], pieces: list[bytes]) -> None:
-        """Encode new pieces, many at once where that cannot change them, and remember their ids."""
+        """Encode new pieces and remember their ids."""
+        plain = [self.fast is not None and not p.translate(None, _LATIN) and p not in self.special for p in pieces]
+        for fast in (True, False):
+            own = [i for i, p in enumerate(plain) if p == fast]
+            self._learn_alike([codes[i] for i in own], [pieces[i] for i in own], fast)
+
+    def _ids(self, texts: list[str], fast: bool) -> list[list[int]]:
+        if fast:
+            return [self.fast.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_alike(self, codes: list[int], pieces: list[bytes], fast: bool) -> None:
+        """Many at once where that cannot change them."""
         for part in range(0, len(codes), LEARN_PIECES):
             own = pieces[part : part + LEARN_PIECES]
             # A space with a visible character behind it begins a piece wherever it stands.
@@ -80,13 +108,12 @@ class Encoder:
             order = [i for i, j in enumerate(joins) if j] + [i for i, j in enumerate(joins) if not j]
             n = sum(joins)
             texts = [b"".join(own[i] for i in order[:n])] + [own[i] for i in order[n:]]
-            encoded = self.tokenizer.encode_batch_fast(
-                [t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
-            flat = np.array(encoded[0].ids, np.int64)
+            encoded = self._ids([t.decode("utf-8", "surrogatepass") for t in texts], fast)
+            flat = np.array(encoded[0], np.int64)
             ends = np.searchsorted(np.cumsum(self.bytes_of[flat]), np.cumsum([len(own[i]) for i in order[:n]]), "left") + 1
             if n and (self.bytes_of[flat].sum() != len(texts[0]) or ends[-1] != len(flat)):
                 raise ValueError("the vocabulary is not one of bytes")
-            rest = [e.ids for e in encoded[1:]]
+            rest = encoded[1:]
             flat = np.concatenate((flat, np.fromiter(chain.from_iterable(rest), np.int64)))
             ends = np.concatenate((ends[:n], (ends[n - 1] if n else 0) + np.cumsum([len(r) for r in rest], dtype=np.int64)))
             row, used = len(self.known), int(self.first[len(self.known)])
@@ -98,6 +125,18 @@ class Encoder:
             self.flat[used : used + len(flat)] = flat
             self.known.update(zip([codes[part + i] for i in order], range(row, row + len(ends))))
 
+    def _set_apart(self, whole: bytes, begin: np.ndarray, mark: np.ndarray) -> None:
+        """Make pieces of the vocabulary's own strings; white space before one ends the piece that it follows."""
+        for token in self.special:
+            at = whole.find(token)
+            while at >= 0:
+                start, blank = int(begin[np.searchsorted(begin, at, "right") - 1]), at
+                while blank > start and _BLANK[whole[blank - 1]]:
+                    blank -= 1
+                mark[max(blank, start + 1) : at + len(token)] = False
+                mark[at] = mark[at + len(token)] = True
+                at = whole.find(token, at + len(token))
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
         held, size = [], 0
@@ -124,10 +163,15 @@ class Encoder:
         mark[begin] = True
         last = np.flatnonzero(_BLANK[buf[:-1]] & _SOLID[buf[1:]] & ~mark[1:-1])  # not across texts
         mark[last] = mark[last[buf[last] != 32] + 1] = True
+        kind = _CLASS[buf]
+        mark[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)
+        self._set_apart(whole, begin, mark)
         cut = np.flatnonzero(mark[:-1])
         end = np.append(cut[1:], len(buf))
-        codes, where, piece = np.unique(span_hashes(buf, cut, end), return_index=True, return_inverse=True)
-        keys = codes.tolist()
+        coded = pa.array(span_hashes(buf, cut, end)).dictionary_encode()
+        keys, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        where = np.zeros(len(keys), np.int64)
+        where[piece] = np.arange(len(piece))
         new = [i for i, c in enumerate(keys) if c not in self.known]
         if new:
             self._learn([keys[i] for i in new], [
@@ -141,6 +185,27 @@ class Encoder:
             yield ids[a:b]
 
 
+def _fast(path: str, tokenizer):
+    """The same encoding by another library, or None if it may differ."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ids: dict[str, int] = model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [ids[a + b] for a, b in merges]
+    if model.get("end_of_word_suffix") or any(a >= b for a, b in zip(made, made[1:])) or len(set(made)) < len(made):
+        return None
+    visible = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+    letters = {chr(b): b for b in visible} | {
+        chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
+    used = {*letters, *(a + b for a, b in merges)}
+    if any([t.id for t in tokenizer.model.tokenize(token)] != [ids[token]] for token in used):
+        return None
+    ranks = {bytes(letters[c] for c in token): ids[token] for token in used}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -211,22 +276,45 @@ class Shard:
         norm = K1 * (1 - B + B * length / max(average, 1e-9))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
         self.bounds = np.arange(int(flat.max()) + 2 if len(flat) else 1)
-        self.first = np.searchsorted(self.term, self.bounds)
+        often = np.diff(np.searchsorted(self.term, self.bounds)) * COMMON_SHARE > len(tails)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)  # of each common term in `common`
+        self.common = np.zeros((int(often.sum()), len(tails)))
+        dense = often[self.term]
+        self.common[self.row[self.term[dense]], self.doc[dense]] = self.weight[dense]
+        self._keep(~dense)
         self.held = len(tails)
 
-    def ranking(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused tails that share a term with the seed, best first."""
+    def _keep(self, keep: np.ndarray) -> None:
+        self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
+        self.first = np.searchsorted(self.term, self.bounds)
+
+    def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """What every unused tail scores for all terms of the seed."""
         unused = len(used) - np.count_nonzero(used)
         if unused * 2 < self.held:  # used tails leave the index from time to time
-            keep = ~used[self.doc]
-            self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
-            self.first, self.held = np.searchsorted(self.term, self.bounds), unused
+            self._keep(~used[self.doc])
+            self.held = unused
         terms = np.unique(self.tails[seed])
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]),
-                            np.concatenate([self.weight[s] for s in spans]), len(self.tails))
+        row = self.row[terms]
+        rare = terms[row < 0]
+        count = self.first[rare + 1] - self.first[rare]
+        at = np.arange(count.sum()) + np.repeat(self.first[rare] - np.cumsum(count) + count, count)
+        score = np.bincount(self.doc[at], self.weight[at], len(self.tails)).astype(np.float64)
+        score += self.common[row[row >= 0]].sum(axis=0)
         score[used] = 0
-        return np.argsort(-score, kind="stable")[: np.count_nonzero(score)]
+        return score
+
+    def ranking(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused tails that share a term with the seed, best first, equal ones in their order."""
+        score = self.scores(seed, used)
+        least = 0.0
+        if len(score) > 2 * FIRST_NEIGHBOURS:
+            least = np.partition(score, -FIRST_NEIGHBOURS)[-FIRST_NEIGHBOURS]
+            if least > 0:
+                best = np.flatnonzero(score >= least)
+                yield from best[np.argsort(-score[best], kind="stable")].tolist()
+                score[best] = 0
+        yield from np.argsort(-score, kind="stable")[: np.count_nonzero(score)].tolist()
 
 
 def fill(shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -246,7 +334,7 @@ def fill(shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
         neighbours, next_seed, next_at = None, -1, 0
         while room:
             if neighbours is None:
-                neighbours = iter(shard.ranking(seed, used).tolist())
+                neighbours = shard.ranking(seed, used)
             best = next(neighbours, -1)
             if best < 0:
                 while follow < len(used) and used[follow]:

@@ -99,13 +99,42 @@ def test_all_terms_of_the_seed_count():
     idf = np.ones(400)
     idf[:41] = 0.5
     shard = packing.Shard(tails, idf, 50.0)
-    assert shard.ranking(0, np.array([True, False, False, False])).tolist() == [3]
+    assert list(shard.ranking(0, np.array([True, False, False, False]))) == [3]
+
+
+def test_scores_against_plain_sums():
+    rng = np.random.RandomState(3)
+    tails = [rng.randint(0, 60 if i % 2 else 900, rng.randint(1, 80)) for i in range(150)]
+    idf = rng.rand(900) + 0.1
+    shard = packing.Shard([t.astype(np.int64) for t in tails], idf, 40.0)
+    assert len(shard.common) and (shard.row < 0).any()
+    used = np.zeros(150, bool)
+    for seed in range(0, 150, 7):
+        used[seed] = True
+        if seed == 77:
+            used[::2] = True
+        expected = np.zeros(150)
+        for d, tail in enumerate(tails):
+            for term in set(tails[seed].tolist()) & set(tail.tolist()):
+                n = int((tail == term).sum())
+                expected[d] += idf[term] * n * (packing.K1 + 1) / (
+                    n + packing.K1 * (1 - packing.B + packing.B * len(tail) / 40.0))
+        expected[used] = 0
+        assert shard.scores(seed, used.copy()) == pytest.approx(expected)
+        order = list(shard.ranking(seed, used.copy()))
+        assert sorted(order) == np.flatnonzero(expected).tolist()
+        assert (np.diff(shard.scores(seed, used.copy())[order]) <= 1e-9).all()
 
 
 def test_encoder_agrees_with_the_tokenizer():
     rng = random.Random(2)
     alphabet = "ab é'\n\t    s1.!9日\x1f 　 \x85"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    texts += ["I'll they've x's", "a <|endoftext|> b", None, "", odd.LONG]
+    texts += ["I'll they've x's", "a <|endoftext|> b", "a  <|endoftext|>b", "<|endoftext|>", "\t <|endoftext|><|endoftext|>  \n", "x<|endoftext|", None, "", odd.LONG]
+    texts += ["Hey,you(there)42x_y don't'so 'tis x'1'y a.b.c 3.14e-5 #tag @me e-mail\t\tC++ naïve,été!œ…ſ ǆ'x ¿qué?ª1²3"]
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789.,;:!?'\"()[]{}<>/|#$%&*+-=_@~^ " * 2 + "éüßñçœ"
+    texts += ["".join(rng.choice(mixed) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
+    texts += ["".join(rng.choice("etaoinshrdlu ") for _ in range(300)) for _ in range(200)]
+    assert packing.Encoder(PATH).fast is not None
     for text, ids in zip(texts, packing.Encoder(PATH).encode(texts)):
         assert ids.tolist() + [0] == ids_of(text), repr(text)
