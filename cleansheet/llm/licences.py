@@ -92,6 +92,8 @@ STRAYS = ("licensed released under the terms of a version public general free so
 
 BITS = 17
 WINDOW, STRIDE = 48, 24
+SLICE_WORDS = 1 << 14  # of windows that are classified at once
+CHUNK_BYTES = 1 << 18
 MAX_SAMPLE = 400
 PROBABILITY, SIMILARITY = 0.5, 0.6
 
@@ -115,6 +117,12 @@ class Pieces:
     word_end: np.ndarray
     begin: np.ndarray
 
+    def rows(self, a: int, b: int) -> Pieces:
+        """The pieces from a to before b, over their own words only."""
+        low, high = int(self.first[a:b].min()), int(self.last[a:b].max())
+        return Pieces(self.code[low:high], self.first[a:b] - low, self.last[a:b] - low, self.text[a:b], self.start[a:b],
+                      self.end[a:b], self.word_start[low:high], self.word_end[low:high], self.begin)
+
     def part(self, i: int, a: int, b: int) -> Pieces:
         """The words from a to before b as a piece of the text of piece i."""
         text = self.text[i : i + 1]
@@ -199,7 +207,15 @@ class Model:
         return out + self.bias
 
     def probabilities(self, p: Pieces) -> np.ndarray:
-        return _softmax(self.logits(*features(p), len(p.first)) / self.temperature)
+        """The chances of all families for every piece, a bounded number of words at a time."""
+        upto = np.cumsum(p.last - p.first)
+        out, a = [], 0
+        while a < len(p.first):
+            before = int(upto[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, before + SLICE_WORDS, "right")))
+            out.append(_softmax(self.logits(*features(p.rows(a, b)), b - a) / self.temperature))
+            a = b
+        return np.concatenate(out) if out else np.zeros((0, len(FAMILIES)), np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -279,8 +295,12 @@ def train(docs: DataFrame, *, text: str = "text", max_sample: int = MAX_SAMPLE)
 
     Lines that resemble a template are left out.
     """
-    sample = docs.select(F.col(text).alias("text")).where("text is not null").orderBy(
-        F.xxhash64("text"), F.xxhash64("text", F.lit(1))).limit(max_sample)
+    rows = docs.select(F.col(text).alias("text")).where("text is not null")
+    # Hashes are even, so four times the sample, at least nearly always, lie below this share of their range; no task
+    # then holds more texts than it may have of them.
+    share = min(1.0, (4 * max_sample + 100) / max(rows.count(), 1))
+    few = rows.where(F.xxhash64("text") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    sample = few.orderBy(F.xxhash64("text"), F.xxhash64("text", F.lit(1))).limit(max_sample)
     line = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") > 0)
     lines = [r["line"] for r in line.orderBy(F.xxhash64("line"), "line").limit(10 * max_sample).collect()]
     templates = [t for ts in _templates().values() for t in ts]
@@ -363,7 +383,7 @@ def _scan(model: Model, probability: float, similar: float):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for at, raw in chunks(texts, 1 << 20):
+            for at, raw in chunks(texts, CHUNK_BYTES):
                 held: dict[tuple[int, int], list[list]] = {}
                 for across in (False, True):
                     p = pieces(raw, across)

@@ -75,3 +75,11 @@ def test_odd_tables(spark):
     assert found(spark, [(None, notice), (1, notice), (1, notice), (2, "x\n" + notice)]) == {
         (None, "MIT", 0, 30), (1, "MIT", 0, 30), (2, "MIT", 2, 32)}
     assert isinstance(licences.train(odd.frame(spark, [])), licences.Model)
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    model = licences.fit(["some prose that is no notice at all"])
+    p = licences.pieces([("a b c d " * 400 + "Licensed under the MIT license. " * 5 + "x\n" * 50).encode()])
+    whole = model.probabilities(p)
+    monkeypatch.setattr(licences, "SLICE_WORDS", 70)
+    assert len(whole) > 20 and abs(model.probabilities(p) - whole).max() < 1e-5
