@@ -42,7 +42,7 @@ from .common import LOWER, chunks, discard, mix, powers, ship, span_hashes, word
 ORDER = 5
 LOCAL, LOCAL_ESCAPE = 12, 6  # bytes of a text's own context; its follower is right 5 times in 6 at first
 END, START, SYMBOLS = 0xFF, 0xFE, 256  # neither byte occurs in UTF-8
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 2_000_000
 CHUNK = 1 << 20
 HELD_KEYS = 2_000_000
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -285,8 +285,8 @@ def repeats(buf: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return place[same] + LOCAL, buf[place[same - 1] + LOCAL], same - first[same]
 
 
-def local_terms(trie: Trie, buf: np.ndarray, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """What a text's own past changes about the log10 score of each run.
+def local_terms(trie: Trie, buf: np.ndarray, begin: np.ndarray, run: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """What a text's own past changes about the log10 score of each run that is `mine`.
 
     Where the local context foresees the right byte, the trie's term is
     replaced; where it fails, an escape is paid and the trie's chances are
@@ -296,6 +296,8 @@ def local_terms(trie: Trie, buf: np.ndarray, begin: np.ndarray, run: np.ndarray)
     term = np.zeros(len(run))
     right = buf[at] == foreseen
     at, often = at - ORDER, LOCAL_ESCAPE * often
+    own = mine[at]
+    at, foreseen, often, right = at[own], foreseen[own], often[own], right[own]
     hit, miss = at[right], at[~right]
     term[hit] = np.log10(1 - 1 / often[right]) - trie.log10(run[hit])
     wrong = (run[miss] & ~_mask(1)) | foreseen[~right].astype(np.uint64)
@@ -321,12 +323,12 @@ def _score(part: int, parts: int, shared, ends: int, total: int, distinct: int):
                 buf, begin = symbols(raw)
                 n = len(raw)
                 run_ = runs(buf)
-                place = np.flatnonzero(_is_coded(buf, begin))
-                owner = np.repeat(np.arange(n), np.diff(begin) - ORDER)
-                if parts > 1:
-                    mine = part_of(run_[place], parts) == part
-                    place, owner = place[mine], owner[mine]
-                local = local_terms(trie, buf, begin, run_)
+                mine = _is_coded(buf, begin)
+                if parts > 1:  # a wrong byte in place of the right one stays in the part, which follows from the context
+                    mine &= part_of(run_, parts) == part
+                place = np.flatnonzero(mine)
+                owner = np.searchsorted(begin, place + ORDER, "right") - 1
+                local = local_terms(trie, buf, begin, run_, mine)
                 run_ = run_[place]
                 coded = np.bincount(owner, trie.log10(run_) + local[place], n)
                 start, end = token_spans(buf)
