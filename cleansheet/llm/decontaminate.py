@@ -38,7 +38,9 @@ SEGMENT_CHARS = 1000
 CHUNK_CHARS = 1 << 20
 REGION = "doc long, item long, start long, end long, edits long"
 
-_FOLD = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(592)], np.uint32)
+# Every code point whose lower case is one code point; those with case end before this one.
+_CASED = 0x1E944
+_FOLD = np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(_CASED)], np.uint32)
 _SPACES = np.array([ord(c) for c in WHITESPACE], np.uint32)
 
 
@@ -49,8 +51,8 @@ def _points(text: str) -> np.ndarray:
 def normal(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case with single spaces, and where each came from."""
     low = points.copy()
-    latin = low < len(_FOLD)
-    low[latin] = _FOLD[low[latin]]
+    cased = low < len(_FOLD)
+    low[cased] = _FOLD[low[cased]]
     space = (low == 32) | ((low >= 9) & (low <= 13))
     low[space] = 32
     keep = np.ones(len(low), bool)

@@ -270,9 +270,12 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
 
 def drop_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
-    """One row for each document that stands for its group; all columns stay. Rows with a null id all stay."""
+    """One row for each document that stands for its group; all columns stay.
+
+    Rows with a null id all stay, and so does every text of an id that stands for its group.
+    """
     keep = fresh(docs.columns, "jj_keep")
     kept = similar_documents(docs, doc_id=doc_id, text=text, **rules).where("kept and doc_id is not null").select(
         F.col("doc_id").alias(keep))
-    named = docs.join(kept, F.col(doc_id).cast("long") == F.col(keep), "left_semi").dropDuplicates([doc_id])
+    named = docs.join(kept, F.col(doc_id).cast("long") == F.col(keep), "left_semi").dropDuplicates([doc_id, text])
     return named.unionByName(docs.where(F.col(doc_id).isNull()))

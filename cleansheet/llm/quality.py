@@ -220,5 +220,9 @@ def score(text: Column, model: Model) -> Column:
 
 def reject_poor(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 threshold: float = THRESHOLD, **rules) -> DataFrame:
-    """The documents that score at least `threshold`; all columns stay."""
-    return docs.where(score(F.col(text), train(docs, labels, doc_id=doc_id, text=text, **rules)) >= threshold)
+    """The documents that score at least `threshold`; all columns stay.
+
+    Without a usable label nothing is learnt, and all documents stay.
+    """
+    model = train(docs, labels, doc_id=doc_id, text=text, **rules)
+    return docs.where(score(F.col(text), model) >= threshold) if model.weights else docs

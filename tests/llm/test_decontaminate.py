@@ -105,3 +105,10 @@ def test_band_alignment():
         want = edits_within(pattern, text)
         assert (hit is None and want > 8) or hit[0] == want == edits_within(pattern, text[hit[1] : hit[2]])
         assert np.all(hit is None or hit[1] <= hit[2])
+
+
+def test_case_of_every_script_is_folded(spark):
+    item = "вот длинный отрывок из контрольного набора который повторяется в документе целиком и без изменений"
+    docs = spark.createDataFrame([(1, "начало " + item.upper() + " конец"), (2, "ΑΒΓ " + item[:20])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc"] for r in decontaminate.contaminated_regions(docs, items).collect()} == {1}

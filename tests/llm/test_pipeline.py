@@ -53,7 +53,11 @@ def test_columns_and_odd_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         df = stage(spark, df, where)
         assert df.columns == list(corpus_pipeline.COLUMNS)
-    assert corpus_pipeline.run(spark, where).count() >= 0
+    pieces = corpus_pipeline.run(spark, where).collect()
+    assert pieces and {p["doc_id"] for p in pieces} <= {d for d, _ in odd.texts()}
+    (tmp_path / "unlabelled").mkdir()
+    unlabelled = folder(spark, tmp_path / "unlabelled", [(1, "one clean text", None, None, None)], [(1, None, None)])
+    assert [p["doc_id"] for p in corpus_pipeline.run(spark, unlabelled).collect()] == [1]
 
 
 def test_empty_tables(spark, tmp_path):

@@ -58,3 +58,9 @@ def test_odd_tables(spark, labels):
     kept = quality.reject_poor(df, spark.createDataFrame(labels, LABELS), threshold=0.0)
     assert kept.columns == df.columns and kept.count() == len(odd.texts())
     assert quality.reject_poor(odd.frame(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_nothing_learnt_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    for rows in ([], [(1, None)], [(9, 1)]):
+        assert quality.reject_poor(docs, spark.createDataFrame(rows, "doc_id long, quality int")).count() == 2
