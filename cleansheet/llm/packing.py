@@ -169,17 +169,19 @@ class Encoder:
         cut = np.flatnonzero(mark[:-1])
         end = np.append(cut[1:], len(buf))
         coded = pa.array(span_hashes(buf, cut, end)).dictionary_encode()
-        keys, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        keys, piece = coded.dictionary.to_numpy().tolist(), coded.indices.to_numpy()
         where = np.zeros(len(keys), np.int64)
         where[piece] = np.arange(len(piece))
         new = [i for i, c in enumerate(keys) if c not in self.known]
         if new:
             self._learn([keys[i] for i in new], [
                 whole[cut[where[i]] : end[where[i]]] for i in new])
-        row = np.array([self.known[c] for c in keys])
+        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         start, length = self.first[row][piece], (self.first[row + 1] - self.first[row])[piece]
         total = np.concatenate(([0], np.cumsum(length)))
-        ids = self.flat[np.arange(total[-1]) + np.repeat(start - total[:-1], length)]
+        place = np.repeat(start - total[:-1], length)
+        place += np.arange(len(place))
+        ids = self.flat[place]
         of = total[np.searchsorted(cut, begin)]
         for a, b in zip(of[:-1], of[1:]):
             yield ids[a:b]
@@ -239,8 +241,20 @@ def _tokenize(path: str, window: int, end_id: int):
     return run
 
 
+def _raw_ids(tail: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(tail, "<u2" if width == 2 else "<u4")
+
+
 def _ids(tail: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(tail, "<u2" if width == 2 else "<u4").astype(np.int64)
+    return _raw_ids(tail, width).astype(np.int64)
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, and how often each does."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    first = np.concatenate(([0], first)) if len(ids) else first
+    return ids[first].astype(np.int64), np.diff(first, append=len(ids))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +263,13 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = ids_seen = 0
     for batch in batches:
         for tail, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = _ids(tail, width)
+            ids = _raw_ids(tail, width)
             docs, ids_seen = docs + 1, ids_seen + len(ids)
             if len(ids):
-                distinct = np.unique(ids)
-                if distinct[-1] >= len(total):
-                    total = np.concatenate((total, np.zeros(int(distinct[-1]) + 1, np.int64)))
-                total[distinct] += 1
+                terms, _ = distinct(ids)
+                if terms[-1] >= len(total):
+                    total = np.concatenate((total, np.zeros(int(terms[-1]) + 1, np.int64)))
+                total[terms] += 1
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(([-1, -2], some))), pa.array(np.concatenate(([docs, ids_seen], total[some])))],
@@ -294,7 +308,7 @@ class Shard:
         if unused * 2 < self.held:  # used tails leave the index from time to time
             self._keep(~used[self.doc])
             self.held = unused
-        terms = np.unique(self.tails[seed])
+        terms, _ = distinct(self.tails[seed])
         row = self.row[terms]
         rare = terms[row < 0]
         count = self.first[rare + 1] - self.first[rare]
@@ -353,11 +367,12 @@ def fill(shard: Shard, window: int) -> Iterator[tuple[int, int, int, int, int]]:
 
 def content_keys(ids: np.ndarray, idf: np.ndarray, average: float, rarest: list[float]) -> list[int]:
     """The heaviest BM25 term of a tail among those of at most each given idf; -1 if it has none."""
-    terms, count = np.unique(ids, return_counts=True)
-    weight = idf[terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / max(average, 1e-9)))
+    terms, count = distinct(ids)
+    rarity = idf[terms]
+    weight = rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / max(average, 1e-9)))
     out = []
     for most in rarest:
-        fit = idf[terms] <= most
+        fit = rarity <= most
         out.append(int(terms[fit][weight[fit].argmax()]) if fit.any() else -1)
     return out
 
@@ -365,7 +380,7 @@ def content_keys(ids: np.ndarray, idf: np.ndarray, average: float, rarest: list[
 def _key(idf: np.ndarray, average: float, rarest: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [content_keys(_ids(t, w), idf, average, rarest) for t, w in zip(
+            keys = [content_keys(_raw_ids(t, w), idf, average, rarest) for t, w in zip(
                 batch.column("tail").to_pylist(), batch.column("width").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * len(rarest)))],
