@@ -67,7 +67,9 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     per_doc = ranged.groupBy(*run).agg(F.min("pos").alias("first"), F.collect_list("pos").alias("places"))
     keys = per_doc.groupBy("h1", "h2").agg(
         F.count("*").alias("docs"), F.min(F.struct("doc", "version", "first")).alias("head"))
-    going = per_doc.join(keys.where(F.col("docs") >= min_docs), ["h1", "h2"]).select(
+    # Written, so that the join meets two plain exchanges, of which Spark splits the parts of a line that many share.
+    gone = stored(keys.where(F.col("docs") >= min_docs), "line-keys")
+    going = per_doc.join(gone, ["h1", "h2"]).select(
         "doc", "version", "head", F.explode("places").alias("pos"))
     if keep_first:
         at = F.struct("doc", "version", F.col("pos").alias("first"))

@@ -3,7 +3,9 @@ import random
 
 import odd
 
-from cleansheet.llm import line_dedup
+from compare import differences
+
+from cleansheet.llm import line_dedup, queries
 
 SPACE = " \t\n\x0b\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +78,17 @@ def test_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_query_and_sql_agree_on_repeated_ids(spark, tmp_path):
+    rows = [(d % 9, f"shared\n{d}") for d in range(10)] + [(d % 3, "thrice") for d in range(12)] + [(None, None), (None, "shared"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    (part,) = (tmp_path / "in").glob("part-*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    found = differences(spark, str(tmp_path), "op10", queries.op10_line_dedup, queries.OP10_SQL)
+    assert found == []
+    got = queries.op10_line_dedup(spark, str(tmp_path)).where("n_dropped > 0").count()
+    assert got == 11  # ten documents of nine ids and one without an id share a line; "thrice" stands in three documents only
+
+
 def test_digest_of_kept_text(spark):
     got, _ = result(odd.frame(spark, [(d, "a\nshared\nb") for d in range(10)]), min_docs=10)
     assert {hashlib.sha256(r[3].encode()).hexdigest() for r in got} == {hashlib.sha256(b"").hexdigest()}
