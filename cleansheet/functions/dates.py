@@ -71,9 +71,13 @@ class _Parts:
 
 
 def _read(c: Column, read: Callable[[_Parts], Column]) -> Column:
-    """An expression over the parts of a date-like text, which are found once; NULL for any other text."""
+    """An expression over the parts of a date-like text, which are found once; NULL for any other text.
+
+    A text that does not fit the pattern stays as it is, and so is not cut.
+    """
     groups = F.split(F.regexp_replace(c, DATE_LIKE, _CUT.join(f"${i + 1}" for i in range(len(_GROUPS)))), _CUT, -1)
-    return F.when(is_date_like(c), F.get(F.transform(F.array(groups), lambda g: read(_Parts(g))), F.lit(0)))
+    found = F.transform(F.array(groups), lambda g: F.when(F.size(g) == len(_GROUPS), read(_Parts(g))))
+    return F.when(F.octet_length(c).between(6, 64) & ~c.contains(_CUT), F.get(found, F.lit(0)))
 
 
 def _if(text: Column, then: str | Column) -> Column:
@@ -165,16 +169,19 @@ def first_format(c: Column) -> Column:
     return F.when(parse_any(c).isNotNull(), _read(c, lambda p: _format(p, p.day_leads())))
 
 
-def shape(c: Column) -> Column:
-    """The format of a date-like text, month before day wherever both are numbers."""
-    return _read(c, lambda p: _format(p, F.lit(False)))
+def readings(c: Column) -> Column:
+    """A date-like text in every way: its shape (the format, month first), its text in ISO order with the month and
+    with the day first, and the year if it is written in four digits."""
 
+    def read(p: _Parts) -> Column:
+        year = F.greatest(*[F.when(F.length(p[n]) == 4, p[n].try_cast("int")) for n in ("y1", "y2", "y3", "y4", "y5")],
+                          F.left(p["packed"], F.lit(4)).try_cast("int"))
+        month_first, day_first = F.lit(False), F.lit(True)
+        return F.struct(
+            _format(p, month_first).alias("shape"), _iso(p, month_first, LAST_YEAR).alias("month_first"),
+            _iso(p, day_first, LAST_YEAR).alias("day_first"), year.alias("year"))
 
-def written_year(c: Column) -> Column:
-    """The year of a date-like text that writes it in four digits."""
-    return _read(c, lambda p: F.greatest(*[
-        F.when(F.length(p[n]) == 4, p[n].try_cast("int")) for n in ("y1", "y2", "y3", "y4", "y5")],
-        F.left(p["packed"], F.lit(4)).try_cast("int")))
+    return _read(c, read)
 
 
 def parse_column(c: Column, fmt: str | None) -> Column:

@@ -28,10 +28,11 @@ def date_shapes(cells: DataFrame) -> DataFrame:
     Texts that are no dates share the shape NULL. The counts say how many
     values each reading takes, `year` is the greatest one written out.
     """
-    v = F.col("value")
-    return cells.where(v.isNotNull()).groupBy("position", dates.shape(v).alias("shape")).agg(
-        F.count(v).alias("n"), F.count(dates.parse_any(v, F.lit(False))).alias("as_month_first"),
-        F.count(dates.parse_any(v, F.lit(True))).alias("as_day_first"), F.max(dates.written_year(v)).alias("year"))
+    read = cells.where(F.col("value").isNotNull()).select("position", dates.readings(F.col("value")).alias("read"))
+    read = read.select("position", "read.*")
+    return read.groupBy("position", "shape").agg(
+        F.count("*").alias("n"), F.count(F.col("month_first").try_cast("timestamp")).alias("as_month_first"),
+        F.count(F.col("day_first").try_cast("timestamp")).alias("as_day_first"), F.max("year").alias("year"))
 
 
 def date_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
