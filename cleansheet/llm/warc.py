@@ -16,7 +16,8 @@ comes after all others. A null html is an empty payload, a null or blank url
 leaves out the target. Rows that repeat are written as often; if they share
 the smallest id, each is a response. Other columns are ignored. An archive
 that breaks off, or holds something else than records, is normalised up to
-its last whole record and its last part says why in `error`.
+its last whole record and its last part says why in `error`. Archives may be of
+any length; a record, and so a payload, has to fit into a cell (2 GiB).
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import base64
 import gzip
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,6 +41,8 @@ from .common import discard, ship, write_table
 ARCHIVE_BYTES = 16 << 20  # before compression
 PART_BYTES = 4 << 20  # after compression
 STEP_BYTES = 1 << 20
+FEED_BYTES = 1 << 16
+WHOLE_BYTES = 1 << 28  # files up to this length are one cell, longer ones come in pieces
 LEVEL = 6
 CAPTURED = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -132,40 +136,36 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     _to_files(marked.mapInArrow(_archive, "archive string, content binary"), path, "archive")
 
 
-class Inflater:
-    """The bytes inside a gzip file of any number of members, a bounded piece at a time."""
-
-    def __init__(self, content: bytes):
-        self.content, self.at = content, 0
-        self.stream = None
-
-    def pieces(self) -> Iterator[bytes]:
-        pending = b""
-        while self.at < len(self.content) or pending:
-            if self.stream is None:
-                self.stream = zlib.decompressobj(31)
-            if not pending:
-                pending = self.content[self.at : self.at + STEP_BYTES]
-                self.at += len(pending)
-            yield self.stream.decompress(pending, STEP_BYTES)
-            pending = self.stream.unconsumed_tail
-            if self.stream.eof:
-                self.at -= len(self.stream.unused_data)
-                pending, self.stream = b"", None
-        while self.stream is not None:  # output that the size of a piece has held back
-            rest = self.stream.decompress(b"", STEP_BYTES)
-            yield rest
-            if self.stream.eof:
-                self.stream = None
-            elif not rest:
-                raise ValueError("the gzip stream breaks off")
-
-
-def split_records(content: bytes) -> Iterator[bytes]:
+def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes inside a gzip file of any number of members, which comes in chunks, a bounded piece at a time."""
+    stream = None
+    for pending in chunks:
+        while pending:
+            if stream is None:
+                stream = zlib.decompressobj(31)
+            yield stream.decompress(pending, STEP_BYTES)
+            pending = stream.unconsumed_tail
+            if stream.eof:
+                pending, stream = stream.unused_data, None
+    while stream is not None:  # output that the size of a piece has held back
+        rest = stream.decompress(b"", STEP_BYTES)
+        yield rest
+        if stream.eof:
+            stream = None
+        elif not rest:
+            raise ValueError("the gzip stream breaks off")
+
+
+def fed(content: bytes) -> Iterator[bytes]:
+    """Small chunks, because what follows a member is copied when it ends."""
+    return (content[i : i + FEED_BYTES] for i in range(0, len(content), FEED_BYTES))
+
+
+def split_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
     """Whole WARC records, with their closing line ends; raises ValueError for what is no record."""
     held = bytearray()
     need = 0
-    for piece in Inflater(content).pieces():
+    for piece in pieces:
         held += piece
         while len(held) >= max(need, 4):
             end = held.find(b"\r\n\r\n") if need == 0 else need
@@ -190,51 +190,98 @@ _ENTRY = "struct<offset:long,length:long,record_id:string,warc_type:string,targe
 _PARTS = f"archive string, part int, content binary, entries array<{_ENTRY}>, error string"
 
 
-def _rewrite(part_bytes: int):
-    entry = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()),
-                                ("warc_type", pa.string()), ("target_uri", pa.string())]))
+_ENTRY_TYPE = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()),
+                         ("warc_type", pa.string()), ("target_uri", pa.string())])
+
 
-    def out(name: str, part: int, members: list[bytes], entries: list[dict], error: str | None) -> pa.RecordBatch:
+def _members(name: str, pieces: Iterable[bytes], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The parts of one archive, given its inflated bytes: a gzip member for each record, and their entries."""
+    def out(error: str | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([name]), pa.array([part], pa.int32()), pa.array([b"".join(members)], pa.binary()),
-             pa.array([entries], entry), pa.array([error], pa.string())],
+             pa.array([entries], pa.list_(_ENTRY_TYPE)), pa.array([error], pa.string())],
             ["archive", "part", "content", "entries", "error"])
 
+    part, members, entries, offset, error = 0, [], [], 0, None
+    try:
+        for raw in split_records(pieces):
+            member = gzip.compress(raw, LEVEL, mtime=0)
+            fields, _ = headers(raw)
+            entries.append({
+                "offset": offset, "length": len(member), "record_id": fields.get("warc-record-id"),
+                "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri")})
+            members.append(member)
+            offset += len(member)
+            if offset >= part_bytes:
+                yield out(None)
+                part, members, entries, offset = part + 1, [], [], 0
+    except (ValueError, KeyError, zlib.error) as fault:
+        error = str(fault) or type(fault).__name__
+    if members or error or not part:
+        yield out(error)
+
+
+def _rewrite(part_bytes: int):
+    """Archives that are cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, name in zip(batch.column(0), batch.column(1).to_pylist()):
-                part, members, entries, offset, error = 0, [], [], 0, None
-                try:
-                    for raw in split_records(content.as_py()):
-                        member = gzip.compress(raw, LEVEL, mtime=0)
-                        fields, _ = headers(raw)
-                        entries.append({
-                            "offset": offset, "length": len(member), "record_id": fields.get("warc-record-id"),
-                            "warc_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri")})
-                        members.append(member)
-                        offset += len(member)
-                        if offset >= part_bytes:
-                            yield out(name, part, members, entries, None)
-                            part, members, entries, offset = part + 1, [], [], 0
-                except (ValueError, KeyError, zlib.error) as fault:
-                    error = str(fault) or type(fault).__name__
-                if members or error or not part:
-                    yield out(name, part, members, entries, error)
+                yield from _members(name, inflate(fed(content.as_py())), part_bytes)
+    return run
+
 
+def _rewrite_lines(part_bytes: int):
+    """Archives that come as runs of bytes up to a line feed, sorted by file and position."""
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            name, file, size, raw = (c.to_pylist() for c in batch.columns[:4])
+            yield from zip(name, file, size, raw)
+
+    def chunks(rows: Iterable[tuple], size: int | None) -> Iterator[bytes]:
+        """Many runs at a time. The reader does not say whether a line feed ends the last one; the length does."""
+        held, most = bytearray(), FEED_BYTES
+        for *_, raw in rows:
+            held += raw
+            held += b"\n"
+            if len(held) >= most:
+                if size is not None:
+                    del held[size:]
+                    size -= len(held)
+                yield bytes(held)
+                held = bytearray()
+        yield bytes(held if size is None else held[:size])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, file, size), rows in groupby(runs(batches), lambda r: r[:3]):
+            inflated = file.endswith(".gz")  # by the reader
+            pieces = chunks(rows, None) if inflated else inflate(chunks(rows, size))
+            yield from _members(name, pieces, part_bytes)
     return run
 
 
 def normalise(spark: SparkSession, source: str, target: str, index: str, part_bytes: int = PART_BYTES,
-              keep_source: bool = True) -> None:
+              keep_source: bool = True, whole_bytes: int = WHOLE_BYTES) -> None:
     """Rewrite the archives below `source` with one gzip member per record, and write their index.
 
-    Files are read whole, one per row, and inflated in pieces. The index is a
-    table of (archive, part, offset, length, record_id, warc_type, target_uri,
-    error); the files lie below `target` in folders by archive and part.
+    Files of at most `whole_bytes` are read as one row each. Longer ones are
+    read in splits as runs of bytes, sorted by position, and streamed through
+    one task per file, so that no file has to fit into a cell or into memory;
+    a name that ends in `.gz` lets the reader inflate the stream itself. Such a
+    stream cannot be entered in the middle. The index is a table of (archive,
+    part, offset, length, record_id, warc_type, target_uri, error); the files
+    lie below `target` in folders by archive and part.
     """
     ship(spark)
-    files = _from_files(spark, source).select("content", F.col("archive").cast("string").alias("archive"))
-    parts, path = write_table(files.mapInArrow(_rewrite(part_bytes), _PARTS), "archive-parts")
+    named = F.col("archive").cast("string").alias("archive")
+    small = spark.read.format("binaryFile").load(source).where(F.col("length") <= whole_bytes).select("content", named)
+    runs = spark.read.option("lineSep", "\n").text(source).where(F.col("_metadata.file_size") > whole_bytes).select(
+        named, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    large = runs.repartition("archive", "file").sortWithinPartitions("archive", "file", "block", "place")
+    parts, path = write_table(
+        small.mapInArrow(_rewrite(part_bytes), _PARTS).unionByName(
+            large.mapInArrow(_rewrite_lines(part_bytes), _PARTS)), "archive-parts")
     if not keep_source:
         discard(spark, source)
     _to_files(parts, target, "archive", "part")

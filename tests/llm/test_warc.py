@@ -41,7 +41,7 @@ def test_files_on_disk(spark, tmp_path):
     warc.normalise(spark, raw, out, index, part_bytes=2000)
     monolithic = [p for p in pathlib.Path(raw).rglob("part-*") if not p.name.endswith(".crc")]
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in monolithic)
-    assert len(list(warc.split_records(gzip.compress(whole)))) == len(PAGES)
+    assert len(list(warc.split_records(warc.inflate(warc.fed(gzip.compress(whole)))))) == len(PAGES)
     rows = spark.read.parquet(index).orderBy("archive", "part", "offset").collect()
     assert len(rows) == len(PAGES) and len({r["part"] for r in rows}) > 1
     again = b""
@@ -73,11 +73,46 @@ def test_broken_archives(spark, tmp_path):
     assert count["members"] == 3 and count["noise"] == 1 and count["short"] == 1 and count["plain"] == 0 and count["empty"] == 0
 
 
+def contents(spark, folder):
+    rows = spark.read.parquet(str(folder / "index")).collect()
+    files = {str(p.parent.relative_to(folder / "out")): p.read_bytes() for p in (folder / "out").rglob("part-*") if p.suffix == ".txt"}
+    return sorted(map(tuple, rows), key=repr), files
+
+
+def test_streams_longer_than_a_cell(spark, tmp_path):
+    """Files read in pieces give what files read whole give, in any number of splits; sound ones also by a name in .gz."""
+    records = [warc.record(i, "u", os.urandom(400 * i) + b"\n" * (i % 3), "x", None) for i in range(1, 90)]
+    good = b"".join(records)
+    ends_in_line_feed = next(g for g in (gzip.compress(good + warc.record(0, "u", b"\n" * n, "x", None), 0, mtime=0)
+                                         for n in range(600)) if len(good) and g[-4] == 10)[:-3]
+    sound = {"one": gzip.compress(good), "members": b"".join(map(gzip.compress, records)), "empty": gzip.compress(b"")}
+    broken = {"cut": gzip.compress(good)[:-30000], "plain": good, "noise": gzip.compress(records[0] + b"\nGET\n"), "feed": ends_in_line_feed}
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    for label, suffix, cases, least in (("whole", "txt", sound | broken, 1 << 30), ("runs", "txt", sound | broken, 0), ("gz", "gz", sound, 0)):
+        folder = tmp_path / label
+        for name, content in cases.items():
+            os.makedirs(folder / f"raw/archive={name}")
+            (folder / f"raw/archive={name}/part-0.{suffix}").write_bytes(content)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        try:
+            warc.normalise(spark, *(str(folder / n) for n in ("raw", "out", "index")), part_bytes=100_000, whole_bytes=least)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+        seen.append(contents(spark, folder))
+    whole, runs, inflated = seen
+    assert whole == runs
+    assert len(whole[0]) > 2 * len(records) and {r[0] for r in whole[0] if r[2]} == set(broken)
+    names = {n: c for n, c in whole[1].items() if n.split("/")[0].split("=")[1] in sound and "empty" not in n}
+    assert {n: c for n, c in inflated[1].items() if "empty" not in n} == names
+
+
 def test_inflating_in_small_pieces(monkeypatch):
     monkeypatch.setattr(warc, "STEP_BYTES", 7)
+    monkeypatch.setattr(warc, "FEED_BYTES", 11)
     records = [warc.record(i, "u", b"x" * (i * 50), warc.base32_sha1(b"x" * (i * 50)), None) for i in range(6)]
     stream = gzip.compress(b"".join(records[:4])) + warc.EMPTY_MEMBER + gzip.compress(b"".join(records[4:])) + warc.EMPTY_MEMBER
-    assert list(warc.split_records(stream)) == records
+    assert list(warc.split_records(warc.inflate(warc.fed(stream)))) == records
 
 
 def test_empty_table(spark):
