@@ -6,7 +6,8 @@ the document, so a line that a third of the corpus shares is spread over many
 partitions, and sorted by document and position inside each partition. A
 partition folds its run of equal hashes to one row (first occurrence and
 number of documents) before the rows of a hash meet. Only lines that go are
-sent back to their documents, as 64-line words of a bitmap.
+sent back to their documents, as a bitmap of 64-line words in compressed form:
+blocks that lose nothing are skipped and equal words in a row are counted.
 
 A document is a row; rows that agree in both id and text are copies of one
 document, count once, and each gets its bitmap. Null ids are ids like any
@@ -58,8 +59,10 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Lines are equal when their keys are. A line found in at least `min_docs`
     documents goes everywhere, or, with `keep_first`, everywhere but at its
     first occurrence by document and position (with `min_docs=1` a repeat
-    inside one document goes too). `keep` holds, for each block of 64 lines up
-    to the last one that loses any, a word whose bit i says that line i stays.
+    inside one document goes too). `keep` is a bitmap of lines in 64-line words
+    whose bit i says that line i of the block stays, as runs (skip, words,
+    word): `skip` blocks stay whole, then `words` blocks have that word. It
+    ends with the last block that loses a line; `bitmap` writes it out.
     """
     hashed = stored(hashed_lines(docs, doc_id, text, min_chars), "line-hashes")
     run = ["h1", "h2", "doc", "version"]
@@ -80,11 +83,22 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sparse = blocks.groupBy("doc", "version").agg(
         F.sum(F.bit_count("gone")).cast("long").alias("n_dropped"),
         F.sort_array(F.collect_list(F.struct("block", "gone"))).alias("blocks"))
-    dense = F.aggregate(
-        "blocks", F.array().cast("array<bigint>"),
-        lambda done, b: F.concat(done, F.array_repeat(F.lit(-1).cast("long"), b["block"] - F.size(done)),
-                                 F.array(F.bitwise_not(b["gone"]))))
-    return sparse.select("doc", "version", "n_dropped", dense.alias("keep"))
+    end = F.size("blocks")
+    before = lambda i: F.get("blocks", i - 1)
+    at = lambda i: F.get("blocks", i)
+    heads = F.filter(F.sequence(F.lit(0), end - 1), lambda i: ~F.coalesce(
+        (before(i)["block"] + 1 == at(i)["block"]) & (before(i)["gone"] == at(i)["gone"]), F.lit(False)))
+    runs = F.transform("heads", lambda i, run: F.struct(
+        (at(i)["block"] - F.coalesce(before(i)["block"] + 1, F.lit(0))).alias("skip"),
+        (F.coalesce(F.get("heads", run + 1), end) - i).alias("words"),
+        F.bitwise_not(at(i)["gone"]).alias("word")))
+    return sparse.withColumn("heads", heads).select("doc", "version", "n_dropped", runs.alias("keep"))
+
+
+def bitmap(keep: Column) -> Column:
+    """The words of a compressed bitmap, one per block of 64 lines."""
+    return F.flatten(F.transform(keep, lambda run: F.concat(
+        F.array_repeat(F.lit(-1).cast("long"), run["skip"]), F.array_repeat(run["word"], run["words"]))))
 
 
 def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
@@ -100,8 +114,9 @@ def drop_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     tagged = docs.withColumn(own, version(F.col(text)))
     both = tagged.join(maps, F.col(own).eqNullSafe(F.col(of)) & F.col(doc_id).eqNullSafe(F.col(doc)), "left")
     all_lines = lines(F.col(text))
-    stays = F.filter(all_lines, lambda _, i: (F.floor(i / 64) >= F.size(keep)) | (
-        F.get(F.col(keep), F.floor(i / 64).cast("int")).bitwiseAND(_one_bit(i)) != 0))
+    # An array of one makes the words of a document a value that its lines share.
+    stays = F.get(F.transform(F.array(bitmap(F.col(keep))), lambda words: F.filter(all_lines, lambda _, i: F.coalesce(
+        F.get(words, F.floor(i / 64).cast("int")).bitwiseAND(_one_bit(i)) != 0, F.lit(True)))), 0)
     kept = F.when(F.col(keep).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(stays, "\n"))
     return both.withColumns({
         "n_lines": F.size(all_lines).cast("long"), "n_dropped": F.coalesce(F.col(dropped), F.lit(0).cast("long")),

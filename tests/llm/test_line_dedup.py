@@ -70,7 +70,25 @@ def test_bitmaps_are_small(spark):
     rows = [(d, "\n".join(["common"] + [f"{d} {i}" for i in range(500)])) for d in range(12)]
     maps = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(maps) == 12 and all(len(m["keep"]) == 1 and m["n_dropped"] == 1 for m in maps)
-    assert {m["keep"][0] for m in maps} == {~1}
+    assert {tuple(m["keep"][0]) for m in maps} == {(0, 1, ~1)}
+
+
+def test_bitmaps_are_runs(spark):
+    """Long stretches that go, or stay, take one run; written out the bitmap says which lines stay."""
+    rng = random.Random(3)
+    shapes = ["k" * 6400 + "d" * 6400 + "k" * 100, "d" * 640, "k" * 70 + "d", "".join(rng.choice("kd") for _ in range(1000)),
+              "d" * 64 + "k" * 64 + "d" * 128 + "kd" * 64, "k" * 300]
+    rows = [(d, "\n".join("shared line" if c == "d" else f"{d} {i}" for i, c in enumerate(shape))) for d, shape in enumerate(shapes)]
+    rows += [(100 + i, "shared line") for i in range(10)]
+    maps = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc"]: r for r in maps.withColumn("words", line_dedup.bitmap(maps["keep"])).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, *range(100, 110)}
+    for d in range(5):
+        words, gone = got[d]["words"], {i for i, c in enumerate(shapes[d]) if c == "d"}
+        assert {i for i in range(len(words) * 64) if not words[i // 64] >> i % 64 & 1} == gone and got[d]["n_dropped"] == len(gone)
+        assert len(words) == max(gone) // 64 + 1
+    assert [len(got[d]["keep"]) for d in (0, 1, 2)] == [1, 1, 1] and tuple(got[0]["keep"][0]) == (100, 100, 0)
+    assert [tuple(r)[:2] for r in got[4]["keep"]] == [(0, 1), (1, 2), (0, 2)]
 
 
 def test_plan_has_no_python(spark):
