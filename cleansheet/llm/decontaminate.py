@@ -6,8 +6,10 @@ diagonals (place in the text minus place in the item). Bands of 2 (k + 1)
 diagonals that overlap by half hold every such run whole. Bands with enough
 shared q-grams are aligned inside the band, which decides.
 
-Items of over 1,000 characters are looked for in equal parts of at most that
-size, each a passage by itself, so alignment stays small whatever an item's size.
+Items of over 1,000 characters are looked for by equal parts of at most that
+size. Where a whole item is within its edits, one of its parts is within its
+own share of them, so every place of a part is tried: the whole item is aligned
+around it and its own budget decides, as for any other item.
 
 Case, and the amount of white space, make no difference. The index of the
 benchmark goes to the tasks in blocks of a bounded number of characters, one
@@ -91,8 +93,15 @@ class Index:
         self.q = q
         known = [(i, strip(t)) for i, t in items]
         self.short = [(i, t) for i, t in known if 0 < len(t) < q]
-        known = [(i, part) for i, t in known if len(t) >= q for part in segments(t)]
-        self.ids = [i for i, _ in known]
+        long = [(i, t) for i, t in known if len(t) >= q]
+        self.ids = [i for i, _ in long]
+        self.items = [(t, _points(t), min(int(len(t) * edit_rate), (len(t) - q) // q)) for _, t in long]
+        known = [(n, part) for n, (_, t) in enumerate(long) for part in segments(t)]
+        self.whole = [n for n, _ in known]  # of each part
+        self.shift = [0] * len(known)  # where a part begins in its item
+        for part in range(1, len(known)):
+            if self.whole[part] == self.whole[part - 1]:
+                self.shift[part] = self.shift[part - 1] + len(known[part - 1][1])
         self.texts = [t for _, t in known]
         self.points = [_points(t) for t in self.texts]
         self.size = np.array([len(p) for p in self.points], np.int64)
@@ -175,7 +184,7 @@ def regions(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, i
             if hit:
                 hit = hit if place >= 0 else (hit[0], hit[1] + a, hit[2] + a)
                 found.setdefault((text, int(item)), []).append(hit)
-    for (text, item), hits in found.items():
+    for (text, item), hits in _wholes(index, found, low, edge).items():
         used: list[tuple[int, int]] = []
         for edits, a, b in sorted(set(hits)):
             if b > a and all(b <= x or a >= y for x, y in used):
@@ -190,6 +199,35 @@ def regions(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, i
                 at += place + len(short)
 
 
+def _wholes(index: Index, found: dict, low: np.ndarray, edge: np.ndarray) -> dict:
+    """Occurrences of items by (text, item), given those of their parts."""
+    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    near: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    for (text, part), hits in found.items():
+        key = text, index.whole[part]
+        if len(index.items[key[1]][0]) == index.size[part]:
+            out[key] = hits
+        else:
+            # The part of a true occurrence lies on the band in which the hit was the best, so not farther than this.
+            slack = 4 * (int(index.budget[part]) + 1)
+            near.setdefault(key, set()).update((a - index.shift[part], slack) for _, a, _ in hits)
+    for (text, item), starts in near.items():
+        whole, points, budget = index.items[item]
+        a, b = int(edge[text]), int(edge[text + 1]) - 1
+        todo = sorted(starts)
+        while todo:
+            slack = budget + max(s for _, s in todo)
+            first, last = todo[0][0] - slack, todo[0][0] + budget + slack
+            todo = [(d, s) for d, s in todo if d > todo[0][0] + budget]
+            lo, hi = max(a, first - budget), min(b, last + budget + len(points))
+            place = _find(low[lo:hi], whole) if hi - lo >= len(points) else -1
+            hit = (0, lo + place - a, lo + place - a + len(points)) if place >= 0 else align(
+                points, low[a:b], first - a, last - first + 1, budget)
+            if hit:
+                out.setdefault((text, item), []).append((hit[0], hit[1] + a, hit[2] + a))
+    return out
+
+
 def _find(points: np.ndarray, what: str) -> int:
     return points.tobytes().decode("utf-32-le", "surrogatepass").find(what)
 

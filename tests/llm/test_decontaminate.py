@@ -112,3 +112,46 @@ def test_case_of_every_script_is_folded(spark):
     docs = spark.createDataFrame([(1, "начало " + item.upper() + " конец"), (2, "ΑΒΓ " + item[:20])], "doc_id long, text string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r["doc"] for r in decontaminate.contaminated_regions(docs, items).collect()} == {1}
+
+
+def test_items_longer_than_a_part(monkeypatch):
+    """An item in parts is found where the whole of it is within its edits, once, and nowhere else."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_CHARS", 60)
+    rng = random.Random(21)
+    items = [(i, odd.prose(40 + i, rng.randint(12, 40))) for i in range(8)]
+    items += [(8, "tick tock " * 30), (9, odd.prose(1, 9) + " " + odd.prose(40, 20))]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.EDIT_RATE)
+    assert len(index.texts) > 3 * len(items)
+    docs = []
+    for d in range(120):
+        _, item = items[d % 10]
+        share = rng.choice([0, 0.02, 0.05, 0.07, 0.08, 0.1, 0.2])
+        passage = rng.choice([alter(item, int(len(item) * share), rng), item[: len(item) // 2], item[:70] + "#" * 40 + item[70:]])
+        docs.append(f"{odd.prose(700 + d, rng.randint(0, 20))} {passage} {odd.prose(800 + d, rng.randint(0, 20))}")
+    got = {}
+    for text, item, start, end, edits in decontaminate.regions(index, docs):
+        got.setdefault((text, item), []).append((start, end, edits))
+    hits = misses = 0
+    for d, text in enumerate(docs):
+        for i in {d % 10, (d + 1) % 10}:
+            pattern = decontaminate.strip(items[i][1])
+            budget = min(int(len(pattern) * decontaminate.EDIT_RATE), (len(pattern) - decontaminate.Q) // decontaminate.Q)
+            edits = edits_within(pattern, decontaminate.strip(text))
+            assert ((d, i) in got) == (edits <= budget), (d, i, edits, budget)
+            if edits <= budget:
+                assert min(e for *_, e in got[d, i]) == edits and len(got[d, i]) == 1
+                start, end, edits = got[d, i][0]
+                span = decontaminate.strip(text[start:end])
+                assert edits_within(pattern, span) == edits and abs(len(span) - len(pattern)) <= edits
+            hits, misses = hits + (edits <= budget), misses + (edits > budget)
+    assert hits > 30 and misses > 30
+
+
+def test_one_rule_at_every_length(spark):
+    """Half of an item is no occurrence, whether the item has 1,000 characters or a few more; a whole one is one region."""
+    items = [(n, odd.prose(60 + n, 400)[:n].strip() + "x" * (n - len(odd.prose(60 + n, 400)[:n].strip()))) for n in (1000, 1003, 1999)]
+    docs = [(2 * i, "before " + t + " after") for i, (_, t) in enumerate(items)]
+    docs += [(2 * i + 1, "before " + t[: len(t) // 2] + " after") for i, (_, t) in enumerate(items)]
+    found = decontaminate.contaminated_regions(odd.frame(spark, docs), spark.createDataFrame(items, ITEM)).collect()
+    assert sorted((r["doc"], r["item"], r["start"], r["end"], r["edits"]) for r in found) == [
+        (2 * i, n, 7, 7 + n, 0) for i, (n, _) in enumerate(items)]
