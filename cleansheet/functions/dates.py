@@ -1,8 +1,8 @@
 """Dates kept as text: the accepted formats and how they are tried.
 
-One pattern takes a text apart, all its groups at once; what stands where tells
-its format and is put in ISO order and cast. The cast checks the calendar
-without raising and catching an error per value.
+The replacement of one pattern puts a text in ISO order, and the result is cast.
+The cast checks the calendar without raising and catching an error per value.
+Only the name of a format needs all parts of a text one by one.
 
 A format is a day format with or without a weekday before it and a time behind
 it: minutes, seconds or fractions of them, a half of the day, a zone. Days,
@@ -108,50 +108,57 @@ def _format(p: _Parts, day_leads: Column) -> Column:
     return F.concat(_if(p["weekday"], F.concat(F.lit("EEE"), p["comma"])), day, time)
 
 
-def _two(c: Column) -> Column:
-    return F.lpad(c, 2, "0")
+# The texts of DATE_LIKE by the parts that the ISO order needs. Of two numbers before the year the first one may be a
+# month (a, b) or not (e, f).
+_ISO_LIKE = (
+    rf"^(?:{_WEEKDAY},? )?(?:(?<y1>\d{{4}})(?<m1>\d{{2}})(?<d1>\d{{2}})|(?<y2>\d{{4}})(?<s2>[-/.])(?<m2>\d{{1,2}})\k<s2>(?<d2>\d{{1,2}})"
+    r"|(?<a>0?\d|1[0-2])(?<s3>[-/.])(?<b>\d{1,2})\k<s3>(?<y3>\d{4}|\d{2})"
+    r"|(?<e>1[3-9]|[2-9]\d)(?<s4>[-/.])(?<f>\d{1,2})\k<s4>(?<y4>\d{4}|\d{2})"
+    rf"|{_NAME} (?<d5>\d{{1,2}}),? (?<y5>\d{{4}})|(?<d6>\d{{1,2}})(?<s6>[ -]){_NAME}\k<s6>(?<y6>\d{{4}}|\d{{2}})|{_NAME} (?<y7>\d{{4}}))"
+    r"(?:(?<time>[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)(?: ?(?<half>(?i:am|pm)))?(?: ?(?<zone>Z|(?i:UTC|GMT)|[+-]\d{2}:?\d{2}))?)?\z"
+)
+_NAMED_MONTH = "(?i)" + "|".join(m[:3] for m in _MONTHS)
+_YEARS = tuple(f"y{i}" for i in range(1, 8))
 
 
-def _time(p: _Parts) -> Column:
-    """The time of day and zone in ISO form, or nothing; NULL for an hour that its half of the day does not have."""
-    hour, half, zone = p["hour"].try_cast("int"), F.lower(p["half"]), p["zone"]
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    seconds = F.when(p["second"] == "", "00").otherwise(p["second"])
-    zone = F.when(F.lower(zone).isin("utc", "gmt"), "Z").when(
-        F.length(zone) == 5, F.concat(F.left(zone, F.lit(3)), F.lit(":"), F.right(zone, F.lit(2)))).otherwise(zone)
-    return _if(p["gap"], F.concat(
-        F.lit(" "), _two(hour.cast("string")), F.lit(":"), p["minute"], F.lit(":"), seconds, p["fraction"], zone))
+def _part(*names: str) -> str:
+    return "".join(f"${{{n}}}" for n in names)
 
 
-def _iso(p: _Parts, day_leads: Column, last_year: int | Column) -> Column:
-    year = F.concat(F.left(p["packed"], F.lit(4)), p.joined("y1", "y2", "y3", "y4", "y5"))
-    short = year.try_cast("int")
-    last = F.lit(last_year) if isinstance(last_year, int) else last_year
-    year = F.when(F.length(year) == 2, (short + 100 * F.floor((last - short) / 100)).cast("string")).otherwise(year)
-    name = F.lower(F.left(p.joined("name3", "name4", "name5"), F.lit(3)))
-    named = _if(name, F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), name).cast("string"))
-    first, second = p["n2"], p["k2"]
-    month = F.concat(F.substring(p["packed"], 5, 2), p["m1"], F.when(day_leads, second).otherwise(first), named)
-    day = F.concat(F.substring(p["packed"], 7, 2), p["d1"], F.when(day_leads, first).otherwise(second), p.joined("d3", "d4"),
-                   _if(p["y5"], "1"))
-    return F.concat(year, F.lit("-"), _two(month), F.lit("-"), _two(day), _time(p))
+def _iso_text(c: Column, day_leads: Column | None) -> Column:
+    """A date-like text in ISO order behind a mark and its half of the day; any other text as it is."""
+    numbered = F.create_map(*[F.lit(v) for i, m in enumerate(_MONTHS) for v in (m[:3], str(i + 1))])
+    named = F.try_element_at(numbered, F.lower(F.regexp_extract(c, _NAMED_MONTH, 0)))
+    orders = {"each": ("af", "be"), "month": ("ae", "bf"), "day": ("bf", "ae")}
 
+    def placed(order: str) -> Column:
+        month, day = orders[order]
+        return F.concat(
+            F.lit(_CUT + _part("half", *_YEARS) + "-"),
+            F.coalesce(named, F.lit(_part("m1", "m2", *month))),
+            F.lit("-" + _part("d1", "d2", *day, "d5", "d6", "time", "zone")))
 
-def parse_with(c: Column, fmt: str) -> Column:
-    """Strictly in one format."""
-    day_leads = F.lit(re.match(_DAY_LEADS, fmt) is not None)
-    iso = _read(c, lambda p: F.when(_format(p, day_leads) == fmt, _iso(p, day_leads, LAST_YEAR)))
-    return iso.try_cast("timestamp")
+    order = placed("each") if day_leads is None else F.when(day_leads, placed("day")).otherwise(placed("month"))
+    return F.upper(F.regexp_replace(c, F.lit(_ISO_LIKE), order))
 
 
-def parse_as(c: Column, fmt: Column) -> Column:
-    """Strictly in the format that a column names, or in any where it names none."""
+def _whole_day(marked: Column) -> Column:
+    """Without the mark, and with the hour that the half of the day means; NULL for an hour that it does not have."""
+    iso = F.substring(marked, 4, 64)
+    hour = F.regexp_extract(iso, r"[ T](\d+):", 1).try_cast("int")
+    hour = F.when(hour.between(1, 12), hour % 12 + F.when(F.substring(marked, 2, 1) == "P", 12).otherwise(0))
+    in_half = F.regexp_replace(iso, F.lit(r"[ T]\d+:"), F.concat(F.lit(" "), hour.cast("string"), F.lit(":")))
+    iso = F.when(F.substring(marked, 3, 1) == "M", in_half).otherwise(F.substring(marked, 2, 64))
+    return F.when(marked.startswith(_CUT), iso)
 
-    def iso(p: _Parts) -> Column:
-        day_leads = F.when(fmt.isNull(), p.day_leads()).otherwise(fmt.rlike(_DAY_LEADS))
-        return F.when(fmt.isNull() | (_format(p, day_leads) == fmt), _iso(p, day_leads, LAST_YEAR))
 
-    return _read(c, iso).try_cast("timestamp")
+def _completed(iso: Column, last_year: int | Column) -> Column:
+    """With the century of a short year, the first day of a month without any, and the seconds before a zone."""
+    last = F.lit(last_year) if isinstance(last_year, int) else last_year
+    century = F.floor((last - F.left(iso, F.lit(2)).try_cast("int")) / 100)
+    whole = F.when(F.substring(iso, 3, 1) == "-", F.concat(century.cast("string"), iso)).otherwise(iso)
+    whole = F.regexp_replace(whole, r"^(?<month>\d+-\d+-)(?!\d)", "${month}1")
+    return F.regexp_replace(whole, r"(?<time>[ T]\d+:\d\d)(?=[A-Z+-])", "${time}:00")
 
 
 def parse_any(c: Column, day_leads: Column | None = None, last_year: int | Column = LAST_YEAR) -> Column:
@@ -160,8 +167,37 @@ def parse_any(c: Column, day_leads: Column | None = None, last_year: int | Colum
     With the year last the month comes first, unless it cannot be one, or as
     `day_leads` says.
     """
-    return _read(
-        c, lambda p: _iso(p, p.day_leads() if day_leads is None else day_leads, last_year)).try_cast("timestamp")
+    read = F.transform(F.array(c), lambda t: F.when(
+        F.octet_length(t).between(6, 64) & ~t.startswith(_CUT), _iso_text(t, day_leads)))
+    read = F.transform(F.transform(read, _whole_day), lambda t: F.coalesce(
+        t.try_cast("timestamp"), _completed(t, last_year).try_cast("timestamp")))
+    return F.get(read, F.lit(0))
+
+
+def _pattern_of(fmt: str) -> str:
+    """The pattern of the texts that have a format."""
+    short = "(?i:" + "|".join(m[:3] for m in _MONTHS) + "|sept)"
+    parts = {
+        "EEE": _WEEKDAY, "yyyyMMdd": r"\d{8}", "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "(?i:" + "|".join(m for m in _MONTHS if m[3:]) + ")",
+        "MMM": short, "MM": r"\d{1,2}", "dd": r"\d{1,2}", "d": r"\d{1,2}", "'T'": "T", "HH": r"\d{1,2}", "mm": r"\d{2}",
+        "ss": r"\d{2}", ".S": r"\.\d{1,9}", " a": " ?(?i:am|pm)", "X": r" ?(?:Z|(?i:UTC|GMT)|[+-]\d{2}:?\d{2})",
+    }
+    tokens = "|".join(re.escape(t) for t in sorted(parts, key=len, reverse=True))
+    return "^" + re.sub(f"({tokens})|(.)", lambda m: parts[m[1]] if m[1] else re.escape(m[2]), fmt) + r"\z"
+
+
+def parse_with(c: Column, fmt: str) -> Column:
+    """Strictly in one format."""
+    read = F.transform(F.array(c), lambda t: F.when(
+        t.rlike(_pattern_of(fmt)), parse_any(t, F.lit(re.match(_DAY_LEADS, fmt) is not None))))
+    return F.get(read, F.lit(0))
+
+
+def parse_as(c: Column, fmt: Column) -> Column:
+    """Strictly in the format that a column names, or in any where it names none."""
+    day_leads = fmt.rlike(_DAY_LEADS)
+    fits = _read(c, lambda p: _format(p, day_leads) == fmt)
+    return F.when(fmt.isNull(), parse_any(c)).when(fits, parse_any(c, day_leads))
 
 
 def first_format(c: Column) -> Column:
@@ -169,19 +205,26 @@ def first_format(c: Column) -> Column:
     return F.when(parse_any(c).isNotNull(), _read(c, lambda p: _format(p, p.day_leads())))
 
 
-def readings(c: Column) -> Column:
-    """A date-like text in every way: its shape (the format, month first), its text in ISO order with the month and
-    with the day first, and the year if it is written in four digits."""
+def shape(c: Column) -> Column:
+    """The format of a date-like text, month first; its digits do not matter."""
+    return _read(c, lambda p: _format(p, F.lit(False)))
+
+
+def skeleton(c: Column) -> Column:
+    """A date-like text with all digits as 0. Texts of one skeleton have one shape."""
+    return F.translate(c, "123456789", "0" * 9)
+
+
+def written_year(c: Column) -> Column:
+    """The year of a date-like text, if it is written in four digits."""
+    timed = F.regexp_replace(c, _ISO_LIKE, _part(*_YEARS))
+    year = F.when(c.contains(":"), F.when(F.length(timed) == 4, timed)).otherwise(F.regexp_extract(c, r"\d{4}", 0))
+    return year.try_cast("int")
 
-    def read(p: _Parts) -> Column:
-        year = F.greatest(*[F.when(F.length(p[n]) == 4, p[n].try_cast("int")) for n in ("y1", "y2", "y3", "y4", "y5")],
-                          F.left(p["packed"], F.lit(4)).try_cast("int"))
-        month_first, day_first = F.lit(False), F.lit(True)
-        return F.struct(
-            _format(p, month_first).alias("shape"), _iso(p, month_first, LAST_YEAR).alias("month_first"),
-            _iso(p, day_first, LAST_YEAR).alias("day_first"), year.alias("year"))
 
-    return _read(c, read)
+def order_matters(c: Column) -> Column:
+    """Whether a date-like text has two numbers before its year."""
+    return c.rlike(r"^(?:[A-Za-z]+,? )?\d{1,2}[-/.]\d{1,2}[-/.]")
 
 
 def parse_column(c: Column, fmt: str | None) -> Column:

@@ -26,13 +26,23 @@ def date_shapes(cells: DataFrame) -> DataFrame:
     """(position, shape, n, as_month_first, as_day_first, year): a histogram of shapes over (position, value) cells.
 
     Texts that are no dates share the shape NULL. The counts say how many
-    values each reading takes, `year` is the greatest one written out.
+    values each reading takes, `year` is the greatest one written out. Equal
+    texts are read once, and shapes are named once for texts that differ in
+    digits only; no text that travels is longer than a date can be.
     """
-    read = cells.where(F.col("value").isNotNull()).select("position", dates.readings(F.col("value")).alias("read"))
-    read = read.select("position", "read.*")
-    return read.groupBy("position", "shape").agg(
-        F.count("*").alias("n"), F.count(F.col("month_first").try_cast("timestamp")).alias("as_month_first"),
-        F.count(F.col("day_first").try_cast("timestamp")).alias("as_day_first"), F.max("year").alias("year"))
+    value, skeleton = F.col("value"), F.col("skeleton")
+    texts = cells.where(value.isNotNull()).select("position", F.when(dates.is_date_like(value), value).alias("value"))
+    texts = texts.groupBy("position", "value").agg(F.count("*").alias("n"))
+    read = texts.withColumn("skeleton", dates.skeleton(value)).withColumn("month_first", dates.parse_any(value, F.lit(False)))
+    read = read.withColumn("day_first", F.when(
+        dates.order_matters(value), dates.parse_any(value, F.lit(True))).otherwise(F.col("month_first")))
+    alike = read.groupBy("position", "skeleton").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("month_first").isNotNull(), F.col("n"))).alias("as_month_first"),
+        F.sum(F.when(F.col("day_first").isNotNull(), F.col("n"))).alias("as_day_first"),
+        F.max(dates.written_year(value)).alias("year"))
+    return alike.groupBy("position", dates.shape(skeleton).alias("shape")).agg(
+        F.sum("n").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("as_month_first", "as_day_first")],
+        F.max("year").alias("year"))
 
 
 def date_evidence(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleansheet.session import rename_files, scratch_path
+from cleansheet.session import rename_files, scratch_path, stored_bytes
+
+BYTES_PER_TASK = 4 << 20
 
 MESSY_HEADINGS = [
     "Order ID", " Priority (!)", "Confirmed?", "Amount $", "QTY", "Order  Day", "Empty_Col", "const__col",
@@ -50,13 +52,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Some columns of a table, dealt to all cores.
+    """Some columns of a table, dealt to all cores, and to more tasks the larger its file is.
 
     The given tables are single files of one row group, which one core would
     read and work on alone; tables at scale need no such step.
     """
     df = table(spark, folder, name)
-    return (df.select(*columns) if columns else df).repartition(spark.sparkContext.defaultParallelism)
+    tasks = max(spark.sparkContext.defaultParallelism, stored_bytes(spark, f"{folder}/{name}.parquet") // BYTES_PER_TASK)
+    return (df.select(*columns) if columns else df).repartition(tasks)
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from cleansheet.operators.date_evidence import date_evidence, to_datetime_by_evi
 from cleansheet.operators.quantiles import exact_quantiles
 from cleansheet.plans.cleaning import distinct_rows
 from cleansheet.plans.profiling import profile_dataset
+from cleansheet.registry import views
 
 
 def one(spark, expression, value, kind="string"):
@@ -254,3 +255,28 @@ def test_checks_look_at_every_value(spark):
     assert [r["message"] for r in quality.recommendations(df, F.col("id")).collect()] == [
         "`a` has values with outer white space", "`b` holds numbers as text"]
     assert [tuple(r) for r in quality.inconsistent_columns(df).collect()] == [("b", 82, 81)]
+
+
+def test_dates_of_a_large_table_are_read_alike_and_in_many_tasks(spark, tmp_path):
+    """Each text by the plain rules of its form; a larger file is dealt to more tasks than there are cores."""
+    cases = {
+        "12/31/69": "1969-12-31 00:00:00", "12/31/68": "2068-12-31 00:00:00", "13/1/2026": "2026-01-13 00:00:00",
+        "Mar 2026": "2026-03-01 00:00:00", "Sept. 2026 10:00Z": "2026-09-01 10:00:00", "May. 5 2026 12:30 am": "2026-05-05 00:30:00",
+        "20260105T1:05PM": "2026-01-05 13:05:00", "1/5/26 10:00 -0530": "2026-01-05 15:30:00", "2026-2-30": None,
+        "5-Jan-2026 13:00 pm": None, "\x012026-01-05": None, "2026": None, "2026-01-05 10:00:00+99:99": None,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "c string, day string")
+    read = rows.select("c", "day", F.date_format(dates.parse_any(F.col("c")), "yyyy-MM-dd HH:mm:ss").alias("read"))
+    assert [r for r in read.collect() if r["read"] != r["day"]] == []
+    years = rows.select("c", F.when(dates.is_date_like(F.col("c")), dates.written_year(F.col("c"))).alias("y")).collect()
+    assert {r["c"]: r["y"] for r in years if r["y"]} == {
+        c: 2026 for c in cases if "2026" in c and c not in ("\x012026-01-05", "2026")}
+
+    spark.range(1_500_000, numPartitions=1).select(
+        F.col("id").alias("o_orderkey"), F.current_date().alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert views.dated_orders(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
+    views_bytes, views.BYTES_PER_TASK = views.BYTES_PER_TASK, 1 << 16
+    try:
+        assert views.dated_orders(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        views.BYTES_PER_TASK = views_bytes
