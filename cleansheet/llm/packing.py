@@ -39,6 +39,7 @@ K1, B = 1.2, 0.75
 CHUNK_BYTES = 2 << 20
 CACHED_PIECES = 800_000
 LEARN_PIECES = 2048
+BATCH_ROWS = 1024  # whose texts and ids a task holds at once
 COMMON_SHARE = 8  # terms that more than one in so many tails hold are scored as whole rows
 FIRST_NEIGHBOURS = 24
 
@@ -225,7 +226,7 @@ def checksum(ids: np.ndarray) -> int:
 def _tokenize(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
             tokens, sums, tails = [], [], []
             for ids in code.encode(batch.column(1).to_pylist()):
                 ids = np.append(ids, code.kind(end_id))

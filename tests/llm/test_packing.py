@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import odd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -138,3 +139,13 @@ def test_encoder_agrees_with_the_tokenizer():
     assert packing.Encoder(PATH).fast is not None
     for text, ids in zip(texts, packing.Encoder(PATH).encode(texts)):
         assert ids.tolist() + [0] == ids_of(text), repr(text)
+
+
+def test_a_large_batch_is_encoded_in_parts():
+    """A task holds the texts and ids of some rows, not of a whole batch."""
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(2 * packing.BATCH_ROWS + 5)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows])
+    parts = list(packing._tokenize(PATH, 8, 0)(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [packing.BATCH_ROWS, packing.BATCH_ROWS, 5]
+    found = [(r["doc_id"], r["tokens"]) for p in parts for r in p.to_pylist()]
+    assert found == [(d, len(ids_of(t))) for d, t in rows]
