@@ -186,8 +186,28 @@ def _pattern_of(fmt: str) -> str:
     return "^" + re.sub(f"({tokens})|(.)", lambda m: parts[m[1]] if m[1] else re.escape(m[2]), fmt) + r"\z"
 
 
+def _numbers_of(fmt: str) -> tuple[str, str] | None:
+    """For a day of three numbers with a whole year: the pattern of its texts, and what puts them in ISO order."""
+    parts = re.fullmatch(r"(yyyy|MM|dd)([-/.]?)(yyyy|MM|dd)\2(yyyy|MM|dd)", fmt)
+    if parts is None:
+        return None
+    order, gap = (parts[1], parts[3], parts[4]), parts[2]
+    widths = {"yyyy": r"(\d{4})", "MM": r"(\d{1,2})" if gap else r"(\d{2})", "dd": r"(\d{1,2})" if gap else r"(\d{2})"}
+    return (
+        "^" + re.escape(gap).join(widths[o] for o in order) + r"\z",
+        "-".join(f"${order.index(part) + 1}" for part in ("yyyy", "MM", "dd")),
+    )
+
+
 def parse_with(c: Column, fmt: str) -> Column:
-    """Strictly in one format."""
+    """Strictly in one format. A day of three numbers needs no more than its pattern."""
+    numbers = _numbers_of(fmt)
+    if fmt == "yyyy-MM-dd":
+        return F.regexp_extract(c, numbers[0], 0).try_cast("timestamp")
+    if numbers:
+        read = F.transform(F.array(c), lambda t: F.when(
+            t.rlike(numbers[0]), F.regexp_replace(t, numbers[0], numbers[1]).try_cast("timestamp")))
+        return F.get(read, F.lit(0))
     read = F.transform(F.array(c), lambda t: F.when(
         t.rlike(_pattern_of(fmt)), parse_any(t, F.lit(re.match(_DAY_LEADS, fmt) is not None))))
     return F.get(read, F.lit(0))
@@ -200,6 +220,19 @@ def parse_as(c: Column, fmt: Column) -> Column:
     return F.when(fmt.isNull(), parse_any(c)).when(fits, parse_any(c, day_leads))
 
 
+_KNOWN_FORMATS = 24
+
+
+def parse_among(c: Column, fmt: Column, formats: list[str]) -> Column:
+    """As `parse_as`, where the formats that the column names are known; each few of them have a pattern of their own."""
+    if len(formats) > _KNOWN_FORMATS:
+        return parse_as(c, fmt)
+    read = F.when(fmt.isNull(), parse_any(c))
+    for known in formats:
+        read = read.when(fmt == known, parse_with(c, known))
+    return read
+
+
 def first_format(c: Column) -> Column:
     """The first accepted format that takes the value, else NULL."""
     return F.when(parse_any(c).isNotNull(), _read(c, lambda p: _format(p, p.day_leads())))

@@ -118,7 +118,7 @@ def megabytes(n_bytes: Column) -> Column:
 def plain_double_text(c: Column) -> Column:
     """A double as text with a decimal point, scientific only when very large or small."""
     java = c.cast("string")
-    digits = F.regexp_replace(c.try_cast("decimal(38,22)").cast("string"), "0+$", "")
+    digits = F.rtrim(c.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     mantissa = F.regexp_replace(F.regexp_extract(java, "^(.*)E", 1), r"\.0$", "")
     power = F.regexp_extract(java, r"E(-?\d+)$", 1).try_cast("int")

@@ -74,11 +74,8 @@ def snake_case_name(name: str) -> str:
 
 def canonical_category(c: Column, members: tuple[str, ...]) -> Column:
     """Map every member to its canonical case; other values stay."""
-    key = F.lower(trimmed(c))
-    picked = F.lit(None).cast("string")
-    for member in members:
-        picked = F.when(key == member.lower(), member).otherwise(picked)
-    return F.coalesce(picked, c)
+    cases = F.create_map(*[F.lit(text) for member in members for text in (member.lower(), member)])
+    return F.coalesce(F.try_element_at(cases, F.lower(trimmed(c))), c)
 
 
 def in_category_set(c: Column, members: tuple[str, ...]) -> Column:

@@ -183,10 +183,9 @@ def _measured(cells: DataFrame) -> _Measured:
     kinds = cells.select("upload", F.posexplode("cells").alias("position", "cell")).groupBy("upload", "position").agg(
         numbers.kind_of(F.bit_or(numbers.cell_class(F.col("cell")))).alias("kind"))
     listed = kinds.groupBy("upload").agg(F.sort_array(F.collect_list(F.struct("position", "kind"))).alias("listed"))
-    listed = listed.select("upload", F.transform("listed", lambda x: x["kind"]).alias("kinds"))
-    typed = cells.join(listed, "upload").select("upload", "at", "kinds", F.zip_with("cells", "kinds", _typed).alias("cells"))
-    distinct = typed.groupBy("upload", "cells").agg(
-        F.count("*").alias("copies"), F.min("at").alias("at"), F.first("kinds").alias("kinds"))
+    listed = F.broadcast(materialize(listed.select("upload", F.transform("listed", lambda x: x["kind"]).alias("kinds")), "upload-kinds"))
+    typed = cells.join(listed, "upload").select("upload", "at", F.zip_with("cells", "kinds", _typed).alias("cells"))
+    distinct = typed.groupBy("upload", "cells").agg(F.count("*").alias("copies"), F.min("at").alias("at")).join(listed, "upload")
     distinct = materialize(
         distinct.withColumn("is_empty", F.forall("cells", lambda c: c.isNull())), "upload-rows")
     columns = materialize(_survey(_exploded(distinct)), "upload-columns")
@@ -218,8 +217,9 @@ def _survey(cells: DataFrame) -> DataFrame:
         .withColumn("lower", F.when(is_text & (F.octet_length(v) <= 6), F.lower(v)))
         .withColumn("hash", F.when(v.isNotNull(), F.xxhash64(v))).withColumn("salted", F.when(v.isNotNull(), F.xxhash64(F.lit(1), v)))
     )
-    return cells.groupBy("upload", "position").agg(
-        F.max("kind").alias("kind"), F.count(raw).alias("present"), F.count(v).alias("values"),
+    # A column has one kind; as a key it leaves the buffers number-sized, so that the aggregate stays hashed.
+    return cells.groupBy("upload", "position", "kind").agg(
+        F.count(raw).alias("present"), F.count(v).alias("values"),
         F.sum(F.when(raw.isNull(), F.col("copies")).otherwise(0)).alias("missing_cells"),
         F.count_if(is_text & numbers.looks_numeric(raw)).alias("numeric_like"),
         F.count_if(is_text & trimmed(raw).isin(*MISSING_TOKENS)).alias("tokens"),
@@ -240,7 +240,7 @@ def _decided(before: _Measured) -> DataFrame:
     columns = before.columns.join(kept, "upload").withColumn("missing", F.col("kept") - F.col("values"))
     columns = columns.withColumn("gaps", (F.col("missing") > 0) & (F.col("present") > 0))
     cells = _exploded(before.distinct.where(~F.col("is_empty")))
-    gaps = cells.join(columns.where("gaps").select(*keys), keys)
+    gaps = cells.join(F.broadcast(columns.where("gaps").select(*keys)), keys)  # a row for each column of a bounded batch
     worded = F.col("kind").isin(_TEXT, *_BOOLS)
     modes = gaps.where(worded & F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("n"))
     modes = modes.groupBy(*keys).agg(F.min(F.struct(-F.col("n"), "v"))["v"].alias("mode"))
@@ -272,14 +272,16 @@ def _decided(before: _Measured) -> DataFrame:
     columns = columns.withColumn("category", F.when(open_text & filled_by_word & (F.col("values") > 0), category))
     columns = materialize(columns.withColumn("may_be_date", open_text & enough(likely)), "upload-plan")
 
-    written = cells.join(columns.where("may_be_date").select(*keys, "fill", "kept"), keys).withColumn(
-        "v", F.coalesce("v", "fill"))
-    formats = written.groupBy(*keys).agg(F.min_by("v", "at").alias("first")).select(
-        *keys, dates.first_format(F.col("first")).alias("date_format"))
-    stamped = written.join(formats, keys).withColumn("day", dates.parse_as(F.col("v"), F.col("date_format")))
+    likely = F.broadcast(columns.where("may_be_date").select(*keys, "fill", "kept"))
+    written = cells.join(likely, keys).withColumn("v", F.coalesce("v", "fill"))
+    formats = materialize(written.groupBy(*keys).agg(F.min_by("v", "at").alias("first")).select(
+        *keys, dates.first_format(F.col("first")).alias("date_format")), "upload-formats")
+    stamped = written.join(F.broadcast(formats), keys).withColumn(
+        "day", dates.parse_among(F.col("v"), F.col("date_format"), _formats(formats)))
     stamped = stamped.groupBy(*keys).agg(
-        F.max("kept").alias("kept"), F.count("day").alias("n"), F.max("date_format").alias("date_format"),
+        F.max("kept").alias("kept"), F.count("day").alias("n"),
         F.min("day").eqNullSafe(F.max("day")).alias("one_day")).where(F.col("n") / F.col("kept") >= SUCCESS_SHARE)
+    stamped = stamped.join(formats, keys)
     columns = columns.join(stamped.select(*keys, "date_format", "one_day", F.lit(True).alias("dated")), keys, "left")
 
     is_date = F.coalesce("dated", F.lit(False))
@@ -300,6 +302,12 @@ def _decided(before: _Measured) -> DataFrame:
         (~is_empty & (F.col("number").isNotNull() | mixed | is_date)).alias("converted")), "upload-decisions")
 
 
+def _formats(dated: DataFrame) -> list[str]:
+    """The date formats that occur; there are no more than the accepted ones."""
+    found = dated.where(F.col("date_format").isNotNull()).select("date_format").distinct().collect()
+    return sorted(r["date_format"] for r in found)
+
+
 def _number_type(bits: Column, failed: Column) -> Column:
     """As `conversion.number_type`, for a column of cases."""
     lossless = numbers.INT64 + numbers.NEGATIVE + numbers.UINT64
@@ -312,20 +320,25 @@ def _number_type(bits: Column, failed: Column) -> Column:
 
 # --- projection -------------------------------------------------------------------------------------------------------
 
-def _printed(cell: Column, plan: Column) -> Column:
-    """A cell cleaned as its column's plan says, as it is written; NULL for no value."""
-    is_text = plan["kind"] == _TEXT
-    v = F.coalesce(F.when(is_text, trimmed_value(cell)).otherwise(cell), plan["fill"])
-    plain = numbers.without_commas(v)
-    categorical = v
-    for members in CATEGORY_SETS:
-        categorical = canonical_category(categorical, members)
+def _value(cell: Column, plan: Column) -> Column:
+    """What a cell holds once it is trimmed and filled."""
+    return F.coalesce(F.when(plan["kind"] == _TEXT, trimmed_value(cell)).otherwise(cell), plan["fill"])
+
+
+def _number(v: Column, plan: Column) -> Column:
+    """The value of a cell of a column of doubles."""
+    return F.when(plan["number"] == "double", numbers.to_double(numbers.without_commas(v))).when(
+        plan["number"].isNull() & (plan["kind"] == "float64"), v.try_cast("double"))
+
+
+def _printed(v: Column, number: Column, plan: Column, formats: list[str]) -> Column:
+    """A value cleaned as its column's plan says, as it is written; NULL for no value."""
+    members = tuple(m for s in CATEGORY_SETS for m in s)
     return (
-        F.when(plan["number"] == "double", numbers.plain_double_text(numbers.to_double(plain)))
-        .when(plan["number"].isNotNull(), plain.try_cast("decimal(20,0)").cast("string"))
-        .when(plan["is_date"], F.date_format(dates.parse_as(v, plan["date_format"]), "yyyy-MM-dd"))
-        .when(plan["category"].isNotNull(), collapsed(categorical)).when(is_text, collapsed(v))
-        .when(plan["kind"] == "float64", numbers.plain_double_text(v.try_cast("double")))
+        F.when((plan["number"] == "double") | (plan["number"].isNull() & (plan["kind"] == "float64")), numbers.plain_double_text(number))
+        .when(plan["number"].isNotNull(), numbers.without_commas(v).try_cast("decimal(20,0)").cast("string"))
+        .when(plan["is_date"], F.date_format(dates.parse_among(v, plan["date_format"], formats), "yyyy-MM-dd"))
+        .when(plan["category"].isNotNull(), collapsed(canonical_category(v, members))).when(plan["kind"] == _TEXT, collapsed(v))
         .when(plan["kind"].isin(*_BOOLS), F.initcap(v)).otherwise(v)
     )
 
@@ -338,10 +351,15 @@ def _by_upload(decided: DataFrame, *fields: str) -> DataFrame:
 def _cleaned(before: _Measured, decided: DataFrame) -> DataFrame:
     """(upload, at, cells): cleaned rows as they are written, without the columns that go."""
     plans = _by_upload(decided, "kind", "fill", "number", "is_date", "date_format", "category", "keep")
-    rows = before.distinct.where(~F.col("is_empty")).join(plans, "upload")
+    plans = plans.where(F.exists("plans", lambda p: p["keep"]))  # a filter on the cells would compute them twice
+    rows = before.distinct.where(~F.col("is_empty")).join(F.broadcast(plans), "upload")
     pairs = F.filter(F.arrays_zip("cells", "plans"), lambda x: x["plans"]["keep"])
-    cells = F.transform(pairs, lambda x: _printed(x["cells"], x["plans"]))
-    return materialize(rows.select("upload", "at", cells.alias("cells")).where(F.size("cells") > 0), "upload-cleaned")
+    # Step by step, so that what a step finds is computed once for a cell, however often the next one asks for it.
+    values = F.transform(pairs, lambda x: F.struct(_value(x["cells"], x["plans"]).alias("v"), x["plans"].alias("plan")))
+    read = F.transform(values, lambda x: F.struct(x["v"].alias("v"), _number(x["v"], x["plan"]).alias("number"), x["plan"].alias("plan")))
+    formats = _formats(decided)
+    cells = F.transform(read, lambda x: _printed(x["v"], x["number"], x["plan"], formats))
+    return materialize(rows.select("upload", "at", cells.alias("cells")), "upload-cleaned")
 
 
 def _csv_line(cells: Column) -> Column:
