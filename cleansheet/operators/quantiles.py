@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleansheet.operators.columns import number_cells, quoted, tally
+from cleansheet.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 SINGLE_PASS_CELLS = 5_000_000
@@ -40,6 +41,10 @@ class _Wanted:
     open_ends: bool = False
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple[str, float, float, bool]:
+        return self.column, self.low, self.high, self.open_ends
+
     def holds(self, c: Column) -> Column:
         if self.open_ends:
             return (c > self.low) & (c < self.high)
@@ -54,6 +59,12 @@ def percentiles(probabilities: tuple[float, ...] = QUARTILES) -> Column:
     return F.percentile("value", F.array(*[F.lit(p) for p in probabilities]), F.col("n"))
 
 
+def stored_numbers(df: DataFrame, columns: list[str], rows: int, single_pass_cells: int = SINGLE_PASS_CELLS) -> DataFrame:
+    """The columns for a search that reads them several times: written once, so that what gives them is computed once."""
+    values = df.select(*[quoted(c) for c in columns])
+    return materialize(values, "numbers") if rows * len(columns) > single_pass_cells else values
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
@@ -136,26 +147,41 @@ def _resolve(df: DataFrame, wanted: list[_Wanted], candidate_rows: int) -> None:
         _rank_candidates(df, rest)
 
 
+def _families(wanted: list[_Wanted]) -> list[list[_Wanted]]:
+    """Neighbouring ranks of one interval, as the two around a place are; they are searched as one."""
+    families: list[list[_Wanted]] = []
+    for w in sorted(wanted, key=lambda w: (*w.interval, w.rank)):
+        last = families[-1][-1] if families else None
+        if last is not None and last.interval == w.interval and w.rank - last.rank <= 1:
+            families[-1].append(w)
+        else:
+            families.append([w])
+    return families
+
+
 def _narrow(df: DataFrame, wanted: list[_Wanted], slack: float) -> None:
-    """Propose a smaller interval for each rank, then keep it where exact counts agree."""
+    """Propose a smaller interval for each family of ranks, then keep it where exact counts agree."""
+    intervals = {w.interval: w for w in wanted}
+    numbers = {interval: i for i, interval in enumerate(intervals)}
     partial = df.groupBy((F.spark_partition_id() % _SKETCH_GROUPS).alias("g")).agg(*[
         F.kll_sketch_agg_double(F.when(w.holds(quoted(w.column)), quoted(w.column)), F.lit(_SKETCH_SIZE)).alias(f"s{i}")
-        for i, w in enumerate(wanted)
+        for i, w in enumerate(intervals.values())
     ])
-    merged = partial.agg(*[F.kll_merge_agg_double(f"s{i}", F.lit(_SKETCH_SIZE)).alias(f"s{i}") for i in range(len(wanted))])
+    merged = partial.agg(*[F.kll_merge_agg_double(f"s{i}", F.lit(_SKETCH_SIZE)).alias(f"s{i}") for i in numbers.values()])
+    families = _families(wanted)
 
-    def bounds(w: _Wanted) -> tuple[float, float]:
-        share = (w.rank - w.below) / w.inside
-        return max(share - slack, 0.0), min(share + slack, 1.0)
+    def bounds(family: list[_Wanted]) -> tuple[float, float]:
+        low, high = ((w.rank - w.below) / w.inside for w in (family[0], family[-1]))
+        return max(low - slack, 0.0), min(high + slack, 1.0)
 
     guesses = merged.select(*[
-        F.kll_sketch_get_quantile_double(f"s{i}", F.lit(q)).alias(f"b{i}_{side}")
-        for i, w in enumerate(wanted) for side, q in enumerate(bounds(w))
+        F.kll_sketch_get_quantile_double(f"s{numbers[family[0].interval]}", F.lit(q)).alias(f"b{i}_{side}")
+        for i, family in enumerate(families) for side, q in enumerate(bounds(family))
     ]).first()
 
     counts = df.agg(*[
-        tally(condition(quoted(w.column), guesses[f"b{i}_0"], guesses[f"b{i}_1"]), _WEIGHT).alias(f"{name}{i}")
-        for i, w in enumerate(wanted)
+        tally(condition(quoted(family[0].column), guesses[f"b{i}_0"], guesses[f"b{i}_1"]), _WEIGHT).alias(f"{name}{i}")
+        for i, family in enumerate(families)
         for name, condition in (
             ("below", lambda c, lo, hi: c < lo),
             ("inside", lambda c, lo, hi: (c >= lo) & (c <= hi)),
@@ -163,7 +189,7 @@ def _narrow(df: DataFrame, wanted: list[_Wanted], slack: float) -> None:
             ("at_high", lambda c, lo, hi: c == hi),
         )
     ]).first()
-    for i, w in enumerate(wanted):
+    for i, w in ((i, w) for i, family in enumerate(families) for w in family):
         low, high = guesses[f"b{i}_0"], guesses[f"b{i}_1"]
         below, inside = counts[f"below{i}"], counts[f"inside{i}"]
         at_low, at_high = counts[f"at_low{i}"], counts[f"at_high{i}"]
@@ -209,20 +235,24 @@ def _halve(df: DataFrame, wanted: list[_Wanted]) -> None:
 
 def _rank_candidates(df: DataFrame, wanted: list[_Wanted]) -> None:
     """Count the few values left in each interval and walk to the rank."""
+    intervals = list({w.interval: w for w in wanted}.values())
+    ranks = [[w.rank - w.below for w in wanted if w.interval == i.interval] for i in intervals]
     inside = F.filter(
         F.array(*[
             F.when(w.holds(quoted(w.column)), F.struct(F.lit(i).alias("i"), quoted(w.column).alias("v")))
-            for i, w in enumerate(wanted)
+            for i, w in enumerate(intervals)
         ]),
         lambda entry: entry.isNotNull(),
     )
     counted = df.select(_WEIGHT, F.inline(inside)).groupBy("i", "v").agg(F.sum(_WEIGHT).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    rank = F.get(F.array(*[F.lit(w.rank - w.below) for w in wanted]), F.col("i"))
+    asked = F.get(F.array(*[F.array(*[F.lit(r).cast("long") for r in of_interval]) for of_interval in ranks]), F.col("i"))
     hits = (
         counted.withColumn("upto", upto)
-        .where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
-        .select("i", "v")
+        .where(F.exists(asked, lambda rank: (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))))
+        .select("i", "v", "upto", "n")
     )
     for hit in hits.collect():
-        wanted[hit["i"]].value = hit["v"]
+        for w in wanted:
+            if w.interval == intervals[hit["i"]].interval and hit["upto"] - hit["n"] <= w.rank - w.below < hit["upto"]:
+                w.value = hit["v"]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cleansheet.functions.numbers import megabytes
 from cleansheet.operators.columns import named_positions, no_rows, number_cells, numeric_columns, quoted, rows_from, tally
-from cleansheet.operators.quantiles import QUARTILES, SINGLE_PASS_CELLS, exact_quantiles, percentiles
+from cleansheet.operators.quantiles import QUARTILES, SINGLE_PASS_CELLS, exact_quantiles, percentiles, stored_numbers
 
 IQR_FACTOR = 1.5
 
@@ -75,6 +75,8 @@ def describe_numeric(
     if rows is None:
         rows = df.count()
     small = rows * len(columns) <= single_pass_cells
+    if weight is None:  # weighted rows are stored ones
+        df = stored_numbers(df, columns, rows, single_pass_cells)
     v, place = F.col("value"), F.col("position")
     cells = number_cells(df, columns, weight)
     moments = [F.count(v).alias("n_values"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
@@ -111,6 +113,8 @@ _OUTLIER_SCHEMA = "column_name string, n_outliers bigint, lower_bound double, up
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Values strictly outside the 1.5 IQR fences, for columns that have some."""
     columns = numeric_columns(df) if columns is None else columns
+    rows = df.count() if rows is None else rows
+    df = stored_numbers(df, columns, rows)
     fences = {}
     for c, (q1, _, q3) in exact_quantiles(df, columns, rows=rows).items():
         if q1 is not None and q3 - q1 > 0 and q3 - q1 != float("inf"):

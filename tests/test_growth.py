@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates
+from cleansheet.operators import quantiles, statistics
 from cleansheet.plans import uploads
 
 WRITTEN = ["2020-01-31", "2020-1-5", "2020-13-01", "31/01/2020", "01/31/2020", "20200131", "2020013", " 2020-01-31", "2020-01-31\n",
@@ -32,3 +33,20 @@ def test_columns_of_uploads_are_surveyed_without_a_sort(spark):
     surveyed = uploads._survey(uploads._exploded(cells))
     assert "SortAggregate" not in _plan(surveyed)
     assert {r["position"]: r["kind"] for r in surveyed.collect()} == {0: "text", 1: "text"}
+
+
+def test_a_search_for_quantiles_computes_its_input_once(spark, monkeypatch):
+    seen = []
+    keep = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, label: seen.append(label) or keep(df, label))
+    monkeypatch.setattr(statistics, "SINGLE_PASS_CELLS", 10)
+    monkeypatch.setattr(quantiles, "SINGLE_PASS_CELLS", 10)
+    df = spark.range(1000).select((F.col("id") * F.col("id")).alias("a"), (-F.col("id")).alias("b"), F.lit("x").alias("t"))
+    statistics.describe_numeric(df, single_pass_cells=10).collect()
+    assert seen == ["numbers"]
+
+
+def test_neighbouring_ranks_are_searched_as_one():
+    wanted = [quantiles._Wanted("a", r, 0.0, 9.0, 0, 1000) for r in (750, 249, 500, 250, 499, 749)]
+    wanted.append(quantiles._Wanted("b", 251, 0.0, 9.0, 0, 1000))
+    assert [[w.rank for w in f] for f in quantiles._families(wanted)] == [[249, 250], [499, 500], [749, 750], [251]]
