@@ -127,6 +127,7 @@ def read_record_cells(spark: SparkSession, path: str, facts: DataFrame) -> tuple
     open_end = unclosed.limit(5).collect()
     if open_end:
         raise CsvError(f"a quoted cell is never closed: {sorted(r['path'] for r in open_end)}")
+    records = materialize(records, "records")  # read for the header, for the kinds and for the rows
     heads = materialize(records.groupBy("path").agg(F.min(F.struct("block", "at", "record")).alias("head")).select(
         "path", "head.at", F.regexp_replace("head.record", f"^{_BYTE_ORDER_MARK}", "").alias("record")), "heads")
     headers = heads.groupBy("record").agg(F.min("path").alias("path")).limit(6).collect()

@@ -24,6 +24,7 @@ from cleansheet.session import materialize
 _CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|(?!")[^,]*+)'
 _CELLS = rf"{_CELL}(?:,{_CELL})*+"
 _CLOSED = rf"\A{_CELLS}\z"
+_BROADCAST_PARTS = 200_000
 _CLOSING = rf'\A[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,{_CELL})*+\z'
 
 
@@ -71,29 +72,40 @@ def assemble(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = F.when(F.col("begun") == F.col("inside"), (F.col("begun") + F.col("turns")) % 2)
     marked = marked.withColumn("known", F.last(known, True).over(so_far))
     marked = marked.withColumn("known_before", F.lag("known").over(part))
-    held = materialize(marked, "lines")
+    # For either state that the part may be entered in: whether a line is a record, else the line that opens its record.
+    # So lines travel once to be marked, and those of longer records once more to be joined.
+    for entered in (0, 1):
+        before = (F.coalesce("known_before", F.lit(entered)) + F.col("turns") - F.col("turn")) % 2
+        after = F.when(before == 0, F.col("begun")).otherwise(F.col("inside"))
+        whole = (before == 0) & (after == 0)
+        marked = marked.withColumn(f"whole{entered}", whole)
+        marked = marked.withColumn(f"start{entered}", F.last(F.when((before == 0) & ~whole, F.col("at")), True).over(so_far))
+    held = materialize(marked.drop("known_before", "begun", "inside", "turn"), "lines")
 
     in_file = Window.partitionBy("path").orderBy("block")
     to_here = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = held.groupBy("path", "block").agg(F.max_by(F.struct("turns", "known"), "at").alias("end"))
-    blocks = blocks.select("path", "block", "end.*").withColumn("total", F.sum("turns").over(to_here))
+    blocks = held.groupBy("path", "block").agg(
+        F.max("at").alias("at"), F.max("start0").alias("start0"), F.max("start1").alias("start1"))
+    blocks = held.select("at", "turns", "known").join(blocks, "at").withColumn("total", F.sum("turns").over(to_here))
     known = F.when(F.col("known").isNotNull(), (F.col("known") + F.col("turns") + F.col("total")) % 2)
     blocks = blocks.withColumn("left_open", (F.coalesce(F.last(known, True).over(to_here), F.lit(0)) + F.col("total")) % 2)
+    blocks = blocks.withColumn("entered", F.lag("left_open", 1, 0).over(in_file)).withColumn(
+        "last", F.when(F.col("entered") == 0, F.col("start0")).otherwise(F.col("start1")))
     blocks = materialize(blocks.select(
-        "path", "block", F.lag("left_open", 1, 0).over(in_file).alias("entered"), "left_open"), "blocks")
+        "path", "block", "entered", "left_open",
+        F.last("last", True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried")), "blocks")
     unclosed = blocks.groupBy("path").agg(F.max_by("left_open", "block").alias("open")).where("open = 1").select("path")
 
-    before = (F.coalesce("known_before", "entered") + F.col("turns") - F.col("turn")) % 2
-    state = held.join(blocks.drop("left_open"), ["path", "block"]).withColumn("before", before).withColumn(
-        "after", F.when(F.col("before") == 0, F.col("begun")).otherwise(F.col("inside")))
-    whole = (F.col("before") == 0) & (F.col("after") == 0)
-    singles = state.where(whole).select("path", "block", "at", F.col("value").alias("record"))
-
-    head = F.when(F.col("before") == 0, F.col("at"))
-    pieces = state.where(~whole).select("path", "block", "at", "value", F.last(head, True).over(so_far).alias("start"))
-    carried = pieces.groupBy("path", "block").agg(F.max("start").alias("last")).select(
-        "path", "block", F.last("last", True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    pieces = pieces.join(carried, ["path", "block"]).withColumn("start", F.coalesce("start", "carried"))
+    def picked(name: str) -> Column:
+        return F.when(F.col("entered") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+
+    parts = blocks.select("path", "block", "entered", "carried")
+    if blocks.count() <= _BROADCAST_PARTS:  # some hundred bytes a part
+        parts = F.broadcast(parts)
+    state = held.join(parts, ["path", "block"])
+    singles = state.where(picked("whole")).select("path", "block", "at", F.col("value").alias("record"))
+    pieces = state.where(~picked("whole")).select(
+        "path", "block", "at", "value", F.coalesce(picked("start"), F.col("carried")).alias("start"))
     lines_of = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
     joined = pieces.groupBy("path", "start").agg(lines_of.alias("lines")).select(
         "path", F.get("lines", F.lit(0))["block"].alias("block"), F.col("start").alias("at"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cleansheet.functions import dates
 from cleansheet.operators import quantiles, statistics
 from cleansheet.plans import uploads
+from cleansheet.sources import records
 
 WRITTEN = ["2020-01-31", "2020-1-5", "2020-13-01", "31/01/2020", "01/31/2020", "20200131", "2020013", " 2020-01-31", "2020-01-31\n",
            "2020-01-31 10:00", "0000-00-00", "\x012020-01-31", "Jan 5, 2020", "", None]
@@ -50,3 +51,13 @@ def test_neighbouring_ranks_are_searched_as_one():
     wanted = [quantiles._Wanted("a", r, 0.0, 9.0, 0, 1000) for r in (750, 249, 500, 250, 499, 749)]
     wanted.append(quantiles._Wanted("b", 251, 0.0, 9.0, 0, 1000))
     assert [[w.rank for w in f] for f in quantiles._families(wanted)] == [[249, 250], [499, 500], [749, 750], [251]]
+
+
+def test_lines_of_records_travel_twice(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"p\n\nq"\n3,z\n')
+    joined, unclosed = records.assemble(records.raw_lines(spark, str(tmp_path)))
+    rows = joined.collect()
+    assert sorted(r["record"] for r in rows) == ['1,"x\ny"', '2,"p\n\nq"', "3,z", "a,b"] and unclosed.isEmpty()
+    # Behind the stored lines one shuffle is left, of the lines to be joined, and no window over them.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
