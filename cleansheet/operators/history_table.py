@@ -257,11 +257,13 @@ class HistoryTable:
         low, high = rows.agg(F.min(micros), F.max(micros)).first()
         share = (micros - F.lit(low)) / F.lit(max(high - low, 1))
         curve = _interleaved(_bucket(F.col("user_id")), F.floor(share * ((1 << _BITS) - 1)).cast("int"), _bucket(F.col("command")))
-        curve_name = "\u2063curve"
+        curve_name, values = "\u2063curve", str(min(n, self.rows_per_file))
         spread = rows.withColumn(curve_name, curve).repartitionByRange(-(-n // self.rows_per_file), curve_name)
         (
             spread.sortWithinPartitions(curve_name).drop(curve_name).write.mode("overwrite")
             .option("parquet.bloom.filter.enabled#user_id", "true").option("parquet.bloom.filter.enabled#command", "true")
+            # Else each filter takes its greatest size, a megabyte, in a file of any size.
+            .option("parquet.bloom.filter.expected.ndv#user_id", values).option("parquet.bloom.filter.expected.ndv#command", values)
             .parquet(target)
         )
         user, command = _bucket(F.col("user_id")), _bucket(F.col("command"))
