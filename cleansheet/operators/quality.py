@@ -12,6 +12,7 @@ from cleansheet.functions.text import trimmed
 from cleansheet.operators.columns import named_positions, no_rows, quoted, tally, text_cells, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
 from cleansheet.operators.statistics import missing_counts
+from cleansheet.session import materialize
 
 _DATE_OR_NUMBER_SHARE = 0.9
 
@@ -75,8 +76,10 @@ def quality_metrics(df: DataFrame) -> DataFrame:
 def recommendations(df: DataFrame, order: Column | None = None) -> DataFrame:
     """(message_order, message): what to clean, in a fixed order.
 
-    The hidden row order of a frame read from CSV serves as order by itself.
+    The hidden row order of a frame read from CSV serves as order by itself. The frame is stored first, as five passes
+    look at it.
     """
+    df = materialize(df, "rows")
     data = df.drop(ROW_ORDER)
     parts = [
         duplicate_count(data).where("duplicate_rows > 0").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates
-from cleansheet.operators import quantiles, statistics
+from cleansheet.operators import quality, quantiles, statistics
 from cleansheet.plans import uploads
 from cleansheet.sources import records
 
@@ -61,3 +61,24 @@ def test_lines_of_records_travel_twice(spark, tmp_path):
     # Behind the stored lines one shuffle is left, of the lines to be joined, and no window over them.
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") == 1
+
+
+def test_advice_computes_its_input_once(spark):
+    df = spark.range(20).select(F.col("id"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("t"))
+    advice = quality.recommendations(df, F.col("id"))
+    assert "Range" not in advice._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["message"] for r in advice.orderBy("message_order").collect()] == [
+        "`t` has values with outer white space", "`t` holds numbers as text"]
+
+
+def test_bloom_filters_are_as_small_as_their_files(spark, tmp_path):
+    from cleansheet.operators.history_table import HistoryTable
+
+    rows = spark.range(4000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("user_id"), F.lit("c").alias("command"), F.lit("i").alias("input_text"),
+        F.lit("o").alias("output_text"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit(1.0).alias("execution_time"),
+        F.lit(1).alias("success"), F.col("id").alias("duration_ms"), F.timestamp_seconds("id").alias("created_at"))
+    table = HistoryTable(spark, str(tmp_path / "h"), rows_per_file=1000)
+    table.append(rows, "a")
+    files = list((tmp_path / "h" / "data").rglob("*.parquet"))
+    assert len(files) == 4 and all(f.stat().st_size < 200_000 for f in files)
