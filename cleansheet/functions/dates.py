@@ -45,12 +45,13 @@ DATE_LIKE = (
     r"(?:([ T])(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(?: ?((?i:am|pm)))?(?: ?(Z|(?i:UTC|GMT)|[+-]\d{2}:?\d{2}))?)?\z"
 )
 _CUT = "\x01"
+_ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}\z"
 _DAY_LEADS = r"^(?:EEE,? )?dd[-/.]"
 
 
 def is_date_like(c: Column) -> Column:
-    """Fits the shape of some format. The length, known at once, rules many texts out."""
-    return F.octet_length(c).between(6, 64) & c.rlike(DATE_LIKE)
+    """Fits the shape of some format. The length, known at once, and the digits of a year rule many texts out."""
+    return F.octet_length(c).between(6, 64) & (c.rlike(_ISO_DAY) | (c.rlike(r"\d\d") & c.rlike(DATE_LIKE)))
 
 
 class _Parts:
@@ -165,13 +166,13 @@ def parse_any(c: Column, day_leads: Column | None = None, last_year: int | Colum
     """Each value in the first format that takes it.
 
     With the year last the month comes first, unless it cannot be one, or as
-    `day_leads` says.
+    `day_leads` says. A day that is in ISO order already is cast as it stands.
     """
     read = F.transform(F.array(c), lambda t: F.when(
         F.octet_length(t).between(6, 64) & ~t.startswith(_CUT), _iso_text(t, day_leads)))
     read = F.transform(F.transform(read, _whole_day), lambda t: F.coalesce(
         t.try_cast("timestamp"), _completed(t, last_year).try_cast("timestamp")))
-    return F.get(read, F.lit(0))
+    return F.when(c.rlike(_ISO_DAY), c.try_cast("timestamp")).otherwise(F.get(read, F.lit(0)))
 
 
 def _pattern_of(fmt: str) -> str:

@@ -26,11 +26,23 @@ FLOAT = 32
 BOOL = 64
 TEXT = 128
 
+_NUMBER_CHARS = " \t\n\x0b\f\r0123456789,.+-einftyEINFTY"
+_LINE_ENDS = "\x85\u2028\u2029"  # `$` in a pattern stands before these, too
+
 _INT64_MAX = "9223372036854775807"
 _INT64_MIN = "-9223372036854775808"
 _UINT64_MAX = "18446744073709551615"
 
 
+def _has_number_ends(c: Column) -> Column:
+    """Whether a text begins and ends as those do that can be numbers, commas taken out; few words do."""
+    return F.substring(c, 1, 1).isin(*_NUMBER_CHARS) & F.substring(c, -1, 1).isin(*_NUMBER_CHARS, *_LINE_ENDS)
+
+
+def is_number(c: Column) -> Column:
+    return _has_number_ends(c) & c.rlike(NUMBER)
+
+
 def number_class(c: Column) -> Column:
     """The kind bit of a cell known to be a number."""
     digits = F.trim(c)
@@ -50,7 +62,7 @@ def cell_class(c: Column) -> Column:
     """The kind bit of a raw CSV cell."""
     return (
         F.when(c.isNull() | c.isin(*CSV_NULL_TOKENS), MISSING)
-        .when(c.rlike(NUMBER), number_class(c))
+        .when(is_number(c), number_class(c))
         .when(c.isin(*BOOLEANS), BOOL)
         .otherwise(TEXT)
     )
@@ -91,16 +103,20 @@ def to_double(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
+def commas_dropped(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(""))
+
+
 def without_commas(c: Column) -> Column:
-    return trimmed(F.replace(c, F.lit(","), F.lit("")))
+    return trimmed(commas_dropped(c))
 
 
 def number_text(c: Column) -> Column:
     """The text without separators if it can be a number, else NULL.
 
-    Most words fail at their first letter, before anything is rewritten.
+    Most words fail at their first or last letter, before a pattern is tried or anything rewritten.
     """
-    return F.when(c.rlike(r"(?i)^[\s\d,.+\-einfty]+$"), without_commas(c))
+    return F.when(_has_number_ends(c) & c.rlike(r"(?i)^[\s\d,.+\-einfty]+$"), without_commas(c))
 
 
 def looks_numeric(c: Column) -> Column:
@@ -116,7 +132,10 @@ def megabytes(n_bytes: Column) -> Column:
 
 
 def plain_double_text(c: Column) -> Column:
-    """A double as text with a decimal point, scientific only when very large or small."""
+    """A double as text with a decimal point, scientific only when very large or small.
+
+    Between a thousandth and ten million this is how a double is printed anyway; larger whole ones are printed as such.
+    """
     java = c.cast("string")
     digits = F.rtrim(c.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
@@ -126,9 +145,11 @@ def plain_double_text(c: Column) -> Column:
     digits_of_power = F.abs(power).cast("string")
     padded = F.when(F.length(digits_of_power) < 2, F.lpad(digits_of_power, 2, "0")).otherwise(digits_of_power)
     scientific = F.concat(mantissa, sign, padded)
-    size = F.abs(c)
+    size, whole = F.abs(c), c.try_cast("bigint")
     return (
-        F.when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+        F.when((size >= 1e-3) & (size < 1e7), java)
+        .when((size < 1e15) & (whole.cast("double") == c), F.concat(whole.cast("string"), F.lit(".0")))
+        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
         .when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
         .when(java.contains("E"), scientific)
         .otherwise(java)

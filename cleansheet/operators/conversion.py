@@ -48,7 +48,11 @@ def number_type(bits: int, failed: int) -> str:
 
 
 def parse_number(c: Column, target: str) -> Column:
-    plain = numbers.without_commas(c)
+    return plain_number(numbers.without_commas(c), target)
+
+
+def plain_number(plain: Column, target: str) -> Column:
+    """As `parse_number`, for a trimmed text without separators."""
     return numbers.to_double(plain) if target == "double" else plain.try_cast(target)
 
 

@@ -123,7 +123,7 @@ def text_recommendations(df: DataFrame, order: Column | None = None, weight: str
     seen = {
         texts[r["position"]]: r
         for r in ordered.where(value.isNotNull()).groupBy("position").agg(
-            F.sum("n").alias("n"), tally(value.rlike(numbers.NUMBER), "n").alias("numbers"),
+            F.sum("n").alias("n"), tally(numbers.is_number(value), "n").alias("numbers"),
             tally(dates.is_date_like(value), "n").alias("dates"), F.max(value != trimmed(value)).alias("untrimmed"),
             F.min("at").alias("first"),
         ).collect()

@@ -48,14 +48,14 @@ def clean_csv(
 
     Row order costs a sort of the whole result, so it is kept only on request.
     """
-    table = stored(read_for_cleaning(spark, _given(path), multi_line))
+    table = read_for_cleaning(spark, _given(path), multi_line)
     return _save(table, output_path(spark, path, output_dir), keep_order)
 
 
 def run_dataset(spark: SparkSession, path: str, output_dir: str, multi_line: bool | None = None) -> DatasetRun:
-    """Profile, clean, save, and profile what was saved. The typed rows are stored, so later passes skip the text."""
+    """Profile, clean, save, and profile what was saved. The distinct rows are stored, so later passes skip the text."""
     name = posixpath.basename(path.rstrip("/"))
-    table = stored(read_for_cleaning(spark, _given(path), multi_line))
+    table = read_for_cleaning(spark, _given(path), multi_line)
     distinct = distinct_rows(table.rows)
     before = profile_dataset(distinct, name, kinds=table.kinds, copies=COPIES)
     cleaned = _save(table, output_path(spark, path, output_dir), distinct=distinct)

@@ -344,7 +344,7 @@ def cleaning_actions(spark, folder):
 
 @_query
 def before_after(spark, folder):
-    mo = materialize(views.messy_with_headings(spark, folder), "view")
+    mo = views.messy_with_headings(spark, folder)
     distinct = cleaning.distinct_rows(mo)
     before = profiling.profile_dataset(distinct, "before", quoted("Order ID"), copies=COPIES)
     cleaned = cleaning.clean_dataset(mo, "Order ID", distinct=distinct)
@@ -394,7 +394,7 @@ def csv_scan_multiline(spark, folder):
 def clean_export(spark, folder):
     source, target = scratch_path(spark, "csv"), scratch_path(spark, "csv")
     csv_files.write_csv(views.messy_with_headings(spark, folder), source)
-    table = csv_files.stored(csv_files.read_for_cleaning(spark, source))
+    table = csv_files.read_for_cleaning(spark, source)
     cleaned = cleaning.clean_dataset(table.data, "Order ID", table.kinds)
     csv_files.write_csv(cleaned.rows, target, table.encoding)
     cells, _ = csv_files.read_cells(spark, target, table.encoding)

@@ -38,9 +38,14 @@ def _stays_open(line: Column) -> Column:
     return ~(line.contains('"') & line.rlike(_CLOSING))
 
 
+def readable_path(uri: Column) -> Column:
+    """The path of a file, as listings write it (the metadata column has it as a URI)."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def file_of_line() -> Column:
-    """The path of the file that a row was read from, as listings write it (the metadata column has it as a URI)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    """The path of the file that a row was read from."""
+    return readable_path(F.col("_metadata.file_path"))
 
 
 def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from cleansheet.functions import dates
+from cleansheet.functions import dates, numbers, text
 from cleansheet.operators import quality, quantiles, statistics
-from cleansheet.plans import uploads
-from cleansheet.sources import records
+from cleansheet.plans import cleaning, dataset, uploads
+from cleansheet.registry import queries
+from cleansheet.sources import encodings, records
 
 WRITTEN = ["2020-01-31", "2020-1-5", "2020-13-01", "31/01/2020", "01/31/2020", "20200131", "2020013", " 2020-01-31", "2020-01-31\n",
            "2020-01-31 10:00", "0000-00-00", "\x012020-01-31", "Jan 5, 2020", "", None]
@@ -82,3 +84,70 @@ def test_bloom_filters_are_as_small_as_their_files(spark, tmp_path):
     table.append(rows, "a")
     files = list((tmp_path / "h" / "data").rglob("*.parquet"))
     assert len(files) == 4 and all(f.stat().st_size < 200_000 for f in files)
+
+
+def test_cleaning_computes_a_step_once(spark):
+    df = spark.createDataFrame([(" 1,000 ", "x"), ("-", "y")], "a string, b string")
+    plan = cleaning.ColumnPlan("a", True, missing=1, fill="7", number="double")
+    cleaned = cleaning.in_steps(df, {"a": plan.steps()}, "b")
+    assert [tuple(r) for r in cleaned.collect()] == [(1000.0, "x"), (7.0, "y")]
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("replace(") <= 4
+
+
+def test_lines_of_files_are_folded_without_a_sort(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("\ufeffa,b\n1,2\n")
+    (tmp_path / "b+c.csv").write_text("a,b\n3,4\n")
+    (tmp_path / "c.csv").write_text('b,a\n3,"4\n"\n')
+    facts = encodings.file_facts(spark, str(tmp_path))
+    assert "SortAggregate" not in _plan(facts)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in facts.collect()}
+    assert set(rows) == {"a b.csv", "b+c.csv", "c.csv"} and [rows[n]["open_quotes"] for n in sorted(rows)] == [False, False, True]
+    assert rows["a b.csv"]["header"] == rows["b+c.csv"]["header"] != rows["c.csv"]["header"]
+
+
+def test_a_cleaned_file_is_not_stored_before_its_distinct_rows(spark, tmp_path, csv, monkeypatch):
+    monkeypatch.setattr(dataset, "stored", lambda table: pytest.fail("stored"))
+    cleaned = dataset.clean_csv(spark, csv("a,b\n 1,x\n 1,x\n2,y\n"), str(tmp_path / "out"))
+    assert cleaned.report.duplicates_removed == 1 and cleaned.data.count() == 2
+
+
+def test_the_view_of_before_and_after_is_not_stored(spark, monkeypatch):
+    seen = []
+    keep = queries.materialize
+    monkeypatch.setattr(queries, "materialize", lambda df, label: seen.append(label) or keep(df, label))
+    queries.queries()["before_after"](spark, "/root/testdata/sf0.001")
+    assert seen == ["cleaned"]
+
+
+def test_quick_looks_change_no_result(spark):
+    ends = ["", "a", "1", " ", "\t", "\xa0", "\u2028", "\x85", ",", "+", "-", ".", "e", "F", "\r\n", "é", "\x1c", "١"]
+    texts = [a + m + b for a in ends for b in ends for m in ("", "2 3", "12,5", "nf", "1e5")] + WRITTEN
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    cut = F.btrim(t, F.lit(text.WHITESPACE))
+    number = F.when(t.rlike(r"(?i)^[\s\d,.+\-einfty]+$"), F.btrim(F.replace(t, F.lit(","), F.lit("")), F.lit(text.WHITESPACE)))
+    other = df.where(~(
+        text.trimmed(t).eqNullSafe(cut) & numbers.number_text(t).eqNullSafe(number)
+        & numbers.is_number(t).eqNullSafe(t.rlike(numbers.NUMBER))
+        & F.coalesce(dates.is_date_like(t), F.lit(False)).eqNullSafe(
+            F.coalesce(F.octet_length(t).between(6, 64) & t.rlike(dates.DATE_LIKE), F.lit(False)))))
+    assert other.collect() == []
+
+
+def test_an_iso_day_is_read_as_it_stands(spark):
+    rows = spark.createDataFrame([(x,) for x in WRITTEN], "t string").select(
+        "t", dates.parse_any(F.col("t")).cast("string").alias("d")).collect()
+    days = {r["t"]: r["d"] for r in rows}
+    assert days["2020-01-31"] == "2020-01-31 00:00:00" and days["2020-1-5"] == "2020-01-05 00:00:00"
+    assert days["2020-13-01"] is None and days["2020-01-31\n"] is None and days["20200131"] == "2020-01-31 00:00:00"
+
+
+def test_doubles_are_printed_with_a_point(spark):
+    printed = {0.0: "0.0", -0.0: "0.0", 0.1: "0.1", 0.001: "0.001", 0.00099: "0.00099", 5e-5: "5e-05", 123.0: "123.0", -7.5: "-7.5",
+               9999999.0: "9999999.0", 1e7: "10000000.0", 12345678.25: "12345678.25", -54000000.0: "-54000000.0", 1e15: "1000000000000000.0",
+               1e16: "1e+16", float("inf"): "inf", float("-inf"): "-inf"}
+    rows = spark.createDataFrame([(v, t) for v, t in printed.items()], "v double, t string").select(
+        "v", "t", numbers.plain_double_text(F.col("v")).alias("p")).collect()
+    assert [r for r in rows if r["p"] != r["t"]] == []
+    plan = spark.range(1).select(numbers.plain_double_text(F.col("id").cast("double")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("1.0E7") < plan.index("decimal(38,22)")  # the decimal is the last resort
