@@ -35,7 +35,7 @@ UNKNOWN = "Unknown"
 def trimmed(c: Column) -> Column:
     """Without outer white space. The search for all of it is slow; it is left out where cutting spaces bares visible ASCII."""
     t = F.trim(c)
-    bare = F.substring(t, 1, 1).between("!", "~") & F.substring(t, -1, 1).between("!", "~")
+    bare = (t >= "!") & (t < "\x7f") & F.substring(t, -1, 1).between("!", "~")
     return F.when(bare, t).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 

@@ -35,21 +35,47 @@ def _cells(df: DataFrame, columns: list[str], weight: str | None) -> DataFrame:
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """(position, head, digest, n, numeric) for every distinct non-null value; digest is NULL if the head is all of it.
+    """(position, head, digest, n, rows, numeric) for every distinct non-null value; digest is NULL if the head is all of it.
 
     One scan and one shuffle for all columns. Map-side partial counts fold a
     hot value into one record per task; the column travels as a small number.
-    `weight` names a column that tells how often each row counts. `numeric`
-    tells that the value looks like a number.
+    `weight` names a column that tells how often each row counts in n; `rows`
+    counts rows. `numeric` tells that the value looks like a number.
     """
     columns = text_columns(df) if columns is None else columns
     if not columns:
-        return no_rows(df, "position int, head string, digest binary, n bigint, numeric boolean")
+        return no_rows(df, "position int, head string, digest binary, n bigint, rows bigint, numeric boolean")
+    return frequencies_of(counted_cells(df, columns, weight=weight))
+
+
+def frequencies_of(cells: DataFrame) -> DataFrame:
+    """As `value_frequencies`, from (position, value, n, rows) cells."""
     value = F.col("value")
-    cells = _cells(df, columns, weight).withColumn("head", _head(value)).withColumn("digest", _digest(value))
+    cells = cells.withColumn("head", _head(value)).withColumn("digest", _digest(value))
     long_number = F.when(F.col("digest").isNotNull(), looks_numeric(value))
-    return cells.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.max(long_number).alias("long_number")).select(
-        *_KEYS, "n", F.coalesce("long_number", looks_numeric(F.col("head"))).alias("numeric"))
+    return cells.groupBy(*_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max(long_number).alias("long_number"),
+    ).select(*_KEYS, "n", "rows", F.coalesce("long_number", looks_numeric(F.col("head"))).alias("numeric"))
+
+
+def counted_cells(df: DataFrame, columns: list[str], frequencies: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """(position, value, n, rows): the non-null cells of some columns, equal short ones once if their frequencies are known.
+
+    Checks of values then run once per distinct short value. Long texts, which
+    the frequencies do not hold, are taken one by one from the columns that
+    have some.
+    """
+    cells = _cells(df, columns, weight).withColumn("rows", F.lit(1).cast("long")).select("position", "value", "n", "rows")
+    if frequencies is None:
+        return cells
+    known = frequencies.where(F.col("position") < len(columns))
+    short = known.where(F.col("digest").isNull()).select("position", F.col("head").alias("value"), "n", "rows")
+    held = [r["position"] for r in known.where(F.col("digest").isNotNull()).select("position").distinct().collect()]
+    if not held:
+        return short
+    long = _cells(df, [columns[i] for i in held], weight).where(F.char_length("value") > HEAD_CHARS)
+    place = F.get(F.array(*[F.lit(i) for i in held]), F.col("position"))
+    return short.unionByName(long.select(place.alias("position"), "value", "n", F.lit(1).cast("long").alias("rows")))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:

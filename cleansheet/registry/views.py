@@ -51,15 +51,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def shared_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def shared_table(spark: SparkSession, folder: str, name: str, *columns: str, key: str | None = None) -> DataFrame:
     """Some columns of a table, dealt to all cores, and to more tasks the larger its file is.
 
     The given tables are single files of one row group, which one core would
-    read and work on alone; tables at scale need no such step.
+    read and work on alone; tables at scale need no such step. Rows are dealt
+    by a `key` of many values, if it is named: dealing in turns sorts them.
     """
     df = table(spark, folder, name)
     tasks = max(spark.sparkContext.defaultParallelism, stored_bytes(spark, f"{folder}/{name}.parquet") // BYTES_PER_TASK)
-    return (df.select(*columns) if columns else df).repartition(tasks)
+    return (df.select(*columns) if columns else df).repartition(tasks, *([key] if key else []))
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +69,7 @@ def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
     Whitespace, missing tokens, mixed case, thousands separators, unparsable
     cells, exact copies, empty rows, an empty and a constant column.
     """
-    o = shared_table(spark, folder, "orders", "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    o = shared_table(spark, folder, "orders", "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate", key="o_orderkey")
     key = F.col("o_orderkey")
 
     def every(n: int, at: int = 0) -> Column:

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleansheet.functions import dates, numbers, text
-from cleansheet.operators import quality, quantiles, statistics
-from cleansheet.plans import cleaning, dataset, uploads
+from cleansheet.operators import dedup, frequency, quality, quantiles, statistics
+from cleansheet.plans import cleaning, dataset, profiling, uploads
 from cleansheet.registry import queries
-from cleansheet.sources import encodings, records
+from cleansheet.sources import csv_files, encodings, records
 
 WRITTEN = ["2020-01-31", "2020-1-5", "2020-13-01", "31/01/2020", "01/31/2020", "20200131", "2020013", " 2020-01-31", "2020-01-31\n",
            "2020-01-31 10:00", "0000-00-00", "\x012020-01-31", "Jan 5, 2020", "", None]
@@ -151,3 +151,16 @@ def test_doubles_are_printed_with_a_point(spark):
     assert [r for r in rows if r["p"] != r["t"]] == []
     plan = spark.range(1).select(numbers.plain_double_text(F.col("id").cast("double")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("1.0E7") < plan.index("decimal(38,22)")  # the decimal is the last resort
+
+
+def test_equal_short_values_are_looked_at_once(spark):
+    long = "x" * 40
+    df = spark.createDataFrame([(" a ", long, True), (" a ", long + "y", None), (None, "b", True)], "s string, t string, f boolean")
+    distinct = cleaning.distinct_rows(df)
+    values = cleaning.distinct_values(distinct)
+    cells = frequency.counted_cells(distinct, ["s", "t", "f"], values, dedup.COPIES)
+    assert sorted(tuple(r) for r in cells.collect()) == [
+        (0, " a ", 2, 2), (1, "b", 1, 1), (1, long, 1, 1), (1, long + "y", 1, 1), (2, "true", 2, 2)]
+    cleaned = cleaning.clean_dataset(df, distinct=distinct, frequencies=values)
+    assert sorted(tuple(r) for r in cleaned.data.collect()) == [("b",), (long,), (long + "y",)]
+    assert cleaned.report.filled == {"s": 1, "f": 1} and cleaned.report.constant_columns == ["s", "f"]
