@@ -11,6 +11,7 @@ from cleansheet.functions import dates, numbers
 from cleansheet.functions.text import trimmed
 from cleansheet.operators.columns import named_positions, no_rows, quoted, tally, text_cells, text_columns
 from cleansheet.operators.dedup import ROW_ORDER, duplicate_count
+from cleansheet.operators.frequency import counted_cells
 from cleansheet.operators.statistics import missing_counts
 from cleansheet.session import materialize
 
@@ -104,12 +105,15 @@ def count_recommendations(duplicates: int, missing: dict[str, int]) -> list[str]
     return lines + [_MISSING % (n, c) for c, n in missing.items()]
 
 
-def text_recommendations(df: DataFrame, order: Column | None = None, weight: str | None = None) -> list[tuple[int, str]]:
+def text_recommendations(
+    df: DataFrame, order: Column | None = None, weight: str | None = None, frequencies: DataFrame | None = None
+) -> list[tuple[int, str]]:
     """(order, message) from checks on every value of the text columns.
 
     One aggregate over all cells; columns of date-like texts are looked at
     again, in the format of their first value. `weight` names a column that
-    tells how often each row counts.
+    tells how often each row counts. With the `frequencies` of the columns
+    equal short values are checked once.
     """
     texts = text_columns(df)
     if not texts:
@@ -118,18 +122,16 @@ def text_recommendations(df: DataFrame, order: Column | None = None, weight: str
         order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.monotonically_increasing_id()
     visible = [c for c in df.columns if c not in (ROW_ORDER, weight)]
     value = F.col("value")
-    n = F.lit(1).cast("long") if weight is None else quoted(weight)
-    ordered = df.select(order.alias("at"), n.alias("n"), F.posexplode(F.array(*[quoted(c) for c in texts])).alias("position", "value"))
+    cells = counted_cells(df, texts, frequencies, weight)
     seen = {
         texts[r["position"]]: r
-        for r in ordered.where(value.isNotNull()).groupBy("position").agg(
+        for r in cells.groupBy("position").agg(
             F.sum("n").alias("n"), tally(numbers.is_number(value), "n").alias("numbers"),
             tally(dates.is_date_like(value), "n").alias("dates"), F.max(value != trimmed(value)).alias("untrimmed"),
-            F.min("at").alias("first"),
         ).collect()
     }
     dated = [c for c, r in seen.items() if r["dates"] / r["n"] >= _DATE_OR_NUMBER_SHARE]
-    parsed = _parsed_dates(df, order, {c: seen[c]["first"] for c in dated}, weight)
+    parsed = _parsed_dates(df, order, dated, texts, cells)
     found = []
     for c, r in seen.items():
         checks = (
@@ -140,13 +142,16 @@ def text_recommendations(df: DataFrame, order: Column | None = None, weight: str
     return sorted(found)
 
 
-def _parsed_dates(df: DataFrame, order: Column, first: dict[str, object], weight: str | None) -> dict[str, int]:
+def _parsed_dates(df: DataFrame, order: Column, dated: list[str], texts: list[str], cells: DataFrame) -> dict[str, int]:
     """How many values of each column are dates in the format of its first value, or in any if that has none."""
-    if not first:
+    if not dated:
         return {}
-    heads = df.select(order.alias("at"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(first)]).agg(*[
-        F.max(F.when(F.col("at") == F.lit(at), F.col(f"c{i}"))).alias(f"h{i}") for i, at in enumerate(first.values())])
-    formats = heads.select(*[dates.first_format(F.col(f"h{i}")).alias(f"f{i}") for i in range(len(first))]).first()
-    counts = df.agg(*[
-        tally(dates.parse_column(quoted(c), formats[i]).isNotNull(), weight).alias(f"n{i}") for i, c in enumerate(first)]).first()
-    return {c: counts[i] for i, c in enumerate(first)}
+    ordered = df.select(order.alias("at"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(dated)])
+    first = ordered.agg(*[F.min(F.when(F.col(f"c{i}").isNotNull(), F.col("at"))).alias(f"a{i}") for i in range(len(dated))]).first()
+    heads = ordered.agg(*[
+        F.max(F.when(F.col("at") == F.lit(first[f"a{i}"]), F.col(f"c{i}"))).alias(f"h{i}") for i in range(len(dated))])
+    formats = heads.select(*[dates.first_format(F.col(f"h{i}")).alias(f"f{i}") for i in range(len(dated))]).first()
+    counts = cells.agg(*[
+        tally((F.col("position") == texts.index(c)) & dates.parse_column(F.col("value"), formats[i]).isNotNull(), "n").alias(f"n{i}")
+        for i, c in enumerate(dated)]).first()
+    return {c: counts[i] for i, c in enumerate(dated)}

@@ -83,24 +83,33 @@ def _number(v) -> str:
 
 def profile_dataset(
     df: DataFrame, name: str = "dataset", order: Column | None = None, kinds: dict[str, str] | None = None,
-    copies: str | None = None,
+    copies: str | None = None, frequencies: DataFrame | None = None,
 ) -> Profile:
     """Profile a frame.
 
     Passes over the data: one aggregate for counts and sizes, one for numeric
     statistics, one shuffle of row digests, one shuffle of text values, and one
-    aggregate of checks on all text cells.
+    aggregate of checks on them.
 
     `copies` names a column of a frame of distinct rows that tells how often
-    each one occurs; the rows themselves are then not shuffled.
+    each one occurs; the rows themselves are then not shuffled. `frequencies`
+    gives the stored frequencies of its text columns, if they are known;
+    columns of other types may follow in them.
     """
     df = nan_to_null(df)
     data = df.drop(ROW_ORDER)
-    columns = [c for c in data.columns if c != copies]
-    basics = data.agg(
-        tally(F.lit(True), copies).alias("rows"), F.count(F.lit(1)).alias("distinct"), byte_sum(data, copies).alias("bytes"),
-        *[tally(quoted(c).isNull(), copies).alias(f"m{i}") for i, c in enumerate(columns)],
-    ).first()
+    columns, words = [c for c in data.columns if c != copies], text_columns(data)
+    if frequencies is not None:
+        frequencies = frequencies.where(F.col("position") < len(words))
+
+    def values() -> DataFrame | None:
+        return materialize(value_frequencies(data, words, copies), "values") if frequencies is None and words else frequencies
+
+    basics, frequencies = together(
+        data.agg(
+            tally(F.lit(True), copies).alias("rows"), F.count(F.lit(1)).alias("distinct"), byte_sum(data, copies).alias("bytes"),
+            *[tally(quoted(c).isNull(), copies).alias(f"m{i}") for i, c in enumerate(columns)],
+        ).first, values)
     rows = basics["rows"]
     missing = {c: basics[f"m{i}"] for i, c in enumerate(columns) if basics[f"m{i}"]}
     measured = [c for c in numeric_columns(data) if c != copies]
@@ -111,13 +120,13 @@ def profile_dataset(
         return {c: _without_name(by_column[c]) for c in measured if c in by_column}
 
     def advice() -> list[str]:
-        return [message for _, message in text_recommendations(df, order, copies)]
+        return [message for _, message in text_recommendations(df, order, copies, frequencies)]
 
     def repeated() -> int:
         return rows - basics["distinct"] if copies else duplicate_count(data).first()["duplicate_rows"]
 
     duplicates, numeric, (texts, inconsistent), text_advice = together(
-        repeated, numbers, lambda: _texts(data, copies), advice
+        repeated, numbers, lambda: _texts(data, words, frequencies), advice
     )
     lines = count_recommendations(duplicates, missing) + text_advice
     points = score(*[F.lit(v) for v in (rows, len(columns), sum(missing.values()), duplicates, len(inconsistent))])
@@ -134,13 +143,11 @@ def _without_name(entry: dict) -> dict:
     return {k: v for k, v in entry.items() if k != "column_name"}
 
 
-def _texts(data: DataFrame, copies: str | None) -> tuple[dict[str, dict], list[str]]:
+def _texts(data: DataFrame, columns: list[str], frequencies: DataFrame | None) -> tuple[dict[str, dict], list[str]]:
     """Distinct counts and top values per text column, and the columns that mix numbers with words."""
-    columns = text_columns(data)
     texts = {c: {"unique": 0, "top": []} for c in columns}
     if not texts:
         return texts, []
-    frequencies = materialize(value_frequencies(data, columns, copies), "values")
     mixed = set()
     for r in frequencies.groupBy("position").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("numeric").alias("numeric")

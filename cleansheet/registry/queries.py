@@ -346,8 +346,9 @@ def cleaning_actions(spark, folder):
 def before_after(spark, folder):
     mo = views.messy_with_headings(spark, folder)
     distinct = cleaning.distinct_rows(mo)
-    before = profiling.profile_dataset(distinct, "before", quoted("Order ID"), copies=COPIES)
-    cleaned = cleaning.clean_dataset(mo, "Order ID", distinct=distinct)
+    values = cleaning.distinct_values(distinct)
+    before = profiling.profile_dataset(distinct, "before", quoted("Order ID"), copies=COPIES, frequencies=values)
+    cleaned = cleaning.clean_dataset(mo, "Order ID", distinct=distinct, frequencies=values)
     printed = materialize(missing.null_csv_tokens(conversion.as_export_text(cleaned.data)), "cleaned")
     after = profiling.profile_dataset(printed, "after", F.col("order_id"))
     return profiling.compare(profiling.metric_rows(spark, before), profiling.metric_rows(spark, after))

@@ -164,3 +164,15 @@ def test_equal_short_values_are_looked_at_once(spark):
     cleaned = cleaning.clean_dataset(df, distinct=distinct, frequencies=values)
     assert sorted(tuple(r) for r in cleaned.data.collect()) == [("b",), (long,), (long + "y",)]
     assert cleaned.report.filled == {"s": 1, "f": 1} and cleaned.report.constant_columns == ["s", "f"]
+
+
+def test_a_profile_of_known_values_is_the_same(spark):
+    texts = [" 1", "1", "2020-01-31", "x" * 40 + "1", None, "", "12"]
+    rows = [(a, b, i) for i, a in enumerate(texts) for b in ("2020-01-31", "2021-02-28", " " * 40)[:i % 3 + 1]] * 2
+    df = spark.createDataFrame(rows, "a string, b string, i int")
+    distinct = cleaning.distinct_rows(df)
+    known = profiling.profile_dataset(distinct, "p", F.col("i"), copies=dedup.COPIES, frequencies=cleaning.distinct_values(distinct))
+    plain = profiling.profile_dataset(df, "p", F.col("i"))
+    assert (known.texts, known.inconsistent, known.recommendations) == (plain.texts, plain.inconsistent, plain.recommendations)
+    told = [message for _, message in quality.text_recommendations(df, F.col("i"))]
+    assert told and known.recommendations[-len(told):] == told
