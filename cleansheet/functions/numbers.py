@@ -135,8 +135,18 @@ def plain_double_text(c: Column) -> Column:
     """A double as text with a decimal point, scientific only when very large or small.
 
     Between a thousandth and ten million this is how a double is printed anyway; larger whole ones are printed as such.
+    The rest stands in a function of its own: all of it in every printed column made code too long to be compiled.
     """
-    java = c.cast("string")
+    size, whole = F.abs(c), c.try_cast("bigint")
+    return (
+        F.when((size >= 1e-3) & (size < 1e7), c.cast("string"))
+        .when((size < 1e15) & (whole.cast("double") == c), F.concat(whole.cast("string"), F.lit(".0")))
+        .otherwise(F.get(F.transform(F.array(c), _rare_double_text), F.lit(0)))
+    )
+
+
+def _rare_double_text(c: Column) -> Column:
+    java, size = c.cast("string"), F.abs(c)
     digits = F.rtrim(c.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     mantissa = F.regexp_replace(F.regexp_extract(java, "^(.*)E", 1), r"\.0$", "")
@@ -144,13 +154,9 @@ def plain_double_text(c: Column) -> Column:
     sign = F.when(power < 0, "e-").otherwise("e+")
     digits_of_power = F.abs(power).cast("string")
     padded = F.when(F.length(digits_of_power) < 2, F.lpad(digits_of_power, 2, "0")).otherwise(digits_of_power)
-    scientific = F.concat(mantissa, sign, padded)
-    size, whole = F.abs(c), c.try_cast("bigint")
     return (
-        F.when((size >= 1e-3) & (size < 1e7), java)
-        .when((size < 1e15) & (whole.cast("double") == c), F.concat(whole.cast("string"), F.lit(".0")))
-        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+        F.when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
         .when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain)
-        .when(java.contains("E"), scientific)
+        .when(java.contains("E"), F.concat(mantissa, sign, padded))
         .otherwise(java)
     )

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cleansheet.operators.dedup import COPIES, ROW_ORDER
-from cleansheet.plans.cleaning import Cleaned, CleaningReport, clean_dataset, distinct_rows
+from cleansheet.plans.cleaning import Cleaned, CleaningReport, clean_dataset, distinct_rows, distinct_values
 from cleansheet.plans.profiling import Profile, profile_dataset
 from cleansheet.session import path_exists
 from cleansheet.sources.csv_files import CsvError, CsvTable, read_for_cleaning, read_for_profile, stored, write_csv
@@ -57,8 +57,9 @@ def run_dataset(spark: SparkSession, path: str, output_dir: str, multi_line: boo
     name = posixpath.basename(path.rstrip("/"))
     table = read_for_cleaning(spark, _given(path), multi_line)
     distinct = distinct_rows(table.rows)
-    before = profile_dataset(distinct, name, kinds=table.kinds, copies=COPIES)
-    cleaned = _save(table, output_path(spark, path, output_dir), distinct=distinct)
+    values = distinct_values(distinct)
+    before = profile_dataset(distinct, name, kinds=table.kinds, copies=COPIES, frequencies=values)
+    cleaned = _save(table, output_path(spark, path, output_dir), distinct=distinct, frequencies=values)
     saved = cleaned.report.output
     if not cleaned.data.columns:
         raise CsvError(f"no column is left after cleaning: {path}")
@@ -73,8 +74,10 @@ def _given(path: str) -> str:
     return path.strip()
 
 
-def _save(table: CsvTable, target: str, keep_order: bool = False, distinct: DataFrame | None = None) -> Cleaned:
-    cleaned = clean_dataset(table.rows, kinds=table.kinds, distinct=distinct)
+def _save(
+    table: CsvTable, target: str, keep_order: bool = False, distinct: DataFrame | None = None, frequencies: DataFrame | None = None
+) -> Cleaned:
+    cleaned = clean_dataset(table.rows, kinds=table.kinds, distinct=distinct, frequencies=frequencies)
     if cleaned.data.columns:
         write_csv(cleaned.rows, target, table.encoding, ROW_ORDER if keep_order else None)
         cleaned.report.output = target

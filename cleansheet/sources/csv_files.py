@@ -15,6 +15,7 @@ from cleansheet.functions.dates import as_day_text
 from cleansheet.functions.numbers import cell_class, kind_of, plain_double_text
 from cleansheet.operators.columns import quoted
 from cleansheet.operators.dedup import ROW_ORDER
+from cleansheet.operators.frequency import HEAD_CHARS
 from cleansheet.operators.inference import as_kind
 from cleansheet.session import materialize
 from cleansheet.sources.encodings import UTF8, after_read, before_write, decoded, file_facts, spark_charset
@@ -153,14 +154,20 @@ def parsed_cells(record: Column, width: int) -> Column:
 
 
 def infer_table(rows: DataFrame, too_long: Column, encoding: str, label: str) -> CsvTable:
-    """Find the column kinds in one pass over the text cells, and type them."""
+    """Find the column kinds in one pass over the text cells, and type them.
+
+    Equal short cells are folded first and looked at once; long ones are looked at where they are read.
+    """
     names = [c for c in rows.columns if c not in (ROW_ORDER, _BAD_LINE)]
     long_mark = F.when(too_long, F.lit("x"))
     cells = rows.select(F.posexplode(F.array(*[quoted(c) for c in names], long_mark)).alias("position", "value"))
+    value = F.col("value")
+    folded = cells.withColumn("short", F.when(F.char_length(value) <= HEAD_CHARS, value)).groupBy("position", "short").agg(
+        F.count(value).alias("n"), F.bit_or(F.when(F.col("short").isNull(), cell_class(value))).alias("others"))
     found = {
         r["position"]: r
-        for r in cells.groupBy("position")
-        .agg(F.count("value").alias("n"), kind_of(F.bit_or(cell_class(F.col("value")))).alias("kind"))
+        for r in folded.groupBy("position")
+        .agg(F.sum("n").alias("n"), kind_of(F.bit_or(F.coalesce("others", cell_class(F.col("short"))))).alias("kind"))
         .collect()
     }
     if not found:

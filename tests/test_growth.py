@@ -176,3 +176,25 @@ def test_a_profile_of_known_values_is_the_same(spark):
     assert (known.texts, known.inconsistent, known.recommendations) == (plain.texts, plain.inconsistent, plain.recommendations)
     told = [message for _, message in quality.text_recommendations(df, F.col("i"))]
     assert told and known.recommendations[-len(told):] == told
+
+
+def _largest_method(df) -> int:
+    """Bytes of the largest method that is generated for a frame; above 8,000 it is not compiled."""
+    package = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = package.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max((parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())), default=0)
+
+
+def test_printing_doubles_stays_small_enough_to_be_compiled(spark):
+    df = spark.range(3).select(*[(F.col("id") / (i + 3)).alias(f"c{i}") for i in range(6)])
+    assert _largest_method(csv_files.csv_text(df)) < 8000
+
+
+def test_equal_short_cells_are_folded_before_their_kind_is_told(spark, csv, monkeypatch):
+    asked = []
+    keep = csv_files.cell_class
+    monkeypatch.setattr(csv_files, "cell_class", lambda c: asked.append(str(c)) or keep(c))
+    path = csv("a,b,c,d,e\n1,1,true,1,\n1,,true,%s,\n2,2.5,,3,\n" % ("9" * 40))
+    kinds = csv_files.read_for_profile(spark, path).kinds
+    assert kinds == {"a": "int64", "b": "float64", "c": "mixed_bool", "d": "text", "e": "float64"}
+    assert any("short" in c for c in asked)
